@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules
+from . import bpe, mixing, quality_rules, token_counts
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op3_token_counts": token_counts.op3_token_counts,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op10_bpe": bpe.op10_bpe,
 }
 ORACLES = {
     "op1_mixing": mixing.OP1_SQL,
