@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, quality_rules, token_counts, toxicity
+from . import bpe, mixing, pii, quality_rules, token_counts, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_toxicity": toxicity.op4_toxicity,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op9_pii": pii.op9_pii,
     "op10_bpe": bpe.op10_bpe,
 }
 ORACLES = {
