@@ -14,7 +14,9 @@ rows give repeated rows; added columns replace ones of the same name; an empty t
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +44,13 @@ class PrefixCounter:
         self.pieces = regex.compile(pattern)
         # A unit: the part of a run of blanks that is a pre-token of its own, then one more pre-token. A
         # prefix of the text cuts one unit only, and what precedes a unit never depends on it.
-        self.units = regex.compile(rf"(?:\s+(?!\S))?(?:{pattern.replace('|' + chr(92) + 's+(?!' + chr(92) + 'S)', '').replace('|' + chr(92) + 's+', '')}|\s)")
-        self.longest = max(map(len, ranks))
+        # Words come first, as most units are one; no other unit starts like them.
+        self.units = regex.compile(rf" ?\p{{L}}+|(?:\s+(?!\S))?(?:{pattern.replace('|' + chr(92) + 's+(?!' + chr(92) + 'S)', '').replace('|' + chr(92) + 's+', '')}|\s)")
+        #: The longest token that ends in four given bytes: how far back a prefix's last token can start.
+        self.reach: dict[bytes, int] = {}
+        for token in ranks:
+            if len(token) > 3 and len(token) > self.reach.get(token[-4:], 3):
+                self.reach[token[-4:]] = len(token)
         core = tiktoken.Encoding("prefix", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe
         self.merge = core.encode_single_piece
         self.follows: dict[tuple[bytes, bytes], bool] = {}
@@ -59,10 +66,10 @@ class PrefixCounter:
 
     def byte_prefixes(self, word: bytes) -> list[int]:
         """Token counts of word[:1], word[:2], ... when nothing follows."""
-        ranks, follows, longest = self.ranks, self.follows, self.longest
+        ranks, follows, reach = self.ranks, self.follows, self.reach.get
         last, counts = [b""], [0]
         for end in range(1, len(word) + 1):
-            for start in range(max(0, end - longest), end):
+            for start in range(max(0, end - reach(word[end - 4 : end], 3)) if end > 3 else 0, end):
                 token = word[start:end]
                 if token in ranks:
                     before = last[start]
@@ -87,18 +94,21 @@ class PrefixCounter:
     def whole(self, text: str) -> int:
         return sum(self.piece_prefixes(p)[-1] for p in self.pieces.findall(text))
 
-    def of_unit(self, unit: str, at_end: bool) -> tuple[np.ndarray, int]:
+    def of_unit(self, unit: str, at_end: bool) -> tuple[list[int], int]:
         """Counts at each character of a unit if the text ended there, and the unit's count within a longer text."""
+        if unit.isalpha() or unit[0] == " " and unit[1:].isalpha():
+            counts = self.piece_prefixes(unit)
+            return counts, counts[-1]
         pieces = self.pieces.findall(unit)
         blanks = len(unit) - len(unit.lstrip()) if unit[:1].isspace() else 0
         if not blanks and len(pieces) == 1 and unit[0] != "'":
             counts = self.piece_prefixes(unit)
-            return np.array(counts, np.int32), counts[-1]
+            return counts, counts[-1]
         counts = self.piece_prefixes(unit[:blanks]) if blanks else []
         rest = unit[blanks:]
         if not rest:
             inside = counts[-1] if at_end or blanks == 1 else self.piece_prefixes(unit[:-1])[-1] + self.piece_prefixes(unit[-1])[-1]
-            return np.array(counts, np.int32), inside
+            return counts, inside
         before, joined = 0, rest
         if blanks:  # the last blank goes with what follows if the pattern lets it
             own = unit[blanks - 1] == " "
@@ -110,7 +120,7 @@ class PrefixCounter:
         else:
             tail = self.piece_prefixes(joined)[len(joined) - len(rest) :]
         counts = counts + [before + x for x in tail]
-        return np.array(counts, np.int32), counts[-1]
+        return counts, counts[-1]
 
     def segment(self, text: str) -> np.ndarray:
         """Counts at every character of a text without special strings."""
@@ -125,10 +135,11 @@ class PrefixCounter:
                     x = known.get(u)
                     if x is None:
                         counts, inside = self.of_unit(u, False)
-                        x = (counts.tobytes(), inside)
+                        x = (array("i", counts).tobytes(), inside)
                         if len(u) <= REMEMBERED_CHARS:
-                            if len(known) >= REMEMBERED_UNITS:
-                                known.clear()
+                            if len(known) >= REMEMBERED_UNITS:  # forget the older half
+                                for old in list(islice(known, REMEMBERED_UNITS // 2)):
+                                    del known[old]
                             known[u] = x
                     found[i] = x
         local = np.frombuffer(b"".join([x[0] for x in found]), np.int32)
