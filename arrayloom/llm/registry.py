@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, pii, quality_rules, substring_dedup, token_counts, toxicity
+from . import bpe, mixing, ngram_join, pii, quality_rules, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_ngram_join": ngram_join.op5_ngram_join,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op9_pii": pii.op9_pii,
