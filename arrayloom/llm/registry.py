@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, ngram_join, pii, quality_rules, substring_dedup, token_counts, toxicity
+from . import bpe, mixing, ngram_join, pii, quality_classifier, quality_rules, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_ngram_join": ngram_join.op5_ngram_join,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op8_quality_classifier": quality_classifier.op8_quality_classifier,
     "op9_pii": pii.op9_pii,
     "op10_bpe": bpe.op10_bpe,
 }
