@@ -21,6 +21,7 @@ from __future__ import annotations
 import base64
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,8 @@ from pyspark.serializers import BatchedSerializer, CPickleSerializer
 from ._shared import table
 
 CHUNK_CHARS, CHUNK_ROWS = 4 << 20, 4096
+#: Bytes of text a bucket of words.
+BUCKET_TEXT = 32 << 20
 _CORES: dict = {}
 
 
@@ -62,13 +65,9 @@ def _chunks(rows: Iterator, at: int) -> Iterator[list]:
         yield run
 
 
-def _asked(run: list, at: int, find, known: set[str] | dict) -> list[str]:
+def _asked(split: list[list[str]], known: set[str] | dict) -> list[str]:
     """The distinct words of a chunk that its partition has not met, in an order that both passes agree on."""
-    fresh: dict[str, None] = {}
-    for row in run:
-        if row[at]:
-            fresh.update(dict.fromkeys(find(row[at])))
-    return [w for w in fresh if w not in known]
+    return [w for w in dict.fromkeys(chain.from_iterable(split)) if w not in known]
 
 
 def _pack(parts: list[bytes]) -> bytes:
@@ -100,14 +99,16 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", b
     at = len(kept)
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`")).rdd
     parts = rows.getNumPartitions()
-    buckets = buckets or max(parts, context.defaultParallelism)
+    if buckets is None:  # a bucket holds its distinct words in memory, and they can't outgrow the texts
+        size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+        buckets = max(context.defaultParallelism, -(-size // BUCKET_TEXT))
 
     def ask(part: int, found: Iterator) -> Iterator:
         import regex
 
         find, known = regex.compile(pattern).findall, set()
         for i, run in enumerate(_chunks(found, at)):
-            words = _asked(run, at, find, known)
+            words = _asked([find(row[at] or "") for row in run], known)
             known.update(words)
             by: dict[int, list[bytes]] = {}
             for w in words:
@@ -140,14 +141,15 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", b
 
         find, ids = regex.compile(pattern).findall, {}
         for side, answers in found:
-            words = _asked(side, at, find, ids)
+            split = [find(row[at] or "") for row in side]
+            words = _asked(split, ids)
             by: dict[int, list[str]] = {}
             for w in words:
                 by.setdefault(zlib.crc32(w.encode()) % buckets, []).append(w)
             for b, asked in by.items():
                 ids.update(zip(asked, _unpack(answers[b]), strict=True))
-            for row in side:
-                whole = b"".join(map(ids.__getitem__, find(row[at]))) if row[at] else b""
+            for row, own in zip(side, split, strict=True):
+                whole = b"".join(map(ids.__getitem__, own))
                 yield (*row[:at], bytearray(whole), len(whole) // 4)
 
     answers = rows.mapPartitionsWithIndex(ask).partitionBy(buckets, int).mapPartitions(answer)
