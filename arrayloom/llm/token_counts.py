@@ -16,7 +16,6 @@ from __future__ import annotations
 import base64
 from array import array
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +25,8 @@ from pyspark.sql import types as T
 
 from ._shared import table
 
-#: Longest unit that is remembered, and how many a worker remembers: bounds of its memory, not of what is counted.
-REMEMBERED_CHARS, REMEMBERED_UNITS = 40, 400_000
+#: How many units a worker remembers from one text to the next: a bound of its memory, not of what is counted.
+REMEMBERED_UNITS = 500_000
 LIMIT = 1024
 SPECIAL = "<|endoftext|>"
 
@@ -54,7 +53,7 @@ class PrefixCounter:
         core = tiktoken.Encoding("prefix", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe
         self.merge = core.encode_single_piece
         self.follows: dict[tuple[bytes, bytes], bool] = {}
-        self.known: dict[str, tuple[bytes, int]] = {}
+        self.forget()
 
     def may_follow(self, a: bytes, b: bytes) -> bool:
         """Whether the encoding of a + b is a, b."""
@@ -127,25 +126,36 @@ class PrefixCounter:
         units = self.units.findall(text)
         if not units:
             return np.zeros(0, np.int32)
-        known = self.known
-        found = [known.get(u) for u in units]
-        if None in found:
-            for i, (u, x) in enumerate(zip(units, found, strict=True)):
-                if x is None:
-                    x = known.get(u)
-                    if x is None:
-                        counts, inside = self.of_unit(u, False)
-                        x = (array("i", counts).tobytes(), inside)
-                        if len(u) <= REMEMBERED_CHARS:
-                            if len(known) >= REMEMBERED_UNITS:  # forget the older half
-                                for old in list(islice(known, REMEMBERED_UNITS // 2)):
-                                    del known[old]
-                            known[u] = x
-                    found[i] = x
-        local = np.frombuffer(b"".join([x[0] for x in found]), np.int32)
-        inside = np.fromiter((x[1] for x in found), np.int64, len(found))
+        if len(self.known) > REMEMBERED_UNITS or len(self.local) > 16 * REMEMBERED_UNITS:
+            self.forget()
+        places = list(map(self.known.get, units))
+        if None in places:
+            for i, (unit, place) in enumerate(zip(units, places, strict=True)):
+                if place is None:
+                    place = self.known.get(unit)
+                    places[i] = self.learn(unit) if place is None else place
+        at = np.array(places, np.int64)
+        ends = np.frombuffer(self.ends, np.int64)
+        lengths = ends[at + 1] - ends[at]
+        inside = np.frombuffer(self.inside, np.int32)[at].astype(np.int64)
         before = np.cumsum(inside) - inside
-        return (local + np.repeat(before, np.fromiter(map(len, units), np.int64, len(units)))).astype(np.int32)
+        stops = np.cumsum(lengths)
+        local = np.frombuffer(self.local, np.int32)[np.repeat(ends[at] - (stops - lengths), lengths) + np.arange(stops[-1])]
+        return (local + np.repeat(before, lengths)).astype(np.int32)
+
+    def forget(self) -> None:
+        """Units met: their place, and by place their counts at each character and their count inside a text."""
+        self.known: dict[str, int] = {}
+        self.local, self.ends, self.inside = array("i"), array("q", [0]), array("i")
+
+    def learn(self, unit: str) -> int:
+        counts, inside = self.of_unit(unit, False)
+        place = len(self.inside)
+        self.local.extend(counts)
+        self.ends.append(len(self.local))
+        self.inside.append(inside)
+        self.known[unit] = place
+        return place
 
     def prefixes(self, text: str) -> np.ndarray:
         """Exact token counts of text[:0], text[:1], ..., text."""
