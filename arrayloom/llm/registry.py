@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, ngram_join, pii, quality_classifier, quality_rules, substring_dedup, token_counts, toxicity
+from . import bpe, mixing, ngram_join, pii, quality_classifier, quality_rules, substring_dedup, token_counts, topk_search, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_topk_search": topk_search.op2_topk_search,
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_ngram_join": ngram_join.op5_ngram_join,
