@@ -1,6 +1,422 @@
-"""Every query over the test tables, with the SQL that must agree with it."""
+"""Every query over the test tables, with the SQL that must agree with it.
+
+The SQL is written from the definition of an operator, not from its plan here.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import convert as cv
+from ..operators import chunkmath, objects, tables
+from ..operators.frame import ArrayFrame, from_arrays, from_column
+from ..sources import codecs
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+WIDTH = 64
+EMB = "SELECT vec_id AS i0, CAST(t.i - 1 AS BIGINT) AS i1, embedding[t.i] AS v FROM embeddings, range(1, 65) t(i)"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def emb(spark: SparkSession, sf_dir: str, chunks=(32, 16)) -> ArrayFrame:
+    df = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return from_arrays(df, "vec_id", "embedding", (_extent(df, "vec_id"), WIDTH), "f32", chunks)
+
+
+def events(spark: SparkSession, sf_dir: str, column="value", element="f64", chunk=1024, fill=None) -> ArrayFrame:
+    df = read(spark, sf_dir, "events")
+    return from_column(df, "event_id", column, _extent(df, "event_id"), element, chunk, fill)
+
+
+def _extent(df: DataFrame, key: str) -> int:
+    """The leading extent; Parquet answers it from its footers' statistics or one narrow column."""
+    return (df.agg(F.max(key)).first()[0] or -1) + 1
+
+
+# ---- reads and selections
+
+
+@query(f"SELECT i0, i1, CAST(v AS DOUBLE) AS value FROM ({EMB})")
+def read_f64(spark, sf_dir):
+    return emb(spark, sf_dir).as_("f64").df
+
+
+@query(f"SELECT i0, i1, v AS value FROM ({EMB})")
+def read_f32(spark, sf_dir):
+    return emb(spark, sf_dir).df
+
+
+@query(f"SELECT i0, i1, CAST(v AS DOUBLE) AS value FROM ({EMB}) WHERE i0 BETWEEN 100 AND 199 AND i1 BETWEEN 8 AND 15")
+def region_f64(spark, sf_dir):
+    return emb(spark, sf_dir).region((100, 8), (100, 8)).as_("f64").df
+
+
+@query(f"SELECT i0, i1, v AS value FROM ({EMB}) WHERE i0 >= (SELECT max(vec_id) FROM embeddings) - 9 AND i1 >= 60")
+def region_edge(spark, sf_dir):
+    a = emb(spark, sf_dir)
+    return a.region((a.shape[0] - 10, 60), (10, 4)).df
+
+
+@query("SELECT event_id AS i0, value FROM events WHERE event_id >= 500 AND event_id < 700")
+def rows_f64(spark, sf_dir):
+    return events(spark, sf_dir).rows(500, 200).df
+
+
+@query("SELECT event_id AS i0, value FROM events WHERE event_id >= (SELECT max(event_id) FROM events) - 1")
+def rows_clamped(spark, sf_dir):
+    a = events(spark, sf_dir)
+    return a.rows(a.shape[0] - 2, 5).df
+
+
+@query("SELECT event_id AS i0, value FROM events WHERE false")
+def rows_empty(spark, sf_dir):
+    return events(spark, sf_dir).rows(3, 0).df
+
+
+@query(f"SELECT i1 AS i0, i0 AS i1, v AS value FROM ({EMB})")
+def transpose(spark, sf_dir):
+    return emb(spark, sf_dir).transpose().df
+
+
+@query("SELECT vec_id AS i0, embedding AS \"values\" FROM embeddings")
+def read_array(spark, sf_dir):
+    return emb(spark, sf_dir).nested()
+
+
+# ---- numeric conversion
+
+SCALED = "((l_extendedprice - 50000) * 1000)"
+
+
+def _converted(target: str):
+    low, high = cv.limits(target)
+    kind = {"i8": "TINYINT", "i16": "SMALLINT", "i32": "INTEGER", "i64": "BIGINT", "u8": "SMALLINT", "u16": "INTEGER", "u32": "BIGINT", "u64": "DECIMAL(20,0)"}[target]
+    top = f"{high}::DOUBLE" if target not in ("i64", "u64") else "9e18"
+    sql = f"SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, CAST(least(greatest(trunc({SCALED}), {low}::DOUBLE), {top}) AS {kind}) AS value FROM lineitem"
+
+    def run(spark, sf_dir):
+        keys = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice"]
+        return read(spark, sf_dir, "lineitem").select(*keys, cv.convert(F.expr(SCALED), "f64", target).alias("value"))
+
+    run.__name__ = f"read_{target}"
+    query(sql)(run)
+
+
+for _target in ("i8", "i16", "i32", "i64", "u8", "u16", "u32", "u64"):
+    _converted(_target)
+
+
+@query("""SELECT event_id AS i0, CAST(least(greatest(user_id * 50 - 3000, -128), 127) AS TINYINT) AS narrowed,
+ CAST(greatest(user_id * 50 - 3000, 0) AS DECIMAL(20,0)) AS to_unsigned, CAST(user_id * 50 - 3000 AS DOUBLE) AS to_double FROM events""")
+def convert_integers(spark, sf_dir):
+    x = F.expr("user_id * 50 - 3000")
+    return read(spark, sf_dir, "events").select(F.col("event_id").alias("i0"), cv.convert(x, "i64", "i8").alias("narrowed"), cv.convert(x, "i64", "u64").alias("to_unsigned"), cv.convert(x, "i64", "f64").alias("to_double"))
+
+
+# ---- chunks and fill values
+
+
+@query(f"""SELECT [i0 - i0 % 32, i1 - i1 % 16] AS chunk, count(*) AS n_elements, CAST(512 AS BIGINT) AS n_stored,
+ (i0 - i0 % 32) + 32 > (SELECT max(vec_id) + 1 FROM embeddings) AS is_partial FROM ({EMB}) GROUP BY i0 - i0 % 32, i1 - i1 % 16""")
+def chunk_index(spark, sf_dir):
+    return emb(spark, sf_dir).chunk_index()
+
+
+@query(f"""SELECT [i0 - i0 % 96, i1 - i1 % 24] AS chunk, count(*) AS n_elements FROM ({EMB})
+ WHERE (i0 - i0 % 96) + 96 > (SELECT max(vec_id) + 1 FROM embeddings) OR (i1 - i1 % 24) + 24 > 64 GROUP BY i0 - i0 % 96, i1 - i1 % 24""")
+def chunk_partial_edges(spark, sf_dir):
+    return emb(spark, sf_dir, (96, 24)).chunk_index().filter("is_partial").select("chunk", "n_elements")
+
+
+def _holes(a: ArrayFrame) -> ArrayFrame:
+    """Every third chunk was never allocated."""
+    return a._with(a.df.filter((F.col("i0") / 1024).cast("long") % 3 != 1))
+
+
+@query("SELECT r.i AS i0, CASE WHEN (r.i // 1024) % 3 = 1 THEN -1.5 ELSE value END AS value FROM (SELECT unnest(range(0, (SELECT max(event_id) + 1 FROM events))) AS i) r LEFT JOIN events ON event_id = r.i")
+def fill_holes(spark, sf_dir):
+    return _holes(events(spark, sf_dir, fill=-1.5)).densify().df
+
+
+@query("SELECT event_id AS i0, CASE WHEN (event_id // 1024) % 3 = 1 THEN 0 ELSE value END AS value FROM events")
+def fill_never(spark, sf_dir):
+    return _holes(events(spark, sf_dir, fill=-1.5)).densify(never=True).df
+
+
+@query("SELECT (SELECT count(*) * 64 FROM embeddings) AS n_elements, CAST(0 AS BIGINT) AS n_missing, CAST(0 AS BIGINT) AS n_repeated")
+def dense_grid_check(spark, sf_dir):
+    return emb(spark, sf_dir).is_dense()
+
+
+# ---- compound, enumeration, strings
+
+
+@query("SELECT o_orderkey AS i0, o_custkey AS custkey, o_totalprice AS total, o_orderstatus AS status FROM orders")
+def compound_read(spark, sf_dir):
+    return from_column(read(spark, sf_dir, "orders"), "o_orderkey", F.struct(F.col("o_custkey").alias("custkey"), F.col("o_totalprice").alias("total"), F.col("o_orderstatus").alias("status")), 0, None).df.select("i0", "value.*")
+
+
+@query("SELECT o_orderkey AS i0, o_totalprice AS total FROM orders")
+def compound_project(spark, sf_dir):
+    return compound_read(spark, sf_dir).select("i0", "total")
+
+
+@query("SELECT event_id AS i0, value AS real, value * user_id AS imag FROM events")
+def complex_read(spark, sf_dir):
+    return from_column(read(spark, sf_dir, "events"), "event_id", F.struct(F.col("value").alias("real"), (F.col("value") * F.col("user_id")).alias("imag")), 0, None).df.select("i0", "value.*")
+
+
+FLAGS = {"A": 0, "N": 1, "R": 2}
+
+
+@query("SELECT l_returnflag AS label, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS code, count(*) AS n FROM lineitem GROUP BY 1")
+def enum_codes(spark, sf_dir):
+    return read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("label"), cv.enum_codes(F.col("l_returnflag"), FLAGS).alias("code")).groupBy("label", "code").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id AS i0, CASE user_id % 5 WHEN 0 THEN 'A' WHEN 1 THEN 'N' WHEN 2 THEN 'R' END AS label FROM events")
+def enum_decode(spark, sf_dir):
+    return read(spark, sf_dir, "events").select(F.col("event_id").alias("i0"), cv.enum_labels(F.col("user_id") % 5, FLAGS).alias("label"))
+
+
+@query("SELECT o_orderkey AS i0, o_orderpriority AS value FROM orders")
+def fixed_string_nullpad(spark, sf_dir):
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("i0"), cv.fixed_string(F.rpad("o_orderpriority", 20, "\0"), "nullpad").alias("value"))
+
+
+@query("SELECT o_orderkey AS i0, o_orderpriority AS value FROM orders")
+def fixed_string_spacepad(spark, sf_dir):
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("i0"), cv.fixed_string(F.rpad("o_orderpriority", 20, " "), "spacepad").alias("value"))
+
+
+@query("SELECT o_orderkey AS i0, o_orderstatus AS value FROM orders")
+def fixed_string_nullterm(spark, sf_dir):
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("i0"), cv.fixed_string(F.concat("o_orderstatus", F.lit("\0"), "o_orderpriority"), "nullterm").alias("value"))
+
+
+@query("SELECT CAST(sum(strlen(text)) AS BIGINT) AS payload_bytes, CAST(max(strlen(text)) AS BIGINT) AS longest FROM documents")
+def vlen_payload_size(spark, sf_dir):
+    n = F.octet_length("text").cast("long")
+    return read(spark, sf_dir, "documents").agg(F.sum(n).alias("payload_bytes"), F.max(n).alias("longest"))
+
+
+@query("SELECT doc_id AS i0, text AS value FROM documents WHERE doc_id >= 10 AND doc_id < 40")
+def string_rows(spark, sf_dir):
+    df = read(spark, sf_dir, "documents")
+    return from_column(df, "doc_id", "text", _extent(df, "doc_id"), None).rows(10, 30).df
+
+
+@query("SELECT doc_id AS i0, text AS value FROM documents WHERE doc_id >= 7 AND doc_id < 19")
+def string_region(spark, sf_dir):
+    df = read(spark, sf_dir, "documents")
+    return from_column(df, "doc_id", "text", _extent(df, "doc_id"), None).region((7,), (12,)).df
+
+
+# ---- catalog: groups, links, attributes, references, named types
+
+
+def catalog(spark, sf_dir) -> DataFrame:
+    nations, regions = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
+    groups = regions.select(F.concat(F.lit("/"), "r_name").alias("path"), F.lit("/").alias("parent"), F.col("r_name").alias("name"), F.lit("group").alias("kind"), (F.col("r_regionkey") * 1000).cast("long").alias("address"), F.lit(None).cast("string").alias("target"))
+    placed = nations.join(F.broadcast(regions), nations.n_regionkey == regions.r_regionkey)  # a region table has a handful of rows
+    data = placed.select(F.concat(F.lit("/"), "r_name", F.lit("/"), "n_name"), F.concat(F.lit("/"), "r_name"), F.col("n_name"), F.lit("dataset"), (F.col("n_nationkey") + 1).cast("long"), F.lit(None).cast("string"))
+    soft = placed.select(F.concat(F.lit("/link_"), "n_nationkey"), F.lit("/"), F.concat(F.lit("link_"), "n_nationkey"), F.lit("soft"), F.lit(None).cast("long"), F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("/"), "r_name", F.lit("/"), "n_name")).otherwise(F.concat(F.lit("/link_"), F.col("n_nationkey") - 1)))
+    return groups.union(data).union(soft)
+
+
+@query("SELECT r_name AS name, 'group' AS kind FROM region")
+def list_groups(spark, sf_dir):
+    return objects.children(catalog(spark, sf_dir), "/", "group")
+
+
+@query("SELECT n_name AS name, 'dataset' AS kind FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey = 1")
+def list_datasets(spark, sf_dir):
+    name = read(spark, sf_dir, "region").filter("r_regionkey = 1").first()["r_name"]
+    return objects.children(catalog(spark, sf_dir), f"/{name}", "dataset")
+
+
+@query("""SELECT '/link_' || n.n_nationkey AS path, '/' || r.r_name || '/' || m.n_name AS final
+ FROM nation n JOIN nation m ON m.n_nationkey = n.n_nationkey - n.n_nationkey % 2 JOIN region r ON m.n_regionkey = r.r_regionkey""")
+def soft_link_resolve(spark, sf_dir):
+    return objects.resolve_links(catalog(spark, sf_dir))
+
+
+@query("SELECT n_nationkey AS i0, '/' || r_name AS path FROM nation JOIN region ON n_regionkey = r_regionkey")
+def dereference(spark, sf_dir):
+    refs = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("i0"), (F.col("n_regionkey") * 1000).cast("long").alias("target_addr"))
+    groups = catalog(spark, sf_dir).filter("kind = 'group'")
+    return objects.dereference(refs, groups).select("i0", "path")
+
+
+@query("SELECT r_name AS name, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) AS n_uses FROM region")
+def named_type_refcount(spark, sf_dir):
+    nations, regions = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
+    uses = nations.join(F.broadcast(regions), nations.n_regionkey == regions.r_regionkey).select(F.col("r_name").alias("type"))
+    return objects.type_uses(uses, regions.select(F.col("r_name").alias("name")))
+
+
+@query("SELECT '/' || r_name AS owner, 'key' AS name, 'i32' AS type_name, true AS is_scalar, r_regionkey AS value FROM region")
+def attrs_scan(spark, sf_dir):
+    return read(spark, sf_dir, "region").select(F.concat(F.lit("/"), "r_name").alias("owner"), F.lit("key").alias("name"), F.lit("i32").alias("type_name"), F.lit(True).alias("is_scalar"), F.col("r_regionkey").alias("value"))
+
+
+@query("SELECT 'key' AS name, CAST(sum(r_regionkey) AS DOUBLE) AS total, CAST(max(r_regionkey) AS SMALLINT) AS most FROM region")
+def attr_numeric(spark, sf_dir):
+    a = attrs_scan(spark, sf_dir).groupBy("name").agg(F.sum("value").alias("s"), F.max("value").alias("m"))
+    return a.select("name", cv.convert(F.col("s"), "i64", "f64").alias("total"), cv.convert(F.col("m"), "i32", "u8").alias("most"))
+
+
+# ---- changes
+
+N_EVENTS = "(SELECT max(event_id) + 1 FROM events)"
+
+
+@query(f"SELECT event_id AS i0, value FROM events UNION ALL SELECT event_id + {N_EVENTS}, value FROM events WHERE event_id < 100")
+def append(spark, sf_dir):
+    a = events(spark, sf_dir)
+    return a.append(a.rows(0, 100)).df
+
+
+@query(f"SELECT event_id AS i0, value FROM events UNION ALL SELECT event_id + {N_EVENTS}, value FROM events WHERE event_id < 10 UNION ALL SELECT event_id + {N_EVENTS} + 10, value FROM events WHERE event_id < 20")
+def append_staged(spark, sf_dir):
+    a = events(spark, sf_dir)
+    return a.append(a.rows(0, 10), a.rows(0, 20)).df
+
+
+@query("SELECT event_id AS i0, value * 2 AS value FROM events")
+def overwrite(spark, sf_dir):
+    a = events(spark, sf_dir)
+    return a.overwrite(a._with(a.df.withColumn("value", F.col("value") * 2))).df
+
+
+@query("SELECT event_id AS i0, CASE WHEN event_id % 100 = 7 THEN -value ELSE value END AS value FROM events")
+def patch_values(spark, sf_dir):
+    a = events(spark, sf_dir)
+    return a.patch(a.df.filter("i0 % 100 = 7").withColumn("value", -F.col("value"))).df
+
+
+CATALOG_SQL = """SELECT '/' || r_name AS path, 'group' AS kind FROM region UNION ALL
+ SELECT '/' || r_name || '/' || n_name, 'dataset' FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT '/link_' || n_nationkey, 'soft' FROM nation"""
+
+
+@query(f"SELECT * FROM ({CATALOG_SQL}) WHERE path <> '/' || (SELECT r_name FROM region WHERE r_regionkey = 2) AND NOT starts_with(path, '/' || (SELECT r_name FROM region WHERE r_regionkey = 2) || '/')")
+def delete_subtree(spark, sf_dir):
+    name = read(spark, sf_dir, "region").filter("r_regionkey = 2").first()["r_name"]
+    return objects.without(catalog(spark, sf_dir), f"/{name}").select("path", "kind")
+
+
+@query(f"SELECT * FROM ({CATALOG_SQL}) WHERE kind <> 'soft' AND path NOT IN (SELECT '/' || r_name || '/' || n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 5 = 0)")
+def repack_drop(spark, sf_dir):
+    whole = catalog(spark, sf_dir).filter("kind <> 'soft'")
+    drop = read(spark, sf_dir, "nation").filter("n_nationkey % 5 = 0").select((F.col("n_nationkey") + 1).cast("long").alias("address"))
+    return whole.join(drop, (whole.kind == "dataset") & (whole.address == drop.address), "left_anti").select("path", "kind")
+
+
+@query("SELECT '/copy/' || n_name AS path, 'dataset' AS kind FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey = 3 UNION ALL SELECT '/copy', 'group'")
+def copy_within(spark, sf_dir):
+    name = read(spark, sf_dir, "region").filter("r_regionkey = 3").first()["r_name"]
+    return objects.subtree(catalog(spark, sf_dir), f"/{name}").select(F.concat(F.lit("/copy"), F.substring("path", len(name) + 2, 10_000)).alias("path"), "kind")
+
+
+# ---- provenance and codecs
+
+
+@query("SELECT sha256(string_agg(CAST(n_regionkey AS VARCHAR), ',' ORDER BY n_nationkey)) AS sha256 FROM nation")
+def provenance_sha256(spark, sf_dir):
+    df = read(spark, sf_dir, "nation")
+    return from_column(df, "n_nationkey", "n_regionkey", 0, "i32").digest(F.col("value").cast("string"))
+
+
+@query("""WITH c AS (SELECT event_id, value, min(value) OVER (PARTITION BY event_id // 1024) AS m FROM events),
+ o AS (SELECT event_id, m, value * 10.0 - m * 10.0 AS x FROM c)
+ SELECT event_id AS i0, CASE WHEN abs(x) - floor(abs(x)) >= 0.5 THEN floor(abs(x)) + 1 ELSE floor(abs(x)) END * sign(x) / 10.0 + m AS value FROM o""")
+def scaleoffset_dscale(spark, sf_dir):
+    return chunkmath.decimal_scale(events(spark, sf_dir), 1).df
+
+
+@query("""SELECT [event_id - event_id % 1024] AS chunk, min(user_id) AS min_value,
+ CAST(ceil(log2(max(user_id) - min(user_id) + 1)) AS BIGINT) AS minbits FROM events GROUP BY event_id - event_id % 1024""")
+def scaleoffset_minbits(spark, sf_dir):
+    return chunkmath.min_bits(events(spark, sf_dir, "user_id", "i64"))
+
+
+def _roundtrip(name: str, filters: list, column: str = "value", element: str = "f64"):
+    def run(spark, sf_dir):
+        return codecs.roundtrip(events(spark, sf_dir, column, element), filters).df
+
+    run.__name__ = name
+    query(f"SELECT event_id AS i0, {column} AS value FROM events")(run)
+
+
+_roundtrip("deflate_roundtrip", [("deflate", 6)])
+_roundtrip("shuffle_bytes", [("shuffle", None), ("deflate", 1)])
+_roundtrip("fletcher32", [("fletcher32", None)])
+_roundtrip("lzf_roundtrip", [("shuffle", None), ("lzf", None)])
+_roundtrip("scaleoffset_roundtrip", [("scaleoffset", ("integer", 0))], "user_id", "i64")
+
+# ---- table-like values
+
+
+@query("SELECT event_id AS i0, CASE user_id % 4 WHEN 1 THEN 'low' WHEN 2 THEN 'mid' WHEN 3 THEN 'high' END AS label FROM events")
+def categorical_labels(spark, sf_dir):
+    return read(spark, sf_dir, "events").select(F.col("event_id").alias("i0"), tables.categorical_labels(F.col("user_id") % 4, ["low", "mid", "high"]).alias("label"))
+
+
+@query("SELECT event_id AS row_number, user_id, value, event_type FROM events")
+def mat_table(spark, sf_dir):
+    return read(spark, sf_dir, "events").select(F.col("event_id").alias("row_number"), "user_id", "value", "event_type")
+
+
+@query("SELECT event_id AS i0, value, 1000.0::DOUBLE + event_id * 250.0::DOUBLE AS row_time_ms FROM events")
+def mat_timetable_regular(spark, sf_dir):
+    return tables.regular_times(events(spark, sf_dir).df, "i0", 1000, 250)
+
+
+@query("SELECT event_id AS i0, (CAST(epoch_us(ts) // 1000 AS DOUBLE) + 0.25) * 1000000.0 AS nanoseconds FROM events")
+def mat_datetime_ns(spark, sf_dir):
+    millis = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts) DIV 1000").cast("double")
+    return read(spark, sf_dir, "events").select(F.col("event_id").alias("i0"), tables.datetime_nanoseconds(millis, F.lit(0.25)).alias("nanoseconds"))
+
+
+@query("SELECT event_id AS i0, value / 1000 AS seconds FROM events")
+def mat_duration_seconds(spark, sf_dir):
+    return read(spark, sf_dir, "events").select(F.col("event_id").alias("i0"), tables.duration_seconds(F.col("value")).alias("seconds"))
+
+
+@query("SELECT r_name AS key, r_regionkey AS value FROM region")
+def mat_map(spark, sf_dir):
+    return tables.to_map(read(spark, sf_dir, "region"), "r_name", "r_regionkey").select(F.explode("map").alias("key", "value"))
+
+
+# ---- following a growing dataset
+
+
+@query("SELECT event_id AS i0, value FROM events WHERE event_id < 3 * 1024")
+def swmr_prefix(spark, sf_dir):
+    return events(spark, sf_dir).follow(3 * 1024).df
+
+
+@query("SELECT chunk, sum(n) OVER (ORDER BY chunk) AS extent FROM (SELECT event_id // 1024 AS chunk, count(*) AS n FROM events GROUP BY 1)")
+def swmr_extents(spark, sf_dir):
+    """The leading extent after each commit of one chunk: sizes are per chunk, so the running sum is over few rows."""
+    from pyspark.sql.window import Window
+
+    sizes = events(spark, sf_dir).chunk_index().select((F.col("chunk")[0] / 1024).cast("long").alias("chunk"), "n_elements")
+    return sizes.select("chunk", F.sum("n_elements").over(Window.orderBy("chunk")).alias("extent"))
