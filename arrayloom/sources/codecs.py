@@ -270,7 +270,7 @@ def from_chunks(chunks_df, frame: ArrayFrame, filters: list) -> ArrayFrame:
     """Elements of encoded chunks, cut at the dataset's edge."""
     dtype, chunks, shape = np.dtype(NUMPY[frame.element]), frame._grid_chunks(), frame.shape
     size = int(np.prod(chunks)) * dtype.itemsize
-    kind = frame.df.schema["value"].dataType.simpleString()
+    kind, coords = frame.df.schema["value"].dataType.simpleString(), frame.coords
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -278,9 +278,9 @@ def from_chunks(chunks_df, frame: ArrayFrame, filters: list) -> ArrayFrame:
                 block = np.frombuffer(decode(payload, filters, dtype, size, mask), dtype).reshape(chunks)
                 block = block[tuple(slice(0, min(c, n - s)) for c, n, s in zip(chunks, shape, start, strict=True))]
                 at = np.indices(block.shape).reshape(len(chunks), -1) + np.array(start)[:, None]
-                yield pa.RecordBatch.from_arrays([*[pa.array(x) for x in at], pa.array(block.ravel())], names=[*frame.coords, "value"])
+                yield pa.RecordBatch.from_arrays([*[pa.array(x) for x in at], pa.array(block.ravel())], names=[*coords, "value"])
 
-    schema = ", ".join([*[f"{c} long" for c in frame.coords], f"value {kind}"])
+    schema = ", ".join([*[f"{c} long" for c in coords], f"value {kind}"])
     return frame._with(chunks_df.select("chunk", "payload", "mask").mapInArrow(unpack, schema))
 
 
