@@ -39,7 +39,7 @@ def agree(rows, want):
             assert abs(score + x) < 1e-9 * max(1, abs(x)) and (doc == i or abs(score - dict(((d, y) for d, y in mine)).get(i, score)) < 1e-9 * abs(x)), (q, mine, best)
 
 
-@pytest.mark.parametrize("shard", [16_384, 37])
+@pytest.mark.parametrize("shard", [8192, 37])
 def test_against_every_document(spark, documents, monkeypatch, shard):
     monkeypatch.setattr(s, "SHARD_DOCS", shard)
     monkeypatch.setattr(s, "BLOCK_DOCS", 4)
