@@ -7,8 +7,8 @@
    share a path share a bucket. Buckets over BUCKET sets are split further, step by step; at the last
    step what still doesn't fit is compared block by block, so nothing is cut off. The number of runs
    follows from the recall wanted for pairs just at the threshold.
-3. Pairs of a bucket whose tokens agree well enough become candidate links, a spanning forest of them
-   for each bucket; the candidates' components are then compared by brute force on the whole sets, in
+3. Pairs of a bucket whose tokens agree well enough become candidate links, a star
+   for each group of a bucket; the candidates' components are then compared by brute force on the whole sets, in
    blocks, which gives the exact links, also such as no path has found.
 
 Defined results: words are separated by blanks and compared as written; a text of one to four words is
@@ -32,7 +32,7 @@ from .components import components
 WORDS, THRESHOLD = 5, 0.8
 COORDINATES, BRANCH, RECALL = 64, 1.25, 0.9995
 FIRST_DEPTH, STEP_DEPTH, LAST_DEPTH = 2, 2, 6
-BUCKET, BLOCK = 256, 256
+BUCKET, BLOCK = 256, 128
 #: Agreement of tokens from which a pair is a candidate: five standard deviations below the threshold.
 AGREEMENT = 0.55
 #: Ids are broadcast up to so many (16 bytes each), else joined by shuffle.
@@ -156,8 +156,8 @@ def next_paths(rows: DataFrame) -> DataFrame:
     return rows.select("path", "rep", "tokens").mapInArrow(walk, "path long, rep long")
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """The edges of a spanning forest."""
+def stars(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Edges from the least of each connected group to its others."""
     root = list(range(n))
 
     def find(x: int) -> int:
@@ -166,13 +166,11 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
             x = root[x]
         return x
 
-    out = []
     for x, y in zip(a.tolist(), b.tolist(), strict=True):
         p, q = find(x), find(y)
         if p != q:
             root[max(p, q)] = min(p, q)
-            out.append((x, y))
-    return out
+    return [(find(x), x) for x in range(n) if find(x) != x]
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -207,6 +205,7 @@ def candidate_links(rows: DataFrame) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[int, int]] = []
         for group in _groups(batches, ["path", "p", "q"]):
+            group = group.sort_by("rep")
             ids, tokens = group.column("rep").to_numpy(), _tokens(group.column("tokens"))
             n = len(ids)
             if n == 2:
@@ -218,7 +217,7 @@ def candidate_links(rows: DataFrame) -> DataFrame:
                     near = np.flatnonzero((tokens[i + 1 :] == tokens[i]).sum(1) >= AGREEMENT * COORDINATES) + i + 1
                     pairs_a.append(np.full(len(near), i))
                     pairs_b.append(near)
-                found += [(int(ids[x]), int(ids[y])) for x, y in forest(n, np.concatenate(pairs_a), np.concatenate(pairs_b)) if ids[x] != ids[y]]
+                found += [(int(ids[x]), int(ids[y])) for x, y in stars(n, np.concatenate(pairs_a), np.concatenate(pairs_b)) if ids[x] != ids[y]]
             if len(found) > 20_000:
                 yield _pairs(found)
                 found = []
@@ -259,6 +258,7 @@ def exact_links(rows: DataFrame, threshold: float) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, ["component", "p", "q"]):
+            group = group.sort_by("rep")
             ids, side, copies = (group.column(c).to_numpy() for c in ("rep", "side", "copies"))
             sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
             n = len(ids)
@@ -273,7 +273,7 @@ def exact_links(rows: DataFrame, threshold: float) -> DataFrame:
                 linked &= side[:, None] != side[None, :]
             links = linked @ copies.astype(np.int64)
             x, y = np.nonzero(np.triu(linked))
-            tree = forest(n, x, y)
+            tree = stars(n, x, y)
             a = [*ids[links > 0].tolist(), *[int(ids[i]) for i, _ in tree]]
             b = [*[None] * int((links > 0).sum()), *[int(ids[j]) for _, j in tree]]
             c = [*links[links > 0].tolist(), *[0] * len(tree)]
