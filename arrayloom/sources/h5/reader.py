@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import io
 import os
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from math import prod
@@ -14,6 +15,7 @@ from math import prod
 import numpy as np
 
 from ...errors import ChecksumError, FormatError, LinkError, NotFoundError, SelectionError, TypeMismatchError, UnsupportedError
+from ...options import CacheStats, ChunkCache
 from ..codecs import NAMES, decode
 from .checksum import lookup3
 from .types import SIGNATURE, UNDEFINED, Compound, Enum, Fixed, Float, Opaque, String, VarString, Vlen, parse
@@ -96,7 +98,10 @@ class Object:
 class File:
     """An open file. source is a path, bytes, or a seekable binary stream."""
 
-    def __init__(self, source):
+    def __init__(self, source, chunk_cache: ChunkCache | None = None):
+        self.cache_config = chunk_cache or ChunkCache()
+        self.cache: OrderedDict[int, np.ndarray] = OrderedDict()
+        self.cache_stats = CacheStats()
         self.stream = io.BytesIO(source) if isinstance(source, bytes | bytearray) else open(source, "rb") if isinstance(source, str | os.PathLike) else source  # noqa: SIM115
         self.stream.seek(0, 2)
         self.length = self.stream.tell()
@@ -507,7 +512,28 @@ class File:
                 yield Chunk(start, place, size, int.from_bytes(raw[-4:], "little") if client else 0)
 
     def decoded(self, found: Object, chunk: Chunk) -> np.ndarray:
-        """A chunk's stored elements, in the chunk's shape."""
+        """A chunk's stored elements, in the chunk's shape; recently used ones are kept."""
+        kept = self.cache.get(chunk.address)
+        if kept is not None:
+            self.cache_stats.hits += 1
+            self.cache.move_to_end(chunk.address)
+            return kept
+        self.cache_stats.misses += 1
+        block = self._decoded(found, chunk)
+        stats, config = self.cache_stats, self.cache_config
+        if block.nbytes > config.max_bytes or not config.max_slots:
+            stats.oversize += 1
+            return block
+        self.cache[chunk.address] = block
+        stats.cached_bytes += block.nbytes
+        while len(self.cache) > config.max_slots or stats.cached_bytes > config.max_bytes:
+            _, old = self.cache.popitem(last=False)
+            stats.cached_bytes -= old.nbytes
+            stats.evictions += 1
+        stats.cached = len(self.cache)
+        return block
+
+    def _decoded(self, found: Object, chunk: Chunk) -> np.ndarray:
         _, how = self.layout(found)
         dtype = found.kind.dtype()
         size = prod(how["chunks"]) * found.kind.size
