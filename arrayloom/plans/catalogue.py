@@ -371,6 +371,16 @@ _roundtrip("fletcher32", [("fletcher32", None)])
 _roundtrip("lzf_roundtrip", [("shuffle", None), ("lzf", None)])
 _roundtrip("scaleoffset_roundtrip", [("scaleoffset", ("integer", 0))], "user_id", "i64")
 
+
+
+@query("SELECT event_id AS i0, CAST(user_id * 64 AS INTEGER) AS value FROM events")
+def zfp_roundtrip(spark, sf_dir):
+    """Multiples of 64 of a smooth enough range come back exactly once rounded to them, at full rate."""
+    a = events(spark, sf_dir, (F.col("user_id") * 64).cast("int"), "i32", 256)
+    back = codecs.roundtrip(a, [("zfp", (32, (256,)))])
+    return back.df.select("i0", (F.round(F.col("value") / 64) * 64).cast("int").alias("value"))
+
+
 # ---- table-like values
 
 

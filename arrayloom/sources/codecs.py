@@ -1,6 +1,6 @@
-"""Chunk filters: deflate, shuffle, fletcher32, LZF and scale-offset, on bytes with numpy.
+"""Chunk filters: deflate, shuffle, fletcher32, LZF, scale-offset and fixed-rate blocks, on bytes with numpy.
 
-A pipeline is a list of (name, parameter). Encoding applies it forwards, decoding backwards; bit i of a
+A pipeline is a list of (name, parameter); zfp's parameter is (bits a value, chunk shape). Encoding applies it forwards, decoding backwards; bit i of a
 chunk's mask says that filter i was left out, as when it could not make the chunk smaller.
 """
 
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ChecksumError, FormatError, UnsupportedError
 from ..operators.frame import ArrayFrame
+from . import zfp
 
 #: Registered filter numbers (fixed values).
 IDS = {"deflate": 1, "shuffle": 2, "fletcher32": 3, "szip": 4, "nbit": 5, "scaleoffset": 6, "lzf": 32000, "zfp": 32013}
@@ -207,6 +208,8 @@ def encode(data: bytes, filters: list, dtype: np.dtype, fill=None) -> tuple[byte
                 mask |= 1 << i
         elif name == "scaleoffset":
             data = scaleoffset_compress(data, dtype, *parameter, fill)
+        elif name == "zfp":
+            data = zfp.compress(np.frombuffer(data, dtype).reshape(parameter[1]), parameter[0])
         else:
             raise UnsupportedError(f"no encoder for {name}")
     return data, mask
@@ -236,6 +239,8 @@ def decode(data: bytes, filters: list, dtype: np.dtype, size: int, mask: int = 0
             data = lzf_decompress(data, size + size // 8 + 4096)
         elif name == "scaleoffset":
             data = scaleoffset_decompress(data, dtype, *parameter, size // dtype.itemsize, fill)
+        elif name == "zfp":
+            data = zfp.decompress(data, tuple(parameter[1]), dtype, parameter[0]).tobytes()
         else:
             raise UnsupportedError(f"no decoder for {name}")
     if len(data) != size:
