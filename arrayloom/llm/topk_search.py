@@ -8,8 +8,10 @@ blocks whose size is bounded, so every row meets every query, block by block.
 In a shard, a query's words are split by how many documents have them. Postings of the rarer words are
 added up for all documents at once. For the common words only the highest weight in each block of
 BLOCK_DOCS documents is added, which bounds what they can still bring. As in block-max WAND, a document
-is scored in full only if its sum and its block's bound exceed the k-th best score found so far, which
-starts from the documents with the largest sums.
+is scored in full only if its sum and its block's bound reach the k-th best score of the documents with
+the largest sums. Long queries of common words leave most blocks standing; then the common words are
+added up for all documents by a dense product, and those within its rounding of the k-th are scored in
+full. Either way every result has its exact score.
 
 Defined results: words are separated by blanks, in lower case; each distinct word of a query counts
 once; a query without words finds nothing; a document without any of them is never found; ties go to
@@ -30,11 +32,15 @@ from pyspark.sql.window import Window
 from ._shared import materialise, table
 
 K1, B, K = 1.2, 0.75, 10
-SHARD_DOCS, BLOCK_DOCS = 16_384, 32
+SHARD_DOCS, BLOCK_DOCS = 8192, 32
+#: Queries taken together, and up to how many documents left after pruning are scored one by one.
+BATCH, FEW = 64, 128
+#: One document in so many is searched first, for a floor under the scores of the rest.
+PARTS = 8
 #: Words of the queries that are sent to the shards at once.
 BLOCK_WORDS = 4_000_000
 #: A word is common in a shard from this share of its documents on.
-COMMON = 1 / 24
+COMMON = 1 / 12
 _WORDS: dict = {}
 
 
@@ -70,6 +76,7 @@ class Shard:
             s, e = self.first[word], self.first[word + 1]
             np.maximum.at(self.highest[r], self.posted[s:e] // BLOCK_DOCS, self.posted_weights[s:e])
         self.scale = np.zeros(n_words)
+        self.table: np.ndarray | None = None
 
     def ranges(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The positions of many ranges, and which range each is of."""
@@ -82,32 +89,58 @@ class Shard:
         at, of = self.ranges(self.starts[docs], self.starts[docs + 1])
         return np.bincount(of, self.scale[self.places[at]] * self.weights[at], len(docs))
 
-    def best(self, query: np.ndarray, idf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The documents that may be among the k best, all of those that are, and their scores."""
-        row = self.row[query]
-        rare, often = query[row < 0], row[row >= 0]
+    def dense(self) -> np.ndarray:
+        """The weights of the common words in every document."""
+        if self.table is None:
+            self.table = np.zeros((len(self.common), self.n), np.float32)
+            for r, word in enumerate(self.common):
+                s, e = self.first[word], self.first[word + 1]
+                self.table[r, self.posted[s:e]] = self.posted_weights[s:e]
+        return self.table
+
+    def exact(self, query: np.ndarray, idf: np.ndarray, docs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of docs, those that may be among the k best for a query, all of those that are, and their scores."""
         self.scale[query] = idf[query]
-        try:
-            at, of = self.ranges(self.first[rare], self.first[rare + 1])
-            total = np.bincount(self.posted[at], self.posted_weights[at] * idf[rare][of], self.n)
-            bound = np.repeat(idf[self.common[often]].astype(np.float32) @ self.highest[often], BLOCK_DOCS)[: self.n]
-            reach = (total + bound) * (1 + 1e-5) + 1e-6
-            seeds = np.argpartition(total, -4 * k)[-4 * k :] if self.n > 4 * k else np.arange(self.n)
-            scores = self.full(seeds)
-            least = np.sort(scores)[-k] if len(scores) >= k else 0.0
-            docs = np.flatnonzero((reach >= least) & (reach > 2e-6))
-            if len(docs) > 64 * k:  # a second round with a better k-th score
-                more = docs[np.argpartition(reach[docs], -16 * k)[-16 * k :]]
-                least = max(least, np.sort(self.full(more))[-k])
-                docs = docs[reach[docs] >= least]
-            scores = self.full(docs)
-        finally:
-            self.scale[query] = 0
+        scores = self.full(docs)
+        self.scale[query] = 0
         found = scores > 0
         if found.sum() > k:
             found &= scores >= np.sort(scores[found])[-k]
         return docs[found], scores[found]
 
+    def best(self, queries: list[np.ndarray], idf: np.ndarray, k: int, floors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """exact() over all documents for each of a batch of queries; documents below a query's floor may be left out."""
+        out: list = [None] * len(queries)
+        rows = [self.row[q] for q in queries]
+        common = np.zeros((len(queries), len(self.common)), np.float32)
+        for i, row in enumerate(rows):
+            common[i, row[row >= 0]] = idf[self.common[row[row >= 0]]]
+        bounds = common @ self.highest
+        left: list[tuple[int, np.ndarray, float]] = []
+        for i, (query, row) in enumerate(zip(queries, rows, strict=True)):
+            rare = query[row < 0]
+            at, of = self.ranges(self.first[rare], self.first[rare + 1])
+            total = np.bincount(self.posted[at], self.posted_weights[at] * idf[rare][of], self.n)
+            least = floors[i]
+            if least <= 0:
+                seeds = np.argpartition(total, -2 * k)[-2 * k :] if self.n > 2 * k else np.arange(self.n)
+                scores = self.exact(query, idf, seeds, k)[1]
+                least = scores.min() if len(scores) >= k else 0.0
+            reach = (total + np.repeat(bounds[i], BLOCK_DOCS)[: self.n]) * (1 + 1e-4) + 1e-6
+            docs = np.flatnonzero(reach >= max(least, 2e-6))
+            if len(docs) <= FEW:
+                out[i] = self.exact(query, idf, docs, k)
+            else:
+                left.append((i, total, least))
+        if left:  # where most blocks may still hold a best document, the common words are added up for all
+            sums = common[[i for i, _, _ in left]] @ self.dense()
+            for (i, total, least), more in zip(left, sums, strict=True):
+                total = total + more
+                if self.n > k:
+                    least = max(least, np.partition(total, -k)[-k] * (1 - 1e-4))
+                out[i] = self.exact(queries[i], idf, np.flatnonzero((total * (1 + 1e-4) + 1e-6 >= least) & (total > 0)), k)
+        return out
+
 
 def statistics(docs: DataFrame, vocabulary) -> tuple[int, float, DataFrame]:
     """Documents, their mean length, and place, df: how many documents have each query word."""
@@ -144,20 +177,44 @@ def search_block(docs: DataFrame, asked: list, k: int) -> DataFrame:
         df[r["place"]] = r["df"]
     idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
     sent = context.broadcast((ids, queries, idf, mean))
+    # The k-th best score among a part of the documents bounds the k-th best among all from below: the other
+    # shards need not send what lies under it, so what is sent for a query doesn't grow with their number.
+    apart = F.pmod(F.xxhash64("doc_id", "text"), F.lit(PARTS)) == 0
+    none = context.broadcast(np.zeros(len(ids)))
+    part = docs.filter(apart)
+    part = part.coalesce(max(1, part.rdd.getNumPartitions() // PARTS))  # as full shards as the rest, without moving them
+    first = materialise(_ranked(_search(part, vocabulary, sent, none, k), k), "first-best")
+    floors = np.zeros(len(ids))
+    place_of = {q: i for i, q in enumerate(ids)}
+    for r in first.filter(F.col("rank") == k).select("query", "score").collect():  # a number for each query of a block
+        floors[place_of[r["query"]]] = r["score"]
+    rest = _search(docs.filter(~apart), vocabulary, sent, context.broadcast(floors), k)
+    return first.drop("rank").unionByName(rest)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    best = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+
+def _search(docs: DataFrame, vocabulary, sent, floors, k: int) -> DataFrame:
+    """query, doc_id, score: what each shard may add to the best."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = _vocabulary(vocabulary)
         q_ids, q_places, weight, average = sent.value
+        low = floors.value * (1 - 1e-12)
         doc_ids, starts, found, weights = [], [0], [], []
 
         def answer() -> pa.RecordBatch:
             shard = Shard(np.array(starts), np.concatenate(found), np.concatenate(weights), len(places))
             out_q, out_d, out_s = [], [], []
-            for q, words in zip(q_ids, q_places, strict=True):
-                docs_found, scores = shard.best(words, weight, k)
-                out_q += [q] * len(docs_found)
-                out_d += [doc_ids[i] for i in docs_found.tolist()]
-                out_s.append(scores)
+            for at in range(0, len(q_ids), BATCH):
+                for q, floor, (docs_found, scores) in zip(q_ids[at:], low[at:], shard.best(q_places[at : at + BATCH], weight, k, low[at : at + BATCH]), strict=False):
+                    keep = scores >= floor
+                    out_q += [q] * int(keep.sum())
+                    out_d += [doc_ids[i] for i in docs_found[keep].tolist()]
+                    out_s.append(scores[keep])
             return pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_d, pa.int64()), pa.array(np.concatenate(out_s))], names=["query", "doc_id", "score"])
 
         for batch in batches:
@@ -193,8 +250,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = K, block_words: int = BL
     out = docs.sparkSession.createDataFrame([], "query long, doc_id long, score double")
     for b in range(blocks):
         out = out.unionByName(search_block(docs, asked.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).orderBy("query").collect(), k))
-    best = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
-    return out.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query", "rank", "doc_id", "score")
+    return _ranked(out, k).select("query", "rank", "doc_id", "score")
 
 
 def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
