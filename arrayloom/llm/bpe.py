@@ -19,6 +19,7 @@ ones of the same name; an empty table stays empty; a text of any length is encod
 from __future__ import annotations
 
 import base64
+import hashlib
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -31,7 +32,9 @@ from pyspark.serializers import BatchedSerializer, CPickleSerializer
 
 from ._shared import table
 
-CHUNK_CHARS, CHUNK_ROWS = 4 << 20, 4096
+CHUNK_CHARS, CHUNK_ROWS = 1 << 20, 1024
+#: What encode() can return of a text.
+OUTPUTS = {"ids": T.BinaryType(), "n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
 #: Bytes of text a bucket of words.
 BUCKET_TEXT = 32 << 20
 _CORES: dict = {}
@@ -89,13 +92,29 @@ def _unpack(blob: bytes) -> list[bytes]:
     return out
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", buckets: int | None = None) -> DataFrame:
-    """docs without its text, with ids (little-endian unsigned 32-bit integers) and n_tokens."""
+def _tokens(vocabulary: bytes) -> list[bytes]:
+    """The bytes of each token, by id."""
+    ranks = _ranks(vocabulary)
+    out = [b""] * (max(ranks.values()) + 1)
+    for token, i in ranks.items():
+        out[i] = token
+    return out
+
+
+def decode_ids(ids: bytes, tokens: list[bytes]) -> bytes:
+    import numpy as np
+
+    return b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", buckets: int | None = None, outputs: tuple[str, ...] = ("ids", "n_tokens")) -> DataFrame:
+    """docs without its text, with outputs: ids (little-endian unsigned 32-bit integers), n_tokens, and SHA-256
+    digests of the ids and of the bytes they decode to, for who needs no more than to check them."""
     spark = docs.sparkSession
     context = spark.sparkContext
     with open(ranks_path, "rb") as f:
         vocabulary = context.broadcast(f.read())
-    kept = [c for c in docs.columns if c.lower() not in ("ids", "n_tokens", text.lower())]
+    kept = [c for c in docs.columns if c.lower() not in (*outputs, text.lower())]
     at = len(kept)
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`")).rdd
     parts = rows.getNumPartitions()
@@ -140,6 +159,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", b
         import regex
 
         find, ids = regex.compile(pattern).findall, {}
+        tokens = _tokens(vocabulary.value) if "decoded_sha256" in outputs else []
+        make = {
+            "ids": bytearray, "n_tokens": lambda x: len(x) // 4, "ids_sha256": lambda x: hashlib.sha256(x).hexdigest(),
+            "decoded_sha256": lambda x: hashlib.sha256(decode_ids(x, tokens)).hexdigest(),
+        }
         for side, answers in found:
             split = [find(row[at] or "") for row in side]
             words = _asked(split, ids)
@@ -150,7 +174,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", b
                 ids.update(zip(asked, _unpack(answers[b]), strict=True))
             for row, own in zip(side, split, strict=True):
                 whole = b"".join(map(ids.__getitem__, own))
-                yield (*row[:at], bytearray(whole), len(whole) // 4)
+                yield (*row[:at], *[make[o](whole) for o in outputs])
 
     answers = rows.mapPartitionsWithIndex(ask).partitionBy(buckets, int).mapPartitions(answer)
     answers = answers.partitionBy(parts, int).mapPartitions(by_chunk)
@@ -160,7 +184,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", b
     fields = {f.name: f for f in docs.schema.fields}
     single = BatchedSerializer(CPickleSerializer(), 1)
     lined = runs._reserialize(single).zip(answers._reserialize(single))
-    schema = T.StructType([*[fields[c] for c in kept], T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
+    schema = T.StructType([*[fields[c] for c in kept], *[T.StructField(o, OUTPUTS[o]) for o in outputs]])
     return spark.createDataFrame(lined.mapPartitions(finish), schema, verifySchema=False)
 
 
@@ -172,18 +196,12 @@ def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
     schema = T.StructType([*own.schema.fields, T.StructField("decoded", T.BinaryType())])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         tokens = None
         for whole in batches:
-            if tokens is None:
-                ranks = _ranks(vocabulary.value)
-                tokens = [b""] * (max(ranks.values()) + 1)
-                for token, i in ranks.items():
-                    tokens[i] = token
+            tokens = tokens or _tokens(vocabulary.value)
             for k in range(0, whole.num_rows, 512):
                 batch = whole.slice(k, 512)
-                out = [b"".join(map(tokens.__getitem__, np.frombuffer(x.as_py() or b"", "<u4").tolist())) for x in batch.column(batch.schema.get_field_index(ids))]
+                out = [decode_ids(x.as_py() or b"", tokens) for x in batch.column(batch.schema.get_field_index(ids))]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=schema.names)
 
     return own.mapInArrow(join, schema)
@@ -194,5 +212,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = decode(encode(docs, ranks, public_tokenizers.PATTERN), ranks)
-    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return encode(docs, ranks, public_tokenizers.PATTERN, outputs=("n_tokens", "ids_sha256", "decoded_sha256"))

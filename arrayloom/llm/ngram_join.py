@@ -38,6 +38,8 @@ AGREEMENT = 0.55
 #: Ids are broadcast up to so many (16 bytes each), else joined by shuffle.
 BROADCAST_IDS = 1_000_000
 SALTS = 8
+#: Hashes of words that a worker remembers: a bound of its memory.
+REMEMBERED_WORDS = 150_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -71,7 +73,7 @@ def shingles(text: str | None) -> np.ndarray:
     words = (text or "").encode().split()
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_WORDS) > 500_000:
+    if len(_WORDS) > REMEMBERED_WORDS:
         _WORDS.clear()
     known = list(map(_WORDS.get, words))
     if None in known:
