@@ -42,8 +42,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row a copy: its ids, their number, and digests of the ids and of the bytes they decode to."""
-    out = bpe.decode(bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS)
-    return out.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    kept = docs.select("doc_id", "lang", "source", "text")
+    return bpe.encode(kept, RANKS, public_tokenizers.PATTERN, outputs=("n_tokens", "ids", "ids_sha256", "decoded_sha256"))
 
 
 STAGES = [("quality_rules", rules), ("ngram_join", near_duplicates), ("pii", personal_data), ("mixing", mix), ("bpe", tokens)]
