@@ -5,15 +5,19 @@ The SQL is written from the definition of an operator, not from its plan here.
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import convert as cv
 from ..operators import chunkmath, objects, tables
 from ..operators.frame import ArrayFrame, from_arrays, from_column
-from ..sources import codecs
+from ..sources import codecs, datasource
+from ..sources.h5 import FileBuilder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -381,6 +385,51 @@ def zfp_roundtrip(spark, sf_dir):
     return back.df.select("i0", (F.round(F.col("value") / 64) * 64).cast("int").alias("value"))
 
 
+# ---- through files
+
+
+def _file(spark: SparkSession, name: str) -> str:
+    """A new file where driver and executors can both open it."""
+    shared = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a mounted folder that executors share")
+    if shared:
+        os.makedirs(shared, exist_ok=True)
+    return os.path.join(tempfile.mkdtemp(dir=shared or None, prefix="arrayloom-"), f"{name}.h5")
+
+
+@query("SELECT event_id AS i0, value FROM events")
+def h5_whole(spark, sf_dir):
+    path = _file(spark, "whole")
+    datasource.write_frame(events(spark, sf_dir), path, "/events/value", [("shuffle", None), ("deflate", 4), ("fletcher32", None)], maximum=(None,))
+    return datasource.read_frame(spark, path, "/events/value").df
+
+
+@query(f"SELECT i0, i1, v AS value FROM ({EMB}) WHERE i0 BETWEEN 30 AND 69 AND i1 BETWEEN 14 AND 17")
+def h5_region(spark, sf_dir):
+    """Four columns and forty rows over chunks of 32 x 16: four of the chunks are decoded."""
+    path = _file(spark, "region")
+    datasource.write_frame(emb(spark, sf_dir), path, "/emb", [("shuffle", None), ("deflate", 1)])
+    return datasource.read_frame(spark, path, "/emb").region((30, 14), (40, 4)).df
+
+
+@query("SELECT [event_id - event_id % 1024] AS chunk, 0 AS mask FROM events GROUP BY event_id - event_id % 1024")
+def h5_chunks(spark, sf_dir):
+    path = _file(spark, "chunks")
+    datasource.write_frame(events(spark, sf_dir), path, "/v", [("deflate", 1)])
+    return spark.read.format("h5").options(path=path, dataset="/v", mode="chunks").load().select("chunk", "mask")
+
+
+@query("SELECT '/' || r_name AS path, '/' AS parent, r_name AS name, 'group' AS kind FROM region UNION ALL SELECT '/' || r_name || '/' || n_name, '/' || r_name, n_name, 'dataset' FROM nation JOIN region ON n_regionkey = r_regionkey")
+def h5_catalog(spark, sf_dir):
+    path, builder = _file(spark, "catalog"), FileBuilder()
+    for r in read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).collect():  # 25 rows
+        group = builder.members.get(r["r_name"]) or builder.create_group(r["r_name"])
+        group.create_dataset(r["n_name"], np.arange(r["n_nationkey"]))
+    builder.write(path)
+    return datasource.catalog(spark, path).select("path", "parent", "name", "kind")
+
+
 # ---- table-like values
 
 
