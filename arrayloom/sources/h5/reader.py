@@ -493,9 +493,11 @@ class File:
                 yield Chunk(start, child, int.from_bytes(body[at : at + 4], "little"), int.from_bytes(body[at + 4 : at + 8], "little"))
 
     def _fixed(self, address: int, starts: Iterator, whole: int) -> Iterator[Chunk]:
-        head = self.bytes_at(address, 12 + self.length_size + self.offset_size)
+        head = self.bytes_at(address, 8 + self.length_size + self.offset_size)
         client, entry, page_bits = head[5], head[6], head[7]
         count, data = int.from_bytes(head[8 : 8 + self.length_size], "little"), self._address(head, 8 + self.length_size)
+        if lookup3(head) != int.from_bytes(self.bytes_at(address + len(head), 4), "little"):
+            raise ChecksumError("fixed array header")
         if data == UNDEFINED:
             return
         at, page = data + 6 + self.offset_size, 1 << page_bits

@@ -91,6 +91,7 @@ class Dataset:
     fill: object = None
     compact: bool = False
     encoded: Iterable | None = None
+    index: str | None = None  # of chunks: single, fixed or btree1; by default the plainest that holds them
     attrs: dict = field(default_factory=dict)
 
     def set_attr(self, name: str, value: object, kind=None) -> Dataset:
@@ -298,9 +299,7 @@ class _Layout:
                 raise TypeMismatchError(f"chunks {d.chunks} don't fit {d.shape}")
             if d.filters:
                 messages.append((FILTERS, pipeline(d.filters, d.kind, prod(d.chunks))))
-            tree = self.tree(d, self.encoded(d, raw))
-            dims = b"".join(u(c, 4) for c in (*d.chunks, d.kind.size))
-            messages.append((LAYOUT, bytes([3, 2, len(d.chunks) + 1]) + u(tree) + dims))
+            messages.append((LAYOUT, self.chunked(d, self.encoded(d, raw))))
         elif d.compact and raw is not None:
             messages.append((LAYOUT, bytes([3, 0]) + u(raw.nbytes, 2) + raw.tobytes()))
         else:
@@ -327,6 +326,51 @@ class _Layout:
             payload, mask = encode(block.tobytes(), d.filters, raw.dtype)
             yield start, len(payload), mask, self.put(payload)
 
+    def chunked(self, d: Dataset, chunks: Iterable) -> bytes:
+        """The layout message of stored chunks, after their index. A grid that can't grow needs no tree: one chunk is pointed
+        to, more stand in an array by their place."""
+        grid = [-(-n // c) for n, c in zip(d.shape, d.chunks, strict=True)]
+        grows = d.maximum is not None and any(m is None or m > n for m, n in zip(d.maximum, d.shape, strict=True))
+        index = d.index or ("btree1" if grows or not prod(grid) else "single" if prod(grid) == 1 else "fixed")
+        if index == "btree1":
+            tree = self.tree(d, chunks)
+            return bytes([3, 2, len(d.chunks) + 1]) + u(tree) + b"".join(u(c, 4) for c in (*d.chunks, d.kind.size))
+        width = max((int(c).bit_length() + 7) // 8 for c in (*d.chunks, d.kind.size))
+        dims = b"".join(u(c, width) for c in (*d.chunks, d.kind.size))
+        head = lambda flags: bytes([4, 2, flags, len(d.chunks) + 1, width]) + dims
+        whole = prod(d.chunks) * d.kind.size
+        if index == "single":
+            if prod(grid) != 1:
+                raise TypeMismatchError("more than one chunk")
+            size, mask, address = next(((size, mask, at) for _, size, mask, at in chunks), (whole, 0, UNDEFINED))
+            return head(2) + b"\1" + u(size) + u(mask, 4) + u(address) if d.filters else head(0) + b"\1" + u(address)
+        if index != "fixed":
+            raise UnsupportedError(f"no writer of index {index}")
+        places = {tuple(s): (size, mask, at) for s, size, mask, at in chunks}
+        n, bits = (whole.bit_length() + 7) // 8 + 1, 10
+        entries = []
+        for i in np.ndindex(*grid):
+            size, mask, at = places.get(tuple(int(x) * c for x, c in zip(i, d.chunks, strict=True)), (0, 0, UNDEFINED))
+            entries.append(u(at) + (u(size, n) + u(mask, 4) if d.filters else b""))
+        client, entry, page = int(bool(d.filters)), len(entries[0]), 1 << bits
+        header = self.at
+        block = b"FADB" + bytes([0, client]) + u(header)
+        if len(entries) > page:
+            pages = [b"".join(entries[i : i + page]) for i in range(0, len(entries), page)]
+            bitmap = bytearray((len(pages) + 7) // 8)
+            for i in range(len(pages)):
+                bitmap[i // 8] |= 128 >> i % 8
+            block += bytes(bitmap)
+            block += u(lookup3(block), 4) + b"".join(p + u(lookup3(p), 4) for p in pages)
+        else:
+            block += b"".join(entries)
+            block += u(lookup3(block), 4)
+        size = 4 + 4 + 8 + 8 + 4
+        top = b"FAHD" + bytes([0, client, entry, bits]) + u(len(entries)) + u((header + size + 7) // 8 * 8)
+        self.put(top + u(lookup3(top), 4))
+        self.put(block)
+        return head(0) + b"\3" + bytes([bits]) + u(header)
+
     def tree(self, d: Dataset, chunks: Iterable) -> int:
         """A B-tree over chunks by their start, built from the leaves up."""
         rank = len(d.shape)

@@ -129,6 +129,24 @@ def test_many_chunks_need_levels():
     assert (f.read("v") == x).all() and len(list(f.chunks(f.resolve("v")))) == 6000 and f.resolve("v").maximum == (None,)
 
 
+@pytest.mark.parametrize("index", ["btree1", "fixed", None])
+@pytest.mark.parametrize("filters", [[], [("deflate", 1)]])
+def test_chunk_indexes(index, filters):
+    x = np.arange(5000, dtype="i2").reshape(50, 100)
+    b = FileBuilder()
+    b.create_dataset("few", x, chunks=(7, 30), filters=filters, index=index)
+    b.create_dataset("many", x, chunks=(2, 3), filters=filters, index=index)
+    b.create_dataset("one", x, chunks=(50, 100), filters=filters, index=index)
+    b.create_dataset("grows", x, chunks=(7, 30), filters=filters, maximum=(None, 100))
+    b.create_dataset("hole", shape=(50, 100), kind=Fixed(2), chunks=(7, 30), fill=3, filters=filters, index=index)
+    f = File(b.finish())
+    for name in ("few", "many", "one", "grows"):
+        assert (f.read(name) == x).all() and (f.read(name, (13, 50), (20, 31)) == x[13:33, 50:81]).all()
+    assert (f.read("hole") == 3).all() and not list(f.chunks(f.resolve("hole")))
+    assert f.layout(f.resolve("many"))[1]["index"] == (index or "fixed") and f.layout(f.resolve("grows"))[1]["index"] == "btree1"
+    assert f.layout(f.resolve("one"))[1]["index"] == (index or "single")
+
+
 def test_signature_and_userblock(tmp_path):
     b = FileBuilder(1024, b"hello")
     b.create_dataset("v", np.arange(4))
