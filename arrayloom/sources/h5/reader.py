@@ -18,6 +18,7 @@ from ...errors import ChecksumError, FormatError, LinkError, NotFoundError, Sele
 from ...options import CacheStats, ChunkCache
 from ..codecs import NAMES, decode
 from .checksum import lookup3
+from .extensible import Geometry
 from .types import SIGNATURE, UNDEFINED, Compound, Enum, Fixed, Float, Opaque, String, VarString, Vlen, parse
 
 MAX_HOPS = 64
@@ -474,6 +475,11 @@ class File:
                 yield Chunk(start, how["address"] + i * whole, whole)
         elif how["index"] == "fixed":
             yield from self._fixed(how["address"], starts, whole)
+        elif how["index"] == "extensible":
+            grows = [d for d, m in enumerate(found.maximum or ()) if m is None]
+            if grows != [0]:
+                raise UnsupportedError("extensible arrays that grow along other than the leading dimension")
+            yield from self._extensible(how["address"], starts, whole)
         else:
             raise UnsupportedError(f"chunk index {how['index']}")
 
@@ -513,6 +519,76 @@ class File:
                 size = int.from_bytes(raw[self.offset_size : entry - 4], "little") if client else whole
                 yield Chunk(start, place, size, int.from_bytes(raw[-4:], "little") if client else 0)
 
+    def _checked(self, address: int, n: int, signature: bytes) -> bytes:
+        """n bytes of a block and its checksum after them."""
+        data = self.bytes_at(address, n + 4)
+        if data[:4] != signature:
+            raise FormatError(f"no {signature.decode()} at {address}")
+        if lookup3(data[:-4]) != int.from_bytes(data[-4:], "little"):
+            raise ChecksumError(f"{signature.decode()} at {address}")
+        return data[:-4]
+
+    def _extensible(self, address: int, starts: Iterator, whole: int) -> Iterator[Chunk]:
+        o, n = self.offset_size, self.length_size
+        head = self._checked(address, 12 + 6 * n + o, b"EAHD")
+        client, entry = head[5], head[6]
+        g = Geometry(head[7], head[8], head[9], head[10], head[11])
+        index = self._address(head, 12 + 6 * n)
+        if index == UNDEFINED:
+            return
+        inside = g.blocks_before(g.levels_inside)
+        top = self._checked(index, 6 + o + g.head * entry + (inside + g.levels - g.levels_inside) * o, b"EAIB")
+        pointers = 6 + o + g.head * entry
+        supers: dict[int, bytes] = {}
+        blocks: dict[tuple[int, int], bytes | None] = {}
+
+        def block(level: int, k: int) -> bytes | None:
+            """The records of a data block, pages joined; None where it was never made."""
+            pages, size = g.pages(level), g.block_places(level) * entry
+            present = None
+            if level < g.levels_inside:
+                at = self._address(top, pointers + (g.blocks_before(level) + k) * o)
+            else:
+                each = (pages + 7) // 8
+                if level not in supers:
+                    place = self._address(top, pointers + (inside + level - g.levels_inside) * o)
+                    supers[level] = b"" if place == UNDEFINED else self._checked(place, 6 + o + g.offset_size + g.blocks(level) * (each + o), b"EASB")
+                if not supers[level]:
+                    return None
+                bitmaps = 6 + o + g.offset_size
+                present = supers[level][bitmaps + k * each : bitmaps + (k + 1) * each]
+                at = self._address(supers[level], bitmaps + g.blocks(level) * each + k * o)
+            if at == UNDEFINED:
+                return None
+            prefix = 6 + o + g.offset_size
+            if not pages:
+                return self._checked(at, prefix + size, b"EADB")[prefix:]
+            self._checked(at, prefix, b"EADB")
+            page, out = size // pages, []
+            for i in range(pages):
+                data = self.bytes_at(at + prefix + 4 + i * (page + 4), page + 4)
+                there = present[i // 8] >> (7 - i % 8) & 1 if present else 1
+                if there and lookup3(data[:-4]) != int.from_bytes(data[-4:], "little"):
+                    raise ChecksumError(f"page of a data block at {at}")
+                out.append(data[:-4] if there else b"\xff" * page)
+            return b"".join(out)
+
+        for place, start in enumerate(starts):
+            if place < g.head:
+                raw = top[6 + o + place * entry :][:entry]
+            else:
+                level, k, inner = g.where(place - g.head)
+                if (level, k) not in blocks:
+                    blocks.clear()  # places come in order, so one block at a time is enough
+                    blocks[level, k] = block(level, k)
+                if blocks[level, k] is None:
+                    continue
+                raw = blocks[level, k][inner * entry : (inner + 1) * entry]
+            at = self._address(raw, 0)
+            if at != UNDEFINED:
+                size = int.from_bytes(raw[o : entry - 4], "little") if client else whole
+                yield Chunk(start, at, size, int.from_bytes(raw[-4:], "little") if client else 0)
+
     def decoded(self, found: Object, chunk: Chunk) -> np.ndarray:
         """A chunk's stored elements, in the chunk's shape; recently used ones are kept."""
         kept = self.cache.get(chunk.address)

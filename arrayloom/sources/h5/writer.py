@@ -16,6 +16,7 @@ import numpy as np
 from ...errors import FormatError, TypeMismatchError, UnsupportedError
 from ..codecs import IDS, check_pipeline, encode
 from .checksum import lookup3
+from .extensible import Geometry
 from .types import SIGNATURE, UNDEFINED, Compound, Enum, Opaque, Reference, String, VarString, Vlen, of_element
 
 SPACE, LINK_INFO, TYPE, FILL, LINK, LAYOUT, GROUP_INFO, FILTERS, ATTRIBUTE = 1, 2, 3, 5, 6, 8, 10, 11, 12
@@ -331,7 +332,7 @@ class _Layout:
         to, more stand in an array by their place."""
         grid = [-(-n // c) for n, c in zip(d.shape, d.chunks, strict=True)]
         grows = d.maximum is not None and any(m is None or m > n for m, n in zip(d.maximum, d.shape, strict=True))
-        index = d.index or ("btree1" if grows or not prod(grid) else "single" if prod(grid) == 1 else "fixed")
+        index = d.index or ("extensible" if grows and d.maximum[0] is None and None not in d.maximum[1:] else "btree1" if grows or not prod(grid) else "single" if prod(grid) == 1 else "fixed")
         if index == "btree1":
             tree = self.tree(d, chunks)
             return bytes([3, 2, len(d.chunks) + 1]) + u(tree) + b"".join(u(c, 4) for c in (*d.chunks, d.kind.size))
@@ -344,7 +345,7 @@ class _Layout:
                 raise TypeMismatchError("more than one chunk")
             size, mask, address = next(((size, mask, at) for _, size, mask, at in chunks), (whole, 0, UNDEFINED))
             return head(2) + b"\1" + u(size) + u(mask, 4) + u(address) if d.filters else head(0) + b"\1" + u(address)
-        if index != "fixed":
+        if index not in ("fixed", "extensible"):
             raise UnsupportedError(f"no writer of index {index}")
         places = {tuple(s): (size, mask, at) for s, size, mask, at in chunks}
         n, bits = (whole.bit_length() + 7) // 8 + 1, 10
@@ -352,7 +353,13 @@ class _Layout:
         for i in np.ndindex(*grid):
             size, mask, at = places.get(tuple(int(x) * c for x, c in zip(i, d.chunks, strict=True)), (0, 0, UNDEFINED))
             entries.append(u(at) + (u(size, n) + u(mask, 4) if d.filters else b""))
-        client, entry, page = int(bool(d.filters)), len(entries[0]), 1 << bits
+        client, entry, page = int(bool(d.filters)), 8 + (n + 4 if d.filters else 0), 1 << bits
+        if index == "extensible":
+            if not d.maximum or d.maximum[0] is not None or None in d.maximum[1:]:
+                raise UnsupportedError("extensible arrays grow along the leading dimension alone")
+            g = Geometry()
+            address = self.extensible(g, entries, client, entry)
+            return head(0) + b"\4" + bytes([g.place_bits, g.head, g.pointers, g.min_block, g.page_bits]) + u(address)
         header = self.at
         block = b"FADB" + bytes([0, client]) + u(header)
         if len(entries) > page:
@@ -371,6 +378,52 @@ class _Layout:
         self.put(block)
         return head(0) + b"\3" + bytes([bits]) + u(header)
 
+    def extensible(self, g: Geometry, entries: list[bytes], client: int, entry: int) -> int:
+        """Blocks from the last to the header, whose place is known first as its size is fixed."""
+        none = b"\xff" * 8 + bytes(entry - 8)
+        header = self.at
+        self.at += (12 + 48 + 8 + 4 + 7) // 8 * 8
+        seal = lambda data: data + u(lookup3(data), 4)
+        own, rest = entries[: g.head], entries[g.head :]
+        own = own + [none] * (g.head - len(own))
+        inside, supers, stats = [UNDEFINED] * g.blocks_before(g.levels_inside), [UNDEFINED] * (g.levels - g.levels_inside), [0, 0, 0, 0]
+        for level in range(g.levels):
+            first, size, pages = g.start(level), g.block_places(level), g.pages(level)
+            if first >= len(rest):
+                break
+            places, bitmaps = [], b""
+            for k in range(g.blocks(level)):
+                part = rest[first + k * size : first + (k + 1) * size]
+                bitmap = bytearray((pages + 7) // 8)
+                if part:
+                    data = b"".join(part + [none] * (size - len(part)))
+                    prefix = b"EADB" + bytes([0, client]) + u(header) + u(first + k * size, g.offset_size)
+                    if pages:
+                        page = size * entry // pages
+                        for i in range(pages):
+                            bitmap[i // 8] |= 128 >> i % 8
+                        block = seal(prefix) + b"".join(seal(data[i * page : (i + 1) * page]) for i in range(pages))
+                    else:
+                        block = seal(prefix + data)
+                    places.append(self.put(block))
+                    stats[2], stats[3] = stats[2] + 1, stats[3] + len(block)
+                else:
+                    places.append(UNDEFINED)
+                bitmaps += bytes(bitmap)
+            if level < g.levels_inside:
+                inside[g.blocks_before(level) : g.blocks_before(level) + len(places)] = places
+            else:
+                block = seal(b"EASB" + bytes([0, client]) + u(header) + u(first, g.offset_size) + bitmaps + b"".join(map(u, places)))
+                supers[level - g.levels_inside] = self.put(block)
+                stats[0], stats[1] = stats[0] + 1, stats[1] + len(block)
+        index = self.put(seal(b"EAIB" + bytes([0, client]) + u(header) + b"".join(own) + b"".join(map(u, inside + supers))))
+        after = self.at
+        self.at = header
+        top = b"EAHD" + bytes([0, client, entry, g.place_bits, g.head, g.min_block, g.pointers, g.page_bits])
+        self.put(seal(top + b"".join(u(x) for x in (*stats, len(entries), max(len(entries), g.head))) + u(index)))
+        self.at = after
+        return header
+
     def tree(self, d: Dataset, chunks: Iterable) -> int:
         """A B-tree over chunks by their start, built from the leaves up."""
         rank = len(d.shape)

@@ -143,10 +143,23 @@ def test_chunk_indexes(index, filters):
     for name in ("few", "many", "one", "grows"):
         assert (f.read(name) == x).all() and (f.read(name, (13, 50), (20, 31)) == x[13:33, 50:81]).all()
     assert (f.read("hole") == 3).all() and not list(f.chunks(f.resolve("hole")))
-    assert f.layout(f.resolve("many"))[1]["index"] == (index or "fixed") and f.layout(f.resolve("grows"))[1]["index"] == "btree1"
+    assert f.layout(f.resolve("many"))[1]["index"] == (index or "fixed") and f.layout(f.resolve("grows"))[1]["index"] == "extensible"
     assert f.layout(f.resolve("one"))[1]["index"] == (index or "single")
 
 
+@pytest.mark.parametrize("n", [0, 1, 4, 5, 20, 21, 100, 3000, 40_000])
+@pytest.mark.parametrize("filters", [[], [("shuffle", None)]])
+def test_extensible_arrays_of_every_size(n, filters):
+    x = np.arange(n, dtype="u2")
+    b = FileBuilder()
+    b.create_dataset("v", x, chunks=(1,), maximum=(None,), filters=filters)
+    b.create_dataset("tree", x, chunks=(1,), maximum=(None,), filters=filters, index="btree1")
+    f = File(b.finish())
+    assert (f.read("v") == x).all() and len(list(f.chunks(f.resolve("v")))) == n
+    if n == 3000:
+        assert [c.start for c in f.chunks(f.resolve("v"))] == [c.start for c in f.chunks(f.resolve("tree"))]
+
+
 def test_signature_and_userblock(tmp_path):
     b = FileBuilder(1024, b"hello")
     b.create_dataset("v", np.arange(4))

@@ -107,7 +107,7 @@ def test_facade(opened):
     found = opened.dataset("r").dereference()
     assert found[0].path == "/g/x" and found[1] is None
     c = opened.dataset("/c")
-    assert c.chunk_shape == (4,) and c.maxshape == (None,) and c.filters == [1] and len(c.chunks()) == 3 and c.chunk_index == "btree1"
+    assert c.chunk_shape == (4,) and c.maxshape == (None,) and c.filters == [1] and len(c.chunks()) == 3 and c.chunk_index == "extensible"
     assert c.verify_provenance() is None and c.read_raw((2,), (1,)) == (2).to_bytes(8, "little")
     with pytest.raises(NotFoundError):
         opened.group("c")
