@@ -222,6 +222,9 @@ class Group:
             raise NotFoundError(f"{path} is no named type")
         return found.kind
 
+    def named_datatype_references(self, path: str) -> int:
+        return self._file.type_references(self._join(path))
+
     def _join(self, path: str) -> str:
         return path if path.startswith("/") else f"{self.path.rstrip('/')}/{path}"
 

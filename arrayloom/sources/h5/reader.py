@@ -112,6 +112,7 @@ class File:
         self.base = base
         self._superblock()
         self.objects: dict[int, Object] = {}
+        self.named: dict[int, int] = {}  # the named type that an object's type message points to
         self.heaps: dict[int, dict[int, bytes]] = {}
 
     def __enter__(self) -> File:
@@ -190,9 +191,17 @@ class File:
                         raise ChecksumError(f"header continuation at {place}")
                     blocks.append(more[4:-4])
                 elif kind:
+                    if kind == 3 and shared & 2:
+                        self.named[address] = self._address(data, 8 if data[0] == 1 else 2)
                     out.append((kind, self._shared(kind, data) if shared & 2 else data))
         return out
 
+    def type_references(self, path: str) -> int:
+        """How many datasets point to a named type."""
+        wanted = self.resolve(path).address
+        seen = {a for _, _, _, kind, a, _ in self.walk() if kind == "dataset"}
+        return sum(self.named.get(a) == wanted for a in seen)
+
     def _messages1(self, address: int) -> list[tuple[int, bytes]]:
         head = self.bytes_at(address, 16)
         if head[0] != 1:

@@ -79,6 +79,11 @@ def attribute(value: object, kind=None) -> Attribute:
     return Attribute(kind, x.shape, np.ascontiguousarray(x, kind.dtype()).tobytes())
 
 
+@dataclass
+class Named:
+    kind: object
+
+
 @dataclass
 class Dataset:
     """data: an array, a list of strings or sequences for variable types, or encoded chunks [(start, payload, mask)]."""
@@ -92,6 +97,7 @@ class Dataset:
     fill: object = None
     compact: bool = False
     encoded: Iterable | None = None
+    named: Named | None = None
     index: str | None = None  # of chunks: single, fixed or btree1; by default the plainest that holds them
     attrs: dict = field(default_factory=dict)
 
@@ -105,11 +111,6 @@ class Soft:
     target: str
 
 
-@dataclass
-class Named:
-    kind: object
-
-
 @dataclass
 class Group:
     members: dict = field(default_factory=dict)
@@ -125,7 +126,9 @@ class Group:
         return self._add(name, Group())
 
     def create_dataset(self, name: str, data=None, *, shape=None, kind=None, **how) -> Dataset:
-        """From an array, or a shape and type alone (then nothing is allocated)."""
+        """From an array, or a shape and type alone (then nothing is allocated). A named type as kind is pointed to, not copied."""
+        named = kind if isinstance(kind, Named) else None
+        kind = named.kind if named else kind
         data = np.asarray(data) if isinstance(data, np.generic | int | float) else data
         if isinstance(data, np.ndarray) and kind is None:
             kind = of_element(f"{data.dtype.kind}{data.dtype.itemsize * 8}")
@@ -138,7 +141,7 @@ class Group:
         if how.get("filters"):
             check_pipeline(how["filters"])
             how.setdefault("chunks", shape)
-        return self._add(name, Dataset(kind, None if shape is None else tuple(shape), data, **how))
+        return self._add(name, Dataset(kind, None if shape is None else tuple(shape), data, named=named, **how))
 
     def link(self, name: str, target: str) -> Soft:
         return self._add(name, Soft(target))
@@ -204,12 +207,12 @@ class _Layout:
         self.out.write(head + u(lookup3(head), 4))
         self.out.truncate(self.base + self.at)
 
-    def header(self, messages: list[tuple[int, bytes]]) -> int:
+    def header(self, messages: list[tuple]) -> int:
         body = b""
-        for kind, data in messages:
+        for kind, data, *shared in messages:
             if len(data) > 0xFFFF:
                 raise UnsupportedError("a header message over 64 KiB")
-            body += bytes([kind]) + u(len(data), 2) + b"\0" + data
+            body += bytes([kind]) + u(len(data), 2) + bytes([2 if shared else 0]) + data
         head = b"OHDR" + bytes([2, 2]) + u(len(body), 4) + body
         return self.put(head + u(lookup3(head), 4))
 
@@ -292,7 +295,7 @@ class _Layout:
         chunked = d.chunks is not None and d.shape is not None
         messages = [
             (SPACE, dataspace(d.shape, d.maximum)),
-            (TYPE, d.kind.encoded()),
+            (TYPE, bytes([3, 2]) + u(self.object(d.named)), True) if d.named else (TYPE, d.kind.encoded()),
             (FILL, bytes([3, (3 if chunked else 2) | 2 << 2 | (0x20 if fill else 0)]) + (u(len(fill), 4) + fill if fill else b"")),
         ]
         if chunked:

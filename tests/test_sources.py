@@ -157,3 +157,24 @@ def test_selections_keep_their_errors(spark, path):
         with pytest.raises(SelectionError):
             a.region(*bad)
     assert load(path).members.keys() == {"e", "u", "g", "refs", "grow", "soft"}
+
+
+def test_named_types_are_shared_and_survive_edits(tmp_path):
+    b = FileBuilder()
+    named = b.commit_datatype("T", Fixed(2))
+    b.create_dataset("a", np.arange(3), kind=named).set_attr("unit", "m")
+    b.create_dataset("b", np.arange(2), kind=named)
+    b.create_dataset("c", np.arange(2))
+    path = str(tmp_path / "n.h5")
+    b.write(path)
+    assert File(path).type_references("T") == 2 and File(path).read("a").tolist() == [0, 1, 2]
+    with Session(path) as s:
+        s.delete("b")
+        s.remove_attr("a", "unit")
+        with pytest.raises(NotFoundError):
+            s.remove_attr("a", "unit")
+    f = File(path)
+    assert f.type_references("T") == 1 and f.resolve("a").kind == Fixed(2) and f.attributes(f.resolve("a")) == {}
+    with Session(path) as s:
+        s.delete("T")
+    assert File(path).read("a").tolist() == [0, 1, 2]
