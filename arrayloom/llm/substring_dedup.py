@@ -1,16 +1,18 @@
 """Substring deduplication by sliding sentence spans.
 
-Every run of SPAN consecutive sentences with at least MIN_WORDS words is hashed; runs that several
-documents have are found by one aggregation over all documents, and a document's sentences go that a
-run covers whose first document (by id) is another, or that the document has had before.
+From every sentence on, and up to every sentence, the shortest run of at least two consecutive sentences
+with MIN_WORDS words is hashed (a sentence of LONG words is a run by itself); runs that several documents
+have are found by one aggregation over all documents, and a document's sentences go that a run covers
+whose first document (by id) is another, or that the document has had before. So a passage that
+documents share goes from its first whole sentence to its last, and shorter repeats stay.
 
 What is shuffled is a hash and an id for each distinct run of a document, never text: the sentences to
 remove, few by comparison, are joined to the texts, by broadcast up to a checked size.
 
 Defined results: a sentence ends after . ! or ? before a blank, or at a line's end; words are compared,
 not the blanks between them; a null text stays null; rows that share an id (null too) are one
-document, whose first row in a partition doesn't take from the others; texts with fewer than SPAN
-sentences are left alone; other columns are kept; an empty table stays empty.
+document, whose first row in a partition doesn't take from the others; texts without a run are left
+alone; other columns are kept; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -26,9 +28,11 @@ from pyspark.sql import types as T
 
 from ._shared import materialise, table, unused
 
-SPAN, MIN_WORDS = 3, 12
-#: Sentences to remove are broadcast up to so many bytes, else joined by a shuffle.
-BROADCAST_BYTES = 16 << 20
+MIN_WORDS, LONG = 20, 30
+#: Runs to remove are broadcast up to so many bytes, as for a few documents; else texts are shuffled to them by id.
+BROADCAST_BYTES = 1 << 20
+BASE = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 _STEP = re.compile(r"(?<=[.!?])(?=[ \t\r\x0b\x0c])|(?<=\n)")
 
 
@@ -37,8 +41,8 @@ def sentences_of(text: str) -> list[str]:
     return _STEP.split(text) if text else []
 
 
-def runs_of(text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """The pieces, the positions of those with words, and of each run of them its hash and number of words."""
+def runs_of(text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The pieces, the positions of those with words, and of each run of these its first, its last and its hash."""
     import xxhash
 
     pieces = sentences_of(text)
@@ -49,16 +53,20 @@ def runs_of(text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
             hashes.append(xxhash.xxh3_64_intdigest(b" ".join(found)))
             words.append(len(found))
             at.append(i)
-    h, n = np.array(hashes, np.uint64), np.array(words, np.int64)
-    if len(h) < SPAN:
-        return pieces, np.array(at, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    last = len(h) - SPAN + 1
-    mixed, total = np.zeros(last, np.uint64), np.zeros(last, np.int64)
-    for k in range(SPAN):
-        mixed = (mixed ^ h[k : k + last]) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(29)
-        total += n[k : k + last]
-    return pieces, np.array(at, np.int64), mixed, total
+    n = np.array(words, np.int64)
+    total = np.concatenate(([0], np.cumsum(n)))
+    every = np.arange(len(n))
+    ends = np.where(n >= LONG, every, np.maximum(np.searchsorted(total, total[:-1] + MIN_WORDS) - 1, every + 1))
+    starts = np.where(n >= LONG, every, np.minimum(np.searchsorted(total, total[1:] - MIN_WORDS, "right") - 1, every - 1))
+    runs = np.unique(np.concatenate([np.stack([every, ends], 1)[ends < len(n)], np.stack([starts, every], 1)[starts >= 0]]), axis=0)
+    first, last = runs[:, 0], runs[:, 1]
+    # A polynomial in an odd base over the run's sentences, from sums that all runs share.
+    up = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(n), BASE))), dtype=np.uint64)
+    down = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(n), INVERSE))), dtype=np.uint64)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(np.array(hashes, np.uint64) * down[: len(n)], dtype=np.uint64)))
+    mixed = (sums[last + 1] - sums[first]) * up[first] + (last - first).astype(np.uint64)
+    mixed ^= mixed >> np.uint64(31)
+    return pieces, np.array(at, np.int64), first, last, mixed * BASE
 
 
 def spans(docs: DataFrame) -> DataFrame:
@@ -69,8 +77,7 @@ def spans(docs: DataFrame) -> DataFrame:
             ids = batch.column("doc").to_pylist()
             out_h, out_d = [], []
             for doc, text in zip(ids, batch.column("text"), strict=True):
-                _, _, h, n = runs_of(text.as_py() or "")
-                h = np.unique(h[n >= MIN_WORDS]).view(np.int64)
+                h = np.unique(runs_of(text.as_py() or "")[-1]).view(np.int64)
                 out_h.append(h)
                 out_d.append(np.full(len(h), doc, np.int64))
             if out_h:
@@ -100,7 +107,7 @@ def remove(docs: DataFrame) -> DataFrame:
     key, hashes = unused(docs, "__doc", "__hashes")
     again = again.select(F.col("doc").alias(key), F.col("hashes").alias(hashes))
     own = [c for c in docs.columns if c.lower() not in ("n_sentences", "n_removed")]
-    joined = docs.select(*[F.col(f"`{c}`") for c in own], _key().alias(key)).join(F.broadcast(again) if small else again, key, "left").drop(key)
+    joined = docs.select(*[F.col(f"`{c}`") for c in own], _key().alias(key)).join(F.broadcast(again) if small else again.hint("shuffle_hash"), key, "left").drop(key)
     schema = T.StructType([*[f for f in docs.schema.fields if f.name in own], T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,15 +115,13 @@ def remove(docs: DataFrame) -> DataFrame:
             texts, total, gone = [], [], []
             for value, known in zip(batch.column(own.index("text")), batch.column(len(own)), strict=True):
                 text = value.as_py()
-                pieces, at, h, n = runs_of(text or "")
-                drop = np.zeros(len(at) + SPAN, bool)
-                if len(h):
-                    far = np.isin(h, np.array(known.as_py() or [], np.int64).view(np.uint64))
-                    before = np.ones(len(h), bool)
-                    before[np.unique(h, return_index=True)[1]] = False  # all but a run's first place here
-                    for k in range(SPAN):
-                        drop[k : k + len(h)] |= (far | before) & (n >= MIN_WORDS)
-                drop = drop[: len(at)]
+                pieces, at, first, last, h = runs_of(text or "")
+                again = np.isin(h, np.array(known.as_py() or [], np.int64).view(np.uint64))
+                again[np.setdiff1d(np.arange(len(h)), np.unique(h, return_index=True)[1])] = True  # all but a run's first place here
+                edges = np.zeros(len(at) + 1, np.int64)
+                np.add.at(edges, first[again], 1)
+                np.add.at(edges, last[again] + 1, -1)
+                drop = np.cumsum(edges)[: len(at)] > 0
                 lost = set(at[drop].tolist())
                 texts.append(text if not lost else "".join(p for i, p in enumerate(pieces) if i not in lost).lstrip(" "))
                 total.append(len(at))
