@@ -31,7 +31,8 @@ from pyspark.sql import types as T
 
 from ._shared import table
 
-WINDOW_WORDS, LEVEL = 16, 12
+#: Two levels search their dictionaries differently and miss different matches; the curve weighs both.
+WINDOW_WORDS, LEVELS = 16, (9, 12)
 ORDINARY_BYTES, TOXIC_BYTES = 110_000, 16_384
 SAMPLE_DOCS, SAMPLE_WINDOWS = 1500, 64
 RATIO, LEAST_DOCS = 4.0, 5
@@ -85,28 +86,29 @@ class Savings:
     def __init__(self, ordinary: bytes, toxic: bytes):
         import zstandard
 
-        def squeeze(content: bytes):
+        def squeeze(content: bytes, level: int):
             d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if content else None
-            return zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress
+            return zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress
 
-        self.plain, self.over = squeeze(ordinary), squeeze(toxic + ordinary)
+        self.pairs = [(squeeze(ordinary, n), squeeze(toxic + ordinary, n)) for n in LEVELS]
 
     def features(self, text: str | None) -> list[float]:
         windows = windows_of(words_of(text))
         if not windows:
-            return [0.0] * 9
-        plain, over = self.plain, self.over
-        saved = np.array([len(plain(w)) - len(over(w)) for w in windows], float)
-        top = np.sort(saved)[::-1]
-        kept = np.clip(saved, 0, 8)
-        return [
-            min(top[0], 12.0), min(top[:3].mean(), 12.0), top[:10].mean(), saved.mean(), np.log1p(len(saved)),
-            (saved >= 2).mean(), (saved >= 3).mean(), np.log1p((saved >= 3).sum()), kept.mean(),
-        ]
-
-
-def fit_curve(features: np.ndarray, labels: np.ndarray) -> tuple[float, ...]:
-    """Weights of the standardised features, then the bias; 0.5 lies where F1 on these documents is best."""
+            return [0.0] * (8 * len(LEVELS) + 1)
+        out = [float(np.log1p(len(windows)))]
+        for plain, over in self.pairs:
+            saved = np.array([len(plain(w)) - len(over(w)) for w in windows], float)
+            top = np.sort(saved)[::-1]
+            out += [
+                min(top[0], 12.0), min(top[:3].mean(), 12.0), top[:10].mean(), saved.mean(),
+                (saved >= 2).mean(), (saved >= 3).mean(), np.log1p((saved >= 3).sum()), np.clip(saved, 0, 8).mean(),
+            ]
+        return out
+
+
+def fit_curve(features: np.ndarray, labels: np.ndarray, share: float | None = None) -> tuple[float, ...]:
+    """Weights of the standardised features, then the bias; 0.5 lies where F1 is best at the given share of toxic documents."""
     mean, sd = features.mean(0), features.std(0) + 1e-9
     x = np.c_[(features - mean) / sd, np.ones(len(features))]
     w = np.zeros(x.shape[1])
@@ -116,8 +118,11 @@ def fit_curve(features: np.ndarray, labels: np.ndarray) -> tuple[float, ...]:
         w += np.linalg.solve(h, x.T @ (labels - p) - 0.05 * w)
     margin = x @ w
     order = np.argsort(-margin)
+    n, toxic = len(labels), labels.sum()
+    clean_weight = 1.0 if not share or share >= 1 else (1 - share) / share * toxic / (n - toxic)
     hits = np.cumsum(labels[order])
-    f1 = 2 * hits / (np.arange(1, len(order) + 1) + labels.sum())
+    alarms = np.cumsum(1 - labels[order]) * clean_weight
+    f1 = 2 * hits / (hits + alarms + toxic)
     best = int(np.argmax(f1))
     following = margin[order[min(best + 1, len(order) - 1)]]
     w[-1] -= (margin[order[best]] + following) / 2
@@ -129,10 +134,15 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5 == 0
 
 
+def known_labels(labels: DataFrame, label: str) -> DataFrame:
+    """doc_id, y of the labelled rows to learn from."""
+    known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    return known.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
+
+
 def sample_labels(labels: DataFrame, label: str, docs_a_class: int, seed: str) -> DataFrame:
     """At most 2 * docs_a_class labelled training rows a class: doc_id, y, part (0: dictionaries, 1: curve)."""
-    known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
+    known = known_labels(labels, label)
     key = F.md5(F.concat(F.lit(seed), F.col("doc_id").cast("string")))
     parts = [known.filter(F.col("y") == y).select("doc_id", "y", key.alias("k")).orderBy("k").limit(2 * docs_a_class) for y in (0, 1)]
     return parts[0].unionByName(parts[1]).select("doc_id", "y", (F.conv(F.substring("k", 32, 1), 16, 10).cast("int") % 2).alias("part"))
@@ -154,7 +164,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", docs_a_class:
     first = rows.filter("part = 0").mapInArrow(take, "y int, doc_id long, w array<binary>").collect()
     first.sort(key=lambda r: (r["y"], r["doc_id"], len(r["w"])))
     words = [[[x for w in r["w"] for x in bytes(w).split()] for r in first if r["y"] == y] for y in (0, 1)]
-    share = len(words[1]) / max(1, len(first))
+    totals = {r["y"]: r["n"] for r in known_labels(labels, label).groupBy("y").agg(F.count("*").alias("n")).collect()}
+    share = totals.get(1, 0) / max(1, sum(totals.values()))
     if not words[0] or not words[1]:
         return Model(b"", b"", (), share)
     ordinary, toxic = train_dictionaries(*words)
@@ -163,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", docs_a_class:
     y = np.array([r["y"] for r in measured], float)
     if not len(y) or y.min() == y.max():
         return Model(ordinary, toxic, (), share)
-    return Model(ordinary, toxic, fit_curve(np.array([r["features"] for r in measured]), y), share)
+    return Model(ordinary, toxic, fit_curve(np.array([r["features"] for r in measured]), y, share), share)
 
 
 def with_features(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
