@@ -163,18 +163,23 @@ def statistics(docs: DataFrame, vocabulary) -> tuple[int, float, DataFrame]:
     return n, whole.get(-1, 0) / max(1, n), counted.filter("place >= 0")
 
 
-def search_block(docs: DataFrame, asked: list, k: int) -> DataFrame:
-    """query, doc_id, score: the best of each shard. asked: rows of query and words, a block of them."""
+def search_block(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """query, doc_id, score: the best of each shard. asked: query and words, a block of them, which comes to the driver as Arrow."""
     context = docs.sparkSession.sparkContext
-    known = sorted({bytes(w) for r in asked for w in r["words"]})
-    place = {w: i for i, w in enumerate(known)}
-    ids = [r["query"] for r in asked]
-    queries = [np.array(sorted(place[bytes(w)] for w in r["words"]), np.int64) for r in asked]
-    vocabulary = context.broadcast(b"\n".join(known))
+    block = asked.orderBy("query").toArrow()
+    ids = block.column("query").to_pylist()
+    lists = block.column("words").combine_chunks()
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    coded = lists.flatten().dictionary_encode()
+    places = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
+    queries = [np.sort(x) for x in np.split(places, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))[:-1])]
+    known = len(coded.dictionary)
+    vocabulary = context.broadcast(b"\n".join(coded.dictionary.to_pylist()))
+    del block, lists, coded, places
     n, mean, frequencies = statistics(docs, vocabulary)
-    df = np.zeros(len(known))
-    for r in frequencies.collect():  # a number for each word of a block of queries
-        df[r["place"]] = r["df"]
+    df = np.zeros(known)
+    found = frequencies.toArrow()  # a number for each word of a block of queries
+    df[found.column("place").to_numpy()] = found.column("df").to_numpy()
     idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
     sent = context.broadcast((ids, queries, idf, mean))
     # The k-th best score among a part of the documents bounds the k-th best among all from below: the other
@@ -249,7 +254,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = K, block_words: int = BL
     blocks = -(-total // block_words)
     out = docs.sparkSession.createDataFrame([], "query long, doc_id long, score double")
     for b in range(blocks):
-        out = out.unionByName(search_block(docs, asked.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).orderBy("query").collect(), k))
+        out = out.unionByName(search_block(docs, asked.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b), k))
     return _ranked(out, k).select("query", "rank", "doc_id", "score")
 
 
