@@ -103,3 +103,52 @@ def test_planted_passages_go_and_the_rest_stays(spark, documents):
             assert not kept and r["n_removed"] == len(passages[i % 4])
         else:
             assert r["n_removed"] == 0 and r["text"] == texts[i]
+
+
+def words_from(rnd, n):
+    return ["".join(rnd.choice("abcdefghijkl") for _ in range(rnd.randint(4, 9))) for _ in range(n)]
+
+
+def test_passages_go_from_their_first_word_to_their_last(spark, documents):
+    """Passages of MIN_WORDS words and more that start and end inside sentences, of one sentence or of several."""
+    rnd = random.Random(11)
+    passages, texts, hosts = [], [], []
+    for n in [s.MIN_WORDS, s.MIN_WORDS + 1, 24, 29, 35, 48]:
+        for stops in [(), (n // 2,), (3, n - 4), (1, 2, n - 1)]:
+            passages.append([w + "." * (i + 1 in stops) for i, w in enumerate(words_from(rnd, n))])
+    for i in range(3 * len(passages)):
+        before, after = words_from(rnd, rnd.randint(1, 40)), words_from(rnd, rnd.randint(1, 40))
+        hosts.append(before + after)
+        texts.append(" ".join(before + passages[i % len(passages)] + after) + ("\n" if i % 2 else "."))
+    for r in s.remove(documents(*texts).repartition(3)).collect():
+        i = r["doc_id"]
+        if i < len(passages):
+            assert r["text"] == texts[i] and r["n_removed"] == 0
+        else:
+            assert r["text"].rstrip(".\n").split() == hosts[i] and r["n_removed"] > 0, i
+
+
+def test_passages_below_the_floor_stay(spark, documents):
+    rnd = random.Random(12)
+    passage = words_from(rnd, s.MIN_WORDS - 1)
+    texts = [" ".join(words_from(rnd, 15) + passage + words_from(rnd, 15)) + "." for _ in range(4)]
+    assert [r["text"] for r in s.remove(documents(*texts)).orderBy("doc_id").collect()] == texts
+
+
+def test_shared_hashes_across_batches(spark):
+    """Groups of a hash that go on over many batches, against sets in plain Python."""
+    rnd = random.Random(13)
+    rows = {(rnd.randint(0, 40) ** 2 // 40, rnd.randint(0, 300)) for _ in range(2500)} | {(99, d) for d in range(50)} | {(1000 + i, i) for i in range(50)}
+    held = {}
+    for h, d in rows:
+        held.setdefault(h, set()).add(d)
+    later = sorted((h, d) for h, ds in held.items() for d in ds if d > min(ds))
+    owned = sorted((h, min(ds)) for h, ds in held.items() if len(ds) > 1)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        df = spark.createDataFrame(sorted(rows), "h long, doc long")
+        assert sorted(map(tuple, s.shared(df, owners=False).collect())) == later
+        assert sorted(map(tuple, s.shared(df, owners=True).collect())) == sorted(later + owned)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
