@@ -84,3 +84,12 @@ def test_masking(spark, learned):
 def test_empty(spark, documents):
     assert pii.detect(documents()).count() == 0
     assert [r["spans"] for r in pii.detect(documents("nothing", None)).collect()] == ["", ""]
+
+
+def test_short_cards_are_candidates_in_every_text(spark, documents):
+    """A short number is a candidate whatever else the text has: a run of twelve digits elsewhere makes no difference."""
+    docs = documents("card 4111 11", "card 4111 11 and then 123456789012", "card 4 and", "card 41")
+    rows = docs.select("doc_id", F.transform(F.filter(pii.candidates(F.col("text")), lambda c: c["kind"] == 2), lambda c: F.concat_ws(":", c["s"], c["e"], c["votes"])).alias("c")).collect()
+    found = {r["doc_id"]: r["c"] for r in rows}
+    assert len(found[0]) == 1 and found[0] == found[1][:1] and len(found[1]) == 2
+    assert found[2] == [] and len(found[3]) == 1
