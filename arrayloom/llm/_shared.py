@@ -43,12 +43,15 @@ def cleanup(spark: SparkSession) -> int:
     return len(paths)
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: a cut in the lineage that survives lost executors."""
+def materialise(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Writes df as Parquet into the shared folder and reads it back: a cut in the lineage that survives lost executors.
+
+    by: a column whose values get folders of their own.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path, partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)
 
 

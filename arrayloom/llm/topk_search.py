@@ -1,22 +1,26 @@
-"""Exact top-k search by BM25 over sharded inverted indexes with block-max pruning.
-
-Statistics (documents, their mean length, each query word's document frequency) are global, so a
-shard's scores are final and the shards' best k merge exactly. A shard is a run of at most SHARD_DOCS
-documents of one partition, indexed where it is read; no text is moved. Queries go to the shards in
-blocks whose size is bounded, so every row meets every query, block by block.
-
-In a shard, a query's words are split by how many documents have them. Postings of the rarer words are
-added up for all documents at once. For the common words only the highest weight in each block of
-BLOCK_DOCS documents is added, which bounds what they can still bring. As in block-max WAND, a document
-is scored in full only if its sum and its block's bound reach the k-th best score of the documents with
-the largest sums. Long queries of common words leave most blocks standing; then the common words are
-added up for all documents by a dense product, and those within its rounding of the k-th are scored in
-full. Either way every result has its exact score.
+"""Exact top-k search by BM25 over sharded inverted indexes, with block-max WAND.
+
+The index is built once, where the documents are read, and written to the shared folder: a row a shard of
+at most SHARD_DOCS documents, with its words, its documents' word counts, and the documents it has of each
+word. One document in PARTS, by a hash, goes to pilot shards of their own. Statistics (documents, their
+mean length, each query word's document frequency) are global and taken from the index, so a shard's
+scores are final and the shards' best k merge exactly.
+
+Queries meet the shards in blocks of bounded size. For one query, a shard's posting lists fall in two: words
+that at most one document in COMMON has are read in full and added up, as any document that holds
+one of them may be a result; words more common than that have, for each block of BLOCK_DOCS documents, the
+highest weight in it. What a document has so far plus the sum of its block's maxima bounds its score.
+Documents under the threshold are skipped without a look at their common words, and with them
+whole blocks. The others are scored in full from the highest bound down, and each result raises the threshold,
+until no bound reaches it. The threshold begins at the k-th best score of the pilot shards, which are
+searched first, or else of the shard's likeliest documents. There is one path for all queries: where
+bounds are of no use, more documents are scored in full.
 
 Defined results: words are separated by blanks, in lower case; each distinct word of a query counts
 once; a query without words finds nothing; a document without any of them is never found; ties go to
 the lesser id, a null id last; rows that share a query's id ask once, with the least text; repeated rows
-are found once each; an empty table gives an empty result.
+are found once each; columns other than doc_id and text (query and text) are not read, whatever their
+names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,15 +37,15 @@ from pyspark.sql.window import Window
 from ._shared import materialise, table
 
 K1, B, K = 1.2, 0.75, 10
-SHARD_DOCS, BLOCK_DOCS = 8192, 32
-#: Queries taken together, and up to how many documents left after pruning are scored one by one.
-BATCH, FEW = 64, 128
+#: A shard ends at so many documents or entries of its posting lists (one long text may exceed these).
+SHARD_DOCS, SHARD_POSTINGS, BLOCK_DOCS = 8192, 4_000_000, 4
 #: One document in so many is searched first, for a floor under the scores of the rest.
 PARTS = 8
-#: Words of the queries that are sent to the shards at once.
-BLOCK_WORDS = 4_000_000
-#: A word is common in a shard from this share of its documents on.
-COMMON = 1 / 12
+#: Queries whose bounds are made together, and words of the queries that are sent to the shards at once.
+BATCH, BLOCK_WORDS = 64, 2_000_000
+#: The most common words, those that more than one document in so many has, are bounded by block.
+COMMON = 12
+INDEX = "pilot boolean, n long, length long, ids array<long>, sizes binary, starts binary, places binary, counts binary, words array<binary>, df array<int>"
 _WORDS: dict = {}
 
 
@@ -48,153 +53,177 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().split()
 
 
-def _vocabulary(sent) -> dict[bytes, int]:
-    """The place of each query word, built once a worker."""
-    if _WORDS.get("of") is not sent.value:
-        _WORDS.update({"of": sent.value, "places": {w: i for i, w in enumerate(sent.value.split(b"\n"))} if sent.value else {}})
-    return _WORDS["places"]
+class Collected:
+    """The documents of a shard while it is built."""
+
+    def __init__(self, pilot: bool):
+        self.pilot, self.known = pilot, {}
+        self.ids, self.sizes, self.places, self.counts, self.postings = [], [], [], [], 0
+
+    def add(self, doc_id: int | None, words: list[bytes]) -> None:
+        known = self.known
+        places = list(map(known.get, words))
+        if None in places:
+            for i, place in enumerate(places):
+                if place is None:
+                    places[i] = known.setdefault(words[i], len(known))
+        mine, counts = np.unique(np.array(places, np.int32), return_counts=True)
+        self.ids.append(doc_id)
+        self.sizes.append(len(words))
+        self.places.append(mine)
+        self.counts.append(counts.astype(np.int32))
+        self.postings += len(mine)
+
+    def full(self) -> bool:
+        return len(self.ids) >= SHARD_DOCS or self.postings >= SHARD_POSTINGS
+
+    def row(self) -> pa.RecordBatch:
+        places = np.concatenate(self.places)
+        starts = np.cumsum([0, *map(len, self.places)], dtype=np.int64)
+        df = np.bincount(places, minlength=len(self.known)).astype(np.int32)
+        blobs = [np.array(self.sizes, np.int64), starts, places, np.concatenate(self.counts)]
+        columns = [pa.array([self.pilot]), pa.array([len(self.ids)], pa.int64()), pa.array([sum(self.sizes)], pa.int64()), pa.array([self.ids], pa.list_(pa.int64()))]
+        columns += [pa.array([x.tobytes()], pa.binary()) for x in blobs]
+        columns += [pa.array([list(self.known)], pa.list_(pa.binary())), pa.array([df], pa.list_(pa.int32()))]
+        return pa.RecordBatch.from_arrays(columns, names=["pilot", "n", "length", "ids", "sizes", "starts", "places", "counts", "words", "df"])
+
+
+def index(docs: DataFrame) -> DataFrame:
+    """A row a shard, as INDEX says. Texts are read once and don't move."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = [Collected(False), Collected(True)]
+        for batch in batches:
+            for doc, value, pilot in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("pilot").to_pylist(), strict=True):
+                shard = open_[pilot]
+                shard.add(doc, words_of(value.as_py()))
+                if shard.full():
+                    yield shard.row()
+                    open_[pilot] = Collected(pilot)
+        for shard in open_:
+            if shard.ids:
+                yield shard.row()
 
+    pilot = F.pmod(F.xxhash64("doc_id", "text"), F.lit(PARTS)) == 0
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", pilot.alias("pilot")).mapInArrow(build, INDEX)
+    return materialise(rows, "index", by="pilot")
 
-class Shard:
-    """An index of documents given as sorted places of words with their weights in the document."""
 
-    def __init__(self, starts: np.ndarray, places: np.ndarray, weights: np.ndarray, n_words: int):
-        self.starts, self.places, self.weights = starts, places, weights
-        self.n = len(starts) - 1
-        doc = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(starts))
+class Shard:
+    """A shard as it answers queries, given which words it has: places in the queries' vocabulary, -1 for others."""
+
+    def __init__(self, row: dict, place_of: np.ndarray, idf: np.ndarray, average: float, common: np.ndarray):
+        self.ids, self.n = row["ids"], len(row["ids"])
+        # Ties go to the lesser id, a null id last.
+        self.order = np.argsort(np.array([np.iinfo(np.int64).max if i is None else i for i in self.ids], np.int64), kind="stable").argsort()
+        places, held = place_of[row["places"]], np.diff(row["starts"])
+        asked = places >= 0
+        size = np.repeat(row["sizes"] / max(average, 1e-9), held)[asked]
+        doc, places, tf = np.repeat(np.arange(self.n), held)[asked], places[asked], row["counts"][asked].astype(np.float64)
+        weights = idf[places] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * size)))
+        del size, tf
         order = np.argsort(places, kind="stable")
-        self.posted, self.posted_weights = doc[order], weights[order].astype(np.float32)
-        self.first = np.zeros(n_words + 1, np.int64)
-        np.cumsum(np.bincount(places, minlength=n_words), out=self.first[1:])
-        many = np.diff(self.first)
-        self.common = np.flatnonzero(many > max(8, COMMON * self.n))
-        self.row = np.full(n_words, -1, np.int32)
-        self.row[self.common] = np.arange(len(self.common))
-        blocks = -(-self.n // BLOCK_DOCS)
-        self.highest = np.zeros((len(self.common), blocks), np.float32)
-        for r, word in enumerate(self.common):
+        # Lists hold 64-bit numbers so that they are added up as they are.
+        self.posted, self.weights = doc[order].astype(np.int64), weights[order]
+        self.first = np.zeros(len(idf) + 1, np.int64)
+        np.cumsum(np.bincount(places, minlength=len(idf)), out=self.first[1:])
+        self.blocks = -(-self.n // BLOCK_DOCS)
+        self.common = common
+        self.row = np.full(len(idf), -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        # A common word's list is kept by document, where it can be looked up at any place.
+        self.by_doc = np.zeros((len(common), self.blocks * BLOCK_DOCS))
+        for r, word in enumerate(common):
             s, e = self.first[word], self.first[word + 1]
-            np.maximum.at(self.highest[r], self.posted[s:e] // BLOCK_DOCS, self.posted_weights[s:e])
-        self.scale = np.zeros(n_words)
-        self.table: np.ndarray | None = None
-
-    def ranges(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The positions of many ranges, and which range each is of."""
-        sizes = ends - starts
-        of = np.repeat(np.arange(len(sizes)), sizes)
-        return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes), of
-
-    def full(self, docs: np.ndarray) -> np.ndarray:
-        """Scores of documents that have words, summed in the order of the words, for the query in self.scale."""
-        at, of = self.ranges(self.starts[docs], self.starts[docs + 1])
-        return np.bincount(of, self.scale[self.places[at]] * self.weights[at], len(docs))
-
-    def dense(self) -> np.ndarray:
-        """The weights of the common words in every document."""
-        if self.table is None:
-            self.table = np.zeros((len(self.common), self.n), np.float32)
-            for r, word in enumerate(self.common):
-                s, e = self.first[word], self.first[word + 1]
-                self.table[r, self.posted[s:e]] = self.posted_weights[s:e]
-        return self.table
-
-    def exact(self, query: np.ndarray, idf: np.ndarray, docs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Of docs, those that may be among the k best for a query, all of those that are, and their scores."""
-        self.scale[query] = idf[query]
-        scores = self.full(docs)
-        self.scale[query] = 0
-        found = scores > 0
-        if found.sum() > k:
-            found &= scores >= np.sort(scores[found])[-k]
-        return docs[found], scores[found]
-
-    def best(self, queries: list[np.ndarray], idf: np.ndarray, k: int, floors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """exact() over all documents for each of a batch of queries; documents below a query's floor may be left out."""
-        out: list = [None] * len(queries)
-        rows = [self.row[q] for q in queries]
-        common = np.zeros((len(queries), len(self.common)), np.float32)
-        for i, row in enumerate(rows):
-            common[i, row[row >= 0]] = idf[self.common[row[row >= 0]]]
-        bounds = common @ self.highest
-        left: list[tuple[int, np.ndarray, float]] = []
-        for i, (query, row) in enumerate(zip(queries, rows, strict=True)):
-            rare = query[row < 0]
-            at, of = self.ranges(self.first[rare], self.first[rare + 1])
-            total = np.bincount(self.posted[at], self.posted_weights[at] * idf[rare][of], self.n)
-            least = floors[i]
-            if least <= 0:
-                seeds = np.argpartition(total, -2 * k)[-2 * k :] if self.n > 2 * k else np.arange(self.n)
-                scores = self.exact(query, idf, seeds, k)[1]
-                least = scores.min() if len(scores) >= k else 0.0
-            reach = (total + np.repeat(bounds[i], BLOCK_DOCS)[: self.n]) * (1 + 1e-4) + 1e-6
-            docs = np.flatnonzero(reach >= max(least, 2e-6))
-            if len(docs) <= FEW:
-                out[i] = self.exact(query, idf, docs, k)
-            else:
-                left.append((i, total, least))
-        if left:  # where most blocks may still hold a best document, the common words are added up for all
-            sums = common[[i for i, _, _ in left]] @ self.dense()
-            for (i, total, least), more in zip(left, sums, strict=True):
-                total = total + more
-                if self.n > k:
-                    least = max(least, np.partition(total, -k)[-k] * (1 - 1e-4))
-                out[i] = self.exact(queries[i], idf, np.flatnonzero((total * (1 + 1e-4) + 1e-6 >= least) & (total > 0)), k)
+            self.by_doc[r, self.posted[s:e]] = self.weights[s:e]
+        self.highest = self.by_doc.reshape(len(common), self.blocks, BLOCK_DOCS).max(2).astype(np.float32)
+
+    def added(self, words: np.ndarray) -> np.ndarray:
+        """The sum of the lists of some words, by document; each document's words in ascending order, in every shard."""
+        spans = [(s, e) for s, e in zip(self.first[words].tolist(), self.first[words + 1].tolist(), strict=True) if e > s]
+        if not spans:
+            return np.zeros(self.blocks * BLOCK_DOCS)
+        return np.bincount(np.concatenate([self.posted[s:e] for s, e in spans]), np.concatenate([self.weights[s:e] for s, e in spans]), self.blocks * BLOCK_DOCS)
+
+    def score(self, sums: np.ndarray, rows: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """Full scores: the common words are added one after the other, so that like documents score alike everywhere."""
+        out = sums[docs]
+        for part in self.by_doc[rows[:, None], docs]:
+            out = out + part
         return out
 
+    def one(self, rare: np.ndarray, rows: np.ndarray, bounds: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
+        sums = self.added(rare)
+        # Bounds are made in single precision: the slack covers its rounding.
+        reach = (sums.reshape(self.blocks, BLOCK_DOCS) + bounds[:, None]) * (1 + 1e-4) + 1e-6
+        least = max(floor, 2e-6)
+        docs = np.flatnonzero(reach.ravel()[: self.n] >= least)
+        reach = reach.ravel()[docs]
+        best_docs, best, step = np.zeros(0, np.int64), np.zeros(0), 4 * k
+        while len(docs):
+            if len(docs) > step:
+                at = np.argpartition(reach, -step)[-step:]
+                now, rest = docs[at], np.ones(len(docs), bool)
+                rest[at] = False
+                docs, reach = docs[rest], reach[rest]
+            else:
+                now, docs = docs, docs[:0]
+            scores = self.score(sums, rows, now)
+            best_docs, best = np.concatenate((best_docs, now)), np.concatenate((best, scores))
+            if len(best) > k:
+                keep = np.lexsort((self.order[best_docs], -best))[:k]
+                best_docs, best = best_docs[keep], best[keep]
+            if len(docs) and len(best) == k:  # the threshold rises
+                least = max(least, best.min())
+                held = reach >= least
+                docs, reach = docs[held], reach[held]
+            step *= 2
+        found = (best > 0) & (best >= floor)
+        return best_docs[found], best[found]
+
+    def best(self, queries: list[np.ndarray], k: int, floors: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each of a batch of queries the k best documents and their scores, but for such as lie under its floor."""
+        rows = [self.row[q] for q in queries]
+        marks = np.zeros((len(queries), len(self.common)), np.float32)
+        for i, row in enumerate(rows):
+            marks[i, row[row >= 0]] = 1
+        bounds = marks @ self.highest
+        for query, row, bound, floor in zip(queries, rows, bounds, floors, strict=True):
+            yield self.one(query[row < 0], row[row >= 0], bound, k, floor)
 
-def statistics(docs: DataFrame, vocabulary) -> tuple[int, float, DataFrame]:
-    """Documents, their mean length, and place, df: how many documents have each query word."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = _vocabulary(vocabulary)
-        held, n, length = np.zeros(len(places), np.int64), 0, 0
-        for batch in batches:
-            for value in batch.column(0):
-                words = words_of(value.as_py())
-                n, length = n + 1, length + len(words)
-                found = [i for i in map(places.get, set(words)) if i is not None]
-                held[found] += 1
-        at = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array([-2, -1, *at.tolist()], pa.int64()), pa.array([n, length, *held[at].tolist()], pa.int64())], names=["place", "df"])
 
-    counted = materialise(docs.select("text").mapInArrow(count, "place long, df long").groupBy("place").agg(F.sum("df").alias("df")), "frequencies")
-    whole = {r["place"]: r["df"] for r in counted.filter("place < 0").collect()}
-    n = whole.get(-2, 0)
-    return n, whole.get(-1, 0) / max(1, n), counted.filter("place >= 0")
+def frequencies(shards: DataFrame, asked: DataFrame) -> DataFrame:
+    """word, df: for each word of the queries, how many documents have it."""
+    words = asked.select(F.explode("words").alias("word")).distinct()
+    each = shards.select(F.explode(F.arrays_zip("words", "df")).alias("e")).select(F.col("e.words").alias("word"), F.col("e.df").alias("df"))
+    return materialise(each.groupBy("word").agg(F.sum("df").alias("df")).join(words, "word"), "frequencies")
 
 
-def search_block(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+def search_block(shards: DataFrame, counted: DataFrame, asked: DataFrame, n: int, mean: float, k: int) -> DataFrame:
     """query, doc_id, score: the best of each shard. asked: query and words, a block of them, which comes to the driver as Arrow."""
-    context = docs.sparkSession.sparkContext
+    context = shards.sparkSession.sparkContext
+    known = counted.join(asked.select(F.explode("words").alias("word")).distinct(), "word", "left_semi").toArrow()
+    df = known.column("df").to_numpy().astype(np.float64)
+    vocabulary = known.column("word").combine_chunks()
     block = asked.orderBy("query").toArrow()
     ids = block.column("query").to_pylist()
     lists = block.column("words").combine_chunks()
     lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
-    coded = lists.flatten().dictionary_encode()
-    places = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
-    queries = [np.sort(x) for x in np.split(places, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))[:-1])]
-    known = len(coded.dictionary)
-    vocabulary = context.broadcast(b"\n".join(coded.dictionary.to_pylist()))
-    del block, lists, coded, places
-    n, mean, frequencies = statistics(docs, vocabulary)
-    df = np.zeros(known)
-    found = frequencies.toArrow()  # a number for each word of a block of queries
-    df[found.column("place").to_numpy()] = found.column("df").to_numpy()
+    places = pa.compute.index_in(lists.flatten(), value_set=vocabulary).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int32)
+    queries = [np.sort(x[x >= 0]) for x in np.split(places, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))[:-1])]
     idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-    sent = context.broadcast((ids, queries, idf, mean))
-    # The k-th best score among a part of the documents bounds the k-th best among all from below: the other
+    sent = context.broadcast((b"\n".join(vocabulary.to_pylist()), ids, queries, idf, mean, np.flatnonzero(df > n / COMMON)))
+    del known, vocabulary, block, lists, places
+    # The k-th best score among the pilot shards bounds the k-th best among all from below: the other
     # shards need not send what lies under it, so what is sent for a query doesn't grow with their number.
-    apart = F.pmod(F.xxhash64("doc_id", "text"), F.lit(PARTS)) == 0
     none = context.broadcast(np.zeros(len(ids)))
-    part = docs.filter(apart)
-    part = part.coalesce(max(1, part.rdd.getNumPartitions() // PARTS))  # as full shards as the rest, without moving them
-    first = materialise(_ranked(_search(part, vocabulary, sent, none, k), k), "first-best")
+    first = materialise(_ranked(_search(shards.filter("pilot"), sent, none, k), k), "first-best")
     floors = np.zeros(len(ids))
     place_of = {q: i for i, q in enumerate(ids)}
     for r in first.filter(F.col("rank") == k).select("query", "score").collect():  # a number for each query of a block
         floors[place_of[r["query"]]] = r["score"]
-    rest = _search(docs.filter(~apart), vocabulary, sent, context.broadcast(floors), k)
-    return first.drop("rank").unionByName(rest)
+    rest = _search(shards.filter("NOT pilot"), sent, context.broadcast(floors), k)
+    return first.drop("rank").unionByName(materialise(rest, "best"))
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -202,42 +231,35 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def _search(docs: DataFrame, vocabulary, sent, floors, k: int) -> DataFrame:
+def _places(sent) -> dict[bytes, int]:
+    """The place of each query word, built once a worker."""
+    if _WORDS.get("of") is not sent.value:
+        words = sent.value[0]
+        _WORDS.update({"of": sent.value, "places": {w: i for i, w in enumerate(words.split(b"\n"))} if words else {}})
+    return _WORDS["places"]
+
+
+def _search(shards: DataFrame, sent, floors, k: int) -> DataFrame:
     """query, doc_id, score: what each shard may add to the best."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = _vocabulary(vocabulary)
-        q_ids, q_places, weight, average = sent.value
-        low = floors.value * (1 - 1e-12)
-        doc_ids, starts, found, weights = [], [0], [], []
-
-        def answer() -> pa.RecordBatch:
-            shard = Shard(np.array(starts), np.concatenate(found), np.concatenate(weights), len(places))
-            out_q, out_d, out_s = [], [], []
-            for at in range(0, len(q_ids), BATCH):
-                for q, floor, (docs_found, scores) in zip(q_ids[at:], low[at:], shard.best(q_places[at : at + BATCH], weight, k, low[at : at + BATCH]), strict=False):
-                    keep = scores >= floor
-                    out_q += [q] * int(keep.sum())
-                    out_d += [doc_ids[i] for i in docs_found[keep].tolist()]
-                    out_s.append(scores[keep])
-            return pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_d, pa.int64()), pa.array(np.concatenate(out_s))], names=["query", "doc_id", "score"])
-
+        places, low = _places(sent).get, floors.value
+        _, q_ids, q_places, idf, average, common = sent.value
         for batch in batches:
-            for doc, value in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                words = words_of(value.as_py())
-                mine = np.array([i for i in map(places.get, words) if i is not None], np.int64)
-                mine, tf = np.unique(mine, return_counts=True)
-                doc_ids.append(doc)
-                found.append(mine)
-                weights.append(tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / max(average, 1e-9))))
-                starts.append(starts[-1] + len(mine))
-                if len(doc_ids) >= SHARD_DOCS:
-                    yield answer()
-                    doc_ids, starts, found, weights = [], [0], [], []
-        if doc_ids:
-            yield answer()
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(search, "query long, doc_id long, score double")
+            for i in range(batch.num_rows):
+                row = {name: np.frombuffer(batch.column(name)[i].as_buffer(), kind) for name, kind in (("sizes", np.int64), ("starts", np.int64), ("places", np.int32), ("counts", np.int32))}
+                row["ids"] = batch.column("ids")[i].as_py()
+                place_of = np.array([places(w, -1) for w in batch.column("words")[i].values.to_pylist()], np.int64)
+                shard = Shard(row, place_of, idf, average, common)
+                out_q, out_d, out_s = [], [], [np.zeros(0)]
+                for at in range(0, len(q_ids), BATCH):
+                    for q, (found, scores) in zip(q_ids[at : at + BATCH], shard.best(q_places[at : at + BATCH], k, low[at : at + BATCH]), strict=True):
+                        out_q += [q] * len(found)
+                        out_d += [shard.ids[d] for d in found.tolist()]
+                        out_s.append(scores)
+                yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_d, pa.int64()), pa.array(np.concatenate(out_s))], names=["query", "doc_id", "score"])
+
+    return shards.select("ids", "sizes", "starts", "places", "counts", "words").mapInArrow(search, "query long, doc_id long, score double")
 
 
 def top_k(docs: DataFrame, queries: DataFrame, k: int = K, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -253,8 +275,13 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = K, block_words: int = BL
     total = asked.agg(F.sum(F.size("words"))).first()[0] or 0
     blocks = -(-total // block_words)
     out = docs.sparkSession.createDataFrame([], "query long, doc_id long, score double")
+    if blocks:
+        shards = index(docs)
+        whole = shards.agg(F.sum("n").alias("n"), F.sum("length").alias("length")).first()
+        n, mean = whole["n"] or 0, (whole["length"] or 0) / max(1, whole["n"] or 0)
+        counted = frequencies(shards, asked)
     for b in range(blocks):
-        out = out.unionByName(search_block(docs, asked.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b), k))
+        out = out.unionByName(search_block(shards, counted, asked.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b), n, mean, k))
     return _ranked(out, k).select("query", "rank", "doc_id", "score")
 
 

@@ -23,20 +23,22 @@ def brute(docs, queries, k):
             size = sum(b.values())
             x = sum(math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * b[w] * 2.2 / (b[w] + 1.2 * (0.25 + 0.75 * size / mean)) for w in words if w in b)
             if x > 0:
-                scored.append((-x, i))
-        out[q] = sorted(scored)[:k]
+                scored.append((-round(x, 9), i))
+        out[q] = sorted(scored, key=lambda e: (e[0], e[1] is None, e[1]))[:k]
     return out
 
 
 def agree(rows, want):
+    """Ids, ranks and scores. Scores within rounding of each other are ties, which go to the lesser id."""
     got = {}
     for r in sorted(rows, key=lambda r: r["rank"]):
-        got.setdefault(r[0], []).append((r["doc_id"], r["score"]))
+        got.setdefault(r[0], []).append((r["rank"], r["doc_id"], r["score"]))
+    assert set(got) == {q for q, best in want.items() if best}
     for q, best in want.items():
         mine = got.get(q, [])
-        assert len(mine) == len(best)
-        for (doc, score), (x, i) in zip(mine, best, strict=True):
-            assert abs(score + x) < 1e-9 * max(1, abs(x)) and (doc == i or abs(score - dict(((d, y) for d, y in mine)).get(i, score)) < 1e-9 * abs(x)), (q, mine, best)
+        assert [r for r, _, _ in mine] == list(range(1, len(best) + 1))
+        for (_, doc, score), (x, i) in zip(mine, best, strict=True):
+            assert doc == i and abs(score + x) < 1e-9 * max(1, abs(x)), (q, mine, best)
 
 
 @pytest.mark.parametrize("shard", [8192, 37])
@@ -52,6 +54,39 @@ def test_against_every_document(spark, documents, monkeypatch, shard):
     agree(rows, brute(list(enumerate(texts)), [(i, t) for i, t in enumerate(texts) if i % 7 == 0], 5))
 
 
+def test_ties_go_to_the_lesser_id_whatever_the_shard(spark, monkeypatch):
+    """Many copies over shards and partitions, ids falling, repeated and null."""
+    monkeypatch.setattr(s, "SHARD_DOCS", 7)
+    rows = [(900 - i, "a b c d" if i % 3 else f"a b x{i}") for i in range(90)] + [(5, "a b c d")] * 3 + [(None, "a b c d")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    queries = spark.createDataFrame([(1, "a c"), (2, "d d D"), (3, "x3 a"), (4, "nothing here")], "query long, text string")
+    agree(s.top_k(docs, queries, k=6).collect(), brute(rows, [(1, "a c"), (2, "d"), (3, "x3 a"), (4, "nothing here")], 6))
+    everything = s.top_k(docs, queries.filter("query = 2"), k=100).collect()
+    assert [r["doc_id"] for r in sorted(everything, key=lambda r: r["rank"])] == [*[5] * 3, *sorted(i for i, t in rows if t == "a b c d" and i not in (5, None)), None, None]
+
+
+def test_blocks_are_skipped(documents, monkeypatch):
+    """Most documents are never scored in full, and a floor leaves fewer."""
+    rnd = random.Random(8)
+    vocabulary = [f"w{int(rnd.paretovariate(0.8))}" for _ in range(4000)]
+    texts = [" ".join(rnd.choice(vocabulary) for _ in range(60)) for _ in range(1000)]
+    shard = s.Collected(False)
+    for i, t in enumerate(texts):
+        shard.add(i, s.words_of(t))
+    row = shard.row().to_pylist()[0]
+    row = {c: __import__("numpy").frombuffer(row[c], k) if k else row[c] for c, k in (("ids", None), ("sizes", "i8"), ("starts", "i8"), ("places", "i4"), ("counts", "i4"))}
+    np = s.np
+    df = np.bincount(row["places"]).astype(float)
+    idf = np.log(1 + (1000 - df + 0.5) / (df + 0.5))
+    made = s.Shard(row, np.arange(len(df)), idf, 60.0, np.flatnonzero(df > 1000 / s.COMMON))
+    scored = []
+    whole = made.score
+    made.score = lambda sums, rows, docs: (scored.append(len(docs)), whole(sums, rows, docs))[1]
+    queries = [row["places"][row["starts"][i] : row["starts"][i + 1]] for i in range(0, 1000, 50)]
+    found = list(made.best(queries, 3, np.zeros(len(queries))))
+    assert sum(scored) < 0.5 * 1000 * len(queries) and all(i * 50 in docs for i, (docs, _) in enumerate(found))
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
