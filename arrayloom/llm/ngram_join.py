@@ -12,8 +12,10 @@
    blocks, which gives the exact links, also such as no path has found.
 
 Defined results: words are separated by blanks and compared as written; a text of one to four words is
-one shingle, a text without words (or null) is like nothing; rows that share an id are one document;
-a null id takes part under a negative number made from its text; an empty table gives an empty result.
+one shingle, a text without words (or null) is like nothing; a document is an id with a set of shingles,
+so rows that repeat both are one document, and rows of one id with other words are others; a null id
+takes part under a negative number made from its text; columns other than doc_id and text are not read,
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ WORDS, THRESHOLD = 5, 0.8
 COORDINATES, BRANCH, RECALL = 64, 1.25, 0.9995
 FIRST_DEPTH, STEP_DEPTH, LAST_DEPTH = 2, 2, 6
 BUCKET, BLOCK = 256, 128
+#: A component's members are dealt into so many parts at most, which bounds how often its sets are repeated.
+PARTS = 64
 #: Agreement of tokens from which a pair is a candidate: five standard deviations below the threshold.
 AGREEMENT = 0.55
 #: Ids are broadcast up to so many (16 bytes each), else joined by shuffle.
@@ -104,7 +108,7 @@ def _id():
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """id, same (a digest of the set of shingles, null without any), tokens."""
+    """id, key (a hash of the text), same (a digest of the set of shingles, null without any), tokens: a row a row of docs."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -115,9 +119,9 @@ def sketches(docs: DataFrame) -> DataFrame:
                 s = shingles(value.as_py())
                 same.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 tokens.append(minhash(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(same, pa.binary()), pa.array(tokens, pa.binary())], names=["id", "same", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(same, pa.binary()), pa.array(tokens, pa.binary())], names=["id", "key", "same", "tokens"])
 
-    return docs.select(_id().alias("id"), "text").mapInArrow(sketch, "id long, same binary, tokens binary")
+    return docs.select(_id().alias("id"), F.xxhash64("text").alias("key"), "text").mapInArrow(sketch, "id long, key long, same binary, tokens binary")
 
 
 def _descend(path: np.ndarray, row: np.ndarray, tokens: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
@@ -193,9 +197,9 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield held
 
 
-def _blocked(rows: DataFrame, key: str, size: str, member: str, block: int) -> DataFrame:
-    """rows with side, p, q: each member of a group once for every pair of blocks that its own block is in."""
-    blocks = F.ceil(F.col(size) / block).cast("int")
+def _blocked(rows: DataFrame, size: str, member: str, block: int, most: int = 1 << 30) -> DataFrame:
+    """rows with side, p, q: each member of a group once for every pair of blocks that its own block is in; most: blocks at most."""
+    blocks = F.least(F.ceil(F.col(size) / block), F.lit(most)).cast("int")
     mine = F.pmod(F.xxhash64(F.col(member), F.lit(7)), blocks).cast("int")
     out = rows.withColumn("side", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     return out.withColumn("p", F.least("side", "other")).withColumn("q", F.greatest("side", "other")).drop("other")
@@ -235,47 +239,72 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(x[:, 0], x[:, 1])), pa.array(np.maximum(x[:, 0], x[:, 1]))], names=["a", "b"])
 
 
-def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all pairs of sorted sets."""
-    n = len(sets)
-    every, place = np.unique(np.concatenate(sets), return_inverse=True)
-    row = np.repeat(np.arange(n), [len(s) for s in sets])
+def overlaps(sets: list[np.ndarray], others: list[np.ndarray] | None = None) -> np.ndarray:
+    """Sizes of the intersections of sorted sets with others, or of all pairs of them."""
+    n, whole = len(sets), sets + (others or [])
+    every, place = np.unique(np.concatenate(whole), return_inverse=True)
+    row = np.repeat(np.arange(len(whole)), [len(s) for s in whole])
     shared = np.bincount(place, minlength=len(every)) > 1  # what only one set has can't be common
     keep = shared[place]
     place, row = (np.cumsum(shared) - 1)[place[keep]], row[keep]
-    out = np.zeros((n, n), np.float32)
+    out = np.zeros((n, len(others) if others else n), np.float32)
     order = np.argsort(place, kind="stable")
     place, row = place[order], row[order]
     width = 8192
     for at in range(0, int(shared.sum()), width):
         s, e = np.searchsorted(place, [at, at + width])
-        dense = np.zeros((n, width), np.float32)
+        dense = np.zeros((len(whole), width), np.float32)
         dense[row[s:e], place[s:e] - at] = 1
-        out += dense @ dense.T
+        out += dense[:n] @ (dense[n:] if others else dense).T
     return out
 
 
+def _linked(sets: list[np.ndarray], copies: np.ndarray, threshold: float, mine: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """For each set how many documents of the other side link to it, and places of sets that connect what is linked.
+
+    mine, other: places of the sets of two sides, or the same, by size; BLOCK of them are compared at a time, and not
+    those whose sizes alone rule a link out.
+    """
+    size, same = np.array([len(s) for s in sets], np.float64), mine is other
+    links, tree = np.zeros(len(sets), np.int64), []
+    for s in range(0, len(mine), BLOCK):
+        a = mine[s : s + BLOCK]
+        for t in range(s if same else 0, len(other), BLOCK):
+            b = other[t : t + BLOCK]
+            if size[b[0]] * threshold > size[a[-1]]:
+                break
+            if size[a[0]] * threshold > size[b[-1]]:
+                continue
+            one = same and s == t
+            both = overlaps([sets[i] for i in a], None if one else [sets[i] for i in b])
+            linked = (both >= threshold * (size[a][:, None] + size[b][None, :] - both) - 1e-9) & (a[:, None] != b[None, :])
+            links[a] += linked @ copies[b]
+            if not one:
+                links[b] += copies[a] @ linked
+            x, y = np.nonzero(linked)
+            nodes = a if one else np.concatenate((a, b))
+            tree += [(nodes[i], nodes[j]) for i, j in stars(len(nodes), x, y if one else y + len(a))]
+    return links, tree
+
+
 def exact_links(rows: DataFrame, threshold: float) -> DataFrame:
     """a, b, n: for each set a, how many documents other sets of its component link it to (b null), and edges that connect linked sets (n 0)."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, ["component", "p", "q"]):
-            group = group.sort_by("rep")
-            ids, side, copies = (group.column(c).to_numpy() for c in ("rep", "side", "copies"))
-            sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
-            n = len(ids)
-            if n < 2:
+            ids, first = np.unique(group.column("rep").to_numpy(), return_index=True)
+            if len(ids) < 2:
                 continue
-            size = np.array([len(s) for s in sets], np.float64)
-            both = overlaps(sets)
-            linked = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9
-            linked &= ids[:, None] != ids[None, :]
+            group = group.take(first)  # rows that repeat a document brought its set again
+            side, copies = group.column("side").to_numpy(), group.column("copies").to_numpy().astype(np.int64)
+            sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
+            by_size = np.argsort([len(s) for s in sets], kind="stable")
             p, q = group.column("p")[0].as_py(), group.column("q")[0].as_py()
-            if p != q:  # pairs of one block are met where the block is paired with itself
-                linked &= side[:, None] != side[None, :]
-            links = linked @ copies.astype(np.int64)
-            x, y = np.nonzero(np.triu(linked))
-            tree = stars(n, x, y)
+            if p != q and not (np.any(side == p) and np.any(side == q)):
+                continue
+            links, tree = _linked(sets, copies, threshold, *((by_size, by_size) if p == q else (by_size[side[by_size] == p], by_size[side[by_size] == q])))
+            if len(tree) >= len(ids):  # as many as connect them are enough
+                tree = stars(len(ids), *np.array(tree).T)
             a = [*ids[links > 0].tolist(), *[int(ids[i]) for i, _ in tree]]
             b = [*[None] * int((links > 0).sum()), *[int(ids[j]) for _, j in tree]]
             c = [*links[links > 0].tolist(), *[0] * len(tree)]
@@ -287,29 +316,44 @@ def exact_links(rows: DataFrame, threshold: float) -> DataFrame:
 
 
 def with_shingles(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """members with the set of shingles of their document. Members are broadcast up to a checked number, so texts stay where they are."""
+    """members (id, same and others) with their set of shingles, once for each row of their document. Members are broadcast up to a checked number, so texts stay where they are."""
     small = members.count() <= BROADCAST_IDS
-    columns = [c for c in members.columns if c != "rep"]
-    rows = docs.select(_id().alias("rep"), "text").join(F.broadcast(members) if small else members, "rep").select("rep", *columns, "text")
+    columns = [c for c in members.columns if c not in ("id", "same")]
+    rows = docs.select(_id().alias("id"), "text").join(F.broadcast(members) if small else members, "id").select(*columns, "same", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for batch in batches:
             sets = [shingles(x.as_py()).tobytes() for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sets, pa.binary())], names=["rep", *columns, "shingles"])
+            sets = [s if xxhash.xxh3_128_digest(s) == same else None for s, same in zip(sets, batch.column("same").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(sets, pa.binary())], names=[*columns, "shingles"])
 
-    schema = f"rep long, {', '.join(f'{f.name} {f.dataType.simpleString()}' for f in members.schema.fields if f.name != 'rep')}, shingles binary"
-    return rows.mapInArrow(cut, schema).filter(F.length("shingles") > 0)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema.fields if f.name in columns)
+    return rows.mapInArrow(cut, f"{schema}, shingles binary").filter("shingles IS NOT NULL")
 
 
-def similar(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """id, class_id, n_links for each row of docs.
+def _distinct(drawn: DataFrame) -> DataFrame:
+    """same, id, copies, tokens, rep: a row a set, with the least of its documents' ids and their number.
 
-    class_id is the least id of the documents that links connect with it; n_links counts the other
-    documents whose similarity is at least threshold, copies included.
+    rep names the set: its id, or a negative number where several sets have that id.
     """
+    each = drawn.filter("same IS NOT NULL").groupBy("same", "id").agg(F.first("tokens").alias("tokens"))
+    sets = materialise(each.groupBy("same").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("tokens").alias("tokens")), "sets")
+    twice = materialise(sets.groupBy("id").count().filter("count > 1").select("id"), "ids-of-several")
+    n = twice.count()
+    if not n:
+        return sets.withColumn("rep", F.col("id"))
+    twice = F.broadcast(twice) if n <= BROADCAST_IDS else twice
+    own = sets.join(twice, "id", "left_anti").withColumn("rep", F.col("id"))
+    named = sets.join(twice, "id", "left_semi").withColumn("rep", -1 - F.shiftrightunsigned(F.xxhash64("same"), 1))
+    return materialise(own.unionByName(named), "sets")
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """id, key, same, node, class_id, n_links for each row of docs; node names the class, null where a document is its only one."""
     drawn = materialise(sketches(docs), "sketches")
-    sets = drawn.filter("same IS NOT NULL").groupBy("same").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("tokens").alias("tokens"))
-    sets = materialise(sets, "sets")
+    sets = _distinct(drawn)
     paths = materialise(first_paths(sets, runs_needed(recall, threshold)), "paths")
     links, depth = [], FIRST_DEPTH
     while True:
@@ -318,7 +362,7 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
         shared = materialise(shared, "shared")
         last = depth >= LAST_DEPTH
         fits = shared if last else shared.filter(F.col("size") <= BUCKET)
-        links.append(materialise(candidate_links(_blocked(fits, "path", "size", "rep", BUCKET)).distinct(), "candidates"))
+        links.append(materialise(candidate_links(_blocked(fits, "size", "rep", BUCKET)).distinct(), "candidates"))
         deeper = shared.filter(F.col("size") > BUCKET)
         if last or not deeper.limit(1).count():
             break
@@ -328,39 +372,60 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
         candidates = candidates.unionByName(more)
     members = components(candidates).withColumnRenamed("node", "rep")
     sizes = members.groupBy("component").agg(F.count("*").alias("size"))
-    members = materialise(members.join(sizes, "component").join(sets.groupBy("rep").agg(F.sum("copies").alias("copies")), "rep"), "members")
-    blocks = _blocked(with_shingles(docs, members), "component", "size", "rep", BLOCK)
+    members = materialise(members.join(sizes, "component").join(sets.select("rep", "id", "same", "copies"), "rep"), "members")
+    blocks = _blocked(with_shingles(docs, members), "size", "rep", BLOCK, PARTS)
     found = materialise(exact_links(blocks.select("component", "p", "q", "side", "rep", "copies", "shingles"), threshold), "links")
     linked = found.filter("b IS NULL").groupBy("a").agg(F.sum("n").alias("linked")).withColumnRenamed("a", "rep")
-    classes = components(found.filter("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "rep")
-    known = sets.select("same", "rep", "copies").join(classes, "rep", "left").join(linked, "rep", "left").filter("copies > 1 OR linked IS NOT NULL")
-    known = known.select("same", F.coalesce("component", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    joined = components(found.filter("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "rep")
+    known = sets.select("same", "rep", "id", "copies").join(joined, "rep", "left").join(linked, "rep", "left").filter("copies > 1 OR linked IS NOT NULL")
+    known = materialise(known.select("same", "id", F.coalesce("component", "rep").alias("node"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")), "classes")
+    known = known.join(known.groupBy("node").agg(F.min("id").alias("class_id")), "node").drop("id")
     # A class of copies may hold a third of all rows: its few columns are repeated for each salt.
-    known = materialise(known, "classes").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = drawn.select("id", "same", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
+    known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = drawn.select("id", "key", "same", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
     out = rows.join(known, ["same", "salt"], "left")
-    return out.select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select("id", "key", "same", "node", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def representatives(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without all but one document of each class: the one with the least id. Texts move only if the ids to drop outgrow a broadcast."""
-    key, dropped = unused(docs, "__id", "__dropped")
-    found = materialise(similar(docs, threshold), "similar")
-    gone = materialise(found.filter("id <> class_id").select(F.col("id").alias(dropped)).distinct(), "dropped")
-    twice = materialise(found.filter("id = class_id").groupBy("id").count().filter("count > 1").select(F.col("id").alias(dropped)), "repeated")
-    keyed = docs.withColumn(key, _id())
-    own = [F.col(f"`{c}`") for c in docs.columns]
+def similar(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """id, class_id, n_links for each row of docs.
+
+    class_id is the least id of the documents that links connect with it; n_links counts the other
+    documents whose similarity is at least threshold, copies included.
+    """
+    return classes(docs, threshold, recall).select("id", "class_id", "n_links")
 
-    def checked(ids: DataFrame) -> DataFrame:
-        return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
-    kept = keyed.join(checked(gone), keyed[key] == gone[dropped], "left_anti")
-    if not twice.limit(1).count():
+def representatives(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """docs without all but one row of each class: one of its document with the least id. Texts move only if what goes outgrows a broadcast.
+
+    What goes is told by id and text, so a row stays unless its own text has another that represents it.
+    """
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    id_, key, gone_id, gone_key = unused(docs, "__id", "__key", "__gone_id", "__gone_key")
+    found = materialise(classes(docs, threshold), "similar")
+    grouped = found.filter("node IS NOT NULL")
+    first = grouped.groupBy("node").agg(F.min(F.struct("id", "key")).alias("r")).select("r.id", "r.key")
+    gone = grouped.select("id", "key").distinct().join(first, ["id", "key"], "left_anti")
+    twice = materialise(found.groupBy("id").count().filter("count > 1").select("id"), "repeated")
+    n_twice = twice.count()
+
+    def checked(ids: DataFrame, n: int) -> DataFrame:
+        return F.broadcast(ids) if n <= BROADCAST_IDS else ids
+
+    if n_twice:  # rows of one id: those with the same words, or none, are one document
+        alike = found.filter("node IS NULL").join(checked(twice, n_twice), "id", "left_semi").select("id", "same", "key").distinct()
+        least = alike.groupBy("id", "same").agg(F.min("key").alias("key"))
+        gone = gone.unionByName(alike.join(least, ["id", "key"], "left_anti").select("id", "key"))
+    gone = materialise(gone.select(F.col("id").alias(gone_id), F.col("key").alias(gone_key)), "dropped")
+    keyed = docs.withColumn(id_, _id()).withColumn(key, F.xxhash64("text"))
+    kept = keyed.join(checked(gone, gone.count()), (F.col(id_) == F.col(gone_id)) & (F.col(key) == F.col(gone_key)), "left_anti")
+    if not n_twice:
         return kept.select(*own)
-    again = checked(twice)  # rows that share an id: one stays
-    once = kept.join(again, kept[key] == twice[dropped], "left_anti")
-    first = kept.join(again, kept[key] == twice[dropped], "left_semi").dropDuplicates([key])
-    return once.select(*own).unionByName(first.select(*own))
+    again = checked(twice.select(F.col("id").alias(gone_id)), n_twice)  # of rows that are alike in all, one stays
+    once = kept.join(again, F.col(id_) == F.col(gone_id), "left_anti")
+    one = kept.join(again, F.col(id_) == F.col(gone_id), "left_semi").dropDuplicates([id_, key])
+    return once.select(*own).unionByName(one.select(*own))
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

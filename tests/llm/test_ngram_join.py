@@ -90,14 +90,97 @@ def test_query(spark):
     check(j.op5_ngram_join(spark, sf).collect(), [r["text"] for r in docs])
 
 
-def test_one_of_each_class_stays(spark, documents, texts):
-    docs = documents(*texts)
-    again = docs.union(docs.filter("doc_id < 20")).union(docs.limit(2).withColumn("doc_id", F.lit(None).cast("long")))
-    kept = j.representatives(again)
-    _, least = brute(texts)
-    ids = sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None)
+def as_documents(rows):
+    """Rows (id, text) as documents, ids with a set, in the order of their ids; links and least id of the class of each."""
+    known = sorted({(i, sets_of(t)) for i, t in rows if sets_of(t)}, key=lambda d: (d[0], sorted(d[1])))
+    holders, links, root = defaultdict(set), [0] * len(known), list(range(len(known)))
+    for k, (_, s) in enumerate(known):
+        for x in s:
+            holders[x].add(k)
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, (_, s) in enumerate(known):
+        for m in set().union(*(holders[x] for x in s)) - {k}:
+            both = len(s & known[m][1])
+            if both >= 0.8 * (len(s) + len(known[m][1]) - both) - 1e-9:
+                links[k] += 1
+                p, q = find(k), find(m)
+                root[max(p, q)] = min(p, q)
+    return {d: (links[k], known[find(k)][0], find(k)) for k, d in enumerate(known)}
+
+
+def repeated_rows(texts):
+    """Rows with ids repeated: whole rows, with other blanks, with near and with other words; without words; null."""
+    rows = list(enumerate(texts))
+    rows += rows[:25] * 2 + [(i, f" {texts[i]}  ") for i in range(5, 20)] + [(i, texts[i + 40]) for i in range(10)] + [(i, f"{texts[i]} more") for i in range(20, 30)]
+    return rows + [(3, None), (3, ""), (7, " "), (None, texts[0]), (None, texts[0]), (None, "only this one here"), (None, None), (None, None)]
+
+
+def with_ids(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    given = {r["text"]: r["id"] for r in docs.filter("doc_id IS NULL").select("text", j._id().alias("id")).distinct().collect()}
+    return docs, [(given[t] if i is None else i, t) for i, t in rows]
+
+
+def test_small_repeats(spark):
+    base = [f"w{i}" for i in range(40)]
+    one, two = " ".join(base), " ".join([*base, "end"])
+    for rows, want in (([(1, one), (1, one), (4, two)], {1: (1, 1), 4: (1, 1)}), ([(1, one)] * 3, {1: (1, 0)}), ([(1, one), (2, one), (2, one)], {1: (1, 1), 2: (1, 1)})):
+        got = j.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert len(got) == len(rows) and {r["id"]: (r["class_id"], r["n_links"]) for r in got} == want
+
+
+def test_repeated_ids(spark, texts):
+    docs, rows = with_ids(spark, repeated_rows(texts))
+    want = as_documents(rows)
+    got = sorted((r["id"], r["class_id"], r["n_links"]) for r in j.similar(docs).collect())
+    assert got == sorted((i, *((want[i, sets_of(t)][1], want[i, sets_of(t)][0]) if sets_of(t) else (i, 0))) for i, t in rows)
+
+
+@pytest.mark.parametrize("bound", [j.BROADCAST_IDS, 0])
+def test_one_of_each_class_stays(spark, texts, monkeypatch, bound):
+    monkeypatch.setattr(j, "BROADCAST_IDS", bound)
+    docs, rows = with_ids(spark, repeated_rows(texts))
+    docs = docs.withColumn("id", F.lit("clash")).withColumn("__key", F.lit(1))
+    want = as_documents(rows)
+    kept = j.representatives(docs)
     assert kept.columns == docs.columns
-    assert ids == sorted(i for i in range(len(texts)) if least[i] == i) or set(ids) < {i for i in range(len(texts)) if least[i] == i}
+    mine = kept.withColumn("given", j._id()).collect()
+    wordless = sorted(r["given"] for r in mine if not sets_of(r["text"]))
+    assert wordless == sorted({i for i, t in rows if not sets_of(t)})
+    classes = [want[r["given"], sets_of(r["text"])] for r in mine if sets_of(r["text"])]
+    assert sorted(c for _, _, c in classes) == sorted({c for _, _, c in want.values()})  # one row a class
+    assert all(r["given"] == want[r["given"], sets_of(r["text"])][1] for r in mine if sets_of(r["text"]))
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs at 0.8 to 0.83, each alone, without the help of other copies."""
+    rnd = random.Random(3)
+    rows = []
+    for g in range(400):
+        words = [f"p{g}w{rnd.randrange(10**6)}" for _ in range(204)]
+        new = list(words)
+        for at in rnd.sample(range(0, 200, 6), 4):
+            new[at + 2] = f"x{g}_{at}"
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(new))]
+    alike = [k for k in range(400) if len(a := sets_of(rows[2 * k][1])) and len(a & (b := sets_of(rows[2 * k + 1][1]))) >= 0.8 * len(a | b)]
+    got = {r["id"]: r["n_links"] for r in j.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    recall = sum(got[2 * k] for k in alike) / len(alike)
+    print(f"recall at the threshold: {recall:.4f} of {len(alike)} pairs")
+    assert len(alike) > 300 and recall >= 0.99
+
+
+def test_parts_of_a_large_group(spark, documents, monkeypatch):
+    """A chain of near copies, dealt into few parts, each compared in small blocks."""
+    monkeypatch.setattr(j, "BLOCK", 16)
+    monkeypatch.setattr(j, "PARTS", 3)
+    words = [f"c{i}" for i in range(400)]
+    texts = [" ".join(words[k : k + 100]) for k in range(300)]
+    check(j.similar(documents(*texts)).withColumnRenamed("id", "doc_id").collect(), texts)
 
 
 def test_empty(spark, documents):
@@ -110,3 +193,4 @@ def test_overlaps():
     sets = [np.unique(rnd.integers(0, 20_000, n).astype(np.uint64)) for n in (1, 50, 9000, 15_000)]
     want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
     assert (j.overlaps(sets)[np.triu_indices(4, 1)] == np.array(want)[np.triu_indices(4, 1)]).all()
+    assert (j.overlaps(sets[:3], sets[1:]) == np.array(want)[:3, 1:]).all()
