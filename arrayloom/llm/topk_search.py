@@ -2,9 +2,10 @@
 
 The index is built once, where the documents are read, and written to the shared folder: a row a shard of
 at most SHARD_DOCS documents, with its words, its documents' word counts, and the documents it has of each
-word. One document in PARTS, by a hash, goes to pilot shards of their own. Statistics (documents, their
-mean length, each query word's document frequency) are global and taken from the index, so a shard's
-scores are final and the shards' best k merge exactly.
+word. One document in PARTS, by a hash, is moved to pilot shards of their own, and one in PARTS of these to
+others, until a level fits in one shard. Statistics (documents, their mean length, each query word's
+document frequency) are global and taken from the index, so a shard's scores are final and the shards'
+best k merge exactly.
 
 Queries meet the shards in blocks of bounded size. For one query, a shard's posting lists fall in two: words
 that at most one document in COMMON has are read in full and added up, as any document that holds
@@ -12,8 +13,9 @@ one of them may be a result; words more common than that have, for each block of
 highest weight in it. What a document has so far plus the sum of its block's maxima bounds its score.
 Documents under the threshold are skipped without a look at their common words, and with them
 whole blocks. The others are scored in full from the highest bound down, and each result raises the threshold,
-until no bound reaches it. The threshold begins at the k-th best score of the pilot shards, which are
-searched first, or else of the shard's likeliest documents. There is one path for all queries: where
+until no bound reaches it. The threshold begins at the k-th best score that the levels of pilot shards searched
+before have found: a level has about PARTS * k documents above it for each query, whatever its size, so what
+is sent and scored grows with the queries and not with the shards. There is one path for all queries: where
 bounds are of no use, more documents are scored in full.
 
 Defined results: words are separated by blanks, in lower case; each distinct word of a query counts
@@ -25,6 +27,8 @@ names; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,13 +43,13 @@ from ._shared import materialise, table
 K1, B, K = 1.2, 0.75, 10
 #: A shard ends at so many documents or entries of its posting lists (one long text may exceed these).
 SHARD_DOCS, SHARD_POSTINGS, BLOCK_DOCS = 8192, 4_000_000, 4
-#: One document in so many is searched first, for a floor under the scores of the rest.
+#: One document in so many is searched before the rest, for a floor under their scores.
 PARTS = 8
 #: Queries whose bounds are made together, and words of the queries that are sent to the shards at once.
 BATCH, BLOCK_WORDS = 64, 2_000_000
 #: The most common words, those that more than one document in so many has, are bounded by block.
 COMMON = 12
-INDEX = "pilot boolean, n long, length long, ids array<long>, sizes binary, starts binary, places binary, counts binary, words array<binary>, df array<int>"
+INDEX = "level int, n long, length long, ids array<long>, sizes binary, starts binary, places binary, counts binary, words array<binary>, df array<int>"
 _WORDS: dict = {}
 
 
@@ -56,57 +60,71 @@ def words_of(text: str | None) -> list[bytes]:
 class Collected:
     """The documents of a shard while it is built."""
 
-    def __init__(self, pilot: bool):
-        self.pilot, self.known = pilot, {}
-        self.ids, self.sizes, self.places, self.counts, self.postings = [], [], [], [], 0
+    def __init__(self, level: int):
+        self.level, self.known = level, {}
+        self.ids, self.sizes, self.starts, self.places, self.counts = [], [], array("q", [0]), array("i"), array("i")
 
     def add(self, doc_id: int | None, words: list[bytes]) -> None:
-        known = self.known
-        places = list(map(known.get, words))
+        known, held = self.known, Counter(words)
+        places = list(map(known.get, held))
         if None in places:
-            for i, place in enumerate(places):
-                if place is None:
-                    places[i] = known.setdefault(words[i], len(known))
-        mine, counts = np.unique(np.array(places, np.int32), return_counts=True)
+            for i, word in enumerate(held):
+                if places[i] is None:
+                    places[i] = known[word] = len(known)
         self.ids.append(doc_id)
         self.sizes.append(len(words))
-        self.places.append(mine)
-        self.counts.append(counts.astype(np.int32))
-        self.postings += len(mine)
+        self.places.extend(places)
+        self.counts.extend(held.values())
+        self.starts.append(len(self.places))
 
     def full(self) -> bool:
-        return len(self.ids) >= SHARD_DOCS or self.postings >= SHARD_POSTINGS
+        return len(self.ids) >= SHARD_DOCS or len(self.places) >= SHARD_POSTINGS
 
     def row(self) -> pa.RecordBatch:
-        places = np.concatenate(self.places)
-        starts = np.cumsum([0, *map(len, self.places)], dtype=np.int64)
-        df = np.bincount(places, minlength=len(self.known)).astype(np.int32)
-        blobs = [np.array(self.sizes, np.int64), starts, places, np.concatenate(self.counts)]
-        columns = [pa.array([self.pilot]), pa.array([len(self.ids)], pa.int64()), pa.array([sum(self.sizes)], pa.int64()), pa.array([self.ids], pa.list_(pa.int64()))]
-        columns += [pa.array([x.tobytes()], pa.binary()) for x in blobs]
+        df = np.bincount(np.frombuffer(self.places, np.int32), minlength=len(self.known)).astype(np.int32)
+        columns = [pa.array([self.level], pa.int32()), pa.array([len(self.ids)], pa.int64()), pa.array([sum(self.sizes)], pa.int64()), pa.array([self.ids], pa.list_(pa.int64()))]
+        columns += [pa.array([x.tobytes()], pa.binary()) for x in (array("q", self.sizes), self.starts, self.places, self.counts)]
         columns += [pa.array([list(self.known)], pa.list_(pa.binary())), pa.array([df], pa.list_(pa.int32()))]
-        return pa.RecordBatch.from_arrays(columns, names=["pilot", "n", "length", "ids", "sizes", "starts", "places", "counts", "words", "df"])
+        return pa.RecordBatch.from_arrays(columns, names=["level", "n", "length", "ids", "sizes", "starts", "places", "counts", "words", "df"])
 
 
-def index(docs: DataFrame) -> DataFrame:
-    """A row a shard, as INDEX says. Texts are read once and don't move."""
+def n_levels(docs: int) -> int:
+    """How often one in PARTS is taken until a shard holds them."""
+    levels = 0
+    while docs > SHARD_DOCS:
+        docs, levels = docs // PARTS, levels + 1
+    return levels
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_ = [Collected(False), Collected(True)]
-        for batch in batches:
-            for doc, value, pilot in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("pilot").to_pylist(), strict=True):
-                shard = open_[pilot]
-                shard.add(doc, words_of(value.as_py()))
-                if shard.full():
-                    yield shard.row()
-                    open_[pilot] = Collected(pilot)
-        for shard in open_:
+
+def index(docs: DataFrame) -> tuple[DataFrame, int]:
+    """A row a shard, as INDEX says, and the highest level of pilot shards. Only the pilots' texts move."""
+
+    def build(level: int):
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shard = Collected(level)
+            for batch in batches:
+                for doc, value in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                    shard.add(doc, words_of(value.as_py()))
+                    if shard.full():
+                        yield shard.row()
+                        shard = Collected(level)
             if shard.ids:
                 yield shard.row()
 
-    pilot = F.pmod(F.xxhash64("doc_id", "text"), F.lit(PARTS)) == 0
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", pilot.alias("pilot")).mapInArrow(build, INDEX)
-    return materialise(rows, "index", by="pilot")
+        return rows
+
+    n = docs.count()
+    levels = n_levels(n)
+    drawn = F.xxhash64("doc_id", "text")
+    level = sum((F.when(F.pmod(drawn, F.lit(PARTS**i)) == 0, 1).otherwise(0) for i in range(1, levels + 1)), F.lit(0))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", level.alias("level"))
+    out = rows.filter("level = 0").select("doc_id", "text").mapInArrow(build(0), INDEX)
+    if levels:
+        pilots = materialise(rows.filter("level > 0").withColumn("deal", F.xxhash64("text", "doc_id")), "pilots", by="level")
+    for i in range(1, levels + 1):
+        dealt = pilots.filter(F.col("level") == i).repartition(-(-n // PARTS**i // SHARD_DOCS) or 1, "deal").select("doc_id", "text")
+        out = out.unionByName(dealt.mapInArrow(build(i), INDEX))
+    return materialise(out, "index", by="level"), levels
 
 
 class Shard:
@@ -136,29 +154,32 @@ class Shard:
         for r, word in enumerate(common):
             s, e = self.first[word], self.first[word + 1]
             self.by_doc[r, self.posted[s:e]] = self.weights[s:e]
+        self.ramp = np.arange(len(self.posted))
         self.highest = self.by_doc.reshape(len(common), self.blocks, BLOCK_DOCS).max(2).astype(np.float32)
 
     def added(self, words: np.ndarray) -> np.ndarray:
         """The sum of the lists of some words, by document; each document's words in ascending order, in every shard."""
-        spans = [(s, e) for s, e in zip(self.first[words].tolist(), self.first[words + 1].tolist(), strict=True) if e > s]
-        if not spans:
-            return np.zeros(self.blocks * BLOCK_DOCS)
-        return np.bincount(np.concatenate([self.posted[s:e] for s, e in spans]), np.concatenate([self.weights[s:e] for s, e in spans]), self.blocks * BLOCK_DOCS)
+        starts = self.first[words]
+        sizes = self.first[words + 1] - starts
+        ends = np.cumsum(sizes)
+        at = np.repeat(starts - ends + sizes, sizes)
+        at += self.ramp[: len(at)]
+        return np.bincount(self.posted[at], self.weights[at], self.blocks * BLOCK_DOCS)
 
     def score(self, sums: np.ndarray, rows: np.ndarray, docs: np.ndarray) -> np.ndarray:
-        """Full scores: the common words are added one after the other, so that like documents score alike everywhere."""
-        out = sums[docs]
-        for part in self.by_doc[rows[:, None], docs]:
-            out = out + part
-        return out
+        """Full scores. The common words are added one after the other, so that like documents score alike everywhere: NumPy
+        does so over the first axis unless the second has one place only."""
+        if len(docs) == 1:
+            return self.score(sums, rows, np.repeat(docs, 2))[:1]
+        return sums[docs] + np.add.reduce(self.by_doc[rows[:, None], docs], 0)
 
     def one(self, rare: np.ndarray, rows: np.ndarray, bounds: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
         sums = self.added(rare)
         # Bounds are made in single precision: the slack covers its rounding.
-        reach = (sums.reshape(self.blocks, BLOCK_DOCS) + bounds[:, None]) * (1 + 1e-4) + 1e-6
+        reach = (sums.reshape(self.blocks, BLOCK_DOCS) + bounds[:, None]).ravel()
         least = max(floor, 2e-6)
-        docs = np.flatnonzero(reach.ravel()[: self.n] >= least)
-        reach = reach.ravel()[docs]
+        docs = np.flatnonzero(reach[: self.n] >= (least - 1e-6) / (1 + 1e-4))
+        reach = reach[docs] * (1 + 1e-4) + 1e-6
         best_docs, best, step = np.zeros(0, np.int64), np.zeros(0), 4 * k
         while len(docs):
             if len(docs) > step:
@@ -199,7 +220,7 @@ def frequencies(shards: DataFrame, asked: DataFrame) -> DataFrame:
     return materialise(each.groupBy("word").agg(F.sum("df").alias("df")).join(words, "word"), "frequencies")
 
 
-def search_block(shards: DataFrame, counted: DataFrame, asked: DataFrame, n: int, mean: float, k: int) -> DataFrame:
+def search_block(shards: DataFrame, counted: DataFrame, asked: DataFrame, levels: int, n: int, mean: float, k: int) -> DataFrame:
     """query, doc_id, score: the best of each shard. asked: query and words, a block of them, which comes to the driver as Arrow."""
     context = shards.sparkSession.sparkContext
     known = counted.join(asked.select(F.explode("words").alias("word")).distinct(), "word", "left_semi").toArrow()
@@ -214,16 +235,19 @@ def search_block(shards: DataFrame, counted: DataFrame, asked: DataFrame, n: int
     idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
     sent = context.broadcast((b"\n".join(vocabulary.to_pylist()), ids, queries, idf, mean, np.flatnonzero(df > n / COMMON)))
     del known, vocabulary, block, lists, places
-    # The k-th best score among the pilot shards bounds the k-th best among all from below: the other
-    # shards need not send what lies under it, so what is sent for a query doesn't grow with their number.
-    none = context.broadcast(np.zeros(len(ids)))
-    first = materialise(_ranked(_search(shards.filter("pilot"), sent, none, k), k), "first-best")
+    # The k-th best score among some documents bounds the k-th best among all from below: the other shards need not
+    # send what lies under it.
     floors = np.zeros(len(ids))
     place_of = {q: i for i, q in enumerate(ids)}
-    for r in first.filter(F.col("rank") == k).select("query", "score").collect():  # a number for each query of a block
-        floors[place_of[r["query"]]] = r["score"]
-    rest = _search(shards.filter("NOT pilot"), sent, context.broadcast(floors), k)
-    return first.drop("rank").unionByName(materialise(rest, "best"))
+    best = None
+    for level in range(levels, 0, -1):
+        found = _search(shards.filter(F.col("level") == level), sent, context.broadcast(floors), k)
+        best = materialise(_ranked(found if best is None else found.unionByName(best.drop("rank")), k), "best")
+        floors = floors.copy()
+        for r in best.filter(F.col("rank") == k).select("query", "score").collect():  # a number for each query of a block
+            floors[place_of[r["query"]]] = r["score"]
+    found = _search(shards.filter("level = 0"), sent, context.broadcast(floors), k)
+    return materialise(found if best is None else found.unionByName(best.drop("rank")), "best-all")
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -276,12 +300,12 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = K, block_words: int = BL
     blocks = -(-total // block_words)
     out = docs.sparkSession.createDataFrame([], "query long, doc_id long, score double")
     if blocks:
-        shards = index(docs)
+        shards, levels = index(docs)
         whole = shards.agg(F.sum("n").alias("n"), F.sum("length").alias("length")).first()
         n, mean = whole["n"] or 0, (whole["length"] or 0) / max(1, whole["n"] or 0)
         counted = frequencies(shards, asked)
     for b in range(blocks):
-        out = out.unionByName(search_block(shards, counted, asked.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b), n, mean, k))
+        out = out.unionByName(search_block(shards, counted, asked.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b), levels, n, mean, k))
     return _ranked(out, k).select("query", "rank", "doc_id", "score")
 
 

@@ -70,7 +70,7 @@ def test_blocks_are_skipped(documents, monkeypatch):
     rnd = random.Random(8)
     vocabulary = [f"w{int(rnd.paretovariate(0.8))}" for _ in range(4000)]
     texts = [" ".join(rnd.choice(vocabulary) for _ in range(60)) for _ in range(1000)]
-    shard = s.Collected(False)
+    shard = s.Collected(0)
     for i, t in enumerate(texts):
         shard.add(i, s.words_of(t))
     row = shard.row().to_pylist()[0]
@@ -87,6 +87,22 @@ def test_blocks_are_skipped(documents, monkeypatch):
     assert sum(scored) < 0.5 * 1000 * len(queries) and all(i * 50 in docs for i, (docs, _) in enumerate(found))
 
 
+def test_scores_do_not_depend_on_their_company():
+    """The sum over common words is in one order, whatever documents are scored together."""
+    rng = s.np.random.default_rng(5)
+    shard = s.Shard.__new__(s.Shard)
+    shard.by_doc = rng.random((300, 500)) * 10.0 ** rng.integers(-6, 6, (300, 500))
+    sums, rows = rng.random(500), s.np.flatnonzero(rng.random(300) < 0.4)
+    want = sums.copy()
+    total = s.np.zeros(500)
+    for r in rows:
+        total = total + shard.by_doc[r]
+    want += total
+    for size in (1, 2, 3, 7, 64, 500):
+        docs = rng.choice(500, size, replace=False)
+        assert (shard.score(sums, rows, docs) == want[docs]).all()
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
