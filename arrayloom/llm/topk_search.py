@@ -120,10 +120,10 @@ def index(docs: DataFrame) -> tuple[DataFrame, int]:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", level.alias("level"))
     out = rows.filter("level = 0").select("doc_id", "text").mapInArrow(build(0), INDEX)
     if levels:
-        pilots = materialise(rows.filter("level > 0").withColumn("deal", F.xxhash64("text", "doc_id")), "pilots", by="level")
+        pilots = materialise(rows.filter("level > 0"), "pilots", by="level")
     for i in range(1, levels + 1):
-        dealt = pilots.filter(F.col("level") == i).repartition(-(-n // PARTS**i // SHARD_DOCS) or 1, "deal").select("doc_id", "text")
-        out = out.unionByName(dealt.mapInArrow(build(i), INDEX))
+        full = -(-n // (PARTS**i * SHARD_DOCS))
+        out = out.unionByName(pilots.filter(F.col("level") == i).coalesce(full).select("doc_id", "text").mapInArrow(build(i), INDEX))
     return materialise(out, "index", by="level"), levels
 
 
