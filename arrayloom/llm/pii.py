@@ -11,9 +11,12 @@ takes to be personal data although their exact test fails, or there is none.
 DataFrame functions only. Only counts are shuffled: at most kinds x vote patterns x feature values rows,
 however large the corpus.
 
+A text is read from its start to its end, whatever it holds: offsets and contexts are carried along from
+match to match, so the time grows with the text, not with its square.
+
 Defined results: a null text counts as empty and has no spans; offsets count code points; repeated rows
-give repeated rows; all other columns are kept, one named like a result replaced; without candidates
-nothing is added; an empty table gives an empty result.
+give repeated rows; all other columns are kept, whatever their names, but that one named like a result is
+replaced; without candidates nothing is added; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import let, materialise, table, text_of
+from ._shared import let, materialise, table, text_of, unused
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = 4
@@ -52,27 +55,72 @@ CONTEXT = {
     "secret": r"(?i)token|key|secret|passw|pwd|auth|credential",
 }
 CONTEXT_CHARS = 32
+#: Items of a part that is scanned by itself; characters of a part of a text are two to this many bits.
+PART, TEXT_BITS = 32, 10
 LABELERS, FEATURES, ROUNDS = 4, 4, 25
 THRESHOLD = 0.5
 #: Votes of which a span needs one at least to be added: its exact test or its context. Digits alone prove nothing.
 EVIDENCE = 0b0101
 
 
-def raw_spans(text: Column, pattern: str, hint: str) -> Column:
-    """array<struct<s, e, t>>: the matches with their offsets, from the pieces that the pattern cuts a text into."""
-    empty = F.expr("CAST(array() AS array<struct<s: int, e: int, t: string>>)")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+def part(items: Column, j: Column) -> Column:
+    return F.slice(items, j * PART + 1, F.lit(PART))
+
+
+def by_part(items: Column, body) -> Column:
+    """body(j) for each part j of PART items."""
+    return F.when(F.size(items) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / PART).cast("int")), body))
+
+
+def scan(items: Column, begin, step, kind: str) -> Column:
+    """The outputs of step(state, x) -> struct<state, out> over items, a bound name; kind: the SQL type of an output.
+
+    An aggregate copies what it has gathered at every step, so each part of the items has one of its own;
+    begin(j) is the state before part j.
+    """
 
     def add(acc, x):
-        s = acc["at"] + F.length(x["p"])
-        e = s + F.length(x["m"])
-        return F.struct(e.alias("at"), F.array_append(acc["out"], F.struct(s.alias("s"), e.alias("e"), x["m"].alias("t"))).alias("out"))
+        return let(step(acc["state"], x), lambda now: F.struct(now["state"].alias("state"), F.array_append(acc["out"], now["out"]).alias("out")))
+
+    def of(j):
+        return F.aggregate(part(items, j), F.struct(begin(j).alias("state"), F.expr(f"CAST(array() AS array<{kind}>)").alias("out")), add, lambda acc: acc["out"])
+
+    return F.coalesce(F.flatten(by_part(items, of)), F.expr(f"CAST(array() AS array<{kind}>)"))
+
+
+def raw_spans(text: Column, pattern: str, hint: str) -> Column:
+    """array<struct<s, e, t, before, after>>: the matches with their offsets, the CONTEXT_CHARS before and the one after, from the pieces that the pattern cuts a text into."""
+    kind = "struct<s: int, e: int, t: string, before: string, after: string>"
 
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    pairs = F.zip_with(found, F.slice(pieces, 1, F.size(found)), lambda m, p: F.struct(m.alias("m"), p.alias("p")))
+    def step(state, x):
+        def of(s, before):
+            e = s + F.length(x["m"])
+            after = F.when(x["next"] != "", F.substring(x["next"], 1, 1)).otherwise(F.coalesce(F.substring(x["then"], 1, 1), F.lit("")))
+            went = F.struct(e.alias("at"), F.right(F.concat(before, x["m"]), F.lit(CONTEXT_CHARS)).alias("tail"))
+            return F.struct(went.alias("state"), F.struct(s.alias("s"), e.alias("e"), x["m"].alias("t"), before.alias("before"), after.alias("after")).alias("out"))
+
+        come = F.struct((state["at"] + F.length(x["p"])).alias("s"), F.right(F.concat(state["tail"], x["p"]), F.lit(CONTEXT_CHARS)).alias("before"))
+        return let(come, lambda c: of(c["s"], c["before"]))
+
+    def total(numbers):
+        return F.aggregate(numbers, F.lit(0), lambda a, x: a + x)
+
+    def placed(each, sizes):
+        def begin(j):
+            # A match has a character at least, so as many matches as the context has characters fill it.
+            last = F.slice(each, F.greatest(j * PART - CONTEXT_CHARS, F.lit(0)) + 1, F.least(j * PART, F.lit(CONTEXT_CHARS)))
+            tail = F.right(F.array_join(F.transform(last, lambda x: F.concat(x["p"], x["m"])), ""), F.lit(CONTEXT_CHARS))
+            return F.struct(total(F.slice(sizes, F.lit(1), j)).alias("at"), tail.alias("tail"))
+
+        return scan(each, begin, step, kind)
+
+    def cut(m, p):
+        each = F.transform(m, lambda x, i: F.struct(x.alias("m"), F.get(p, i).alias("p"), F.get(p, i + 1).alias("next"), F.get(m, i + 1).alias("then")))
+        return let(each, lambda e: let(F.struct(by_part(e, lambda j: total(F.transform(part(e, j), lambda x: F.length(x["p"]) + F.length(x["m"])))).alias("n")), lambda z: placed(e, z["n"])))
+
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("p"))
     there = F.contains(text, F.lit(hint)) if hint == "@" else F.regexp_like(text, F.lit(hint))
-    return F.when(there, F.aggregate(pairs, start, add, lambda acc: acc["out"])).otherwise(empty)
+    return F.when(there, let(both, lambda x: cut(x["m"], x["p"]))).otherwise(F.expr(f"CAST(array() AS array<{kind}>)"))
 
 
 def n_digits(t: Column) -> Column:
@@ -112,8 +160,8 @@ def candidates(text: Column) -> Column:
 
     def of(kind_at: int, kind: str):
         def judge(x):
-            before = F.substring(text, F.greatest(x["s"] - CONTEXT_CHARS, F.lit(0)) + 1, F.least(x["s"], F.lit(CONTEXT_CHARS)))
-            left, right = F.when(x["s"] > 0, F.substring(text, x["s"], F.lit(1))), F.substring(text, x["e"] + 1, F.lit(1))
+            before, right = x["before"], x["after"]
+            left = F.right(before, F.lit(1))
 
             def vote(v):
                 marks = [v, F.regexp_like(x["t"], F.lit(KNOWN[kind])), F.regexp_like(before, F.lit(CONTEXT[kind])), (char_class(left) != 1) & (char_class(right) != 1)]
@@ -197,7 +245,7 @@ def classifier(counts: DataFrame) -> DataFrame:
 
 def count_votes(found: DataFrame, column: str) -> DataFrame:
     """Candidates counted by what the model sees of them."""
-    one = found.select(F.explode(column).alias("c"))
+    one = found.filter(F.size(column) > 0).select(F.explode(column).alias("c"))
     return one.groupBy("c.kind", "c.votes", *[f"c.f{i}" for i in range(FEATURES)]).agg(F.count("*").alias("n"))
 
 
@@ -231,40 +279,61 @@ def written(spans: Column) -> Column:
 def masked(text: Column, spans: Column) -> Column:
     """text with every span replaced by its kind in angle brackets; of overlapping spans the first to start names it."""
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
-    ordered = F.array_sort(F.transform(spans, lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["kind"].alias("k"))))
-    start = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<string>)").alias("out"))
 
-    def add(acc, x):
-        plain = F.substring(text, acc["at"] + 1, F.greatest(x["s"] - acc["at"], F.lit(0)))
-        overlaps = x["s"] < acc["at"]
-        out = F.when(overlaps, acc["out"]).otherwise(F.concat(acc["out"], F.array(plain, F.element_at(names, x["k"] + 1))))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), out.alias("out"))
+    def step(at, x):
+        return F.struct(F.greatest(at, x["e"]).alias("state"), F.struct(at.alias("a"), x["s"].alias("z"), F.when(x["s"] >= at, x["k"]).alias("k")).alias("out"))
+
+    def low(i):
+        return i.bitwiseAND(F.lit((1 << TEXT_BITS) - 1))
+
+    def put_together(parts, ordered, farthest):
+        # A place is found in its part, as characters of UTF-8 are counted from where a string begins.
+        def plain(a, z):
+            def of(p, q):
+                between = F.array_join(F.slice(parts, p + 2, F.greatest(q - p - 1, F.lit(0))), "")
+                apart = F.concat(F.substring(F.get(parts, p), low(a) + 1, F.lit(1 << TEXT_BITS)), between, F.coalesce(F.substring(F.get(parts, q), F.lit(1), low(z)), F.lit("")))
+                return F.when(p == q, F.substring(F.get(parts, p), low(a) + 1, z - a)).otherwise(apart)
+
+            return F.when(a < z, of(F.shiftright(a, TEXT_BITS), F.shiftright(z, TEXT_BITS))).otherwise(F.lit(""))
+
+        found = scan(ordered, lambda j: F.coalesce(F.array_max(F.slice(farthest, F.lit(1), j)), F.lit(0)), step, "struct<a: int, z: int, k: int>")
+        pieces = F.transform(F.filter(found, lambda x: x["k"].isNotNull()), lambda x: F.concat(plain(x["a"], x["z"]), F.element_at(names, x["k"] + 1)))
+        rest = let(F.struct(F.array_max(farthest).alias("a"), F.length(text).alias("z")), lambda x: plain(x["a"], x["z"]))
+        return F.concat(F.array_join(pieces, ""), rest)
+
+    ordered = F.sort_array(F.transform(spans, lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["kind"].alias("k"))))
+    both = F.struct(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{1 << TEXT_BITS}}}"), F.lit(0)).alias("parts"), ordered.alias("o"))
+
+    def ends(x):
+        farthest = by_part(x["o"], lambda j: F.array_max(F.transform(part(x["o"], j), lambda y: y["e"])))
+        return let(F.struct(farthest.alias("e")), lambda f: put_together(x["parts"], x["o"], f["e"]))
 
-    joined = F.aggregate(ordered, start, add, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, joined).otherwise(text)
+    return F.when(F.size(spans) > 0, let(both, ends)).otherwise(text)
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with personal data in text masked; the model is fitted on docs. Null texts stay null."""
-    counted = docs.select(candidates(text_of()).alias("c")).filter(F.size("c") > 0)
-    weights = fit(counted, "c")
-    spans = let(candidates(F.col("text")), lambda c: masked(F.col("text"), decided(c, weights)))
-    return docs.select(*[(F.when(F.col("text").isNull(), F.lit(None)).otherwise(spans).alias(c) if c == "text" else F.col(f"`{c}`")) for c in docs.columns])
+    """docs with personal data in text masked; the model is fitted on docs. Null texts stay null. Candidates are written beside their texts, as finding them costs more than reading."""
+    (c,) = unused(docs, "__c")
+    found = materialise(docs.withColumn(c, candidates(text_of())), "pii-texts")
+    weights = fit(found, c)
+    text = F.when(F.col("text").isNotNull(), let(decided(F.col(c), weights), lambda spans: masked(F.col("text"), spans)))
+    return found.select(*[text.alias(x) if x == "text" else F.col(f"`{x}`") for x in docs.columns])
 
 
 def detect(docs: DataFrame) -> DataFrame:
     """docs without text, with the counts and spans of each. Candidates, a few a document, are written once and read twice."""
     out = ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
-    own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in (*out, "text")]
-    found = materialise(docs.select(*own, candidates(text_of()).alias("__c")), "pii-candidates")
-    weights = fit(found.filter(F.size("__c") > 0), "__c")
-    base = F.filter("__c", lambda c: c["valid"] & (c["kind"] < BASE_KINDS))
+    (c,) = unused(docs, "__c")
+    own = [F.col(f"`{x}`") for x in docs.columns if x.lower() not in (*out, "text")]
+    found = materialise(docs.select(*own, candidates(text_of()).alias(c)), "pii-candidates")
+    weights = fit(found, c)
+    base = F.filter(c, lambda x: x["valid"] & (x["kind"] < BASE_KINDS))
 
     def of_kind(i):
-        return F.filter("__c", lambda c: c["valid"] & (c["kind"] == i))
+        return F.filter(c, lambda x: x["valid"] & (x["kind"] == i))
 
     counts = [F.size(of_kind(i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS[:BASE_KINDS])]
-    return found.select(*own, *counts, F.sha2(written(base), 256).alias("base_sha256"), written(decided(F.col("__c"), weights)).alias("spans"))
+    return found.select(*own, *counts, F.sha2(written(base), 256).alias("base_sha256"), written(decided(F.col(c), weights)).alias("spans"))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
