@@ -6,7 +6,7 @@ probability. Only one row a source is ever shuffled.
 
 Defined results: null is a source of its own, after all others; a null text has no words; a source
 without words has target and rate 0; a null doc_id draws by its text; repeated rows draw alike;
-an empty table gives an empty mix.
+other columns are kept aside meanwhile, so that their names can't clash; an empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -56,16 +56,16 @@ def draw(doc_id: Column, text: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def join_rates(docs: DataFrame, rates: DataFrame, source: str) -> DataFrame:
-    """docs with the columns of rates, matched null-safe on source; a third of all rows may share one source."""
+def join_rates(rows: DataFrame, rates: DataFrame) -> DataFrame:
+    """rows with the columns of rates, matched null-safe on source; a third of all rows may share one source."""
     bound = rates.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("source")), F.lit(0)).alias("b")).first()
-    mine = rates.withColumnRenamed("source", "__source")
+    mine = rates.withColumnRenamed("source", "of")
     if bound["n"] <= BROADCAST_SOURCES and 4 * bound["b"] <= BROADCAST_BYTES:
-        return docs.join(F.broadcast(mine), F.col(f"`{source}`").eqNullSafe(F.col("__source")), "inner").drop("__source")
-    salted = mine.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    keyed = docs.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]), F.lit(SALTS)).cast("int"))
-    same = F.col(f"`{source}`").eqNullSafe(F.col("__source")) & (keyed["__salt"] == salted["__salt"])
-    return keyed.join(salted, same, "inner").drop("__source", "__salt")
+        return rows.join(F.broadcast(mine), F.col("source").eqNullSafe(F.col("of")), "inner").drop("of")
+    salted = mine.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    keyed = rows.withColumn("salt", F.pmod(F.xxhash64("key", "text"), F.lit(SALTS)).cast("int"))
+    same = F.col("source").eqNullSafe(F.col("of")) & (keyed["salt"] == salted["salt"])
+    return keyed.join(salted, same, "inner").drop("of", "salt")
 
 
 def source_sizes(docs: DataFrame) -> DataFrame:
@@ -73,29 +73,25 @@ def source_sizes(docs: DataFrame) -> DataFrame:
 
 
 def copies(docs: DataFrame, sized: bool = False, **how) -> DataFrame:
-    """docs with __size (if sized), __source_size, __target and __copies: how often the mix emits each document."""
+    """own (docs' columns), size (if sized), source_size, target and copies: how often the mix emits each document."""
     rates = targets(source_sizes(docs), **how)
     rates = materialise(rates, "mix-rates")  # a row a source, so that the texts are not counted again to check its bound
-    rates = rates.select("source", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("rate").alias("__rate"))
-    out = join_rates(docs.withColumn("__size", n_words(text_of())) if sized else docs, rates, "source")
-    whole = F.floor("__rate")
-    extra = F.when(draw(F.col("doc_id"), F.col("text")) < F.col("__rate") - whole, F.lit(1)).otherwise(F.lit(0))
-    return out.withColumn("__copies", (whole + extra).cast("int")).drop("__rate")
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own")
+    rows = docs.select(own, F.col("doc_id").alias("key"), "text", "source", *([n_words(text_of()).alias("size")] if sized else []))
+    out = join_rates(rows, rates)
+    whole = F.floor("rate")
+    extra = F.when(draw(F.col("key"), F.col("text")) < F.col("rate") - whole, F.lit(1)).otherwise(F.lit(0))
+    return out.withColumn("copies", (whole + extra).cast("int")).drop("key", "text", "source", "rate")
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """The mixed corpus: each document as often as its copies say, with the columns of docs."""
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    return copies(docs).filter(F.col("__copies") > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*own)
+    return copies(docs).filter(F.col("copies") > 0).select("own", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("own.*")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    out = copies(docs, sized=True)
-    return out.select(
-        "doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"),
-        (F.col("__size") * F.col("__copies")).cast("long").alias("taken"),
-    )
+    out = copies(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), sized=True)
+    return out.select("own.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
 OP1_SQL = r"""

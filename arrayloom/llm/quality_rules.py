@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import BLANKS, let, table, text_of, word_array
+from ._shared import BLANKS, let, table, text_of, unused, word_array
 
 SYMBOLS = "#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters")
@@ -80,10 +80,11 @@ def repeated_window_words(words: Column) -> Column:
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the measurements of each text."""
     whole = text_of(text)
+    (m,) = unused(docs, "__m")
     letters = F.regexp_replace(whole, r"[^\p{L}]+", "")
     lines = F.filter(F.split(whole, "\n"), lambda x: F.translate(x, " " + BLANKS, "") != "")
     counted = docs.withColumn(
-        "__m",
+        m,
         F.struct(
             let(word_array(whole), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_window_words(w).cast("long").alias("r"))).alias("w"),
             F.length(F.translate(whole, " " + BLANKS, "")).cast("long").alias("chars"),
@@ -93,10 +94,10 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         ),
     )
     found = {
-        "n_words": "__m.w.n", "word_chars": "__m.chars", "n_symbols": "__m.symbols", "n_dup_lines": "__m.l.d",
-        "n_repeat_words": "__m.w.r", "n_lines": "__m.l.n", "n_upper": "__m.c.u", "n_letters": "__m.c.n",
+        "n_words": "w.n", "word_chars": "chars", "n_symbols": "symbols", "n_dup_lines": "l.d",
+        "n_repeat_words": "w.r", "n_lines": "l.n", "n_upper": "c.u", "n_letters": "c.n",
     }
-    return counted.withColumns({k: F.col(v) for k, v in found.items()}).drop("__m")
+    return counted.withColumns({k: F.col(f"{m}.{v}") for k, v in found.items()}).drop(m)
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:

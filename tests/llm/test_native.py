@@ -56,6 +56,18 @@ def test_filter_keeps_own_columns(spark, documents):
     assert quality_rules.filter_documents(documents()).count() == 0
 
 
+def test_clashing_names(spark, documents):
+    names = ("__m", "w", "own", "size", "copies", "copy", "target", "source_size", "rate", "key", "salt", "of", "__rate", "__source", "__size", "__copies", "__copy")
+    docs = documents("a b c", None, " ".join(f"w{i}" for i in range(70)))
+    for name in names:
+        docs = docs.withColumn(name, F.lit(f"my {name}"))
+    kept = [n for n in names if n not in quality_rules.MEASURES]
+    for out in (quality_rules.ledger(docs), quality_rules.filter_documents(docs), mixing.mix(docs)):
+        rows = out.collect()
+        assert rows and all(r[n] == f"my {n}" for r in rows for n in kept)
+    assert mixing.mix(docs).columns == docs.columns
+
+
 def test_ablation_from_the_ledger_alone(spark):
     masks = [0] * 5 + [1] * 3 + [1 | 4] * 2 + [4] * 7
     rows = {r["rule"]: r for r in quality_rules.ablation(spark.createDataFrame([(m,) for m in masks], "failed_rules long")).collect()}
@@ -99,24 +111,24 @@ def test_mix_meets_targets_and_repeats(spark):
     rows = mixing.copies(docs, sized=True).collect()
     taken, target, size = Counter(), {}, Counter()
     for r in rows:
-        taken[r["source"]] += r["__size"] * r["__copies"]
-        size[r["source"]] += r["__size"]
-        target[r["source"]] = r["__target"]
-        assert 0 <= r["__copies"] <= 2
+        taken[r["own"]["source"]] += r["size"] * r["copies"]
+        size[r["own"]["source"]] += r["size"]
+        target[r["own"]["source"]] = r["target"]
+        assert 0 <= r["copies"] <= 2
     for s, t in target.items():
         assert abs(taken[s] - t) <= 0.12 * t + 1e-9 and t <= 2 * size[s]
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns
     count = Counter(r["doc_id"] for r in mixed.collect())
     assert count == Counter(r["doc_id"] for r in mixing.mix(docs.repartition(7)).collect())
-    assert count == Counter({r["doc_id"]: r["__copies"] for r in rows if r["__copies"] and r["doc_id"] is not None})
+    assert count == Counter({r["own"]["doc_id"]: r["copies"] for r in rows if r["copies"] and r["own"]["doc_id"] is not None})
 
 
 def test_salted_rates_are_the_same(spark, documents, monkeypatch):
     docs = documents(*["a b c"] * 50).union(documents(*["a b"] * 30, source=None))
-    here = sorted(r["__copies"] for r in mixing.copies(docs).collect())
+    here = sorted(r["copies"] for r in mixing.copies(docs).collect())
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
-    assert sorted(r["__copies"] for r in mixing.copies(docs).collect()) == here
+    assert sorted(r["copies"] for r in mixing.copies(docs).collect()) == here
 
 
 def test_empty_mix(spark, documents):
