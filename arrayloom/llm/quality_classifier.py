@@ -10,7 +10,8 @@ most TARGET_DOCS of them, chosen by hash. Each task sums its counts before they
 largest key is found by narrowing histograms, so nothing is sorted as a whole or collected.
 
 Defined results: a null or empty text has no n-grams and weight 0; a null id draws by its text; rows that
-are alike draw alike and ties at the threshold are broken by id; without target rows all weights are 0;
+are alike draw alike and ties at the threshold are broken by id, among rows alike in that too by where they
+are read, so that exactly k stay; without target rows all weights are 0;
 other columns are kept, one named like a result replaced; an empty table gives an empty result.
 """
 
@@ -20,12 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from ._shared import materialise, table
+from ._shared import materialise, table, unused
 
 BUCKETS, TARGET_DOCS = 10_000, 20_000
 SEED = "resample-1"
@@ -109,32 +109,58 @@ def weighed(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
     return own.mapInArrow(weigh, schema)
 
 
-def top(rows: DataFrame, k: int, key: str = "key", tie: str = "doc_id") -> DataFrame:
-    """rows with kept: true for the k with the largest keys, ties broken by the least tie."""
-    low, high = rows.agg(F.min(key), F.max(key)).first()
-    if low is None or k <= 0:
-        return rows.withColumn("kept", F.lit(False))
-    above = 0  # rows known to be larger than high
-    while True:
-        inside = rows.filter(F.col(key).between(low, high))
-        width = (high - low) / BINS
-        if width <= 0 or low + width == low:
-            break
-        at = F.least(F.lit(BINS - 1), F.floor((F.col(key) - low) / width).cast("int"))
-        found = {r["b"]: r for r in inside.groupBy(at.alias("b")).agg(F.count("*").alias("n"), F.min(key).alias("low"), F.max(key).alias("high")).collect()}
-        total = above
+def kth(rows: DataFrame, k: int, by: Column) -> tuple[float | int, int, int]:
+    """The k-th largest value of by, how many rows are larger and how many have it.
+
+    Histograms close in on it; BINS counts a step come to the driver, and FEW rows at most are sorted.
+    """
+    values = rows.select(by.alias("v"))
+    low, high = values.agg(F.min("v"), F.max("v")).first()
+    above, halve = 0, False  # rows known to be larger than high
+    while low < high:
+        inside = values.filter(F.col("v").between(low, high))
+        width = (float(high) - float(low)) / BINS
+        if halve or width <= 0:
+            middle = (low + high) // 2 if isinstance(low, int) else (low + high) / 2
+            at = (F.col("v") > (middle if low <= middle < high else low)).cast("int")
+        else:
+            at = F.least(F.lit(BINS - 1), F.floor((F.col("v").cast("double") - float(low)) / width).cast("int"))
+        found = {r["b"]: r for r in inside.groupBy(at.alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()}
         if sum(r["n"] for r in found.values()) <= FEW:
+            low = high = inside.orderBy(F.col("v").desc()).limit(k - above).agg(F.min("v")).first()[0]
+            above += inside.filter(F.col("v") > low).count()
             break
+        halve = len(found) == 1
         for b in sorted(found, reverse=True):  # into the bin that holds the k-th
-            if total + found[b]["n"] >= k:
+            if above + found[b]["n"] >= k:
                 break
-            total += found[b]["n"]
-        if len(found) == 1:
-            break
-        low, high, above = found[b]["low"], found[b]["high"], total
-    clear = rows.filter(~F.col(key).between(low, high)).withColumn("kept", F.col(key) > high)
-    rank = F.row_number().over(Window.orderBy(F.col(key).desc(), F.col(tie).asc_nulls_last()))
-    return clear.unionByName(rows.filter(F.col(key).between(low, high)).withColumn("kept", rank <= k - above))
+            above += found[b]["n"]
+        low, high = found[b]["low"], found[b]["high"]
+    return low, above, values.filter(F.col("v") == F.lit(low)).count()
+
+
+def top(rows: DataFrame, k: int, key: str = "key", tie: str = "doc_id") -> DataFrame:
+    """rows with kept: true for the k with the largest keys, ties broken by the least tie, null last.
+
+    The k-th row's key, and where others share it its tie, decide each row by itself. Rows alike in both are
+    numbered if only some of them are kept.
+    """
+    if k <= 0 or k >= rows.count():
+        return rows.withColumn("kept", F.lit(k > 0))
+    order = F.bitwise_not(F.coalesce(F.col(tie).cast("long"), F.lit((1 << 63) - 1)))
+    least, above, n = kth(rows, k, F.col(key))
+    kept, k = F.col(key) > least, k - above
+    if n == k:
+        return rows.withColumn("kept", kept | (F.col(key) == least))
+    last, above, n = kth(rows.filter(F.col(key) == least), k, order)
+    kept, k = kept | ((F.col(key) == least) & (order > last)), k - above
+    alike = (F.col(key) == least) & (order == last)
+    if n == k:
+        return rows.withColumn("kept", kept | alike)
+    (number,) = unused(rows, "__number")
+    rows = materialise(rows.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    end, _, _ = kth(rows.filter(alike), k, F.bitwise_not(number))
+    return rows.withColumn("kept", kept | (alike & (F.bitwise_not(number) >= end))).drop(number)
 
 
 def resample(docs: DataFrame, labels: DataFrame, label: str = "quality", k: int | None = None, target_docs: int = TARGET_DOCS) -> DataFrame:

@@ -41,6 +41,19 @@ def test_top_is_exact(spark, monkeypatch):
     assert {r["doc_id"] for r in c.top(same, 20).filter("kept").collect()} == set(range(20))
 
 
+def test_ties_of_any_number(spark, monkeypatch):
+    """Repeated rows and null ids, more than are ever sorted together, share the key of the k-th."""
+    monkeypatch.setattr(c, "FEW", 5)
+    monkeypatch.setattr(c, "BINS", 4)
+    ids = [*range(40), *[7] * 60, *[None] * 50, 2**62, 2**62 + 1, -(2**63)]
+    rows = spark.createDataFrame([(i, 1.0 if n % 9 else 2.0) for n, i in enumerate(ids)], "doc_id long, key double").repartition(5).cache()
+    order = sorted(((-r["key"], r["doc_id"] is None, r["doc_id"] or 0) for r in rows.collect()))
+    for k in (1, 17, 30, 60, 100, 130, 152):
+        out = c.top(rows, k).collect()
+        assert len(out) == len(ids)
+        assert sorted((-r["key"], r["doc_id"] is None, r["doc_id"] or 0) for r in out if r["kept"]) == order[:k]
+
+
 def test_good_documents_stay(spark):
     sf = "/root/testdata/sf0.1"
     rows = c.op8_quality_classifier(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
