@@ -9,12 +9,15 @@ that decides those best, makes a score of 0 to 1.
 For the toxic dictionary each toxic text is reduced to the words that toxic texts use far more often
 than ordinary ones; else the trainer would fill it with what the two have in common.
 
-Bounds: SAMPLE_DOCS labelled documents of each class and SAMPLE_WINDOWS evenly spaced windows of each
-train the dictionaries, as many others the curve; every document is scored on its whole text.
+Bounds: of each class 2 * SAMPLE_DOCS labelled documents at most, and as many of them, in the order of a
+hash, as SAMPLE_BYTES of text allow, are learned from, each with its whole text; half of them train the
+dictionaries, the others the curve. Every document is scored on its whole text.
 
 Defined results: a null text counts as empty and scores as a text without windows; without training
 rows of both labels every score is the share of toxic ones (0 without any); repeated rows score alike;
-repeated labels of a document count once, the toxic one first; an empty table gives an empty result.
+repeated labels of a document count once, the toxic one first; of repeated ids the least text is learned
+from; other columns are kept, but that ones named like a result (score, features) are replaced; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,12 +32,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import table
+from ._shared import materialise, table
 
 #: Two levels search their dictionaries differently and miss different matches; the curve weighs both.
 WINDOW_WORDS, LEVELS = 16, (9, 12)
 ORDINARY_BYTES, TOXIC_BYTES = 110_000, 16_384
-SAMPLE_DOCS, SAMPLE_WINDOWS = 1500, 64
+SAMPLE_DOCS, SAMPLE_BYTES = 1500, 32 << 20
 RATIO, LEAST_DOCS = 4.0, 5
 _SCORERS: dict = {}
 
@@ -141,29 +144,25 @@ def known_labels(labels: DataFrame, label: str) -> DataFrame:
 
 
 def sample_labels(labels: DataFrame, label: str, docs_a_class: int, seed: str) -> DataFrame:
-    """At most 2 * docs_a_class labelled training rows a class: doc_id, y, part (0: dictionaries, 1: curve)."""
+    """At most 2 * docs_a_class labelled training rows a class: doc_id, y, k (their order), part (0: dictionaries, 1: curve)."""
     known = known_labels(labels, label)
     key = F.md5(F.concat(F.lit(seed), F.col("doc_id").cast("string")))
     parts = [known.filter(F.col("y") == y).select("doc_id", "y", key.alias("k")).orderBy("k").limit(2 * docs_a_class) for y in (0, 1)]
-    return parts[0].unionByName(parts[1]).select("doc_id", "y", (F.conv(F.substring("k", 32, 1), 16, 10).cast("int") % 2).alias("part"))
+    return parts[0].unionByName(parts[1]).select("doc_id", "y", "k", (F.conv(F.substring("k", 32, 1), 16, 10).cast("int") % 2).alias("part"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", docs_a_class: int = SAMPLE_DOCS, seed: str = "tox-1") -> Model:
     chosen = sample_labels(labels, label, docs_a_class, seed)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # chosen is bounded by docs_a_class
-
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text, part in zip(batch.column("text").to_pylist(), batch.column("part").to_pylist(), strict=True):
-                found = windows_of(words_of(text)) if part == 0 else []
-                step = max(1, -(-len(found) // SAMPLE_WINDOWS))
-                out.append([w[:4096] for w in found[::step]])
-            yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("doc_id"), pa.array(out, pa.list_(pa.binary()))], names=["y", "doc_id", "w"])
-
-    first = rows.filter("part = 0").mapInArrow(take, "y int, doc_id long, w array<binary>").collect()
-    first.sort(key=lambda r: (r["y"], r["doc_id"], len(r["w"])))
-    words = [[[x for w in r["w"] for x in bytes(w).split()] for r in first if r["y"] == y] for y in (0, 1)]
+    rows = materialise(rows.groupBy("doc_id", "y", "k", "part").agg(F.min("text").alias("text")), "toxicity-sample")
+    left, kept = {}, []
+    for r in sorted(rows.select("doc_id", "y", "k", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).collect(), key=lambda r: r["k"]):
+        left[r["y"]] = left.get(r["y"], SAMPLE_BYTES) - r["n"]
+        if left[r["y"]] >= 0:
+            kept.append(r["doc_id"])
+    rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in kept], "doc_id long")), "doc_id", "left_semi")
+    first = sorted(rows.filter("part = 0").select("y", "k", "text").collect(), key=lambda r: (r["y"], r["k"]))
+    words = [[words_of(r["text"]) for r in first if r["y"] == y] for y in (0, 1)]
     totals = {r["y"]: r["n"] for r in known_labels(labels, label).groupBy("y").agg(F.count("*").alias("n")).collect()}
     share = totals.get(1, 0) / max(1, sum(totals.values()))
     if not words[0] or not words[1]:

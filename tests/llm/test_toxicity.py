@@ -17,9 +17,50 @@ def test_held_out_accuracy(spark):
     rank[order] = np.arange(1, len(s) + 1)
     auc = (rank[y == 1].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (len(y) - y.sum()))
     hit = np.array([r["predicted"] for r in rows])
-    assert auc > 0.9
-    assert (hit & y).sum() / y.sum() > 0.6
-    assert (hit & ~y.astype(bool)).mean() < 0.06
+    assert auc > 0.92
+    assert (hit & y).sum() / y.sum() > 0.7
+    assert (hit & (1 - y)).sum() / (1 - y).sum() < 0.02
+
+
+def test_features_by_brute_force():
+    """Windows, savings and what is made of them, by plain steps."""
+    import zstandard
+
+    rnd = np.random.default_rng(1)
+    text = " ".join(rnd.choice(["vile", "Gronker,", "and", "the", "road", "was", "dry", "x9"], 700))
+    ordinary, toxic = b"the road was dry and the day was long", b" vile gronker vile "
+    got = toxicity.Savings(ordinary, toxic).features(text)
+    words = text.lower().encode().split()
+    windows = [b" ".join(words[i : i + 16]) for i in range(0, 700, 16)]
+    want = [np.log1p(len(windows))]
+    for level in toxicity.LEVELS:
+        sizes = []
+        for content in (ordinary, toxic + ordinary):
+            kind = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            tool = zstandard.ZstdCompressor(level=level, dict_data=kind, write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes.append([len(tool.compress(w)) for w in windows])
+        saved = sorted((a - b for a, b in zip(*sizes, strict=True)), reverse=True)
+        n = len(saved)
+        want += [
+            min(saved[0], 12), min(sum(saved[:3]) / 3, 12), sum(saved[:10]) / 10, sum(saved) / n, sum(x >= 2 for x in saved) / n,
+            sum(x >= 3 for x in saved) / n, np.log1p(sum(x >= 3 for x in saved)), sum(min(max(x, 0), 8) for x in saved) / n,
+        ]
+    assert np.allclose(got, want) and max(want) > 3
+
+
+def test_what_is_learned_from_is_bounded_by_rows(spark, documents, monkeypatch):
+    """Repeated ids are taken once, whole texts or none, so many bytes a class."""
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 2000)
+    docs = documents(*[("bad gronker day " if i % 2 else "long dry road ") * (1 + i % 5) for i in range(80)])
+    docs = docs.union(docs).union(documents("road " * 10_000))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    seen = []
+    whole = toxicity.train_dictionaries
+    monkeypatch.setattr(toxicity, "train_dictionaries", lambda a, b: (seen.append((a, b)), whole(a, b))[1])
+    toxicity.fit(docs, labels)
+    (ordinary, toxic), = seen
+    assert ordinary and toxic and all(sum(len(b" ".join(d)) for d in side) <= 2000 for side in (ordinary, toxic))
+    assert all(len(d) % 3 == 0 and len(d) <= 15 for d in ordinary + toxic)
 
 
 def test_texts_of_all_kinds(spark, documents):
