@@ -2,13 +2,15 @@
 
 1. Every partition splits its texts into pre-tokens and sends each distinct one once, packed by hash
    bucket, so a word costs the shuffle one entry a partition however often it occurs.
-2. Every bucket encodes each of its distinct words once, whoever sent it, and returns the ids to the
-   senders in the order they asked.
+2. Every bucket encodes each of its distinct words once, whoever sent it, and returns them with their ids to
+   the senders.
 3. Every partition reads its texts again, looks the words' ids up and puts them together by position.
    Texts never cross the network; the two passes are lined up by zipping partitions.
 
-Work proceeds in chunks of a partition; a chunk asks only for words that no earlier chunk of its
-partition asked for, so neither a partition nor a long text has to fit in one message.
+Answers are found by word, not by their order: should a lost partition come back with its rows in another
+order, nothing is mistaken, and a word without an answer is encoded where it stands. Texts are read in
+chunks of CHUNK_ROWS rows, whose number doesn't depend on the rows' order, and words are sent in messages
+of about CHUNK_CHARS.
 
 Decoding looks token bytes up in the table of the vocabulary, whose size is fixed, and joins them.
 
@@ -22,7 +24,7 @@ import base64
 import hashlib
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,11 +34,13 @@ from pyspark.serializers import BatchedSerializer, CPickleSerializer
 
 from ._shared import table
 
-CHUNK_CHARS, CHUNK_ROWS = 1 << 20, 1024
+CHUNK_CHARS, CHUNK_ROWS = 1 << 20, 64
 #: What encode() can return of a text.
 OUTPUTS = {"ids": T.BinaryType(), "n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
-#: Bytes of text a bucket of words.
-BUCKET_TEXT = 32 << 20
+#: Bytes of text a bucket of words, up to so many buckets: distinct words grow more slowly than texts.
+BUCKET_TEXT, BUCKETS = 32 << 20, 4096
+#: Words whose ids a bucket remembers: a bound of its memory, not of what is encoded.
+REMEMBERED_WORDS = 2_000_000
 _CORES: dict = {}
 
 
@@ -54,23 +58,10 @@ def _core(vocabulary: bytes, pattern: str):
     return _CORES[key].encode_single_piece
 
 
-def _chunks(rows: Iterator, at: int) -> Iterator[list]:
-    """Rows in runs of about CHUNK_CHARS of text; every row's text is str, as it is."""
-    run, size = [], 0
-    for row in rows:
-        row = tuple(row)
-        run.append(row)
-        size += len(row[at] or "")
-        if size >= CHUNK_CHARS or len(run) >= CHUNK_ROWS:
-            yield run
-            run, size = [], 0
-    if run:
-        yield run
-
-
-def _asked(split: list[list[str]], known: set[str] | dict) -> list[str]:
-    """The distinct words of a chunk that its partition has not met, in an order that both passes agree on."""
-    return [w for w in dict.fromkeys(chain.from_iterable(split)) if w not in known]
+def _chunks(rows: Iterator) -> Iterator[list]:
+    """Rows in runs of CHUNK_ROWS."""
+    while run := list(islice(rows, CHUNK_ROWS)):
+        yield [tuple(row) for row in run]
 
 
 def _pack(parts: list[bytes]) -> bytes:
@@ -118,67 +109,90 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", b
     at = len(kept)
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`")).rdd
     parts = rows.getNumPartitions()
-    if buckets is None:  # a bucket holds its distinct words in memory, and they can't outgrow the texts
+    if buckets is None:
         size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-        buckets = max(context.defaultParallelism, -(-size // BUCKET_TEXT))
+        buckets = min(max(context.defaultParallelism, -(-size // BUCKET_TEXT)), BUCKETS)
 
     def ask(part: int, found: Iterator) -> Iterator:
+        """(bucket, (partition, words)), and the number of chunks in place of words."""
         import regex
 
-        find, known = regex.compile(pattern).findall, set()
-        for i, run in enumerate(_chunks(found, at)):
-            words = _asked([find(row[at] or "") for row in run], known)
-            known.update(words)
+        find, known, waiting, size, chunks = regex.compile(pattern).findall, set(), [], 0, 0
+
+        def messages(words: list[str]) -> Iterator:
             by: dict[int, list[bytes]] = {}
             for w in words:
                 data = w.encode()
                 by.setdefault(zlib.crc32(data) % buckets, []).append(data)
-            for b, datas in by.items() or [(part % buckets, [])]:  # a chunk always asks, so that both sides of the zip have as many
-                yield b, (part, i, _pack(datas))
+            for b, datas in by.items():
+                yield b, (part, _pack(datas))
+
+        for run in _chunks(found):
+            chunks += 1
+            for row in run:
+                new = [w for w in dict.fromkeys(find(row[at] or "")) if w not in known]
+                known.update(new)
+                waiting += new
+                size += sum(map(len, new))
+                if size >= CHUNK_CHARS:
+                    yield from messages(waiting)
+                    waiting, size = [], 0
+        yield from messages(waiting)
+        yield part % buckets, (part, chunks)
 
     def answer(found: Iterator) -> Iterator:
         merge, ids = _core(vocabulary.value, pattern), {}
-        for b, (part, i, blob) in found:
-            out = []
-            for word in _unpack(blob):
+        for _, (part, blob) in found:
+            if isinstance(blob, int):
+                yield part, blob
+                continue
+            words, out = _unpack(blob), []
+            if len(ids) > REMEMBERED_WORDS:
+                ids.clear()
+            for word in words:
                 got = ids.get(word)
                 if got is None:
                     got = ids[word] = b"".join([x.to_bytes(4, "little") for x in merge(word)])
                 out.append(got)
-            yield part, (i, b, _pack(out))
+            yield part, (_pack(words), _pack(out))
 
     def by_chunk(found: Iterator) -> Iterator:
-        """One element a chunk, like the texts: {bucket: ids}."""
-        got: dict[int, dict[int, bytes]] = {}
-        for _, (i, b, blob) in found:
-            got.setdefault(i, {})[b] = blob
-        for i in sorted(got):
-            yield got[i]
+        """As many elements as the partition has chunks of rows: its answers, packed, in the first."""
+        chunks, got = 0, []
+        for _, message in found:
+            if isinstance(message, int):
+                chunks = message
+            else:
+                got.append(message)
+        for i in range(chunks):
+            yield got if not i else []
 
     def finish(found: Iterator) -> Iterator:
         import regex
 
         find, ids = regex.compile(pattern).findall, {}
+        merge = _core(vocabulary.value, pattern)
         tokens = _tokens(vocabulary.value) if "decoded_sha256" in outputs else []
         make = {
             "ids": bytearray, "n_tokens": lambda x: len(x) // 4, "ids_sha256": lambda x: hashlib.sha256(x).hexdigest(),
             "decoded_sha256": lambda x: hashlib.sha256(decode_ids(x, tokens)).hexdigest(),
         }
-        for side, answers in found:
-            split = [find(row[at] or "") for row in side]
-            words = _asked(split, ids)
-            by: dict[int, list[str]] = {}
-            for w in words:
-                by.setdefault(zlib.crc32(w.encode()) % buckets, []).append(w)
-            for b, asked in by.items():
-                ids.update(zip(asked, _unpack(answers[b]), strict=True))
-            for row, own in zip(side, split, strict=True):
-                whole = b"".join(map(ids.__getitem__, own))
+        for run, messages in found:
+            for words, answers in messages:
+                ids.update(zip([w.decode() for w in _unpack(words)], _unpack(answers), strict=True))
+            for row in run:
+                own = find(row[at] or "")
+                parts = list(map(ids.get, own))
+                if None in parts:
+                    for i, word in enumerate(own):
+                        if parts[i] is None:
+                            parts[i] = ids[word] = ids.get(word) or b"".join([x.to_bytes(4, "little") for x in merge(word.encode())])
+                whole = b"".join(parts)
                 yield (*row[:at], *[make[o](whole) for o in outputs])
 
     answers = rows.mapPartitionsWithIndex(ask).partitionBy(buckets, int).mapPartitions(answer)
     answers = answers.partitionBy(parts, int).mapPartitions(by_chunk)
-    runs = rows.mapPartitions(lambda found: _chunks(found, at))
+    runs = rows.mapPartitions(_chunks)
     if (more := answers.getNumPartitions() - parts) > 0:
         runs = runs.union(context.parallelize([], more))
     fields = {f.name: f for f in docs.schema.fields}

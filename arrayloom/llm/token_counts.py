@@ -27,6 +27,8 @@ from ._shared import table
 
 #: How many units a worker remembers from one text to the next: a bound of its memory, not of what is counted.
 REMEMBERED_UNITS = 500_000
+#: Bytes after which the beginnings of words are remembered, the longest first.
+STEMS = (8, 5)
 LIMIT = 1024
 SPECIAL = "<|endoftext|>"
 
@@ -53,6 +55,7 @@ class PrefixCounter:
         core = tiktoken.Encoding("prefix", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe
         self.merge = core.encode_single_piece
         self.follows: dict[tuple[bytes, bytes], bool] = {}
+        self.stems: dict[bytes, tuple[list[bytes], list[int]]] = {}
         self.forget()
 
     def may_follow(self, a: bytes, b: bytes) -> bool:
@@ -64,10 +67,14 @@ class PrefixCounter:
         return ok
 
     def byte_prefixes(self, word: bytes) -> list[int]:
-        """Token counts of word[:1], word[:2], ... when nothing follows."""
-        ranks, follows, reach = self.ranks, self.follows, self.reach.get
+        """Token counts of word[:1], word[:2], ... when nothing follows. What words that begin alike share is reckoned once."""
+        ranks, follows, reach, stems = self.ranks, self.follows, self.reach.get, self.stems
         last, counts = [b""], [0]
-        for end in range(1, len(word) + 1):
+        for size in STEMS:
+            if (known := stems.get(word[:size])) is not None:
+                last, counts = known[0].copy(), known[1].copy()
+                break
+        for end in range(len(last), len(word) + 1):
             for start in range(max(0, end - reach(word[end - 4 : end], 3)) if end > 3 else 0, end):
                 token = word[start:end]
                 if token in ranks:
@@ -79,6 +86,10 @@ class PrefixCounter:
                         break
             last.append(token)
             counts.append(counts[start] + 1)
+            if end in STEMS:
+                if len(stems) > REMEMBERED_UNITS:
+                    stems.clear()
+                stems[word[:end]] = last.copy(), counts.copy()
         return counts[1:]
 
     def piece_prefixes(self, piece: str) -> list[int]:
@@ -87,8 +98,7 @@ class PrefixCounter:
         counts = self.byte_prefixes(data)
         if len(data) == len(piece):
             return counts
-        ends = np.flatnonzero((np.frombuffer(data + b" ", np.uint8)[1:] & 0xC0) != 0x80)
-        return [counts[i] for i in ends]
+        return [n for n, following in zip(counts, data[1:] + b" ", strict=True) if following & 0xC0 != 0x80]
 
     def whole(self, text: str) -> int:
         return sum(self.piece_prefixes(p)[-1] for p in self.pieces.findall(text))
@@ -114,7 +124,7 @@ class PrefixCounter:
             alone = blanks - own
             before = self.piece_prefixes(unit[:alone])[-1] if alone else 0
             joined = unit[alone:]
-        if rest[0] == "'":  # may be cut within 's and its like, which then is punctuation and letters
+        if rest[0] == "'" and rest[1:].isalpha():  # may be cut within 's and its like, which then is punctuation and letters
             tail = [self.whole(joined[: len(joined) - len(rest) + k]) for k in range(1, len(rest) + 1)]
         else:
             tail = self.piece_prefixes(joined)[len(joined) - len(rest) :]
@@ -126,36 +136,27 @@ class PrefixCounter:
         units = self.units.findall(text)
         if not units:
             return np.zeros(0, np.int32)
-        if len(self.known) > REMEMBERED_UNITS or len(self.local) > 16 * REMEMBERED_UNITS:
+        if len(self.known) > REMEMBERED_UNITS or self.characters > 16 * REMEMBERED_UNITS:
             self.forget()
-        places = list(map(self.known.get, units))
-        if None in places:
-            for i, (unit, place) in enumerate(zip(units, places, strict=True)):
-                if place is None:
-                    place = self.known.get(unit)
-                    places[i] = self.learn(unit) if place is None else place
-        at = np.array(places, np.int64)
-        ends = np.frombuffer(self.ends, np.int64)
-        lengths = ends[at + 1] - ends[at]
-        inside = np.frombuffer(self.inside, np.int32)[at].astype(np.int64)
-        before = np.cumsum(inside) - inside
-        stops = np.cumsum(lengths)
-        local = np.frombuffer(self.local, np.int32)[np.repeat(ends[at] - (stops - lengths), lengths) + np.arange(stops[-1])]
-        return (local + np.repeat(before, lengths)).astype(np.int32)
+        found = list(map(self.known.get, units))
+        if None in found:
+            for i, unit in enumerate(units):
+                if found[i] is None:
+                    found[i] = self.known.get(unit) or self.learn(unit)
+        inside = np.fromiter([x[1] for x in found], np.int32, len(units))
+        out = np.frombuffer(b"".join([x[0] for x in found]), np.int32)
+        return out + np.repeat(np.cumsum(inside, dtype=np.int32) - inside, np.fromiter(map(len, units), np.int32, len(units)))
 
     def forget(self) -> None:
-        """Units met: their place, and by place their counts at each character and their count inside a text."""
-        self.known: dict[str, int] = {}
-        self.local, self.ends, self.inside = array("i"), array("q", [0]), array("i")
+        """Units met: their counts at each character, and their count inside a text."""
+        self.known: dict[str, tuple[bytes, int]] = {}
+        self.characters = 0
 
-    def learn(self, unit: str) -> int:
+    def learn(self, unit: str) -> tuple[bytes, int]:
         counts, inside = self.of_unit(unit, False)
-        place = len(self.inside)
-        self.local.extend(counts)
-        self.ends.append(len(self.local))
-        self.inside.append(inside)
-        self.known[unit] = place
-        return place
+        self.characters += len(unit)
+        self.known[unit] = found = array("i", counts).tobytes(), inside
+        return found
 
     def prefixes(self, text: str) -> np.ndarray:
         """Exact token counts of text[:0], text[:1], ..., text."""
@@ -178,9 +179,24 @@ class PrefixCounter:
 
 def fits(counts: np.ndarray, budget: int) -> int:
     """Characters of the longest prefix within a budget of tokens."""
+    if counts[-1] <= budget:
+        return len(counts) - 1
     return int(np.flatnonzero(counts <= budget)[-1])
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Counts as their steps from prefix to prefix, a byte each, or two or four where a step needs them; the first byte says which."""
+    steps = np.diff(counts)
+    most = int(np.abs(steps).max(initial=0))
+    kind = np.int8 if most < 1 << 7 else np.int16 if most < 1 << 15 else np.int32
+    return bytes([np.dtype(kind).itemsize]) + steps.astype(kind).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    """The count at every prefix, the empty one first."""
+    return np.concatenate(([0], np.cumsum(np.frombuffer(data, f"i{data[0]}", offset=1), dtype=np.int32))).astype(np.int32)
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
@@ -189,9 +205,10 @@ def read_ranks(path: str) -> dict[bytes, int]:
 _COUNTERS: dict = {}
 
 
-def count_prefixes(docs: DataFrame, ranks_path: str, pattern: str, budgets: tuple[int, ...] = (LIMIT,), keep_counts: bool = True, special: str | None = SPECIAL, text: str = "text") -> DataFrame:
+def count_prefixes(docs: DataFrame, ranks_path: str, pattern: str, budgets: tuple[int, ...] = (LIMIT,), keep_counts: bool | str = True, special: str | None = SPECIAL, text: str = "text") -> DataFrame:
     """docs with n_bytes, n_tokens, cut_<budget> for each budget (characters of the longest prefix that fits)
-    and, if asked for, prefix_tokens: the count at every prefix, one entry a character and one for the empty prefix.
+    and, if asked for, prefix_tokens: the count at every prefix, one entry a character and one for the empty prefix,
+    or with keep_counts="packed" prefix_steps: the same as packed() has it.
 
     One narrow map. The vocabulary, whose size is fixed, is broadcast.
     """
@@ -199,7 +216,7 @@ def count_prefixes(docs: DataFrame, ranks_path: str, pattern: str, budgets: tupl
         vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())
     added = [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), *[T.StructField(f"cut_{b}", T.LongType()) for b in budgets]]
     if keep_counts:
-        added.append(T.StructField("prefix_tokens", T.ArrayType(T.IntegerType())))
+        added.append(T.StructField("prefix_steps", T.BinaryType()) if keep_counts == "packed" else T.StructField("prefix_tokens", T.ArrayType(T.IntegerType())))
     names = {f.name.lower() for f in added}
     own = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in names or c == text])
     fields = [f for f in own.schema.fields if f.name.lower() not in names]
@@ -224,11 +241,11 @@ def count_prefixes(docs: DataFrame, ranks_path: str, pattern: str, budgets: tupl
                     for cut, budget in zip(cuts, budgets, strict=True):
                         cut.append(fits(counts, budget))
                     if keep_counts:
-                        kept.append(counts)
+                        kept.append(packed(counts) if keep_counts == "packed" else counts)
                 columns = [batch.column(batch.schema.get_field_index(f.name)) for f in fields]
                 columns += [pa.array(x, pa.int64()) for x in (n_bytes, n_tokens, *cuts)]
                 if keep_counts:
-                    columns.append(pa.array(kept, pa.list_(pa.int32())))
+                    columns.append(pa.array(kept, pa.binary() if keep_counts == "packed" else pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return own.mapInArrow(count, schema)
@@ -244,5 +261,5 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = count_prefixes(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_counts=False)
-    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"), f"cut_{LIMIT}")
+    out = count_prefixes(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_counts="packed")
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"), f"cut_{LIMIT}", "prefix_steps")

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -47,6 +48,24 @@ def test_counts_answer_budgets(spark, documents, library):
             assert r["first_two"] == want[min(2, len(text))]
 
 
+def test_long_texts_take_time_in_proportion(library):
+    """Runs of marks, blanks, letters and digits of 100,000 characters: whole counts as the library has them, prefixes at a few places."""
+    counter = PrefixCounter(read_ranks(RANKS), public_tokenizers.PATTERN)
+    began = time.monotonic()
+    for text in ("'" * 100_000, " '" * 50_000, "'s" * 50_000, "\n'" * 50_000, "''s'll" * 17_000, " " * 100_000, "a" * 100_000, "é" * 50_000, "1" * 100_000, "don't '" * 15_000):
+        counts = counter.prefixes(text)
+        for at in (1, 2, 3, 1001, 20_002, len(text)):
+            assert counts[at] == len(library.encode(text[:at], add_special_tokens=False).ids)
+    assert time.monotonic() - began < 120
+
+
+def test_packed_counts():
+    for counts in ([0], [0, 1, 1, 2], [0, 200, 3], [0, 40_000, 1, 1], list(range(0, 700, 7))):
+        packed = token_counts.packed(np.array(counts, np.int32))
+        assert token_counts.unpacked(packed).tolist() == counts
+    assert token_counts.packed(np.array([0, 1, 1])) == b"\x01\x01\x00"
+
+
 def test_counts_of_an_empty_table(spark, documents):
     out = token_counts.count_prefixes(documents().drop("lang"), RANKS, public_tokenizers.PATTERN)
     assert out.count() == 0 and "prefix_tokens" in out.columns
@@ -72,6 +91,27 @@ def test_encode_in_many_chunks_and_buckets(spark, documents, monkeypatch):
     assert {r["doc_id"]: bytes(r["decoded"]).decode() for r in out.collect()} == dict(enumerate(texts))
 
 
+def test_rows_in_another_order_the_second_time(spark, documents, monkeypatch):
+    """A partition that is read again may have its rows in another order: every row keeps its own ids."""
+    monkeypatch.setattr(bpe, "CHUNK_ROWS", 5)
+    monkeypatch.setattr(bpe, "CHUNK_CHARS", 40)
+    texts = [f"{i} some words {i % 3} {'long' * (i % 7)}" for i in range(200)]
+    docs = documents(*texts).coalesce(2)
+    whole, turned = type(docs.rdd).mapPartitions, []
+
+    def shuffled(self, f, *a, **b):
+        if f is not bpe._chunks:
+            return whole(self, f, *a, **b)
+        turned.append(1)
+        return whole(self, lambda rows: f(iter(sorted(rows, key=lambda r: hashlib.md5(repr(r).encode()).digest()))), *a, **b)
+
+    monkeypatch.setattr(type(docs.rdd), "mapPartitions", shuffled)
+    out = bpe.encode(docs, RANKS, public_tokenizers.PATTERN, buckets=3)
+    tok = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(RANKS), special_tokens={})
+    rows = out.collect()
+    assert turned and {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in rows} == {i: tok.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
 def test_encode_an_empty_table(spark, documents):
     assert bpe.encode(documents(), RANKS, public_tokenizers.PATTERN).count() == 0
 
@@ -85,6 +125,8 @@ def test_queries(spark):
     for r in counts:
         n = len(tok.encode_ordinary(texts[r["doc_id"]]))
         assert (r["n_tokens"], r["over_limit"]) == (n, n > 1024)
+        stored = token_counts.unpacked(bytes(r["prefix_steps"]))
+        assert len(stored) == len(texts[r["doc_id"]]) + 1 and stored[-1] == n and token_counts.fits(stored, 1024) == r["cut_1024"]
     for r in coded:
         ids = np.array(tok.encode_ordinary(texts[r["doc_id"]]), "<u4")
         assert r["ids_sha256"] == hashlib.sha256(ids.tobytes()).hexdigest()
