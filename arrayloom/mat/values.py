@@ -4,8 +4,8 @@ Arrays are stored with their dimensions reversed, as MATLAB runs down columns fi
 by an attribute; text is UTF-16 code units, logicals are bytes, cells hold references, structs are
 groups, complex values are records of real and imag, and empties store their dimensions.
 
-Opaque objects (string objects, tables, datetimes kept as objects) are reported by class, not decoded;
-tables go as structs of columns, see register_table.
+Objects (string arrays, tables, datetimes and the like) are those of objects.py; a table may also be a
+struct of columns, see register_table.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from ..operators.frame import ArrayFrame
 from ..sources.h5 import Compound, File, FileBuilder, Fixed, Float, Reference, String, Vlen, of_element
 from ..sources.h5.writer import Dataset, Group, attribute
 from .names import dedupe_name, is_valid_name, sanitize_name
+from .objects import KNOWN, OPAQUE, Interned, Store, Table
 
 USERBLOCK, TEXT = 512, 124
 DESCRIPTION = "MATLAB 7.3 MAT-file, Platform: Spark"
@@ -75,17 +76,36 @@ class MatBuilder:
         self.file, self.row, self.names, self.deflate = FileBuilder(USERBLOCK, header(description)), row, names, deflate
         self.refs: Group | None = None
         self.next_ref = 0
+        self.objects = Interned(self._apart)
 
     def write(self, name: str, value: object) -> MatBuilder:
         self._put(self.file, name, value)
         return self
 
     def save(self, path: str) -> None:
+        self._subsystem()
         self.file.write(path)
 
     def finish(self) -> bytes:
+        self._subsystem()
         return self.file.finish()
 
+    def _apart(self, value: object):
+        """A value by itself, for what refers to it."""
+        if self.refs is None:
+            self.refs = self.file.members.setdefault("#refs#", Group())
+        self.next_ref += 1
+        return self._put(self.refs, f"r{self.next_ref}", value, True)
+
+    def _subsystem(self) -> None:
+        """The list of objects, an empty cell, and their values, for files that have any."""
+        if not self.objects.objects or "#subsystem#" in self.file.members:
+            return
+        blob = self._class(self.refs.create_dataset("wrapper", np.frombuffer(self.objects.blob(), "u1").reshape(1, -1)), "uint8")
+        cells = [blob, self._empty(self.refs, "nothing", "cell", (0, 0)), *self.objects.cells]
+        store = self.file.members.setdefault("#subsystem#", Group()).create_dataset("MCOS", cells, shape=(1, len(cells)), kind=Reference())
+        self._class(store, "FileWrapper__", object_decode=np.int32(OPAQUE))
+
     def _name(self, group: Group, name: str) -> str:
         if not is_valid_name(name):
             if self.names == "strict":
@@ -108,6 +128,8 @@ class MatBuilder:
             return self._empty(group, name, value.matlab_class, value.dims)
         if value is None:
             return self._empty(group, name, "double", (0, 0))
+        if isinstance(value, KNOWN):
+            return self._class(group.create_dataset(name, self.objects.add(value).reshape(1, -1)), value.matlab_class, object_decode=np.int32(OPAQUE))
         if isinstance(value, dict):
             made = self._class(group.create_group(name), "struct")
             fields = []
@@ -146,12 +168,7 @@ class MatBuilder:
     def _cell(self, group: Group, name: str, values: list):
         if not values:
             return self._empty(group, name, "cell", (0, 0))
-        if self.refs is None:
-            self.refs = self.file.members.setdefault("#refs#", Group())
-        made = []
-        for v in values:
-            self.next_ref += 1
-            made.append(self._put(self.refs, f"r{self.next_ref}", v, True))
+        made = [self._apart(v) for v in values]
         dims = vector_dims(len(values), self.row)
         return self._class(group.create_dataset(name, made, shape=dims[::-1], kind=Reference()), "cell")
 
@@ -175,7 +192,13 @@ def _decode(file: File, address: int):
     found = file.object(address)
     attrs = file.attributes(found)
     kind = _class_of(attrs, found)
-    if "MATLAB_object_decode" in attrs:
+    if found.is_group and "EnumerationInstanceTag" in file.links(found):
+        links = file.links(found)
+        words = {n: np.asarray(file.stored(x := file.object(links[n]), (0,) * len(x.shape), x.shape)).reshape(-1).tolist() for n in ("ClassName", "ValueNames", "ValueIndices")}
+        return _store(file).enumeration(words["ClassName"][0], words["ValueNames"], words["ValueIndices"])
+    if attrs.get("MATLAB_object_decode") == OPAQUE and found.is_dataset:
+        return _store(file).of(file.stored(found, (0,) * len(found.shape), found.shape), lambda address: _decode(file, address))
+    if "MATLAB_object_decode" in attrs and found.is_dataset and int(attrs["MATLAB_object_decode"]) > 2:
         raise UnsupportedError(f"objects of class {kind}")
     if found.is_group:
         links = file.links(found)
@@ -206,6 +229,19 @@ def _decode(file: File, address: int):
     return values[0, 0] if values.shape == (1, 1) else np.ascontiguousarray(values)
 
 
+def _store(file: File) -> Store:
+    """What the file keeps of its objects, read once."""
+    if not hasattr(file, "objects_store"):
+        below = file.links(file.object(file.root)).get("#subsystem#")
+        place = file.links(file.object(below)).get("MCOS") if below is not None else None
+        if place is None:
+            raise FormatError("objects without a subsystem")
+        cells = _references(file, file.object(place))
+        blob = file.object(cells[0])
+        file.objects_store = Store(cells, file.stored(blob, (0,) * len(blob.shape), blob.shape).tobytes())
+    return file.objects_store
+
+
 def _dtype(element: str) -> np.dtype:
     return np.dtype(f"{element[0]}{int(element[1:]) // 8}")
 
@@ -247,9 +283,11 @@ def variable_frame(spark: SparkSession, path: str, name: str, **options) -> Arra
 
 
 def register_table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """A struct of equally long columns as a table, with row_number from 0. For tables that fit the driver, as a struct's fields are."""
+    """A table, timetable, or struct of equally long columns as a DataFrame, with row_number from 0. For tables that fit the driver, as a struct's fields are."""
     with File(path) as file:
         value = _decode(file, file.links(file.object(file.root))[name])
+    if isinstance(value, Table):
+        return value.frame(spark)
     if not isinstance(value, dict):
         raise TypeMismatchError(f"{name} is no struct")
     columns = {k: v if isinstance(v, list) else np.asarray(v).reshape(-1).tolist() for k, v in value.items()}

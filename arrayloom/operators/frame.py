@@ -1,7 +1,8 @@
 """An N-dimensional dataset as a DataFrame of coordinates i0, i1, ... and a value.
 
 Order is never implied: coordinates say where an element is. Selections are ranges of coordinates, which
-Catalyst pushes to the scan; nothing here sorts or collects.
+Catalyst pushes to the scan; nothing here sorts or collects. A selection keeps the coordinates of its
+dataset and remembers where it begins (origin), so selections compose: starts count from there.
 """
 
 from __future__ import annotations
@@ -16,6 +17,10 @@ from ..errors import SelectionError, TypeMismatchError, UnsupportedError
 from ..functions.convert import ELEMENTS, convert
 
 
+#: A patch of up to so many elements is broadcast.
+PATCH_ROWS = 100_000
+
+
 @dataclass(frozen=True)
 class ArrayFrame:
     df: DataFrame
@@ -24,8 +29,11 @@ class ArrayFrame:
     chunks: tuple[int, ...] | None = None
     fill: object = None
     value: str = "value"
+    origin: tuple[int, ...] | None = None  # the coordinates of the first place; zeros where not given
 
     def __post_init__(self):
+        if self.origin is None:
+            object.__setattr__(self, "origin", (0,) * len(self.shape))
         missing = {*self.coords, self.value} - set(self.df.columns)
         if missing:
             raise TypeMismatchError(f"columns {sorted(missing)} are missing")
@@ -55,19 +63,32 @@ class ArrayFrame:
             raise SelectionError("a scalar has no rows")
         if start < 0 or count < 0:
             raise SelectionError(f"rows {start}, {count}")
-        end = min(start + count, self.shape[0])
-        return self._with(self.df.filter((F.col("i0") >= start) & (F.col("i0") < end)), shape=(max(0, end - start), *self.shape[1:]))
+        count, first = max(0, min(count, self.shape[0] - start)), self.origin[0] + start
+        return self._with(self.df.filter((F.col("i0") >= first) & (F.col("i0") < first + count)), shape=(count, *self.shape[1:]), origin=(first, *self.origin[1:]))
 
     def region(self, start: tuple[int, ...], count: tuple[int, ...]) -> ArrayFrame:
         """A hyper-rectangle, which must lie within the dataset."""
         if len(start) != self.rank or len(count) != self.rank:
             raise SelectionError(f"rank {self.rank} needs as many starts and counts")
-        keep = F.lit(True)
         for d, (s, n) in enumerate(zip(start, count, strict=True)):
             if s < 0 or n < 0 or s + n > self.shape[d]:
                 raise SelectionError(f"dimension {d}: {s}, {n} is outside {self.shape[d]}")
-            keep &= (F.col(f"i{d}") >= s) & (F.col(f"i{d}") < s + n)
-        return self._with(self.df.filter(keep), shape=tuple(count))
+        cut = self._with(self.df, shape=tuple(count), origin=tuple(o + s for o, s in zip(self.origin, start, strict=True)))
+        return cut._with(self.df.filter(cut.inside()))
+
+    def inside(self) -> Column:
+        """Whether a row's coordinates are places of this frame."""
+        within = F.lit(True)
+        for c, o, n in zip(self.coords, self.origin, self.shape, strict=True):
+            within &= (F.col(c) >= o) & (F.col(c) < o + n)
+        return within
+
+    def rebased(self) -> ArrayFrame:
+        """With coordinates that count from 0."""
+        if not any(self.origin):
+            return self
+        moved = {c: (F.col(c) - o).cast(self.df.schema[c].dataType) for c, o in zip(self.coords, self.origin, strict=True) if o}
+        return self._with(self.df.withColumns(moved), origin=(0,) * self.rank)
 
     def strided(self, *_args, **_kwargs) -> ArrayFrame:
         raise UnsupportedError("only unit strides are read")
@@ -83,33 +104,37 @@ class ArrayFrame:
     def transpose(self) -> ArrayFrame:
         """Dimensions reversed, as between row-major and column-major."""
         back = self.df.select(*[F.col(f"i{self.rank - 1 - d}").alias(f"i{d}") for d in range(self.rank)], *[c for c in self.df.columns if c not in self.coords])
-        return self._with(back, shape=self.shape[::-1], chunks=self.chunks[::-1] if self.chunks else None)
+        return self._with(back, shape=self.shape[::-1], chunks=self.chunks[::-1] if self.chunks else None, origin=self.origin[::-1])
 
     def nested(self) -> DataFrame:
-        """One row for each place of all but the last dimension: an array along the last."""
-        keys, last = self.coords[:-1], self.coords[-1]
+        """One row for each place of all but the last dimension that has an element: an array along the last, with null where one is absent."""
+        keys, last, n, first = self.coords[:-1], self.coords[-1], self.shape[-1], self.origin[-1]
         pairs = F.sort_array(F.collect_list(F.struct(last, self.value)))
-        return self.df.groupBy(*keys).agg(F.transform(pairs, lambda x: x[self.value]).alias("values"))
+        listed = self.df.groupBy(*keys).agg(pairs.alias("pairs"))
+        at = F.transform("pairs", lambda x: x[last])
+        holes = F.transform(F.sequence(F.lit(first), F.lit(first + max(n, 1) - 1)), lambda i: F.get("pairs", F.array_position(at, i.cast(self.df.schema[last].dataType)).cast("int") - 1)[self.value])
+        return listed.select(*keys, F.when(F.size("pairs") == n, F.transform("pairs", lambda x: x[self.value])).otherwise(holes).alias("values"))
 
     def ordinal(self) -> Column:
         """The row-major position of an element."""
         at = F.lit(0).cast("long")
         for d in range(self.rank):
-            at = at * self.shape[d] + F.col(f"i{d}")
+            at = at * self.shape[d] + F.col(f"i{d}") - self.origin[d]
         return at
 
     def is_dense(self) -> DataFrame:
-        """n_elements, n_missing, n_repeated: whether every place is filled once."""
-        each = self.df.groupBy(*self.coords).agg(F.count("*").alias("n"))
-        seen = each.agg(F.count("*").alias("places"), F.coalesce(F.sum(F.when(F.col("n") > 1, 1).otherwise(0)), F.lit(0)).alias("n_repeated"))
-        return seen.select(F.lit(self.n_elements).cast("long").alias("n_elements"), (F.lit(self.n_elements) - F.col("places")).cast("long").alias("n_missing"), F.col("n_repeated").cast("long"))
+        """n_elements, n_missing, n_repeated, n_outside: whether every place is filled once, and elements that are at none."""
+        each = self.df.groupBy(*self.coords, self.inside().alias("in")).agg(F.count("*").alias("n"))
+        total = lambda what: F.coalesce(F.sum(what), F.lit(0)).cast("long")
+        seen = each.agg(total(F.col("in").cast("int")).alias("places"), total((F.col("in") & (F.col("n") > 1)).cast("int")).alias("n_repeated"), total(F.when(~F.col("in"), F.col("n"))).alias("n_outside"))
+        return seen.select(F.lit(self.n_elements).cast("long").alias("n_elements"), (F.lit(self.n_elements) - F.col("places")).cast("long").alias("n_missing"), "n_repeated", "n_outside")
 
     def grid(self) -> DataFrame:
         """Every place of the dataset, made in parallel from positions."""
         at = self.df.sparkSession.range(self.n_elements)
         left, out = F.col("id"), []
         for d in reversed(range(self.rank)):
-            out.append((left % self.shape[d]).alias(f"i{d}"))
+            out.append((left % self.shape[d] + self.origin[d]).alias(f"i{d}"))
             left = F.expr(f"id div {prod(self.shape[d:])}")
         return at.select(*reversed(out))
 
@@ -136,7 +161,7 @@ class ArrayFrame:
         whole = prod(chunks)
         edge = F.lit(False)
         for d, c in enumerate(chunks):
-            edge |= F.col("chunk")[d] + c > self.shape[d]
+            edge |= F.col("chunk")[d] + c > self.origin[d] + self.shape[d]
         counted = self.with_chunk().groupBy("chunk").agg(F.count("*").alias("n_elements"))
         return counted.select("chunk", "n_elements", F.lit(whole).cast("long").alias("n_stored"), edge.alias("is_partial"))
 
@@ -152,34 +177,46 @@ class ArrayFrame:
             raise TypeMismatchError(f"{other.shape} can't go into {self.shape}")
 
     def append(self, *others: ArrayFrame) -> ArrayFrame:
-        """Others after this one along the leading dimension, in order; their own rows count from 0."""
+        """Others after this one along the leading dimension, in order; a selection brings its rows, wherever they were."""
         df, extent = self.df.select(*self.coords, self.value), self.shape[0]
         for other in others:
             self._alike(other, shape=False)
-            moved = other.df.select((F.col("i0") + extent).cast(self.df.schema["i0"].dataType).alias("i0"), *self.coords[1:], F.col(other.value).alias(self.value))
-            df, extent = df.unionByName(moved), extent + other.shape[0]
+            to = (self.origin[0] + extent, *self.origin[1:])
+            moved = [(F.col(c) - o + t).cast(self.df.schema[c].dataType).alias(c) for c, o, t in zip(self.coords, other.origin, to, strict=True)]
+            df, extent = df.unionByName(other.df.select(*moved, F.col(other.value).alias(self.value))), extent + other.shape[0]
         return self._with(df, shape=(extent, *self.shape[1:]))
 
     def overwrite(self, other: ArrayFrame) -> ArrayFrame:
         """All values replaced; type and shape must be the same."""
         self._alike(other, shape=True)
-        return other
+        if other.origin == self.origin:
+            return other
+        other = other.rebased()
+        return other._with(other.df.withColumns({c: (F.col(c) + o).cast(other.df.schema[c].dataType) for c, o in zip(self.coords, self.origin, strict=True)}), origin=self.origin)
 
     def patch(self, other: DataFrame) -> ArrayFrame:
-        """Values at the coordinates of other replaced."""
-        mine = self.df.select(*self.coords, self.value)
-        new = other.select(*self.coords, F.col(self.value).alias("__new"), F.lit(True).alias("__has"))
-        joined = mine.join(new, self.coords, "full_outer")
-        return self._with(joined.select(*self.coords, F.when(F.col("__has"), F.col("__new")).otherwise(F.col(self.value)).alias(self.value)))
+        """Values at the coordinates of other, each named once, replaced or put where none was. A coordinate outside raises when the result is read.
+
+        Up to PATCH_ROWS of them are broadcast, so that the dataset stays where it is.
+        """
+        outside = F.raise_error(F.concat(F.lit("no place "), F.concat_ws(", ", *self.coords)))
+        new = other.select(*[F.when(self.inside(), F.col(c)).otherwise(outside).alias(c) for c in self.coords], F.col(self.value))
+        few = other.limit(PATCH_ROWS + 1).count() <= PATCH_ROWS
+        places = new.select(*self.coords)
+        kept = self.df.select(*self.coords, self.value).join(F.broadcast(places) if few else places, self.coords, "left_anti")
+        return self._with(kept.unionByName(new))
 
     def follow(self, extent: int) -> ArrayFrame:
         """What a reader sees that knows the leading extent as it was: always a prefix."""
         return self.rows(0, extent)
 
-    def digest(self, text: Column, name: str = "sha256") -> DataFrame:
-        """SHA-256 over the elements' canonical text in storage order, joined by commas; for datasets that fit one row."""
-        parts = F.sort_array(F.collect_list(F.struct(self.ordinal().alias("at"), text.alias("t"))))
-        return self.df.agg(F.sha2(F.array_join(F.transform(parts, lambda x: x["t"]), ","), 256).alias(name))
+    def digest(self, text: Column, name: str = "sha256", block: int = 4096) -> DataFrame:
+        """SHA-256 over the digests of runs of block elements, in storage order; a run's is that of its elements' canonical text, joined by commas."""
+        parts = F.sort_array(F.collect_list(F.struct(F.col("at"), F.col("t"))))
+        each = self.df.select(self.ordinal().alias("at"), text.alias("t")).withColumn("run", F.expr(f"at div {block}"))
+        runs = each.groupBy("run").agg(F.sha2(F.array_join(F.transform(parts, lambda x: x["t"]), ","), 256).alias("d"))
+        whole = F.sort_array(F.collect_list(F.struct("run", "d")))
+        return runs.agg(F.sha2(F.array_join(F.transform(whole, lambda x: x["d"]), ","), 256).alias(name))
 
 
 def from_arrays(df: DataFrame, key: str, values: str, shape: tuple[int, int], element: str, chunks: tuple[int, int] | None = None) -> ArrayFrame:

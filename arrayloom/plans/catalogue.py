@@ -14,10 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import convert as cv
+from ..mat import objects as mo
+from ..mat import read_mat, register_table, variable_frame, write_mat
 from ..operators import chunkmath, objects, tables
 from ..operators.frame import ArrayFrame, from_arrays, from_column
 from ..sources import codecs, datasource
-from ..sources.h5 import FileBuilder
+from ..sources.h5 import Compound, FileBuilder, String, of_element
+from ..sources.session import Session
+from ..streaming.follow import follow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -164,7 +168,7 @@ def fill_never(spark, sf_dir):
     return _holes(events(spark, sf_dir, fill=-1.5)).densify(never=True).df
 
 
-@query("SELECT (SELECT count(*) * 64 FROM embeddings) AS n_elements, CAST(0 AS BIGINT) AS n_missing, CAST(0 AS BIGINT) AS n_repeated")
+@query("SELECT (SELECT count(*) * 64 FROM embeddings) AS n_elements, CAST(0 AS BIGINT) AS n_missing, CAST(0 AS BIGINT) AS n_repeated, CAST(0 AS BIGINT) AS n_outside")
 def dense_grid_check(spark, sf_dir):
     return emb(spark, sf_dir).is_dense()
 
@@ -172,9 +176,30 @@ def dense_grid_check(spark, sf_dir):
 # ---- compound, enumeration, strings
 
 
+def _stored(spark: SparkSession, name: str, kind, values, **how) -> str:
+    """A new file with /x of a type; values are small test columns that come to the driver, which writes the file."""
+    path, builder = _file(spark, name), FileBuilder()
+    builder.create_dataset("x", values, shape=(len(values),), kind=kind, **how)
+    builder.write(path)
+    return path
+
+
+def _column(df: DataFrame, key: str, *columns) -> dict[str, list]:
+    """Columns in the order of a key."""
+    found = df.select(key, *columns).orderBy(key).toArrow()
+    return {c: found.column(c).to_pylist() for c in found.column_names}
+
+
+def _elements(spark: SparkSession, path: str) -> DataFrame:
+    return datasource.read_frame(spark, path, "/x").df
+
+
 @query("SELECT o_orderkey AS i0, o_custkey AS custkey, o_totalprice AS total, o_orderstatus AS status FROM orders")
 def compound_read(spark, sf_dir):
-    return from_column(read(spark, sf_dir, "orders"), "o_orderkey", F.struct(F.col("o_custkey").alias("custkey"), F.col("o_totalprice").alias("total"), F.col("o_orderstatus").alias("status")), 0, None).df.select("i0", "value.*")
+    kind = Compound.packed(custkey=of_element("i64"), total=of_element("f64"), status=String(1))
+    c = _column(read(spark, sf_dir, "orders"), "o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    rows = [{"custkey": a, "total": b, "status": s} for a, b, s in zip(c["o_custkey"], c["o_totalprice"], c["o_orderstatus"], strict=True)]
+    return _elements(spark, _stored(spark, "records", kind, rows, chunks=(1000,), filters=[("shuffle", None), ("deflate", 1)])).select("i0", "value.*")
 
 
 @query("SELECT o_orderkey AS i0, o_totalprice AS total FROM orders")
@@ -184,7 +209,11 @@ def compound_project(spark, sf_dir):
 
 @query("SELECT event_id AS i0, value AS real, value * user_id AS imag FROM events")
 def complex_read(spark, sf_dir):
-    return from_column(read(spark, sf_dir, "events"), "event_id", F.struct(F.col("value").alias("real"), (F.col("value") * F.col("user_id")).alias("imag")), 0, None).df.select("i0", "value.*")
+    c = _column(read(spark, sf_dir, "events"), "event_id", "value", "user_id")
+    kind = Compound.packed(real=of_element("f64"), imag=of_element("f64"))
+    data = np.zeros(len(c["value"]), kind.dtype())
+    data["real"], data["imag"] = c["value"], np.array(c["value"]) * np.array(c["user_id"])
+    return _elements(spark, _stored(spark, "complex", kind, data, chunks=(512,))).select("i0", "value.*")
 
 
 FLAGS = {"A": 0, "N": 1, "R": 2}
@@ -200,19 +229,24 @@ def enum_decode(spark, sf_dir):
     return read(spark, sf_dir, "events").select(F.col("event_id").alias("i0"), cv.enum_labels(F.col("user_id") % 5, FLAGS).alias("label"))
 
 
+def _fixed(spark, sf_dir, padding: str, size: int) -> DataFrame:
+    values = _column(read(spark, sf_dir, "orders"), "o_orderkey", "o_orderpriority")["o_orderpriority"]
+    return _elements(spark, _stored(spark, padding, String(size, padding), values, chunks=(700,), filters=[("deflate", 1)]))
+
+
 @query("SELECT o_orderkey AS i0, o_orderpriority AS value FROM orders")
 def fixed_string_nullpad(spark, sf_dir):
-    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("i0"), cv.fixed_string(F.rpad("o_orderpriority", 20, "\0"), "nullpad").alias("value"))
+    return _fixed(spark, sf_dir, "nullpad", 20)
 
 
 @query("SELECT o_orderkey AS i0, o_orderpriority AS value FROM orders")
 def fixed_string_spacepad(spark, sf_dir):
-    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("i0"), cv.fixed_string(F.rpad("o_orderpriority", 20, " "), "spacepad").alias("value"))
+    return _fixed(spark, sf_dir, "spacepad", 20)
 
 
-@query("SELECT o_orderkey AS i0, o_orderstatus AS value FROM orders")
+@query("SELECT o_orderkey AS i0, o_orderpriority AS value FROM orders")
 def fixed_string_nullterm(spark, sf_dir):
-    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("i0"), cv.fixed_string(F.concat("o_orderstatus", F.lit("\0"), "o_orderpriority"), "nullterm").alias("value"))
+    return _fixed(spark, sf_dir, "nullterm", 21)
 
 
 @query("SELECT CAST(sum(strlen(text)) AS BIGINT) AS payload_bytes, CAST(max(strlen(text)) AS BIGINT) AS longest FROM documents")
@@ -278,7 +312,11 @@ def named_type_refcount(spark, sf_dir):
 
 @query("SELECT '/' || r_name AS owner, 'key' AS name, 'i32' AS type_name, true AS is_scalar, r_regionkey AS value FROM region")
 def attrs_scan(spark, sf_dir):
-    return read(spark, sf_dir, "region").select(F.concat(F.lit("/"), "r_name").alias("owner"), F.lit("key").alias("name"), F.lit("i32").alias("type_name"), F.lit(True).alias("is_scalar"), F.col("r_regionkey").alias("value"))
+    path, builder = _file(spark, "attributes"), FileBuilder()
+    for r in read(spark, sf_dir, "region").collect():  # five rows
+        builder.create_group(r["r_name"]).set_attr("key", np.int32(r["r_regionkey"]))
+    builder.write(path)
+    return datasource.attributes(spark, path).select("owner", "name", "type_name", "is_scalar", F.col("number").cast("int").alias("value"))
 
 
 @query("SELECT 'key' AS name, CAST(sum(r_regionkey) AS DOUBLE) AS total, CAST(max(r_regionkey) AS SMALLINT) AS most FROM region")
@@ -292,16 +330,37 @@ def attr_numeric(spark, sf_dir):
 N_EVENTS = "(SELECT max(event_id) + 1 FROM events)"
 
 
-@query(f"SELECT event_id AS i0, value FROM events UNION ALL SELECT event_id + {N_EVENTS}, value FROM events WHERE event_id < 100")
+@query(f"SELECT event_id AS i0, value FROM events UNION ALL SELECT event_id + {N_EVENTS}, -value FROM events")
 def append(spark, sf_dir):
     a = events(spark, sf_dir)
-    return a.append(a.rows(0, 100)).df
+    return a.append(a._with(a.df.withColumn("value", -F.col("value")))).df
 
 
-@query(f"SELECT event_id AS i0, value FROM events UNION ALL SELECT event_id + {N_EVENTS}, value FROM events WHERE event_id < 10 UNION ALL SELECT event_id + {N_EVENTS} + 10, value FROM events WHERE event_id < 20")
+@query(f"SELECT event_id AS i0, value FROM events UNION ALL SELECT event_id + {N_EVENTS}, value * 2 FROM events UNION ALL SELECT event_id + 2 * {N_EVENTS}, value * 4 FROM events")
 def append_staged(spark, sf_dir):
     a = events(spark, sf_dir)
-    return a.append(a.rows(0, 10), a.rows(0, 20)).df
+    twice = a._with(a.df.withColumn("value", F.col("value") * 2))
+    return a.append(twice, twice._with(twice.df.withColumn("value", F.col("value") * 2))).df
+
+
+@query(f"SELECT event_id AS i0, value FROM events UNION ALL SELECT event_id - {N_EVENTS} // 3 + {N_EVENTS}, value FROM events WHERE event_id >= {N_EVENTS} // 3")
+def append_window(spark, sf_dir):
+    """A selection's rows go after the last, wherever they were."""
+    a = events(spark, sf_dir)
+    return a.append(a.rows(a.shape[0] // 3, a.shape[0])).df
+
+
+@query(f"SELECT i0, i1, v AS value FROM ({EMB}) WHERE i0 BETWEEN 110 AND 119 AND i1 BETWEEN 24 AND 27")
+def region_then_rows(spark, sf_dir):
+    """Selections compose: the second counts from where the first begins."""
+    return emb(spark, sf_dir).region((100, 20), (60, 12)).rows(10, 10).region((0, 4), (10, 4)).df
+
+
+@query("""SELECT r.i AS i0, CASE WHEN (r.i // 1024) % 3 = 1 THEN -1.5 ELSE value END AS value
+ FROM (SELECT unnest(range(300, (SELECT max(event_id) + 1 FROM events) - 100)) AS i) r LEFT JOIN events ON event_id = r.i""")
+def region_densify(spark, sf_dir):
+    a = _holes(events(spark, sf_dir, fill=-1.5))
+    return a.region((300,), (a.shape[0] - 400,)).densify().df
 
 
 @query("SELECT event_id AS i0, value * 2 AS value FROM events")
@@ -342,10 +401,10 @@ def copy_within(spark, sf_dir):
 # ---- provenance and codecs
 
 
-@query("SELECT sha256(string_agg(CAST(n_regionkey AS VARCHAR), ',' ORDER BY n_nationkey)) AS sha256 FROM nation")
+@query(f"""WITH e AS (SELECT i0 * 64 + i1 AS place, CAST(CAST(floor(CAST(v AS DOUBLE) * 1000000) AS BIGINT) AS VARCHAR) AS t FROM ({EMB})),
+ runs AS (SELECT place // 4096 AS run, sha256(string_agg(t, ',' ORDER BY place)) AS d FROM e GROUP BY 1) SELECT sha256(string_agg(d, ',' ORDER BY run)) AS sha256 FROM runs""")
 def provenance_sha256(spark, sf_dir):
-    df = read(spark, sf_dir, "nation")
-    return from_column(df, "n_nationkey", "n_regionkey", 0, "i32").digest(F.col("value").cast("string"))
+    return emb(spark, sf_dir).digest(F.floor(F.col("value").cast("double") * 1000000).cast("string"))
 
 
 @query("""WITH c AS (SELECT event_id, value, min(value) OVER (PARTITION BY event_id // 1024) AS m FROM events),
@@ -377,12 +436,12 @@ _roundtrip("scaleoffset_roundtrip", [("scaleoffset", ("integer", 0))], "user_id"
 
 
 
-@query("SELECT event_id AS i0, CAST(user_id * 64 AS INTEGER) AS value FROM events")
+@query("SELECT event_id AS i0, CAST(user_id * 64 AS INTEGER) AS value, true AS is_near FROM events")
 def zfp_roundtrip(spark, sf_dir):
-    """Multiples of 64 of a smooth enough range come back exactly once rounded to them, at full rate."""
+    """Integers at full rate: within 8 of what they were, so multiples of 64 come back once rounded to them."""
     a = events(spark, sf_dir, (F.col("user_id") * 64).cast("int"), "i32", 256)
-    back = codecs.roundtrip(a, [("zfp", (32, (256,)))])
-    return back.df.select("i0", (F.round(F.col("value") / 64) * 64).cast("int").alias("value"))
+    back = codecs.roundtrip(a, [("zfp", 32)]).df.withColumn("exact", (F.round(F.col("value") / 64) * 64).cast("int"))
+    return back.select("i0", F.col("exact").alias("value"), (F.abs(F.col("value") - F.col("exact")) <= 8).alias("is_near"))
 
 
 # ---- through files
@@ -420,6 +479,55 @@ def h5_chunks(spark, sf_dir):
     return spark.read.format("h5").options(path=path, dataset="/v", mode="chunks").load().select("chunk", "mask")
 
 
+@query("SELECT event_id AS i0, value, true AS is_near FROM events")
+def h5_zfp(spark, sf_dir):
+    """Fixed-rate blocks in a file: at 48 bits a value all are within a ten-millionth of the largest."""
+    path, a = _file(spark, "blocks"), events(spark, sf_dir, chunk=512)
+    datasource.write_frame(a, path, "/v", [("zfp", 48), ("fletcher32", None)])
+    back = datasource.read_frame(spark, path, "/v").df.withColumnRenamed("value", "back")
+    most = a.df.agg(F.max(F.abs("value")).alias("most"))
+    near = F.abs(F.col("back") - F.col("value")) <= F.col("most") * 1e-7
+    return a.df.join(back, "i0").join(F.broadcast(most)).select("i0", "value", near.alias("is_near"))  # most is one row
+
+
+@query("SELECT event_id AS i0, user_id AS value FROM events")
+def h5_scaleoffset_fill(spark, sf_dir):
+    """Every third chunk was never written: its elements are the fill value, for which the filter keeps a code."""
+    path, a = _file(spark, "filled"), events(spark, sf_dir, "user_id", "i64", 300, fill=-9)
+    datasource.write_frame(a, path, "/v", [("scaleoffset", ("integer", 0))])
+    return datasource.read_frame(spark, path, "/v").df
+
+
+@query("SELECT '/many/' || n_name AS path, '/many' AS parent, n_name AS name, 'dataset' AS kind FROM nation UNION ALL SELECT '/many', '/', 'many', 'group'")
+def h5_dense_catalog(spark, sf_dir):
+    """More links than a header holds: they stand in a heap, found by a tree."""
+    path, builder = _file(spark, "dense"), FileBuilder()
+    group = builder.create_group("many")
+    for r in read(spark, sf_dir, "nation").collect():  # 25 rows
+        group.create_dataset(r["n_name"], np.arange(r["n_nationkey"]))
+    builder.write(path)
+    return datasource.catalog(spark, path).select("path", "parent", "name", "kind")
+
+
+@query("SELECT '/' AS owner, n_name AS name, 'f64' AS type_name, true AS is_scalar, CAST(n_nationkey AS DOUBLE) AS number FROM nation")
+def h5_dense_attributes(spark, sf_dir):
+    path, builder = _file(spark, "attributes"), FileBuilder()
+    for r in read(spark, sf_dir, "nation").collect():  # 25 rows
+        builder.set_attr(r["n_name"], np.float64(r["n_nationkey"]))
+    builder.write(path)
+    return datasource.attributes(spark, path).select("owner", "name", "type_name", "is_scalar", "number")
+
+
+@query(f"SELECT i0, i1, v AS value FROM ({EMB}) WHERE i0 BETWEEN 30 AND 99 AND i1 BETWEEN 10 AND 40")
+def h5_tree2(spark, sf_dir):
+    """Chunks of a matrix that grows both ways stand in a version-2 tree."""
+    path, builder, a = _file(spark, "tree"), FileBuilder(), emb(spark, sf_dir)
+    values = np.array(a.df.orderBy("i0", "i1").toArrow().column("value").to_numpy(), "<f4").reshape(a.shape)
+    builder.create_dataset("x", values, chunks=(16, 16), maximum=(None, None), filters=[("deflate", 1)])
+    builder.write(path)
+    return datasource.read_frame(spark, path, "/x").region((30, 10), (70, 31)).df
+
+
 @query("SELECT '/' || r_name AS path, '/' AS parent, r_name AS name, 'group' AS kind FROM region UNION ALL SELECT '/' || r_name || '/' || n_name, '/' || r_name, n_name, 'dataset' FROM nation JOIN region ON n_regionkey = r_regionkey")
 def h5_catalog(spark, sf_dir):
     path, builder = _file(spark, "catalog"), FileBuilder()
@@ -430,46 +538,90 @@ def h5_catalog(spark, sf_dir):
     return datasource.catalog(spark, path).select("path", "parent", "name", "kind")
 
 
-# ---- table-like values
+# ---- MATLAB files, written and read
+
 
+def _mat(spark: SparkSession, name: str, value: object) -> str:
+    path = _file(spark, "mat")
+    write_mat(path, {name: value})
+    return path
 
-@query("SELECT event_id AS i0, CASE user_id % 4 WHEN 1 THEN 'low' WHEN 2 THEN 'mid' WHEN 3 THEN 'high' END AS label FROM events")
+
+@query("SELECT event_id AS row_number, CASE user_id % 4 WHEN 1 THEN 'low' WHEN 2 THEN 'mid' WHEN 3 THEN 'high' END AS label FROM events")
 def categorical_labels(spark, sf_dir):
-    return read(spark, sf_dir, "events").select(F.col("event_id").alias("i0"), tables.categorical_labels(F.col("user_id") % 4, ["low", "mid", "high"]).alias("label"))
+    users = np.array(_column(read(spark, sf_dir, "events"), "event_id", "user_id")["user_id"])
+    value = mo.Table({"label": mo.Categorical((users % 4).reshape(-1, 1), ["low", "mid", "high"])})
+    return register_table(spark, _mat(spark, "t", value), "t")
 
 
 @query("SELECT event_id AS row_number, user_id, value, event_type FROM events")
 def mat_table(spark, sf_dir):
-    return read(spark, sf_dir, "events").select(F.col("event_id").alias("row_number"), "user_id", "value", "event_type")
+    c = _column(read(spark, sf_dir, "events"), "event_id", "user_id", "value", "event_type")
+    value = mo.Table({"user_id": np.array(c["user_id"]), "value": np.array(c["value"]), "event_type": mo.Strings(c["event_type"])})
+    return register_table(spark, _mat(spark, "t", value), "t")
 
 
-@query("SELECT event_id AS i0, value, 1000.0::DOUBLE + event_id * 250.0::DOUBLE AS row_time_ms FROM events")
+@query("SELECT event_id AS row_number, value, 1000.0::DOUBLE + event_id * 250.0::DOUBLE AS row_time_ms FROM events")
 def mat_timetable_regular(spark, sf_dir):
-    return tables.regular_times(events(spark, sf_dir).df, "i0", 1000, 250)
+    """Row times from where they begin and a step."""
+    c = _column(read(spark, sf_dir, "events"), "event_id", "value")
+    times = {"origin": mo.Duration(np.array([1000.0])), "specifiedAsRate": False, "sampleRate": 4.0, "stepSize": mo.Duration(np.array([250.0]))}
+    return register_table(spark, _mat(spark, "t", mo.Timetable({"value": np.array(c["value"])}, row_times=times)), "t")
 
 
-@query("SELECT event_id AS i0, (CAST(epoch_us(ts) // 1000 AS DOUBLE) + 0.25) * 1000000.0 AS nanoseconds FROM events")
+@query("SELECT event_id AS row_number, (CAST(epoch_us(ts) // 1000 AS DOUBLE) + 0.25) * 1000000.0 AS ts FROM events")
 def mat_datetime_ns(spark, sf_dir):
-    millis = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts) DIV 1000").cast("double")
-    return read(spark, sf_dir, "events").select(F.col("event_id").alias("i0"), tables.datetime_nanoseconds(millis, F.lit(0.25)).alias("nanoseconds"))
+    millis = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts) DIV 1000").cast("double").alias("ms")
+    ms = np.array(_column(read(spark, sf_dir, "events").select("event_id", millis), "event_id", "ms")["ms"])
+    return register_table(spark, _mat(spark, "t", mo.Table({"ts": mo.Datetime(ms, np.full(len(ms), 0.25), "UTC")})), "t")
 
 
-@query("SELECT event_id AS i0, value / 1000 AS seconds FROM events")
+@query("SELECT event_id AS row_number, value / 1000 AS seconds FROM events")
 def mat_duration_seconds(spark, sf_dir):
-    return read(spark, sf_dir, "events").select(F.col("event_id").alias("i0"), tables.duration_seconds(F.col("value")).alias("seconds"))
+    c = _column(read(spark, sf_dir, "events"), "event_id", "value")
+    return register_table(spark, _mat(spark, "t", mo.Table({"seconds": mo.Duration(np.array(c["value"]))})), "t")
 
 
-@query("SELECT r_name AS key, r_regionkey AS value FROM region")
+@query("SELECT r_name AS key, CAST(r_regionkey AS DOUBLE) AS value FROM region")
 def mat_map(spark, sf_dir):
-    return tables.to_map(read(spark, sf_dir, "region"), "r_name", "r_regionkey").select(F.explode("map").alias("key", "value"))
+    rows = read(spark, sf_dir, "region").collect()  # five rows
+    found = read_mat(_mat(spark, "m", mo.Map({r["r_name"]: float(r["r_regionkey"]) for r in rows})))["m"]
+    return spark.createDataFrame([(k, float(v)) for k, v in found.items()], "key string, value double")
+
+
+@query("SELECT event_id AS i0, CAST(0 AS BIGINT) AS i1, value * 2 AS value FROM events")
+def mat_matrix(spark, sf_dir):
+    """A column of numbers, read in parallel."""
+    c = _column(read(spark, sf_dir, "events"), "event_id", "value")
+    return variable_frame(spark, _mat(spark, "x", np.array(c["value"]).reshape(-1, 1) * 2), "x").df
+
+
+@query("SELECT event_id AS i0, value, 1000.0::DOUBLE + event_id * 250.0::DOUBLE AS row_time_ms FROM events")
+def timetable_arithmetic(spark, sf_dir):
+    return tables.regular_times(events(spark, sf_dir).df, "i0", 1000, 250)
 
 
 # ---- following a growing dataset
 
 
-@query("SELECT event_id AS i0, value FROM events WHERE event_id < 3 * 1024")
+@query("SELECT event_id AS i0, value FROM events")
 def swmr_prefix(spark, sf_dir):
-    return events(spark, sf_dir).follow(3 * 1024).df
+    """A stream follows a dataset that is appended to between two of its runs: every row arrives once."""
+    values = np.array(_column(read(spark, sf_dir, "events"), "event_id", "value")["value"])
+    path, builder, half = _file(spark, "growing"), FileBuilder(), len(values) // 2
+    builder.create_dataset("x", values[:half], chunks=(256,), maximum=(None,))
+    builder.write(path)
+    out, state = f"{os.path.dirname(path)}/rows", f"{os.path.dirname(path)}/state"
+    for more in (None, values[half:]):
+        if more is not None:
+            with Session(path) as session:
+                session.append("/x", more)
+        stream = follow(spark, path, "/x").writeStream.format("parquet").option("checkpointLocation", state).start(out)
+        try:
+            stream.processAllAvailable()
+        finally:
+            stream.stop()
+    return spark.read.parquet(out)
 
 
 @query("SELECT chunk, sum(n) OVER (ORDER BY chunk) AS extent FROM (SELECT event_id // 1024 AS chunk, count(*) AS n FROM events GROUP BY 1)")

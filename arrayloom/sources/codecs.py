@@ -1,6 +1,7 @@
 """Chunk filters: deflate, shuffle, fletcher32, LZF, scale-offset and fixed-rate blocks, on bytes with numpy.
 
-A pipeline is a list of (name, parameter); zfp's parameter is (bits a value, chunk shape). Encoding applies it forwards, decoding backwards; bit i of a
+A pipeline is a list of (name, parameter); zfp's parameter is bits a value, or with them the chunk's shape, which placed()
+adds. Encoding applies it forwards, decoding backwards; bit i of a
 chunk's mask says that filter i was left out, as when it could not make the chunk smaller.
 """
 
@@ -190,6 +191,11 @@ def is_lossless(filters: list) -> bool:
     return not any(f == "zfp" or f == "scaleoffset" and p[0] == "float" for f, p in filters)
 
 
+def placed(filters: list, chunks: tuple[int, ...]) -> list:
+    """filters as they stand for chunks of a shape."""
+    return [(f, (p, tuple(chunks))) if f == "zfp" and not isinstance(p, tuple) else (f, p) for f, p in filters]
+
+
 def encode(data: bytes, filters: list, dtype: np.dtype, fill=None) -> tuple[bytes, int]:
     """A chunk through its pipeline, and the mask of filters left out."""
     mask = 0
@@ -253,9 +259,11 @@ NUMPY = {"i8": "<i1", "i16": "<i2", "i32": "<i4", "i64": "<i8", "u8": "<u1", "u1
 
 
 def to_chunks(frame: ArrayFrame, filters: list):
-    """chunk, n, payload, mask: each chunk of a vector or matrix encoded where its elements meet. Absent elements are zero."""
+    """chunk, payload, mask: each chunk encoded where its elements meet. Absent elements have the fill value, or are zero."""
     check_pipeline(filters)
-    dtype, chunks, rank = np.dtype(NUMPY[frame.element]), frame._grid_chunks(), frame.rank
+    frame = frame.rebased()
+    dtype, chunks, rank, fill = np.dtype(NUMPY[frame.element]), frame._grid_chunks(), frame.rank, frame.fill
+    filters = placed(filters, chunks)
     size = int(np.prod(chunks))
 
     def pack(key, group):
@@ -263,9 +271,9 @@ def to_chunks(frame: ArrayFrame, filters: list):
         place = np.zeros(group.num_rows, np.int64)
         for d in range(rank):
             place = place * chunks[d] + group.column(f"i{d}").to_numpy() - start[d]
-        block = np.zeros(size, dtype)
+        block = np.full(size, 0 if fill is None else fill, dtype)
         block[place] = group.column("value").to_numpy()
-        payload, mask = encode(block.tobytes(), filters, dtype)
+        payload, mask = encode(block.tobytes(), filters, dtype, fill)
         return pa.table({"chunk": pa.array([start], pa.list_(pa.int64())), "payload": pa.array([payload], pa.binary()), "mask": pa.array([mask], pa.int32())})
 
     return frame.with_chunk().groupBy("chunk").applyInArrow(pack, "chunk array<long>, payload binary, mask int")
@@ -273,14 +281,16 @@ def to_chunks(frame: ArrayFrame, filters: list):
 
 def from_chunks(chunks_df, frame: ArrayFrame, filters: list) -> ArrayFrame:
     """Elements of encoded chunks, cut at the dataset's edge."""
-    dtype, chunks, shape = np.dtype(NUMPY[frame.element]), frame._grid_chunks(), frame.shape
+    frame = frame.rebased()
+    dtype, chunks, shape, fill = np.dtype(NUMPY[frame.element]), frame._grid_chunks(), frame.shape, frame.fill
+    filters = placed(filters, chunks)
     size = int(np.prod(chunks)) * dtype.itemsize
     kind, coords = frame.df.schema["value"].dataType.simpleString(), frame.coords
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, payload, mask in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                block = np.frombuffer(decode(payload, filters, dtype, size, mask), dtype).reshape(chunks)
+                block = np.frombuffer(decode(payload, filters, dtype, size, mask, fill), dtype).reshape(chunks)
                 block = block[tuple(slice(0, min(c, n - s)) for c, n, s in zip(chunks, shape, start, strict=True))]
                 at = np.indices(block.shape).reshape(len(chunks), -1) + np.array(start)[:, None]
                 yield pa.RecordBatch.from_arrays([*[pa.array(x) for x in at], pa.array(block.ravel())], names=[*coords, "value"])

@@ -334,3 +334,20 @@ def catalog(spark: SparkSession, path: str) -> DataFrame:
     """path, parent, name, kind, address, target of each link of a file."""
     register(spark)
     return spark.read.format("h5").options(path=path, mode="catalog").load()
+
+
+def attributes(spark: SparkSession, path: str) -> DataFrame:
+    """owner, name, type_name, is_scalar, number, text of each attribute of a file's objects; only headers are read."""
+    rows = []
+    with File(path) as file:
+        owners = {file.root: "/"}
+        for where, _, _, _, address, _ in file.walk():
+            if address is not None:
+                owners.setdefault(address, where)
+        for address, owner in owners.items():
+            for name, value in file.attributes(file.object(address)).items():
+                x = np.asarray(value)
+                number = float(value) if x.ndim == 0 and x.dtype.kind in "iufb" else None
+                kind = file.attribute_type(address, name)
+                rows.append((owner, name, kind, value is not None and x.ndim == 0, number, value if isinstance(value, str) else None))
+    return spark.createDataFrame(rows, "owner string, name string, type_name string, is_scalar boolean, number double, text string")

@@ -9,6 +9,7 @@ import io
 import os
 from collections import OrderedDict
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from math import prod
 
@@ -16,12 +17,16 @@ import numpy as np
 
 from ...errors import ChecksumError, FormatError, LinkError, NotFoundError, SelectionError, TypeMismatchError, UnsupportedError
 from ...options import CacheStats, ChunkCache
-from ..codecs import NAMES, decode
+from ..codecs import IDS, NAMES, decode
 from .checksum import lookup3
+from .dense import ATTRIBUTE_NAME, CHUNK, FILTERED_CHUNK, LINK_NAME, Heap, tree_records
 from .extensible import Geometry
+from ..zfp import from_client_data
 from .types import SIGNATURE, UNDEFINED, Compound, Enum, Fixed, Float, Opaque, String, VarString, Vlen, parse
 
 MAX_HOPS = 64
+#: Chunks from which several threads decode; bytes between stored chunks that are read along, and bytes read at once.
+THREADED, READ_GAP, READ_RUN = 8, 4096, 8 << 20
 
 
 def signature_at(read) -> int | None:
@@ -61,11 +66,21 @@ class Filter:
         name = NAMES.get(self.id, str(self.id))
         if name == "deflate":
             return name, self.client_data[0] if self.client_data else 6
+        if name == "zfp":
+            return name, from_client_data(self.client_data)
         if name == "scaleoffset":
             return name, ("integer" if self.client_data[0] == 2 else "float", self.client_data[1])
         return name, None
 
 
+    def fill(self, dtype: np.dtype):
+        """The value that a scale-offset filter keeps a code for, None without one."""
+        if self.id != IDS["scaleoffset"] or len(self.client_data) < 9 or not self.client_data[7]:
+            return None
+        stored = b"".join(w.to_bytes(4, "little") for w in self.client_data[8:])
+        return np.frombuffer(stored, dtype, 1)[0]
+
+
 @dataclass(frozen=True)
 class Chunk:
     """start: the coordinates of its first element; address and size: its stored bytes; mask: filters left out."""
@@ -251,7 +266,9 @@ class File:
             elif kind == 2:
                 at = 2 + 8 * bool(data[1] & 1)
                 if self._address(data, at) != UNDEFINED:
-                    raise UnsupportedError("links in dense storage")
+                    heap = Heap(self, self._address(data, at))
+                    stored = [heap.get(record[4:]) for record in tree_records(self, self._address(data, at + self.offset_size), LINK_NAME)]
+                    out |= dict(map(self._link, sorted(stored, key=self._created)))
             elif kind == 17:
                 tree, heap = self._address(data, 0), self._address(data, self.offset_size)
                 head = self.bytes_at(heap, 8 + 2 * self.length_size + self.offset_size)
@@ -268,6 +285,11 @@ class File:
         group.links = out
         return out
 
+    def _created(self, data: bytes) -> int:
+        """A link's place in the order of creation, where it is kept."""
+        at = 2 + bool(data[1] & 8)
+        return int.from_bytes(data[at : at + 8], "little") if data[1] & 4 else 0
+
     def _link(self, data: bytes) -> tuple[str, int | str]:
         flags, at, kind = data[1], 2, 0
         if flags & 8:
@@ -342,16 +364,42 @@ class File:
     # ---- attributes
 
     def attributes(self, found: Object) -> dict[str, object]:
-        out = {}
+        return dict(map(self._attribute, self._attribute_messages(found)))
+
+    def attribute_types(self, found: Object) -> dict[str, object]:
+        """The stored type of each attribute."""
+        return {name: kind for name, kind, _, _ in map(self._attribute_parts, self._attribute_messages(found))}
+
+    def attribute_type(self, address: int, name: str) -> str:
+        """The element type of a numeric attribute, else the name of its stored type."""
+        kind = self.attribute_types(self.object(address))[name]
+        return element_of(kind) or type(kind).__name__.lower()
+
+    def _attribute_messages(self, found: Object) -> Iterator[bytes]:
         for kind, data in found.messages:
             if kind == 12:
-                name, value = self._attribute(data)
-                out[name] = value
-            elif kind == 21 and self._address(data, 2 + 2 * bool(data[1] & 1)) != UNDEFINED:
-                raise UnsupportedError("attributes in dense storage")
-        return out
+                yield data
+            elif kind == 21 and self._address(data, at := 2 + 2 * bool(data[1] & 1)) != UNDEFINED:
+                heap = Heap(self, self._address(data, at))
+                order = lambda r: int.from_bytes(r[heap.id_length + 1 : heap.id_length + 5], "little")
+                for record in sorted(tree_records(self, self._address(data, at + self.offset_size), ATTRIBUTE_NAME), key=order):
+                    stored = heap.get(record[: heap.id_length])
+                    if record[heap.id_length] & 2:
+                        stored = self._shared(12, stored)
+                    yield stored
 
     def _attribute(self, data: bytes) -> tuple[str, object]:
+        name, kind, shape, stored = self._attribute_parts(data)
+        if shape is None:
+            return name, None
+        raw = np.frombuffer(stored, kind.dtype(), prod(shape))
+        values = self.values(kind, raw)
+        if not shape:
+            return name, values[0].item() if hasattr(values[0], "item") else values[0]
+        return name, values.reshape(shape) if isinstance(values, np.ndarray) else values
+
+    def _attribute_parts(self, data: bytes) -> tuple[str, object, tuple[int, ...] | None, bytes]:
+        """Name, type, shape and stored elements."""
         version, flags = data[0], data[1]
         n, t, s = (int.from_bytes(data[i : i + 2], "little") for i in (2, 4, 6))
         at = 8 + (version == 3)
@@ -360,13 +408,7 @@ class File:
         kind_bytes, at = data[at : at + t], at + pad(t)
         kind = parse(self._shared(3, kind_bytes) if version > 1 and flags & 1 else kind_bytes)[0]
         shape, at = self._space(data[at : at + s])[0], at + pad(s)
-        if shape is None:
-            return name, None
-        raw = np.frombuffer(data, kind.dtype(), prod(shape), at)
-        values = self.values(kind, raw)
-        if not shape:
-            return name, values[0].item() if hasattr(values[0], "item") else values[0]
-        return name, values.reshape(shape) if isinstance(values, np.ndarray) else values
+        return name, kind, shape, data[at:]
 
     # ---- elements
 
@@ -472,9 +514,16 @@ class File:
             raise TypeMismatchError("not chunked")
         if how["address"] == UNDEFINED:
             return
-        whole = prod(how["chunks"]) * found.kind.size
-        grid = [-(-n // c) for n, c in zip(found.shape, how["chunks"], strict=True)]
-        starts = (tuple(i * c for i, c in zip(index, how["chunks"], strict=True)) for index in np.ndindex(*grid))
+        yield from (c for c in self._indexed(found, how) if all(s < n for s, n in zip(c.start, found.shape, strict=True)))
+
+    def _indexed(self, found: Object, how: dict) -> Iterator[Chunk]:
+        whole, rank = prod(how["chunks"]) * found.kind.size, len(found.shape)
+        # Places are counted over the grid of the largest extent; a dimension without one comes first.
+        most = [m if m is not None else n for m, n in zip(found.maximum or found.shape, found.shape, strict=True)]
+        grows = [d for d, m in enumerate(found.maximum or ()) if m is None]
+        order = [*grows, *(d for d in range(rank) if d not in grows)] if len(grows) == 1 else list(range(rank))
+        grid = np.ndindex(*[-(-most[d] // how["chunks"][d]) for d in order])
+        starts = (tuple(index[order.index(d)] * c for d, c in enumerate(how["chunks"])) for index in grid)
         if how["index"] == "btree1":
             yield from self._tree(how["address"], len(found.shape))
         elif how["index"] == "single":
@@ -485,10 +534,11 @@ class File:
         elif how["index"] == "fixed":
             yield from self._fixed(how["address"], starts, whole)
         elif how["index"] == "extensible":
-            grows = [d for d, m in enumerate(found.maximum or ()) if m is None]
-            if grows != [0]:
-                raise UnsupportedError("extensible arrays that grow along other than the leading dimension")
+            if len(grows) != 1:
+                raise FormatError("an extensible array of a dataset that doesn't grow along one dimension")
             yield from self._extensible(how["address"], starts, whole)
+        elif how["index"] == "btree2":
+            yield from self._tree2(how, whole, rank)
         else:
             raise UnsupportedError(f"chunk index {how['index']}")
 
@@ -507,6 +557,21 @@ class File:
                 start = tuple(int.from_bytes(body[at + 8 + 8 * d : at + 16 + 8 * d], "little") for d in range(rank))
                 yield Chunk(start, child, int.from_bytes(body[at : at + 4], "little"), int.from_bytes(body[at + 4 : at + 8], "little"))
 
+    def _tree2(self, how: dict, whole: int, rank: int) -> Iterator[Chunk]:
+        kind, o = self.bytes_at(how["address"], 6)[5], self.offset_size
+        for record in tree_records(self, how["address"], FILTERED_CHUNK if kind == FILTERED_CHUNK else CHUNK):
+            places = record[len(record) - 8 * rank :]
+            start = tuple(int.from_bytes(places[8 * d : 8 * d + 8], "little") * c for d, c in enumerate(how["chunks"]))
+            if kind == CHUNK:
+                yield Chunk(start, self._address(record, 0), whole)
+            else:
+                size, mask = record[o : len(record) - 8 * rank - 4], record[len(record) - 8 * rank - 4 : len(record) - 8 * rank]
+                yield Chunk(start, self._address(record, 0), int.from_bytes(size, "little"), int.from_bytes(mask, "little"))
+
+    def verify(self, data: bytes, stored: bytes, what: str) -> None:
+        if lookup3(data) != int.from_bytes(stored, "little"):
+            raise ChecksumError(what)
+
     def _fixed(self, address: int, starts: Iterator, whole: int) -> Iterator[Chunk]:
         head = self.bytes_at(address, 8 + self.length_size + self.offset_size)
         client, entry, page_bits = head[5], head[6], head[7]
@@ -607,10 +672,14 @@ class File:
             return kept
         self.cache_stats.misses += 1
         block = self._decoded(found, chunk)
+        self._keep(chunk, block)
+        return block
+
+    def _keep(self, chunk: Chunk, block: np.ndarray) -> None:
         stats, config = self.cache_stats, self.cache_config
         if block.nbytes > config.max_bytes or not config.max_slots:
             stats.oversize += 1
-            return block
+            return
         self.cache[chunk.address] = block
         stats.cached_bytes += block.nbytes
         while len(self.cache) > config.max_slots or stats.cached_bytes > config.max_bytes:
@@ -618,15 +687,47 @@ class File:
             stats.cached_bytes -= old.nbytes
             stats.evictions += 1
         stats.cached = len(self.cache)
-        return block
 
     def _decoded(self, found: Object, chunk: Chunk) -> np.ndarray:
+        return self._decoder(found)(chunk, self.bytes_at(chunk.address, chunk.size))
+
+    def _decoder(self, found: Object):
+        """What makes elements of a chunk and its stored bytes; the header is read once for all chunks."""
         _, how = self.layout(found)
-        dtype = found.kind.dtype()
-        size = prod(how["chunks"]) * found.kind.size
-        edge = any(s + c > n for s, c, n in zip(chunk.start, how["chunks"], found.shape, strict=True))
-        stages = [] if how["flags"] & 1 and edge else [f.stage(found.kind) for f in self.filters(found)]
-        return np.frombuffer(decode(self.bytes_at(chunk.address, chunk.size), stages, dtype, size, chunk.mask), dtype).reshape(how["chunks"])
+        dtype, filters = found.kind.dtype(), self.filters(found)
+        size, stages = prod(how["chunks"]) * found.kind.size, [f.stage(found.kind) for f in filters]
+        fill = next((x for f in filters if (x := f.fill(dtype)) is not None), None)
+
+        def decoder(chunk: Chunk, stored: bytes) -> np.ndarray:
+            edge = how["flags"] & 1 and any(s + c > n for s, c, n in zip(chunk.start, how["chunks"], found.shape, strict=True))
+            return np.frombuffer(decode(stored, [] if edge else stages, dtype, size, chunk.mask, fill), dtype).reshape(how["chunks"])
+
+        return decoder
+
+    def _blocks(self, found: Object, chunks: list[Chunk]) -> Iterator[tuple[Chunk, np.ndarray]]:
+        """Chunks with their elements. Neighbours in the file are read at once; many are decoded on several threads, a run at a time."""
+        if len(chunks) < THREADED or self.cache_config.max_slots and any(c.address in self.cache for c in chunks):
+            for chunk in chunks:
+                yield chunk, self.decoded(found, chunk)
+            return
+        decoder, runs = self._decoder(found), []
+        for chunk in sorted(chunks, key=lambda c: c.address):
+            last = runs[-1] if runs else None
+            if last and chunk.address - last[1] <= READ_GAP and chunk.address + chunk.size - last[0] <= READ_RUN:
+                last[1] = max(last[1], chunk.address + chunk.size)
+                last[2].append(chunk)
+            else:
+                runs.append([chunk.address, chunk.address + chunk.size, [chunk]])
+        keep = len(chunks) <= self.cache_config.max_slots
+        with ThreadPoolExecutor(min(8, os.cpu_count() or 1)) as pool:
+            for begin, end, members in runs:
+                whole = memoryview(self.bytes_at(begin, end - begin))
+                made = pool.map(lambda c, w=whole, b=begin: decoder(c, bytes(w[c.address - b : c.address - b + c.size])), members)
+                for chunk, block in zip(members, made, strict=True):
+                    self.cache_stats.misses += 1
+                    if keep:
+                        self._keep(chunk, block)
+                    yield chunk, block
 
     def stored(self, found: Object, start: tuple[int, ...], count: tuple[int, ...]) -> np.ndarray:
         """The stored elements of a hyper-rectangle; only chunks that meet it are read."""
@@ -639,13 +740,12 @@ class File:
         if fill is not None:
             out[...] = fill
         if name == "chunked":
-            for chunk in self.chunks(found):
-                low = [max(s, c) for s, c in zip(start, chunk.start, strict=True)]
-                high = [min(s + n, c + k) for s, n, c, k in zip(start, count, chunk.start, how["chunks"], strict=True)]
-                if all(a < b for a, b in zip(low, high, strict=True)):
-                    block = self.decoded(found, chunk)
-                    to = tuple(slice(a - s, b - s) for a, b, s in zip(low, high, start, strict=True))
-                    out[to] = block[tuple(slice(a - c, b - c) for a, b, c in zip(low, high, chunk.start, strict=True))]
+            def met(chunk: Chunk) -> list[tuple[int, int]]:
+                return [(max(s, c), min(s + n, c + k)) for s, n, c, k in zip(start, count, chunk.start, how["chunks"], strict=True)]
+
+            for chunk, block in self._blocks(found, [c for c in self.chunks(found) if all(a < b for a, b in met(c))]):
+                to = tuple(slice(a - s, b - s) for (a, b), s in zip(met(chunk), start, strict=True))
+                out[to] = block[tuple(slice(a - c, b - c) for (a, b), c in zip(met(chunk), chunk.start, strict=True))]
             return out
         if name == "compact":
             return np.frombuffer(how["data"], dtype, prod(found.shape)).reshape(found.shape)[tuple(slice(s, s + n) for s, n in zip(start, count, strict=True))]

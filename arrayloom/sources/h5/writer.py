@@ -8,19 +8,27 @@ from __future__ import annotations
 import os
 import tempfile
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from itertools import islice
 from math import prod
 
 import numpy as np
 
 from ...errors import FormatError, TypeMismatchError, UnsupportedError
-from ..codecs import IDS, check_pipeline, encode
+from .. import zfp
+from ..codecs import IDS, check_pipeline, encode, placed
 from .checksum import lookup3
+from .dense import ATTRIBUTE_NAME, CHUNK, FILTERED_CHUNK, LINK_NAME, NODE, put_heap, put_tree
 from .extensible import Geometry
 from .types import SIGNATURE, UNDEFINED, Compound, Enum, Opaque, Reference, String, VarString, Vlen, of_element
 
-SPACE, LINK_INFO, TYPE, FILL, LINK, LAYOUT, GROUP_INFO, FILTERS, ATTRIBUTE = 1, 2, 3, 5, 6, 8, 10, 11, 12
+SPACE, LINK_INFO, TYPE, FILL, LINK, LAYOUT, GROUP_INFO, FILTERS, ATTRIBUTE, ATTRIBUTE_INFO = 1, 2, 3, 5, 6, 8, 10, 11, 12, 21
+#: Links of a group, or attributes of an object, up to so many stand in its header, more in dense storage.
+MAX_COMPACT = 8
 TREE_ENTRIES = 64
+#: Chunks that are encoded, on several threads, before they are written.
+ENCODED = 64
 INF = 0xFFFFFFFF
 
 
@@ -36,15 +44,17 @@ def dataspace(shape: tuple[int, ...] | None, maximum: tuple[int | None, ...] | N
     return body + b"".join(u(UNDEFINED if n is None else n) for n in maximum or ())
 
 
-def pipeline(filters: list, kind, elements: int) -> bytes:
-    out = bytes([2, len(filters)])
+def pipeline(filters: list, kind, chunks: tuple[int, ...], fill: bytes = b"") -> bytes:
+    out, elements = bytes([2, len(filters)]), prod(chunks)
+    words = [int.from_bytes(fill[i : i + 4], "little") for i in range(0, len(fill), 4)]
     for name, parameter in filters:
         data = {
             "deflate": lambda: [6 if parameter is None else parameter],
             "shuffle": lambda: [kind.size],
             "fletcher32": lambda: [],
             "lzf": lambda: [4, 0x0105, elements * kind.size],
-            "scaleoffset": lambda: [2 if parameter[0] == "integer" else 0, parameter[1], elements, int(parameter[0] == "float"), kind.size, int(getattr(kind, "signed", True)), 0, 0] + [0] * 12,
+            "scaleoffset": lambda: [2 if parameter[0] == "integer" else 0, parameter[1], elements, int(parameter[0] == "float"), kind.size, int(getattr(kind, "signed", True)), 0, int(bool(fill)), *words] + [0] * (12 - len(words)),
+            "zfp": lambda: zfp.client_data(kind.dtype(), parameter[1], parameter[0]),
         }[name]()
         number = IDS[name]
         label = name.encode() + b"\0" if number >= 256 else b""
@@ -98,7 +108,7 @@ class Dataset:
     compact: bool = False
     encoded: Iterable | None = None
     named: Named | None = None
-    index: str | None = None  # of chunks: single, fixed or btree1; by default the plainest that holds them
+    index: str | None = None  # of chunks: single, fixed, extensible, btree1 or btree2; by default the plainest that holds them
     attrs: dict = field(default_factory=dict)
 
     def set_attr(self, name: str, value: object, kind=None) -> Dataset:
@@ -191,14 +201,24 @@ class _Layout:
         self.out, self.base, self.at = out, base, 48
         self.placed: dict[int, int] = {}
 
-    def put(self, data: bytes) -> int:
-        """Writes at the next multiple of 8; its address."""
-        address = self.at
+    def put(self, data: bytes, address: int | None = None) -> int:
+        """Writes at the next multiple of 8, or where a place was kept; its address."""
+        if address is None:
+            address = self.reserve(len(data))
         self.out.seek(self.base + address)
         self.out.write(data)
-        self.at = (address + len(data) + 7) // 8 * 8
         return address
 
+    def reserve(self, n: int) -> int:
+        address, self.at = self.at, (self.at + n + 7) // 8 * 8
+        return address
+
+    def dense(self, kind: int, objects: list[tuple[str, bytes]], id_length: int, record) -> bytes:
+        """Objects by name in a heap, and a tree that finds them; the addresses of both. record(id, hash, place) is a tree's record."""
+        heap, ids = put_heap(self.put, self.reserve, lookup3, [data for _, data in objects], id_length)
+        found = sorted((lookup3(name.encode()), name, record(i, u(lookup3(name.encode()), 4), place)) for place, (i, (name, _)) in enumerate(zip(ids, objects, strict=True)))
+        return u(heap) + u(put_tree(self.put, lookup3, kind, [r for _, _, r in found], len(found[0][2])))
+
     def file(self, root: Group, content: bytes) -> None:
         address = self.group(root)
         head = SIGNATURE + bytes([3, 8, 8, 0]) + u(self.base) + u(UNDEFINED) + u(self.base + self.at) + u(address)
@@ -221,20 +241,26 @@ class _Layout:
         for name, a in attrs.items():
             kind, space, label = a.kind.encoded(), dataspace(a.shape), name.encode() + b"\0"
             out.append((ATTRIBUTE, bytes([3, 0]) + u(len(label), 2) + u(len(kind), 2) + u(len(space), 2) + b"\1" + label + kind + space + a.data))
-        return out
+        if len(out) <= MAX_COMPACT and all(len(data) <= 0xFFFF for _, data in out):
+            return out
+        objects = [(name, data) for name, (_, data) in zip(attrs, out, strict=True)]
+        return [(ATTRIBUTE_INFO, bytes([0, 1]) + u(len(objects) & 0xFFFF, 2) + self.dense(ATTRIBUTE_NAME, objects, 8, lambda i, h, place: i + b"\0" + u(place, 4) + h))]
 
     def group(self, group: Group) -> int:
-        messages = [(LINK_INFO, bytes(2) + u(UNDEFINED) * 2), (GROUP_INFO, bytes(2))]
+        links, info, many = [], bytes(2) + u(UNDEFINED) * 2, len(group.members) > MAX_COMPACT  # many: kept apart, so with their order
         for name, member in group.members.items():
             label = name.encode()
             size = 1 if len(label) < 256 else 2
-            head = bytes([1, (size - 1) | 0x10 | 0x08, int(isinstance(member, Soft)), 1]) + u(len(label), size) + label
+            head = bytes([1, (size - 1) | 0x10 | 0x08 | 4 * many, int(isinstance(member, Soft))]) + (u(len(links)) if many else b"") + b"\1" + u(len(label), size) + label
             if isinstance(member, Soft):
                 target = member.target.encode()
-                messages.append((LINK, head + u(len(target), 2) + target))
+                links.append((LINK, head + u(len(target), 2) + target))
             else:
-                messages.append((LINK, head + u(self.object(member))))
-        return self.header(messages + self.attributes(group.attrs))
+                links.append((LINK, head + u(self.object(member))))
+        if many:
+            objects = [(name, data) for name, (_, data) in zip(group.members, links, strict=True)]
+            links, info = [], bytes([0, 1]) + u(len(objects)) + self.dense(LINK_NAME, objects, 7, lambda i, h, _: h + i)
+        return self.header([(LINK_INFO, info), (GROUP_INFO, bytes(2)), *links, *self.attributes(group.attrs)])
 
     def object(self, member) -> int:
         if id(member) not in self.placed:
@@ -302,7 +328,7 @@ class _Layout:
             if len(d.chunks) != len(d.shape) or min(d.chunks) < 1:
                 raise TypeMismatchError(f"chunks {d.chunks} don't fit {d.shape}")
             if d.filters:
-                messages.append((FILTERS, pipeline(d.filters, d.kind, prod(d.chunks))))
+                messages.append((FILTERS, pipeline(placed(d.filters, d.chunks), d.kind, d.chunks, fill)))
             messages.append((LAYOUT, self.chunked(d, self.encoded(d, raw))))
         elif d.compact and raw is not None:
             messages.append((LAYOUT, bytes([3, 0]) + u(raw.nbytes, 2) + raw.tobytes()))
@@ -320,22 +346,42 @@ class _Layout:
             return
         if raw is None:
             return
-        for index in np.ndindex(*[-(-n // c) for n, c in zip(d.shape, d.chunks, strict=True)]):
+        filters = placed(d.filters, d.chunks)
+
+        def made(index: tuple[int, ...]) -> tuple[tuple[int, ...], bytes, int]:
             start = tuple(i * c for i, c in zip(index, d.chunks, strict=True))
             part = raw[tuple(slice(s, s + c) for s, c in zip(start, d.chunks, strict=True))]
             block = np.zeros(d.chunks, raw.dtype)
             if d.fill is not None:
                 block[...] = d.fill
             block[tuple(slice(0, n) for n in part.shape)] = part
-            payload, mask = encode(block.tobytes(), d.filters, raw.dtype)
-            yield start, len(payload), mask, self.put(payload)
+            return start, *encode(block.tobytes(), filters, raw.dtype, d.fill)
+
+        grid = np.ndindex(*[-(-n // c) for n, c in zip(d.shape, d.chunks, strict=True)])
+        with ThreadPoolExecutor(min(8, os.cpu_count() or 1)) as pool:
+            while some := list(islice(grid, ENCODED)):
+                for start, payload, mask in pool.map(made, some) if filters else map(made, some):
+                    yield start, len(payload), mask, self.put(payload)
+
+    def tree2(self, d: Dataset, chunks: Iterable) -> bytes:
+        whole, width = prod(d.chunks) * d.kind.size, max((int(c).bit_length() + 7) // 8 for c in (*d.chunks, d.kind.size))
+        size = min(8, 1 + (whole.bit_length() + 7) // 8)
+        found = sorted((tuple(s // c for s, c in zip(start, d.chunks, strict=True)), place, n, mask) for start, n, mask, place in chunks)
+        records = [u(place) + (u(n, size) + u(mask, 4) if d.filters else b"") + b"".join(map(u, at)) for at, place, n, mask in found]
+        length = 8 + (size + 4 if d.filters else 0) + 8 * len(d.chunks)
+        tree = put_tree(self.put, lookup3, FILTERED_CHUNK if d.filters else CHUNK, records, length)
+        dims = b"".join(u(c, width) for c in (*d.chunks, d.kind.size))
+        return bytes([4, 2, 0, len(d.chunks) + 1, width]) + dims + bytes([5]) + u(NODE, 4) + bytes([100, 40]) + u(tree)
 
     def chunked(self, d: Dataset, chunks: Iterable) -> bytes:
         """The layout message of stored chunks, after their index. A grid that can't grow needs no tree: one chunk is pointed
         to, more stand in an array by their place."""
         grid = [-(-n // c) for n, c in zip(d.shape, d.chunks, strict=True)]
         grows = d.maximum is not None and any(m is None or m > n for m, n in zip(d.maximum, d.shape, strict=True))
-        index = d.index or ("extensible" if grows and d.maximum[0] is None and None not in d.maximum[1:] else "btree1" if grows or not prod(grid) else "single" if prod(grid) == 1 else "fixed")
+        unlimited = [i for i, m in enumerate(d.maximum or ()) if m is None]
+        index = d.index or ("extensible" if len(unlimited) == 1 else "btree2" if unlimited else "btree1" if grows or not prod(grid) else "single" if prod(grid) == 1 else "fixed")
+        if index == "btree2":
+            return self.tree2(d, chunks)
         if index == "btree1":
             tree = self.tree(d, chunks)
             return bytes([3, 2, len(d.chunks) + 1]) + u(tree) + b"".join(u(c, 4) for c in (*d.chunks, d.kind.size))
@@ -353,13 +399,16 @@ class _Layout:
         places = {tuple(s): (size, mask, at) for s, size, mask, at in chunks}
         n, bits = (whole.bit_length() + 7) // 8 + 1, 10
         entries = []
-        for i in np.ndindex(*grid):
-            size, mask, at = places.get(tuple(int(x) * c for x, c in zip(i, d.chunks, strict=True)), (0, 0, UNDEFINED))
+        # Places are counted over the grid of the largest extent; a dimension without one comes first.
+        most = [m if m is not None else n for m, n in zip(d.maximum or d.shape, d.shape, strict=True)]
+        order = [*unlimited, *(i for i in range(len(d.shape)) if i not in unlimited)]
+        for i in np.ndindex(*[-(-most[k] // d.chunks[k]) for k in order]):
+            size, mask, at = places.get(tuple(int(i[order.index(k)]) * c for k, c in enumerate(d.chunks)), (0, 0, UNDEFINED))
             entries.append(u(at) + (u(size, n) + u(mask, 4) if d.filters else b""))
         client, entry, page = int(bool(d.filters)), 8 + (n + 4 if d.filters else 0), 1 << bits
         if index == "extensible":
-            if not d.maximum or d.maximum[0] is not None or None in d.maximum[1:]:
-                raise UnsupportedError("extensible arrays grow along the leading dimension alone")
+            if len(unlimited) != 1:
+                raise UnsupportedError("extensible arrays grow along one dimension alone")
             g = Geometry()
             address = self.extensible(g, entries, client, entry)
             return head(0) + b"\4" + bytes([g.place_bits, g.head, g.pointers, g.min_block, g.page_bits]) + u(address)

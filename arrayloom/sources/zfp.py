@@ -1,36 +1,31 @@
 """Fixed-rate floating-point blocks after the published ZFP design (P. Lindstrom, 2014): blocks of 4 values a
-dimension share an exponent, go through a reversible-to-rounding lifting transform, are ordered by total
-sequency, and their bit planes are coded from the most significant on until the block's budget is used up.
+dimension share an exponent, go through a lifting transform that is reversible to rounding, are ordered by
+total sequency, and are coded bit plane by bit plane from the most significant on, until each has its number
+of bits.
+
+All blocks of a chunk are coded at once. A plane of a block is first the bits of the places that a higher
+plane has reached, then for the places beyond them a test whether any is set, and if so the bits up to and
+with the next set one, and so on; the last place's bit is implied by its test. Which of these stand in a
+plane follows from its bits and those above, so an encoder lays all of them out and keeps the first as many
+as a block has; a decoder takes one bit of every block at a time.
 """
 
 from __future__ import annotations
 
-from itertools import product
 from math import prod
 
 import numpy as np
 
-from ..errors import FormatError, UnsupportedError
-
-#: Width, exponent bits and bias of each value type (fixed values).
-KINDS = {"f4": (32, 8, 127), "f8": (64, 11, 1023), "i4": (32, 0, 0), "i8": (64, 0, 0)}
-
-
-class Bits:
-    """A stream of bits, least significant first within little-endian 64-bit words."""
-
-    def __init__(self, data: bytes = b""):
-        self.value, self.at = int.from_bytes(data, "little"), 0
-
-    def put(self, x: int, n: int) -> None:
-        self.value |= (x & (1 << n) - 1) << self.at
-        self.at += n
-
-    def get(self, n: int) -> int:
-        out = self.value >> self.at & (1 << n) - 1
-        self.at += n
-        return out
+from ..errors import FormatError, TypeMismatchError, UnsupportedError
 
+#: Number, width, exponent bits and bias of each value type (fixed values).
+KINDS = {"i4": (1, 32, 0, 0), "i8": (2, 64, 0, 0), "f4": (3, 32, 8, 127), "f8": (4, 64, 11, 1023)}
+#: The first word of a filter's client data, and what its header begins with (fixed values).
+VERSION_WORD, MAGIC = 269504785, b"zfp\x05"
+#: Bits of a dimension's length in a header, by rank (fixed values).
+LENGTH_BITS = {1: 48, 2: 24, 3: 16, 4: 12}
+#: Blocks that are laid out together.
+BATCH = 512
 
 #: The order of a three-dimensional block's values (fixed values).
 ORDER_3 = (
@@ -40,17 +35,16 @@ ORDER_3 = (
 )
 
 
-def sequency(rank: int) -> list[int]:
-    """Places of a block in order of total sequency, then of the square sum. Rank 4 breaks further ties in an order of its
-    own, so its blocks are read back here but are not those of other programs."""
+def sequency(rank: int) -> np.ndarray:
+    """Places of a block in order of total sequency, then of the square sum."""
     if rank == 3:
-        return list(ORDER_3)
-    places = [tuple(reversed(p)) for p in product(range(4), repeat=rank)]
-    return sorted(range(4**rank), key=lambda i: (sum(places[i]), sum(x * x for x in places[i]), [x for x in reversed(places[i])]))
+        return np.array(ORDER_3)
+    steps = np.indices((4,) * rank).reshape(rank, -1)
+    return np.lexsort((*steps[::-1], (steps**2).sum(0), steps.sum(0)))
 
 
 def lift(block: np.ndarray, axis: int) -> None:
-    """The forward transform of each vector along an axis, in place, on 64-bit integers."""
+    """The forward transform of each vector along an axis, in place."""
     x, y, z, w = (block.take(i, axis) for i in range(4))
     x = x + w >> 1
     w = w - x
@@ -80,139 +74,174 @@ def unlift(block: np.ndarray, axis: int) -> None:
     block[...] = np.stack([x, y, z, w], axis)
 
 
-def planes_out(bits: Bits, values: list[int], budget: int, width: int) -> None:
-    """Bit planes of negabinary values: what is already significant verbatim, the rest by group tests and unary runs."""
-    n, size = 0, len(values)
-    for k in reversed(range(width)):
-        if not budget:
-            return
-        plane = 0
-        for i, v in enumerate(values):
-            plane |= (v >> k & 1) << i
-        m = min(n, budget)
-        budget -= m
-        bits.put(plane, m)
-        plane >>= m
-        if m < n:
-            return
-        while n < size and budget:
-            budget -= 1
-            some = int(plane != 0)
-            bits.put(some, 1)
-            if not some:
-                break
-            while n < size - 1 and budget:
-                budget -= 1
-                one = plane & 1
-                bits.put(one, 1)
-                if one:
-                    break
-                plane >>= 1
-                n += 1
-            plane >>= 1
-            n += 1
-
-
-def planes_in(bits: Bits, size: int, budget: int, width: int) -> list[int]:
-    values, n = [0] * size, 0
-    for k in reversed(range(width)):
-        if not budget:
-            break
-        m = min(n, budget)
-        budget -= m
-        plane = bits.get(m)
-        if m < n:
-            for i in range(m):
-                values[i] |= (plane >> i & 1) << k
+def reached(planes: np.ndarray) -> np.ndarray:
+    """For each block and plane (planes: block, plane, place), how many places higher planes have reached."""
+    size = planes.shape[2]
+    last = np.where(planes.any(2), size - planes[:, :, ::-1].argmax(2), 0)
+    return np.concatenate((np.zeros((len(planes), 1), last.dtype), np.maximum.accumulate(last, 1)[:, :-1]), 1)
+
+
+def code(values: np.ndarray, width: int, budget: np.ndarray) -> np.ndarray:
+    """The bits of blocks (block, place; unsigned), as many as budget says, the rest 0."""
+    size, n = values.shape[1], int(budget.max(initial=0))
+    out = np.zeros((len(values), n), np.uint8)
+    shifts = np.arange(width - 1, -1, -1, dtype=np.uint64)
+    planes = (values[:, None, :] >> shifts[:, None]) & np.uint64(1) != 0
+    start, place = reached(planes)[:, :, None], np.arange(size)
+    open_ = np.logical_or.accumulate(planes[:, :, ::-1], 2)[:, :, ::-1]  # whether a place or one after it is set
+    before = np.concatenate((np.zeros((*planes.shape[:2], 1), bool), planes[:, :, :-1]), 2)
+    tested = (place == start) | (place > start) & before
+    given = (place < start) | open_ & (place < size - 1)
+    # A test comes before the bit of its place.
+    said = np.stack((tested, given), 3).reshape(len(values), -1)
+    bits = np.stack((open_, planes), 3).reshape(len(values), -1)
+    at = np.cumsum(said, 1) - 1
+    block, slot = np.nonzero(said & (at < budget[:, None]))
+    out[block, at[block, slot]] = bits[block, slot]
+    return out
+
+
+def uncode(bits: np.ndarray, size: int, width: int, budget: np.ndarray) -> np.ndarray:
+    """The values of blocks (block, place) from their bits; what the budget doesn't reach is 0."""
+    n_blocks = len(bits)
+    values, every = np.zeros((n_blocks, size), np.uint64), np.arange(n_blocks)
+    plane, done, at = np.full(n_blocks, width - 1), np.zeros(n_blocks, np.int64), np.zeros(n_blocks, np.int64)
+    VERBATIM, TEST, RUN = 0, 1, 2
+    state = np.full(n_blocks, TEST)
+    for step in range(int(budget.max(initial=0))):
+        live = (step < budget) & (plane >= 0)
+        if not live.any():
             break
-        while n < size and budget:
-            budget -= 1
-            if not bits.get(1):
-                break
-            while n < size - 1 and budget:
-                budget -= 1
-                if bits.get(1):
-                    break
-                n += 1
-            plane |= 1 << n
-            n += 1
-        for i in range(size):
-            values[i] |= (plane >> i & 1) << k
+        bit = bits[:, step] != 0
+        verbatim, test, run = (live & (state == s) for s in (VERBATIM, TEST, RUN))
+        put = every[verbatim & bit]
+        values[put, at[put]] |= np.uint64(1) << plane[put].astype(np.uint64)
+        at[verbatim] += 1
+        state[verbatim & (at >= done)] = TEST
+        over = verbatim & (at >= size) | test & ~bit
+        # A test that says yes opens a run of places, which ends with a set one; the last place needs no bit.
+        state[test & bit] = RUN
+        done[run & ~bit] += 1
+        hit = every[run & bit | (test & bit | run & ~bit) & (done == size - 1)]
+        values[hit, done[hit]] |= np.uint64(1) << plane[hit].astype(np.uint64)
+        done[hit] += 1
+        state[hit] = TEST
+        over[hit] |= done[hit] >= size
+        plane[over] -= 1
+        at[over] = 0
+        state[over] = np.where(done[over] > 0, VERBATIM, TEST)
+    cut = every[(state == RUN) & (plane >= 0)]  # the budget ended within a run
+    values[cut, done[cut]] |= np.uint64(1) << plane[cut].astype(np.uint64)
     return values
 
 
-def _blocks(shape: tuple[int, ...]):
-    return product(*[range(0, n, 4) for n in shape])
+def _settings(dtype: np.dtype, rank: int, rate: float) -> tuple[int, int, int, int]:
+    """Width, exponent bits, bias, and the bits of a block."""
+    kind = f"{dtype.kind}{dtype.itemsize}"
+    if kind not in KINDS or not 1 <= rank <= 3:
+        raise UnsupportedError(f"zfp of {kind}, rank {rank}")
+    _, width, ebits, bias = KINDS[kind]
+    return width, ebits, bias, max(round(4**rank * rate), 1 + ebits if ebits else 1)
+
+
+def _grid(shape: tuple[int, ...]) -> tuple[int, ...]:
+    return tuple(-(-n // 4) for n in shape)
 
 
 def compress(array: np.ndarray, rate: float) -> bytes:
     """rate bits a value. Blocks at the edge are filled by repeating their last values."""
-    kind, rank = f"{array.dtype.kind}{array.dtype.itemsize}", array.ndim
-    if kind not in KINDS or not 1 <= rank <= 4:
-        raise UnsupportedError(f"zfp of {kind}, rank {rank}")
-    width, ebits, bias = KINDS[kind]
-    budget = max(round(4**rank * rate), 1 + ebits if ebits else 1)
-    order, bits = sequency(rank), Bits()
-    mask = int("aa" * (width // 8), 16)
-    for start in _blocks(array.shape):
-        begin = bits.at
-        part = array[tuple(slice(s, s + 4) for s in start)]
-        part = np.pad(part, [(0, 4 - n) for n in part.shape], mode="edge")
-        left = budget
+    rank = array.ndim
+    width, ebits, bias, budget = _settings(array.dtype, rank, rate)
+    grid = _grid(array.shape)
+    whole = np.pad(array, [(0, 4 * g - n) for g, n in zip(grid, array.shape, strict=True)], mode="edge")
+    # (g0, 4, g1, 4, ...) to (block, 4, 4, ...)
+    whole = whole.reshape([x for g in grid for x in (g, 4)]).transpose(*range(0, 2 * rank, 2), *range(1, 2 * rank, 2)).reshape(-1, *(4,) * rank)
+    order, mask = sequency(rank), np.uint64(int("aa" * (width // 8), 16))
+    streams = []
+    for first in range(0, len(whole), BATCH):
+        part = whole[first : first + BATCH]
+        bits = np.zeros((len(part), budget), np.uint8)
+        left, some = np.full(len(part), budget), np.ones(len(part), bool)
         if ebits:
             x = part.astype(np.float64)
-            top = float(np.abs(x).max())
-            if not np.isfinite(top):
+            top = np.abs(x).reshape(len(part), -1).max(1)
+            if not np.isfinite(top).all():
                 raise UnsupportedError("zfp takes finite values only")
-            e = max(int(np.frexp(top)[1]), 1 - bias) if top else 0
-            if not top or e + bias < 1:
-                bits.put(0, 1)
-                bits.at = begin + budget
-                continue
-            bits.put(2 * (e + bias) + 1, 1 + ebits)
-            left -= 1 + ebits
-            block = np.trunc(np.ldexp(x, width - 2 - e)).astype(np.int64)
+            e = np.maximum(np.frexp(top)[1], 1 - bias)
+            some = (top > 0) & (e + bias >= 1)
+            head = (2 * (e + bias) + 1).astype(np.uint64)
+            bits[:, : 1 + ebits] = (head[:, None] >> np.arange(1 + ebits, dtype=np.uint64)) & np.uint64(1)
+            bits[~some] = 0
+            left = np.where(some, budget - 1 - ebits, 0)
+            block = np.trunc(np.ldexp(x, (width - 2 - e).reshape(-1, *(1,) * rank))).astype(np.int64)
         else:
             block = part.astype(np.int64)
-        for axis in reversed(range(rank)):
+        for axis in range(rank, 0, -1):
             lift(block, axis)
-        flat = block.reshape(-1)
-        values = [((int(flat[i]) + mask) ^ mask) & (1 << width) - 1 for i in order]
-        planes_out(bits, values, left, width)
-        bits.at = begin + budget
-    return bits.value.to_bytes((bits.at + 63) // 64 * 8, "little")
+        flat = block.reshape(len(part), -1)[:, order].astype(np.uint64)
+        negabinary = ((flat + mask) ^ mask) & np.uint64((1 << width) - 1)
+        coded = code(negabinary, width, left)
+        begin = 1 + ebits if ebits else 0
+        bits[:, begin : begin + coded.shape[1]] |= coded
+        streams.append(bits)
+    stream = np.packbits(np.concatenate(streams).ravel(), bitorder="little").tobytes() if streams else b""
+    return stream + bytes(-len(stream) % 8)
 
 
 def decompress(data: bytes, shape: tuple[int, ...], dtype: np.dtype, rate: float) -> np.ndarray:
-    dtype = np.dtype(dtype)
-    kind, rank = f"{dtype.kind}{dtype.itemsize}", len(shape)
-    if kind not in KINDS or not 1 <= rank <= 4:
-        raise UnsupportedError(f"zfp of {kind}, rank {rank}")
-    width, ebits, bias = KINDS[kind]
-    budget = max(round(4**rank * rate), 1 + ebits if ebits else 1)
-    blocks = prod(-(-n // 4) for n in shape)
-    if len(data) * 8 < blocks * budget:
+    dtype, rank = np.dtype(dtype), len(shape)
+    width, ebits, bias, budget = _settings(dtype, rank, rate)
+    grid = _grid(shape)
+    n = prod(grid)
+    if len(data) * 8 < n * budget:
         raise FormatError("zfp data is cut")
-    order, bits, out = sequency(rank), Bits(data), np.zeros(shape, dtype)
-    mask, sign = int("aa" * (width // 8), 16), 1 << width - 1
-    for start in _blocks(shape):
-        begin, left, e = bits.at, budget, 0
-        if ebits:
-            if not bits.get(1):
-                bits.at = begin + budget
-                continue
-            e = bits.get(ebits) - bias
-            left -= 1 + ebits
-        values = planes_in(bits, 4**rank, left, width)
-        flat = np.zeros(4**rank, np.int64)
-        for i, v in zip(order, values, strict=True):
-            x = ((v ^ mask) - mask) & (1 << width) - 1
-            flat[i] = x - (1 << width) if x & sign else x
-        block = flat.reshape((4,) * rank)
-        for axis in range(rank):
-            unlift(block, axis)
-        bits.at = begin + budget
-        here = tuple(slice(s, min(s + 4, n)) for s, n in zip(start, shape, strict=True))
-        part = block[tuple(slice(0, h.stop - h.start) for h in here)]
-        out[here] = np.ldexp(part.astype(np.float64), e - width + 2) if ebits else part
-    return out
+    stream = np.unpackbits(np.frombuffer(data, np.uint8), count=n * budget, bitorder="little").reshape(n, budget)
+    order, mask = sequency(rank), np.uint64(int("aa" * (width // 8), 16))
+    begin = 1 + ebits if ebits else 0
+    left, e = np.full(n, budget), np.zeros(n, np.int64)
+    if ebits:
+        left = np.where(stream[:, 0] != 0, budget - begin, 0)
+        e = (stream[:, 1:begin].astype(np.int64) << np.arange(ebits)).sum(1) - bias
+    values = uncode(stream[:, begin:], 4**rank, width, left)
+    flat = np.zeros((n, 4**rank), np.int64)
+    unsigned = ((values ^ mask) - mask) & np.uint64((1 << width) - 1)
+    flat[:, order] = unsigned.astype(np.uint32).view(np.int32) if width == 32 else unsigned.view(np.int64)
+    block = flat.reshape(n, *(4,) * rank)
+    for axis in range(1, rank + 1):
+        unlift(block, axis)
+    if ebits:
+        block = np.ldexp(block.astype(np.float64), (e - width + 2).reshape(-1, *(1,) * rank))
+        block[left == 0] = 0
+    whole = block.reshape(*grid, *(4,) * rank).transpose([x for d in range(rank) for x in (d, rank + d)]).reshape([4 * g for g in grid])
+    return whole[tuple(slice(0, s) for s in shape)].astype(dtype)
+
+
+def client_data(dtype: np.dtype, shape: tuple[int, ...], rate: float) -> list[int]:
+    """The words that a filter message holds: a version, then a header of magic, type, rank, lengths and bits of a block."""
+    rank = len(shape)
+    budget = _settings(dtype, rank, rate)[3]
+    if budget > 2048 or max(shape) > 1 << LENGTH_BITS[rank]:
+        raise UnsupportedError(f"zfp of {shape} at {rate} bits")
+    meta = 0
+    for n in shape:
+        meta = meta << LENGTH_BITS[rank] | n - 1
+    meta = meta << 4 | rank - 1 << 2 | KINDS[f"{dtype.kind}{dtype.itemsize}"][0] - 1
+    whole = MAGIC + (meta | budget - 1 << 52).to_bytes(8, "little")
+    return [VERSION_WORD, *(int.from_bytes(whole[i : i + 4], "little") for i in range(0, 12, 4))]
+
+
+def from_client_data(words: tuple[int, ...]) -> tuple[float, tuple[int, ...]]:
+    """The rate and the shape of what was compressed."""
+    whole = b"".join(w.to_bytes(4, "little") for w in words[1:])
+    if len(whole) < 12 or whole[:4] != MAGIC:
+        raise FormatError("no zfp header")
+    head = int.from_bytes(whole[4:12], "little")
+    meta, mode = head & (1 << 52) - 1, head >> 52
+    rank = (meta >> 2 & 3) + 1
+    if mode > 2047:
+        raise UnsupportedError("zfp of other than a fixed rate")
+    if rank > 3:
+        raise UnsupportedError("zfp of rank 4")
+    meta, n = meta >> 4, LENGTH_BITS[rank]
+    shape = tuple((meta >> n * d & (1 << n) - 1) + 1 for d in reversed(range(rank)))
+    return (mode + 1) / 4**rank, shape

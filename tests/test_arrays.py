@@ -74,9 +74,11 @@ def test_chunks_and_density(grid):
     index = grid.chunk_index().collect()
     assert len(index) == 6 * 4 and grid.chunk_grid() == (6, 4)
     assert sum(r["n_elements"] for r in index) == 230 and sum(r["is_partial"] for r in index) == 6 + 4 - 1
-    assert tuple(grid.is_dense().first()) == (230, 0, 0)
+    assert tuple(grid.is_dense().first()) == (230, 0, 0, 0)
     holes = grid._with(grid.df.filter("i0 <> 3").union(grid.df.filter("i0 = 1")))
-    assert tuple(holes.is_dense().first()) == (230, 10, 10)
+    assert tuple(holes.is_dense().first()) == (230, 10, 10, 0)
+    stray = grid.df.filter("i0 <> 3").union(grid.df.filter("i0 = 1 AND i1 < 2").withColumn("i0", F.lit(999).cast("long")))
+    assert tuple(grid._with(stray).is_dense().first()) == (230, 10, 0, 2)
     assert grid._with(grid.df.filter("i0 <> 3")).densify().df.filter("value = -1").count() == 10
 
 
@@ -118,3 +120,52 @@ def test_table_values(spark):
     assert tables.to_map(df, "k", "v").first()["map"] == {"a": 1, "b": 2}
     codes = spark.createDataFrame([(0,), (1,), (2,), (3,)], "c int").select(tables.categorical_labels(F.col("c"), ["x", "y"]))
     assert [r[0] for r in codes.collect()] == [None, "x", "y", None]
+
+
+def test_selections_compose(grid):
+    cut = grid.region((5, 2), (10, 6))
+    assert [r["value"] for r in cut.rows(2, 1).region((0, 3), (1, 1)).df.collect()] == [(7 * 10 + 5) * 0.5]
+    assert cut.rows(20, 5).df.count() == 0 and cut.rows(8, 100).shape == (2, 6)
+    with pytest.raises(SelectionError):
+        cut.region((0, 0), (11, 1))
+    holes = cut._with(cut.df.filter("i0 <> 6"))
+    dense = {(r["i0"], r["i1"]): r["value"] for r in holes.densify().df.collect()}
+    assert len(dense) == 60 and dense[6, 2] == -1 and dense[14, 7] == (14 * 10 + 7) * 0.5
+    assert tuple(holes.is_dense().first()) == (60, 6, 0, 0)
+    joined = {(r["i0"], r["i1"]): r["value"] for r in cut.append(grid.region((20, 2), (3, 6))).df.collect()}
+    assert len(joined) == 78 and joined[15, 2] == (20 * 10 + 2) * 0.5 and (17, 7) in joined
+    again = cut.rebased()
+    assert again.origin == (0, 0) and again.df.agg(F.max("i0"), F.min("i1")).first() == (9, 0)
+    assert cut.transpose().origin == (2, 5) and cut.transpose().rows(1, 1).df.filter("i0 <> 3").count() == 0
+
+
+def test_patches_stay_within(spark, grid, monkeypatch):
+    from arrayloom.operators import frame
+
+    new = spark.createDataFrame([(3, 4, 77.0), (22, 9, 78.0)], "i0 long, i1 long, value double")
+    holes = grid._with(grid.df.filter("i0 <> 3"))
+    for bound in (frame.PATCH_ROWS, 0):
+        monkeypatch.setattr(frame, "PATCH_ROWS", bound)
+        got = {(r["i0"], r["i1"]): r["value"] for r in holes.patch(new).df.collect()}
+        assert len(got) == 221 and got[3, 4] == 77 and got[22, 9] == 78 and got[0, 1] == 0.5
+        with pytest.raises(Exception, match="no place 23, 0"):
+            grid.patch(spark.createDataFrame([(23, 0, 1.0)], "i0 long, i1 long, value double")).df.collect()
+
+
+def test_nested_arrays_keep_places(grid):
+    rows = {r["i0"]: r["values"] for r in grid._with(grid.df.filter("NOT (i0 = 2 AND i1 IN (0, 4))")).region((1, 0), (3, 10)).nested().collect()}
+    assert rows[1] == [(10 + k) * 0.5 for k in range(10)]
+    assert rows[2] == [None if k in (0, 4) else (20 + k) * 0.5 for k in range(10)]
+
+
+def test_absent_elements_are_stored_as_the_fill(spark, grid, tmp_path):
+    from arrayloom.sources import codecs
+    from arrayloom.sources.datasource import read_frame, write_frame
+
+    holes = grid._with(grid.df.filter("NOT (i0 = 2 AND i1 = 5)"))
+    path = str(tmp_path / "f.h5")
+    write_frame(holes, path, "/x", [("deflate", 1)])
+    got = {(r["i0"], r["i1"]): r["value"] for r in read_frame(spark, path, "/x").df.collect()}
+    assert len(got) == 230 and got[2, 5] == -1 and got[2, 6] == 13
+    window = codecs.roundtrip(grid.region((5, 3), (7, 5)), [("shuffle", None)])
+    assert {(r["i0"], r["i1"]): r["value"] for r in window.df.collect()} == {(i, j): ((i + 5) * 10 + j + 3) * 0.5 for i in range(7) for j in range(5)}

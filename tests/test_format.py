@@ -1,5 +1,7 @@
 """The file format: checksums with published values, every layout and type there and back, and damage."""
 
+import io
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -9,6 +11,7 @@ from arrayloom.errors import ChecksumError, FormatError, LinkError, NotFoundErro
 from arrayloom.sources import codecs
 from arrayloom.sources.h5 import Compound, Enum, File, FileBuilder, Fixed, Float, Opaque, Reference, String, VarString, Vlen, is_h5, is_h5_bytes
 from arrayloom.sources.h5.checksum import lookup3
+from arrayloom.sources.h5.writer import Soft
 
 TYPES = ["i1", "i2", "i4", "i8", "u1", "u2", "u4", "u8", "f4", "f8"]
 WINDOWS = lambda n: [(0, n), (0, 1), (n // 2, n - n // 2), (n - 1, 1), (n // 3, n // 3), (0, 0), (n, 5), (n - 2, 100)]
@@ -235,3 +238,101 @@ def test_filters_that_clash():
     with pytest.raises(UnsupportedError):
         codecs.check_pipeline([("lzf", None), ("deflate", 1)])
     assert codecs.is_lossless([("deflate", 1)]) and not codecs.is_lossless([("scaleoffset", ("float", 2))])
+
+
+@pytest.mark.parametrize("n", [9, 200, 3000])
+def test_dense_links_and_attributes(n):
+    """Groups and objects past eight links or attributes; heaps of one and of many blocks, trees of several levels."""
+    builder = FileBuilder()
+    group = builder.create_group("many")
+    for i in range(n):
+        group.create_dataset(f"name{i:05d}" * (1 + i % 5), np.arange(i % 4), attrs={})
+    group.members["soft"] = Soft("/many/name00001name00001")
+    for i in range(n):
+        group.set_attr(f"attr{i}", np.arange(i % 50, dtype="<f8"))
+    group.set_attr("wide", np.arange(20_000.0))
+    with File(builder.finish()) as f:
+        found = f.resolve("/many")
+        assert set(f.links(found)) == {*(f"name{i:05d}" * (1 + i % 5) for i in range(n)), "soft"}
+        assert all(f.read(f"/many/{'name%05d' % i * (1 + i % 5)}").tolist() == list(range(i % 4)) for i in range(0, n, 7))
+        attrs = f.attributes(found)
+        assert len(attrs) == n + 1 and all(attrs[f"attr{i}"].tolist() == list(range(i % 50)) for i in range(n))
+        assert attrs["wide"].tolist() == list(range(20_000))
+        assert f.read("/many/soft").tolist() == [0]
+
+
+@pytest.mark.parametrize("filters", [[], [("deflate", 1)]])
+@pytest.mark.parametrize("chunks", [(50, 40), (3, 2)])
+def test_chunks_in_a_version_2_tree(filters, chunks):
+    x = np.arange(200 * 90).reshape(200, 90)
+    builder = FileBuilder()
+    builder.create_dataset("x", x, chunks=chunks, filters=filters, maximum=(None, None), index="btree2")
+    with File(builder.finish()) as f:
+        found = f.resolve("/x")
+        assert f.layout(found)[1]["index"] == "btree2"
+        assert (f.read("/x") == x).all() and (f.read("/x", (7, 11), (100, 3)) == x[7:107, 11:14]).all()
+        assert [c.start for c in f.chunks(found)] == [(i, j) for i in range(0, 200, chunks[0]) for j in range(0, 90, chunks[1])]
+
+
+def test_trees_of_records():
+    """Trees of any depth hold what they were given, in order; a damaged node is noticed."""
+    from arrayloom.sources.h5 import dense
+
+    for n, node in ((0, 128), (1, 128), (9, 128), (10, 128), (500, 128), (5000, 160)):
+        out = bytearray(64)
+
+        def put(data, out=out):
+            out.extend(data.ljust(-(-len(data) // 8) * 8, b"\0"))
+            return len(out) - -(-len(data) // 8) * 8
+
+        records = [i.to_bytes(12, "big") for i in range(n)]
+        head = dense.put_tree(put, lookup3, 5, records, 12, node)
+        file = File.__new__(File)
+        file.stream, file.base, file.length, file.offset_size, file.length_size = io.BytesIO(bytes(out)), 0, len(out), 8, 8
+        assert list(dense.tree_records(file, head, 5)) == records
+        if n == 500:
+            out[80] ^= 1
+            file.stream = io.BytesIO(bytes(out))
+            with pytest.raises(ChecksumError):
+                list(dense.tree_records(file, head, 5))
+
+
+def test_a_heap_with_indirect_rows():
+    """Rows past the largest direct block are tables of their own: built here by hand, as the writer makes none."""
+    from arrayloom.sources.h5 import dense
+
+    table = dense.Table(4, 512, 1024)
+    assert table.direct_rows == 3 and [table.offset(r) for r in range(5)] == [0, 2048, 4096, 8192, 16384] and table.rows_of(2048) == 1
+    heap = dense.Heap.__new__(dense.Heap)
+    heap.table, heap.root, heap.rows, heap.checked, heap.prefix, heap.blocks = table, 1, 4, 0, 21, {}
+    fake = type("F", (), {"offset_size": 8, "_address": staticmethod(lambda data, at: int.from_bytes(data[at : at + 8], "little"))})()
+    heap.file = fake
+    # A root of four rows, the last of indirect blocks; each of those has one row of 512-byte blocks.
+    heap.blocks[1] = b"".join((100 + i).to_bytes(8, "little") for i in range(16))
+    heap.blocks[112] = b"".join((200 + i).to_bytes(8, "little") for i in range(4))
+    for place in (*range(100, 112), *range(200, 204)):
+        heap.blocks[place] = place.to_bytes(2, "little") * 512
+    assert heap._managed(0, 2) == (100).to_bytes(2, "little") and heap._managed(2048 + 512, 2) == (105).to_bytes(2, "little")
+    assert heap._managed(4096 + 1024 * 3, 2) == (111).to_bytes(2, "little")
+    assert heap._managed(8192 + 512 * 2, 4) == (202).to_bytes(2, "little") * 2
+    with pytest.raises(FormatError):
+        heap._managed(500, 20)
+
+
+def test_an_array_that_grows_along_another_dimension():
+    x = np.arange(6 * 50).reshape(6, 50)
+    builder = FileBuilder()
+    builder.create_dataset("x", x, chunks=(2, 5), maximum=(8, None), index="extensible")
+    with File(builder.finish()) as f:
+        assert f.layout(f.resolve("/x"))[1]["index"] == "extensible" and (f.read("/x") == x).all()
+
+
+def test_scale_offset_keeps_the_fill_value():
+    x = np.arange(100, 140, dtype="<i4")
+    x[[3, 17]] = -7
+    builder = FileBuilder()
+    builder.create_dataset("x", x, chunks=(16,), filters=[("scaleoffset", ("integer", 0))], fill=-7)
+    with File(builder.finish()) as f:
+        found = f.resolve("/x")
+        assert f.filters(found)[0].fill(np.dtype("<i4")) == -7 and f.read("/x").tolist() == x.tolist()
+        assert max(c.size for c in f.chunks(found)) < 21 + 16

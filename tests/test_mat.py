@@ -8,7 +8,7 @@ import pytest
 from arrayloom.api import ArrayFile, StringLimits, convert_array
 from arrayloom.errors import FormatError, NotFoundError, SelectionError, TypeMismatchError
 from arrayloom.mat import Char, Empty, dedupe_name, is_valid_name, read_mat, register_table, sanitize_name, variable_frame, variables, write_mat
-from arrayloom.mat.values import header, matrix_dims, vector_dims, verify_header
+from arrayloom.mat.values import MatBuilder, header, matrix_dims, vector_dims, verify_header
 from arrayloom.sources.h5 import File, FileBuilder, Fixed, Reference
 
 VALUES = {
@@ -118,3 +118,81 @@ def test_numpy_conversion_is_the_same():
     assert convert_array(x, "i64").tolist() == [0, 2, -2, 2**63 - 1, -(2**63), 0, 2**63 - 1, 2**63 - 1, 2**63 - 1]
     assert convert_array(x, "u64").tolist() == [0, 2, 0, 2**64 - 1 if 1e20 > 2**64 else 10**20, 0, 0, 2**64 - 1, 2**63, 2**64 - 1]
     assert convert_array(np.array([-1, 300]), "u8").tolist() == [0, 255] and convert_array(np.array([2**64 - 1], "u8"), "i64").tolist() == [2**63 - 1]
+
+
+def objects_file():
+    from arrayloom.mat import objects as o
+
+    when = o.Datetime(np.array([0.0, 1.5e12, -3.0]), np.array([0.25, 0.0, 0.5]), "UTC", "uuuu")
+    step = {"origin": o.Duration(np.array([1000.0])), "specifiedAsRate": False, "sampleRate": 4.0, "stepSize": o.Duration(np.array([250.0]))}
+    table = o.Table({"n": np.array([1.0, 2.0, 3.0]), "s": o.Strings(["a", None, "ü😀"]), "t": when, "c": o.Categorical(np.array([1, 0, 2]), ["low", "high"]), "m": np.arange(6.0).reshape(3, 2)}, ["x", "y", "z"])
+    return o, {
+        "text": o.Strings(["one", "", None, "vier", "fünf", "six"], (2, 3)), "when": when, "long": o.Duration(np.array([1500.0, 2.0]), "s"),
+        "kinds": o.Categorical(np.array([2, 0, 1], "u1"), ["a", "b"], is_ordinal=True), "table": table,
+        "rows": o.Timetable({"v": np.array([5.0, 6.0, 7.0, 8.0])}, row_times=step),
+        "rated": o.Timetable({"v": np.arange(3.0)}, row_times={"origin": o.Datetime(np.array([1e12]), np.array([0.5])), "specifiedAsRate": True, "sampleRate": 3.0}),
+        "map": o.Map({"a": 1.0, "b": 2.5}), "mixed": o.Map({1: "x", 2: np.arange(3.0)}), "other": o.Opaque("my.Thing", {"p": 3.0, "flag": True}), "plain": np.arange(3.0),
+    }
+
+
+def test_objects_there_and_back(tmp_path):
+    o, values = objects_file()
+    path = str(tmp_path / "objects.mat")
+    write_mat(path, values)
+    got = read_mat(path)
+    assert got["text"] == o.Strings(["one", "", None, "vier", "fünf", "six"], (2, 3))
+    assert got["when"].nanoseconds().reshape(-1).tolist() == values["when"].nanoseconds().tolist() and (got["when"].tz, got["when"].fmt) == ("UTC", "uuuu")
+    assert got["long"].seconds().reshape(-1).tolist() == [1.5, 0.002] and got["long"].fmt == "s"
+    assert got["kinds"].labels() == ["b", None, "a"] and got["kinds"].is_ordinal and not got["kinds"].is_protected
+    table = got["table"]
+    assert (table.num_rows, table.num_variables, table.variable_names, table.row_names) == (3, 5, ["n", "s", "t", "c", "m"], ["x", "y", "z"])
+    assert table.column("s").values == ["a", None, "ü😀"] and table.column("c").labels() == ["low", None, "high"] and table.column("m").tolist() == [[0, 1], [2, 3], [4, 5]]
+    assert got["rows"].times().millis.tolist() == [1000, 1250, 1500, 1750]
+    rated = got["rated"].times()
+    assert rated.millis.tolist() == [1e12 + k * 1000 / 3.0 for k in range(3)] and abs(rated.sub_ms[1] - 0.5) < 1e-3
+    assert got["map"] == {"a": 1.0, "b": 2.5} and list(got["mixed"]) == ["1", "2"] and got["mixed"]["1"] == "x"
+    assert got["other"].class_name == "my.Thing" and got["other"].values["p"] == 3.0 and got["other"].values["flag"] is True
+    assert got["plain"].reshape(-1).tolist() == [0, 1, 2] and "#subsystem#" not in got
+
+
+def test_tables_of_objects_as_frames(spark, tmp_path):
+    _, values = objects_file()
+    path = str(tmp_path / "objects.mat")
+    write_mat(path, values)
+    rows = register_table(spark, path, "table").orderBy("row_number").collect()
+    assert [(r["row_number"], r["row_name"], r["n"], r["s"], r["c"], list(r["m"])) for r in rows] == [(0, "x", 1.0, "a", "low", [0, 1]), (1, "y", 2.0, None, None, [2, 3]), (2, "z", 3.0, "ü😀", "high", [4, 5])]
+    assert [r["row_time_ms"] for r in register_table(spark, path, "rows").orderBy("row_number").collect()] == [1000, 1250, 1500, 1750]
+
+
+def test_damaged_objects_are_errors():
+    from arrayloom.errors import FormatError
+    from arrayloom.mat import objects as o
+
+    blob = o.Interned(lambda v: v)
+    words = blob.add(o.Duration(np.array([1.0])))
+    whole = blob.blob()
+    store = o.Store([0, 0, 0, 0], whole)
+    assert store.of(words, lambda a: np.array([1.0]) if a == 0 else "").millis.tolist() == [1.0]
+    for bad in (whole[:30], whole[:8] + b"\xff" * 32 + whole[40:], b"\x09" + whole[1:]):
+        with pytest.raises(FormatError):
+            o.Store([0, 0, 0, 0], bad)
+    with pytest.raises(FormatError):
+        store.of(np.array([o.MARK, 2, 1, 1, 9, 1], "<u4"), lambda a: 0)
+    with pytest.raises(FormatError):
+        store.of(np.array([1, 2, 1, 1, 1, 1], "<u4"), lambda a: 0)
+    with pytest.raises(FormatError):
+        o.Strings.of_words(np.array([1, 2, 1, 1, 50], "u8"))
+    with pytest.raises(FormatError):
+        o.Categorical(np.array([3]), ["a"]).labels()
+    assert store.enumeration(1, [1, 2], [1, 0, 1]).names == [store.name(2), store.name(1), store.name(2)]
+
+
+def test_enumeration_arrays():
+    o, _ = objects_file()
+    builder = MatBuilder()
+    builder.write("d", o.Duration(np.array([1.0])))
+    group = builder.file.create_group("e")
+    for name, data in (("EnumerationInstanceTag", [o.MARK]), ("ClassName", [1]), ("ValueNames", [1, 2]), ("ValueIndices", [0, 1, 0])):
+        group.create_dataset(name, np.array([data], "<u4"))
+    got = read_mat(builder.finish())
+    assert got["e"].names == ["duration", "millis", "duration"] and len(got["e"]) == 3 and got["e"].class_name == "duration"
