@@ -22,7 +22,8 @@ from .checksum import lookup3
 from .dense import ATTRIBUTE_NAME, CHUNK, FILTERED_CHUNK, LINK_NAME, Heap, tree_records
 from .extensible import Geometry
 from ..zfp import from_client_data
-from .types import SIGNATURE, UNDEFINED, Compound, Enum, Fixed, Float, Opaque, String, VarString, Vlen, parse
+from .space import FillTime, PhysicalAddress, StoredAddress
+from .types import SIGNATURE, UNDEFINED, BitField, Compound, Enum, Fixed, Float, Opaque, String, VarString, Vlen, parse
 
 MAX_HOPS = 64
 #: Chunks from which several threads decode; bytes between stored chunks that are read along, and bytes read at once.
@@ -462,6 +463,33 @@ class File:
             out.append(Filter(number, name or NAMES.get(number, ""), flags, values))
         return out
 
+    def fill_time(self, found: Object) -> FillTime:
+        """When the fill value is written."""
+        data = next((d for k, d in found.messages if k == 5), None)
+        if data is None:
+            return FillTime.IF_SET
+        return FillTime(data[1] >> 2 & 3 if data[0] == 3 else data[2])
+
+    def link_phase_change(self, group: Object) -> tuple[int, int]:
+        """Up to how many links stand in a group's header, and below how many they return to it."""
+        data = next((d for k, d in group.messages if k == 10), b"\0\0")
+        return (int.from_bytes(data[2:4], "little"), int.from_bytes(data[4:6], "little")) if data[1] & 1 else (8, 6)
+
+    @property
+    def file_size(self) -> int:
+        return self.length
+
+    def physical(self, address: StoredAddress) -> PhysicalAddress:
+        """Where a stored address is in the file."""
+        return PhysicalAddress(self.base).checked_add(address.fits(self.offset_size).value)
+
+    def stored_address(self, address: PhysicalAddress) -> StoredAddress:
+        """How a place in the file is written down."""
+        below = address.checked_sub(self.base)
+        if below is None:
+            raise FormatError(f"{address.value} is before the base")
+        return StoredAddress(below.value).fits(self.offset_size)
+
     def fill(self, found: Object):
         """The fill value as a stored element, None for zeros."""
         data = next((d for k, d in found.messages if k == 5), None)
@@ -779,7 +807,7 @@ class File:
 
 def element_of(kind) -> str | None:
     """The element type of numeric values, None for others."""
-    return kind.element if isinstance(kind, Fixed | Float) else kind.base.element if isinstance(kind, Enum) else None
+    return kind.element if isinstance(kind, Fixed | Float | BitField) else kind.base.element if isinstance(kind, Enum) else None
 
 
 __all__ = ["Chunk", "Compound", "File", "Filter", "Object", "Opaque", "String", "element_of", "is_h5", "is_h5_bytes"]

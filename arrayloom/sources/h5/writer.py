@@ -9,7 +9,7 @@ import os
 import tempfile
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from itertools import islice
 from math import prod
 
@@ -21,9 +21,10 @@ from ..codecs import IDS, check_pipeline, encode, placed
 from .checksum import lookup3
 from .dense import ATTRIBUTE_NAME, CHUNK, FILTERED_CHUNK, LINK_NAME, NODE, put_heap, put_tree
 from .extensible import Geometry
+from .space import FileSpaceInfo, FillTime
 from .types import SIGNATURE, UNDEFINED, Compound, Enum, Opaque, Reference, String, VarString, Vlen, of_element
 
-SPACE, LINK_INFO, TYPE, FILL, LINK, LAYOUT, GROUP_INFO, FILTERS, ATTRIBUTE, ATTRIBUTE_INFO = 1, 2, 3, 5, 6, 8, 10, 11, 12, 21
+SPACE, LINK_INFO, TYPE, FILL, LINK, LAYOUT, GROUP_INFO, FILTERS, ATTRIBUTE, ATTRIBUTE_INFO, FILE_SPACE = 1, 2, 3, 5, 6, 8, 10, 11, 12, 21, 23
 #: Links of a group, or attributes of an object, up to so many stand in its header, more in dense storage.
 MAX_COMPACT = 8
 TREE_ENTRIES = 64
@@ -67,10 +68,13 @@ class Attribute:
     kind: object
     shape: tuple[int, ...] | None
     data: bytes
+    named: object = None
 
 
-def attribute(value: object, kind=None) -> Attribute:
+def attribute(value: object, kind=None, named=None) -> Attribute:
     """An attribute from a Python or numpy value; strings are fixed UTF-8, null-padded."""
+    if named is not None:
+        return replace(attribute(value, kind), named=named)
     if value is None:
         return Attribute(kind or of_element("i32"), None, b"")
     if isinstance(value, str):
@@ -105,6 +109,7 @@ class Dataset:
     maximum: tuple[int | None, ...] | None = None
     filters: list = field(default_factory=list)
     fill: object = None
+    fill_time: FillTime = FillTime.IF_SET
     compact: bool = False
     encoded: Iterable | None = None
     named: Named | None = None
@@ -123,8 +128,29 @@ class Soft:
 
 @dataclass
 class Group:
+    """link_phase_change: up to how many links stand in the header, and below how many they return to it."""
+
     members: dict = field(default_factory=dict)
     attrs: dict = field(default_factory=dict)
+    link_phase_change: tuple[int, int] | None = None
+
+    def __post_init__(self):
+        if self.link_phase_change and not 0 <= self.link_phase_change[1] <= self.link_phase_change[0] + 1 <= 0x10000:
+            raise TypeMismatchError(f"links {self.link_phase_change}")
+
+    def create_group_with(self, name: str, configure, **how) -> Group:
+        """A subgroup that configure(group) fills; if that fails, none is made."""
+        made = Group(**how)
+        configure(made)
+        return self._add(name, made)
+
+    def add_group(self, name: str, group: Group) -> Group:
+        return self._add(name, group)
+
+    def set_attr_committed(self, name: str, value: object, named: Named) -> Group:
+        """An attribute whose type is a named one, pointed to."""
+        self.attrs[name] = attribute(value, named.kind, named)
+        return self
 
     def _add(self, name: str, member):
         if not name or "/" in name or name == "." or name in self.members:
@@ -165,10 +191,13 @@ class Group:
 
 
 class FileBuilder(Group):
-    """The root group of a file to be."""
+    """The root group of a file to be. space: the settings of free space that it records."""
 
-    def __init__(self, userblock: int = 0, userblock_content: bytes = b""):
-        super().__init__()
+    def __init__(self, userblock: int = 0, userblock_content: bytes = b"", link_phase_change: tuple[int, int] | None = None, space: FileSpaceInfo | None = None):
+        super().__init__(link_phase_change=link_phase_change)
+        if space and space.persist:
+            raise UnsupportedError("free space is not kept, as files are written whole")
+        self.space = space
         if userblock and (userblock < 512 or userblock & (userblock - 1)) or len(userblock_content) > userblock:
             raise TypeMismatchError("a userblock is 0 or a power of two from 512 that holds its content")
         self.userblock, self.content = userblock, userblock_content
@@ -219,9 +248,10 @@ class _Layout:
         found = sorted((lookup3(name.encode()), name, record(i, u(lookup3(name.encode()), 4), place)) for place, (i, (name, _)) in enumerate(zip(ids, objects, strict=True)))
         return u(heap) + u(put_tree(self.put, lookup3, kind, [r for _, _, r in found], len(found[0][2])))
 
-    def file(self, root: Group, content: bytes) -> None:
+    def file(self, root: FileBuilder, content: bytes) -> None:
         address = self.group(root)
-        head = SIGNATURE + bytes([3, 8, 8, 0]) + u(self.base) + u(UNDEFINED) + u(self.base + self.at) + u(address)
+        extension = UNDEFINED if root.space is None else self.header([(FILE_SPACE, root.space.encoded())])
+        head = SIGNATURE + bytes([3, 8, 8, 0]) + u(self.base) + u(extension) + u(self.base + self.at) + u(address)
         self.out.seek(0)
         self.out.write(content.ljust(self.base, b"\0"))
         self.out.write(head + u(lookup3(head), 4))
@@ -239,15 +269,16 @@ class _Layout:
     def attributes(self, attrs: dict) -> list[tuple[int, bytes]]:
         out = []
         for name, a in attrs.items():
-            kind, space, label = a.kind.encoded(), dataspace(a.shape), name.encode() + b"\0"
-            out.append((ATTRIBUTE, bytes([3, 0]) + u(len(label), 2) + u(len(kind), 2) + u(len(space), 2) + b"\1" + label + kind + space + a.data))
+            kind = a.kind.encoded() if a.named is None else bytes([3, 2]) + u(self.object(a.named))
+            space, label = dataspace(a.shape), name.encode() + b"\0"
+            out.append((ATTRIBUTE, bytes([3, int(a.named is not None)]) + u(len(label), 2) + u(len(kind), 2) + u(len(space), 2) + b"\1" + label + kind + space + a.data))
         if len(out) <= MAX_COMPACT and all(len(data) <= 0xFFFF for _, data in out):
             return out
         objects = [(name, data) for name, (_, data) in zip(attrs, out, strict=True)]
         return [(ATTRIBUTE_INFO, bytes([0, 1]) + u(len(objects) & 0xFFFF, 2) + self.dense(ATTRIBUTE_NAME, objects, 8, lambda i, h, place: i + b"\0" + u(place, 4) + h))]
 
     def group(self, group: Group) -> int:
-        links, info, many = [], bytes(2) + u(UNDEFINED) * 2, len(group.members) > MAX_COMPACT  # many: kept apart, so with their order
+        links, info, many = [], bytes(2) + u(UNDEFINED) * 2, len(group.members) > (group.link_phase_change or (MAX_COMPACT,))[0]  # many: kept apart, so with their order
         for name, member in group.members.items():
             label = name.encode()
             size = 1 if len(label) < 256 else 2
@@ -260,7 +291,7 @@ class _Layout:
         if many:
             objects = [(name, data) for name, (_, data) in zip(group.members, links, strict=True)]
             links, info = [], bytes([0, 1]) + u(len(objects)) + self.dense(LINK_NAME, objects, 7, lambda i, h, _: h + i)
-        return self.header([(LINK_INFO, info), (GROUP_INFO, bytes(2)), *links, *self.attributes(group.attrs)])
+        return self.header([(LINK_INFO, info), (GROUP_INFO, bytes([0, 1]) + u(group.link_phase_change[0], 2) + u(group.link_phase_change[1], 2) if group.link_phase_change else bytes(2)), *links, *self.attributes(group.attrs)])
 
     def object(self, member) -> int:
         if id(member) not in self.placed:
@@ -322,7 +353,7 @@ class _Layout:
         messages = [
             (SPACE, dataspace(d.shape, d.maximum)),
             (TYPE, bytes([3, 2]) + u(self.object(d.named)), True) if d.named else (TYPE, d.kind.encoded()),
-            (FILL, bytes([3, (3 if chunked else 2) | 2 << 2 | (0x20 if fill else 0)]) + (u(len(fill), 4) + fill if fill else b"")),
+            (FILL, bytes([3, (3 if chunked else 2) | d.fill_time.value << 2 | (0x20 if fill else 0)]) + (u(len(fill), 4) + fill if fill else b"")),
         ]
         if chunked:
             if len(d.chunks) != len(d.shape) or min(d.chunks) < 1:
