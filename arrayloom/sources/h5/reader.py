@@ -612,10 +612,14 @@ class File:
         pages = -(-count // page) if count > page else 0
         bitmap = self.bytes_at(at, (pages + 7) // 8)
         at += len(bitmap) + 4 * bool(pages)
+        together, records = page if pages else count, b""
         for i, start in zip(range(count), starts, strict=False):
-            if pages and not bitmap[i // page // 8] >> (7 - i // page % 8) & 1:
+            if not i % together:  # the records of a page, or all
+                there = not pages or bitmap[i // page // 8] >> (7 - i // page % 8) & 1
+                records = self.bytes_at(at + i * entry + 4 * (i // together), min(together, count - i) * entry) if there else b""
+            if not records:
                 continue
-            raw = self.bytes_at(at + i * entry + 4 * (i // page if pages else 0), entry)
+            raw = records[i % together * entry :][:entry]
             place = self._address(raw, 0)
             if place != UNDEFINED:
                 size = int.from_bytes(raw[self.offset_size : entry - 4], "little") if client else whole
@@ -738,7 +742,7 @@ class File:
             for chunk in chunks:
                 yield chunk, self.decoded(found, chunk)
             return
-        decoder, runs = self._decoder(found), []
+        decoder, runs, plain = self._decoder(found), [], not self.filters(found)
         for chunk in sorted(chunks, key=lambda c: c.address):
             last = runs[-1] if runs else None
             if last and chunk.address - last[1] <= READ_GAP and chunk.address + chunk.size - last[0] <= READ_RUN:
@@ -747,6 +751,17 @@ class File:
             else:
                 runs.append([chunk.address, chunk.address + chunk.size, [chunk]])
         keep = len(chunks) <= self.cache_config.max_slots
+        if plain and not keep:  # stored as they are: nothing to share out
+            dtype, shape = found.kind.dtype(), self.layout(found)[1]["chunks"]
+            n = prod(shape)
+            for begin, end, members in runs:
+                whole = self.bytes_at(begin, end - begin)
+                for chunk in members:
+                    if chunk.size != n * dtype.itemsize:
+                        raise FormatError(f"a chunk has {chunk.size} bytes, not {n * dtype.itemsize}")
+                    self.cache_stats.misses += 1
+                    yield chunk, np.frombuffer(whole, dtype, n, chunk.address - begin).reshape(shape)
+            return
         with ThreadPoolExecutor(min(8, os.cpu_count() or 1)) as pool:
             for begin, end, members in runs:
                 whole = memoryview(self.bytes_at(begin, end - begin))
@@ -768,12 +783,12 @@ class File:
         if fill is not None:
             out[...] = fill
         if name == "chunked":
-            def met(chunk: Chunk) -> list[tuple[int, int]]:
-                return [(max(s, c), min(s + n, c + k)) for s, n, c, k in zip(start, count, chunk.start, how["chunks"], strict=True)]
-
-            for chunk, block in self._blocks(found, [c for c in self.chunks(found) if all(a < b for a, b in met(c))]):
-                to = tuple(slice(a - s, b - s) for (a, b), s in zip(met(chunk), start, strict=True))
-                out[to] = block[tuple(slice(a - c, b - c) for (a, b), c in zip(met(chunk), chunk.start, strict=True))]
+            steps, ends = how["chunks"], tuple(s + n for s, n in zip(start, count, strict=True))
+            wanted = [c for c in self.chunks(found) if all(x < e and x + k > s for x, k, s, e in zip(c.start, steps, start, ends, strict=True))]
+            for chunk, block in self._blocks(found, wanted):
+                low, high = [max(s, c) for s, c in zip(start, chunk.start, strict=True)], [min(e, c + k) for e, c, k in zip(ends, chunk.start, steps, strict=True)]
+                to = tuple(slice(a - s, b - s) for a, b, s in zip(low, high, start, strict=True))
+                out[to] = block[tuple(slice(a - c, b - c) for a, b, c in zip(low, high, chunk.start, strict=True))]
             return out
         if name == "compact":
             return np.frombuffer(how["data"], dtype, prod(found.shape)).reshape(found.shape)[tuple(slice(s, s + n) for s, n in zip(start, count, strict=True))]
