@@ -4,19 +4,36 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from .errors import NotFoundError, SelectionError, TypeMismatchError
+from .errors import ArrayError, NotFoundError, SelectionError, TypeMismatchError, UnsupportedError
 from .functions.convert import ELEMENTS, limits
+from .options import Access, Append, CacheStats, ChunkCache, LibVer, Locking
 from .sources import datasource
 from .sources.codecs import NUMPY
 from .sources.h5 import File as Bytes
-from .sources.h5 import FileBuilder, Fixed, Float, Reference, String, VarString, is_h5, is_h5_bytes
+from .sources.h5 import (
+    FileBuilder, FileSpaceInfo, FillTime, Fixed, Float, PhysicalAddress, Reference, StoredAddress, String, Superblock, VarString, file_space_info, is_h5, is_h5_bytes,
+    persisted_free_sections,
+)
 from .sources.h5.reader import Filter, Object
-from .sources.session import Session
+from .sources.inplace import can_append, grow
+from .sources.session import Appender, Session
+
+
+def _lock(stream, locking: Locking) -> None:
+    """Keeps writers that lock the file from it while it is open."""
+    import fcntl
+
+    try:
+        fcntl.flock(stream, fcntl.LOCK_SH | fcntl.LOCK_NB)
+    except OSError as e:
+        if locking is Locking.ENABLED:
+            stream.close()
+            raise ArrayError(f"the file is locked: {e}") from None
 
 
 @dataclass(frozen=True)
@@ -170,6 +187,54 @@ class Dataset:
             out.append(Dataset(self._file, found, where) if found.is_dataset else Group(self._file, found, where))
         return out
 
+    @property
+    def attr_datatypes(self) -> dict:
+        """The stored type of each attribute."""
+        return self._file.attribute_types(self._found)
+
+    @property
+    def fill_time(self) -> FillTime:
+        return self._file.fill_time(self._found)
+
+    @property
+    def chunk_cache_config(self) -> ChunkCache:
+        return self._file.cache_config
+
+    @property
+    def chunk_cache_stats(self) -> CacheStats:
+        return replace(self._file.cache_stats)
+
+    def reset_chunk_cache_stats(self) -> None:
+        self._file.cache_stats.reset()
+
+    def supports_inplace_append(self) -> bool:
+        """Whether append() leaves the file's other bytes where they are."""
+        return can_append(self._file, self.path)
+
+    def append(self, values: np.ndarray, options: Append = Append()) -> None:
+        """Rows after the last, where the dataset stands if its index allows, else with the file written anew."""
+        grow(self._owner_path(), self.path, np.asarray(values), options.lossy_tail)
+        self._file.reload()
+        self._found = self._file.resolve(self.path)
+
+    def append_raw(self, data: bytes, options: Append = Append()) -> None:
+        """Stored bytes of whole rows, as append()."""
+        dtype, row = self._found.kind.dtype(), self.shape[1:]
+        size = dtype.itemsize * int(np.prod(row, dtype=np.int64))
+        if not size or len(data) % size:
+            raise TypeMismatchError(f"{len(data)} bytes are no whole rows of {size}")
+        self.append(np.frombuffer(data, dtype).reshape(-1, *row), options)
+
+    def buffered_appender(self, options: Append = Append()) -> Appender:
+        """Appends whole chunks as they fill; what is left waits for flush() or finish()."""
+        return Appender(self._owner_path(), self.path, options.lossy_tail)
+
+    def _owner_path(self) -> str:
+        name = getattr(self._file.stream, "name", None)
+        if not isinstance(name, str):
+            raise TypeMismatchError("only files with a path grow")
+        return name
+
     def sha256(self) -> str:
         return hashlib.sha256(self.read_raw()).hexdigest()
 
@@ -248,14 +313,77 @@ class Group:
     def attrs(self) -> dict:
         return self._file.attributes(self._found)
 
+    @property
+    def attr_datatypes(self) -> dict:
+        return self._file.attribute_types(self._found)
+
+    @property
+    def link_phase_change(self) -> tuple[int, int]:
+        """Up to how many links stand in the group's header, and below how many they return to it."""
+        return self._file.link_phase_change(self._found)
+
+    def dataset_with_options(self, path: str, chunk_cache: ChunkCache) -> Dataset:
+        """A dataset with a chunk cache of its own."""
+        where, _ = self._file._resolve(self._join(path), 0)
+        name = getattr(self._file.stream, "name", None)
+        own = Bytes(name if isinstance(name, str) else self._file._at(0, self._file.length), chunk_cache)
+        return Dataset(own, own.resolve(where), where)
 
-class ArrayFile(Group):
-    """An open file: its root group, and Spark's view of it."""
 
-    def __init__(self, source):
-        file = Bytes(source)
+class ArrayFile(Group):
+    """An open file: its root group, and Spark's view of it. access: how it is opened."""
+
+    def __init__(self, source, access: Access = Access()):
+        file = Bytes(source, access.chunk_cache, access.metadata_cache)
+        if access.libver and LibVer.from_superblock_version(file.version).value > access.libver[1].value:
+            file.stream.close()
+            raise UnsupportedError(f"a superblock of version {file.version} is over the bound")
+        if access.locking is not Locking.DISABLED and isinstance(source, str):
+            _lock(file.stream, access.locking)
         super().__init__(file, file.object(file.root), "/")
-        self._source = source
+        self._source, self.access_properties = source, access
+
+    def refresh(self) -> None:
+        """Sees what has been appended since."""
+        self._file.reload()
+        self._found = self._file.object(self._file.root)
+
+    @property
+    def superblock(self) -> Superblock:
+        return Superblock.of(self._file)
+
+    @property
+    def file_size(self) -> int:
+        return self._file.file_size
+
+    @property
+    def libver_bound(self) -> LibVer:
+        """The least generation that reads the file."""
+        return LibVer.from_superblock_version(self._file.version)
+
+    def as_bytes(self) -> bytes:
+        """All of a file that was given as bytes, else nothing."""
+        return bytes(self._source) if isinstance(self._source, bytes | bytearray) else b""
+
+    def resolve_address(self, address: StoredAddress) -> PhysicalAddress:
+        return self._file.physical(address)
+
+    def relative_address(self, address: PhysicalAddress) -> StoredAddress:
+        return self._file.stored_address(address)
+
+    def file_space_info(self) -> FileSpaceInfo | None:
+        return file_space_info(self._file)
+
+    def persisted_free_sections(self) -> list:
+        return persisted_free_sections(self._file)
+
+    @property
+    def metadata_cache_stats(self) -> CacheStats | None:
+        """What the metadata cache did; None without one."""
+        return replace(self._file.metadata_stats) if self.access_properties.metadata_cache.is_enabled else None
+
+    def reset_metadata_cache_stats(self) -> None:
+        self._file.metadata_stats.reset()
 
     def __enter__(self) -> ArrayFile:
         return self

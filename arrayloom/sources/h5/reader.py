@@ -16,7 +16,7 @@ from math import prod
 import numpy as np
 
 from ...errors import ChecksumError, FormatError, LinkError, NotFoundError, SelectionError, TypeMismatchError, UnsupportedError
-from ...options import CacheStats, ChunkCache
+from ...options import CacheStats, ChunkCache, MetadataCache
 from ..codecs import IDS, NAMES, decode
 from .checksum import lookup3
 from .dense import ATTRIBUTE_NAME, CHUNK, FILTERED_CHUNK, LINK_NAME, Heap, tree_records
@@ -115,11 +115,19 @@ class Object:
 class File:
     """An open file. source is a path, bytes, or a seekable binary stream."""
 
-    def __init__(self, source, chunk_cache: ChunkCache | None = None):
+    def __init__(self, source, chunk_cache: ChunkCache | None = None, metadata_cache: MetadataCache | None = None):
+        self.metadata_config, self.metadata, self.metadata_stats = metadata_cache or MetadataCache(), OrderedDict(), CacheStats()
         self.cache_config = chunk_cache or ChunkCache()
         self.cache: OrderedDict[int, np.ndarray] = OrderedDict()
         self.cache_stats = CacheStats()
         self.stream = io.BytesIO(source) if isinstance(source, bytes | bytearray) else open(source, "rb") if isinstance(source, str | os.PathLike) else source  # noqa: SIM115
+        self.reload()
+
+    def reload(self) -> None:
+        """Reads the file's beginning again and forgets what was read before, as after an append."""
+        if isinstance(name := getattr(self.stream, "name", None), str) and not self.stream.closed and os.fstat(self.stream.fileno()).st_ino != os.stat(name).st_ino:
+            self.stream.close()
+            self.stream = open(name, "rb")  # noqa: SIM115  the file was written anew under its name
         self.stream.seek(0, 2)
         self.length = self.stream.tell()
         base = signature_at(self._at)
@@ -127,6 +135,10 @@ class File:
             raise FormatError("no signature")
         self.base = base
         self._superblock()
+        self.cache.clear()
+        self.cache_stats.cached = self.cache_stats.cached_bytes = 0
+        self.metadata.clear()
+        self.metadata_stats.cached = self.metadata_stats.cached_bytes = 0
         self.objects: dict[int, Object] = {}
         self.named: dict[int, int] = {}  # the named type that an object's type message points to
         self.heaps: dict[int, dict[int, bytes]] = {}
@@ -144,7 +156,22 @@ class File:
     def bytes_at(self, address: int, n: int) -> bytes:
         if address == UNDEFINED or address + n > self.length - self.base or n < 0:
             raise FormatError(f"{n} bytes at {address} are beyond the file's end")
-        return self._at(self.base + address, n)
+        if n > self.metadata_config.max_entry_bytes or not self.metadata_config.max_bytes:
+            return self._at(self.base + address, n)
+        stats, key = self.metadata_stats, (address, n)
+        if (kept := self.metadata.get(key)) is not None:
+            stats.hits += 1
+            self.metadata.move_to_end(key)
+            return kept
+        stats.misses += 1
+        self.metadata[key] = data = self._at(self.base + address, n)
+        stats.cached_bytes += n
+        while stats.cached_bytes > self.metadata_config.max_bytes:
+            _, old = self.metadata.popitem(last=False)
+            stats.cached_bytes -= len(old)
+            stats.evictions += 1
+        stats.cached = len(self.metadata)
+        return data
 
     def _superblock(self) -> None:
         head = self._at(self.base, 128)

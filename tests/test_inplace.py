@@ -88,3 +88,50 @@ def test_buffered(tmp_path):
     a.flush()
     with File(path) as f:
         assert f.read("/x").tolist() == list(range(30))
+
+
+def test_facade(tmp_path):
+    from arrayloom.api import ArrayFile
+    from arrayloom.errors import ArrayError
+    from arrayloom.options import Access, Append, ChunkCache, LibVer, MetadataCache
+    from arrayloom.sources.h5 import FillTime, Fixed, PhysicalAddress, StoredAddress
+
+    path = new(tmp_path / "f.h5", np.arange(10), chunks=(4,), filters=[("deflate", 1)])
+    with ArrayFile(path, Access(metadata_cache=MetadataCache(1 << 16), chunk_cache=ChunkCache(1 << 20, 2))) as f, ArrayFile(path) as late:
+        x = f.dataset("/x")
+        assert x.supports_inplace_append() and x.fill_time is FillTime.IF_SET and list(x.attr_datatypes) == ["unit"] and x.chunk_cache_config.max_slots == 2
+        x.append(np.arange(10, 13))
+        x.append_raw(np.arange(13, 16).tobytes(), Append("allow"))
+        assert x.shape == (16,) and x.read().tolist() == list(range(16)) and x.chunk_cache_stats.lookups > 0
+        x.reset_chunk_cache_stats()
+        assert x.chunk_cache_stats.lookups == 0
+        a = x.buffered_appender()
+        a.append(np.arange(16, 23))
+        a.finish()
+        assert late.dataset("/x").shape == (10,)
+        late.refresh()
+        assert late.dataset("/x").read().tolist() == list(range(23))
+        with pytest.raises(TypeMismatchError):
+            x.append_raw(b"123")
+        assert f.metadata_cache_stats.lookups > 0 and late.metadata_cache_stats is None
+        f.reset_metadata_cache_stats()
+        f.refresh()
+        assert f.file_size == late.file_size and f.libver_bound is LibVer.V110
+        assert f.superblock.version == 3 and f.file_space_info() is None and f.persisted_free_sections() == [] and f.link_phase_change == (8, 6) and f.attr_datatypes == {}
+        assert f.resolve_address(StoredAddress(9)) == PhysicalAddress(9) and f.relative_address(PhysicalAddress(9)) == StoredAddress(9)
+        own = f.dataset_with_options("x", ChunkCache.disabled())
+        assert own.chunk_cache_config.max_slots == 0 and own.read((3,), (2,)).tolist() == [3, 4] and isinstance(own.datatype, Fixed)
+        assert f.as_bytes() == b""
+    data = open(path, "rb").read()
+    with ArrayFile(data) as f:
+        assert f.as_bytes() == data
+        with pytest.raises(TypeMismatchError):
+            f.dataset("x").append(np.arange(2))
+    with pytest.raises(UnsupportedError):
+        ArrayFile(path, Access(libver=(LibVer.EARLIEST, LibVer.V18)))
+    import fcntl
+
+    with open(path, "r+b") as held:
+        fcntl.flock(held, fcntl.LOCK_EX | fcntl.LOCK_NB)
+        with pytest.raises(ArrayError):
+            ArrayFile(path)
