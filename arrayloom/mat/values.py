@@ -21,7 +21,7 @@ from ..operators.frame import ArrayFrame
 from ..sources.h5 import Compound, File, FileBuilder, Fixed, Float, Reference, String, Vlen, of_element
 from ..sources.h5.writer import Dataset, Group, attribute
 from .names import dedupe_name, is_valid_name, sanitize_name
-from .objects import KNOWN, OPAQUE, Interned, Store, Table
+from .objects import KNOWN, OPAQUE, Interned, Store, Strings, Table
 
 USERBLOCK, TEXT = 512, 124
 DESCRIPTION = "MATLAB 7.3 MAT-file, Platform: Spark"
@@ -69,19 +69,69 @@ def matrix_dims(extents: tuple[int, ...], row: bool = False) -> tuple[int, ...]:
     return (1, 1) if not extents else vector_dims(extents[0], row) if len(extents) == 1 else tuple(extents)
 
 
-class MatBuilder:
-    """Variables of a file to be. row: vectors lie, instead of standing. names: 'sanitize' or 'strict'."""
+@dataclass(frozen=True)
+class StructArray:
+    """Structs of the same fields, each field a list with a value for each; without any it still has its fields."""
+
+    fields: dict[str, list]
+
+    def __post_init__(self):
+        if len({len(v) for v in self.fields.values()}) > 1:
+            raise TypeMismatchError("fields of different lengths")
+
+    def __len__(self) -> int:
+        return len(next(iter(self.fields.values()), []))
+
+
+def elem_size(matlab_class: str) -> int | None:
+    """Bytes of an element of a class, None for those without a fixed one."""
+    return {"char": 2, "logical": 1}.get(matlab_class) or (int(CLASSES[matlab_class][1:]) // 8 if matlab_class in CLASSES else None)
+
+
+#: What MatBuilder's options may be.
+CHOICES = {"names": ("sanitize", "strict"), "strings": ("char", "string"), "nulls": ("empty", "struct", "skip", "error"), "sequences": ("cell", "double"), "unsupported": ("error", "skip")}
 
-    def __init__(self, row: bool = False, names: str = "sanitize", deflate: int | None = None, description: str = DESCRIPTION):
-        self.file, self.row, self.names, self.deflate = FileBuilder(USERBLOCK, header(description)), row, names, deflate
+
+class MatBuilder:
+    """Variables of a file to be.
+
+    row: vectors lie, instead of standing. names: what happens to names that MATLAB doesn't take. strings: texts
+    are char arrays or string objects. nulls: None is an empty double, an empty struct array, left out, or an error.
+    sequences: a list without values is an empty cell or double. unsupported: values without a class are
+    an error or left out.
+    """
+
+    def __init__(self, row: bool = False, names: str = "sanitize", deflate: int | None = None, description: str = DESCRIPTION, strings: str = "char", nulls: str = "empty", sequences: str = "cell", unsupported: str = "error"):
+        self.options = {"names": names, "strings": strings, "nulls": nulls, "sequences": sequences, "unsupported": unsupported}
+        for option, value in self.options.items():
+            if value not in CHOICES[option]:
+                raise TypeMismatchError(f"{option} may be {', '.join(CHOICES[option])}")
+        if deflate is not None and not 0 <= deflate <= 9:
+            raise TypeMismatchError(f"no deflate level {deflate}")
+        self.file, self.row, self.deflate = FileBuilder(USERBLOCK, header(description)), row, deflate
         self.refs: Group | None = None
         self.next_ref = 0
         self.objects = Interned(self._apart)
 
     def write(self, name: str, value: object) -> MatBuilder:
-        self._put(self.file, name, value)
+        if not self._left_out(value):
+            self._put(self.file, name, value)
         return self
 
+    def write_to(self, out) -> None:
+        """The whole file to a binary stream."""
+        out.write(self.finish())
+
+    def _left_out(self, value: object) -> bool:
+        if value is None and self.options["nulls"] == "error":
+            raise TypeMismatchError("None has no MATLAB value")
+        if value is None:
+            return self.options["nulls"] == "skip"
+        if self.options["unsupported"] == "error" or isinstance(value, (Empty, StructArray, dict, str, Char, list, tuple, *KNOWN)):
+            return False
+        x = np.asarray(value)
+        return not (x.dtype.names == ("real", "imag") or x.dtype.kind in "bc" or f"{x.dtype.kind}{x.dtype.itemsize * 8}" in NAMED)
+
     def save(self, path: str) -> None:
         self._subsystem()
         self.file.write(path)
@@ -108,7 +158,7 @@ class MatBuilder:
 
     def _name(self, group: Group, name: str) -> str:
         if not is_valid_name(name):
-            if self.names == "strict":
+            if self.options["names"] == "strict":
                 raise TypeMismatchError(f"{name!r} is no MATLAB name")
             name = sanitize_name(name)
         return dedupe_name(name, set(group.members))
@@ -127,13 +177,19 @@ class MatBuilder:
         if isinstance(value, Empty):
             return self._empty(group, name, value.matlab_class, value.dims)
         if value is None:
-            return self._empty(group, name, "double", (0, 0))
+            return self._empty(group, name, "double" if self.options["nulls"] == "empty" else "struct", (0, 0))
+        if isinstance(value, StructArray):
+            return self._structs(group, name, value)
+        if isinstance(value, str) and self.options["strings"] == "string":
+            value = Strings([value], (1, 1))
         if isinstance(value, KNOWN):
             return self._class(group.create_dataset(name, self.objects.add(value).reshape(1, -1)), value.matlab_class, object_decode=np.int32(OPAQUE))
         if isinstance(value, dict):
             made = self._class(group.create_group(name), "struct")
             fields = []
             for k, v in value.items():
+                if self._left_out(v):
+                    continue
                 fields.append(self._name(made, k))
                 self._put(made, fields[-1], v, True)
             made.attrs["MATLAB_fields"] = attribute(fields or None)
@@ -148,6 +204,9 @@ class MatBuilder:
             return self._cell(group, name, list(value))
         x = np.asarray(value)
         dims = matrix_dims(x.shape, self.row)
+        if x.dtype.names == ("real", "imag") and x.dtype["real"] == x.dtype["imag"] and (base := f"{x.dtype['real'].kind}{x.dtype['real'].itemsize * 8}") in NAMED:
+            kind = Compound.packed(real=of_element(base), imag=of_element(base))  # complex integers, which numpy has as records
+            return self._class(group.create_dataset(name, np.ascontiguousarray(x.reshape(dims).T).astype(kind.dtype()), kind=kind), NAMED[base])
         if not x.size:
             return self._empty(group, name, "logical" if x.dtype.kind == "b" else NAMED.get(f"{x.dtype.kind}{x.dtype.itemsize * 8}", "double"), dims)
         stored = np.ascontiguousarray(x.reshape(dims).T)
@@ -166,13 +225,29 @@ class MatBuilder:
         return self._class(group.create_dataset(name, stored, **how), NAMED[element])
 
     def _cell(self, group: Group, name: str, values: list):
+        values = [v for v in values if not self._left_out(v)]
         if not values:
-            return self._empty(group, name, "cell", (0, 0))
+            return self._empty(group, name, self.options["sequences"], (0, 0))
         made = [self._apart(v) for v in values]
         dims = vector_dims(len(values), self.row)
         return self._class(group.create_dataset(name, made, shape=dims[::-1], kind=Reference()), "cell")
 
 
+    def _structs(self, group: Group, name: str, value: StructArray):
+        """A group with a dataset of references for each field."""
+        if not len(value):
+            made = self._empty(group, name, "struct", (0, 0))
+            made.attrs["MATLAB_fields"] = attribute(list(value.fields) or None)
+            return made
+        made, fields = self._class(group.create_group(name), "struct"), []
+        for k, values in value.fields.items():
+            fields.append(self._name(made, k))
+            held = [self._apart(v) for v in values]
+            made.create_dataset(fields[-1], held, shape=vector_dims(len(held), self.row)[::-1], kind=Reference())
+        made.attrs["MATLAB_fields"] = attribute(fields)
+        return made
+
+
 def write_mat(path: str, values: dict, **how) -> None:
     """A file of variables, all or nothing."""
     builder = MatBuilder(**how)
@@ -220,6 +295,8 @@ def _decode(file: File, address: int):
         rows = [r.tobytes().decode("utf-16-le", errors="surrogatepass") for r in units.reshape(units.shape[0], -1)]
         return rows[0] if len(rows) == 1 else rows
     if isinstance(found.kind, Compound):
+        if stored.dtype["real"].kind != "f":
+            return np.ascontiguousarray(stored.T)
         return np.ascontiguousarray((stored["real"] + 1j * stored["imag"]).T)
     values = np.asarray(file.values(found.kind, np.ascontiguousarray(stored))).reshape(stored.shape).T
     if kind == "logical":
@@ -296,4 +373,4 @@ def register_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.createDataFrame([(i, *row) for i, row in enumerate(zip(*columns.values(), strict=True))], ["row_number", *columns])
 
 
-__all__ = ["CLASSES", "Char", "Empty", "Fixed", "Float", "MatBuilder", "Vlen", "read_mat", "register_table", "variable_frame", "variables", "write_mat"]
+__all__ = ["CLASSES", "Char", "Empty", "Fixed", "Float", "MatBuilder", "StructArray", "Vlen", "elem_size", "read_mat", "register_table", "variable_frame", "variables", "write_mat"]

@@ -196,3 +196,31 @@ def test_enumeration_arrays():
         group.create_dataset(name, np.array([data], "<u4"))
     got = read_mat(builder.finish())
     assert got["e"].names == ["duration", "millis", "duration"] and len(got["e"]) == 3 and got["e"].class_name == "duration"
+
+
+def test_options_of_the_writer():
+    from arrayloom.mat import objects as o
+    from arrayloom.mat.values import StructArray, elem_size
+
+    def back(value, **how):
+        return read_mat(MatBuilder(**how).write("v", value).finish()).get("v", "left out")
+
+    assert back("text", strings="string") == o.Strings(["text"], (1, 1)) and back("text") == "text"
+    assert back(None).shape == (0, 0) and back(None, nulls="struct") == [] and back(None, nulls="skip") == "left out"
+    assert back({"a": 1.0, "b": None}, nulls="skip") == {"a": 1.0} and back([1.0, None, 2.0], nulls="skip") == [1.0, 2.0]
+    with pytest.raises(TypeMismatchError):
+        back({"a": None}, nulls="error")
+    assert back([]) == [] and back([], sequences="double").shape == (0, 0)
+    assert back(np.array(["x"], object), unsupported="skip") == "left out"
+    with pytest.raises(TypeMismatchError):
+        back(np.array(["x"], object))
+    for bad in ({"strings": "utf8"}, {"nulls": "no"}, {"deflate": 11}):
+        with pytest.raises(TypeMismatchError):
+            MatBuilder(**bad)
+    whole = np.array([(1, -2), (3, 4)], [("real", "<i2"), ("imag", "<i2")])
+    got = back(whole)
+    assert got["real"].reshape(-1).tolist() == [1, 3] and got["imag"].reshape(-1).tolist() == [-2, 4] and got.dtype["real"] == np.dtype("<i2")
+    assert back(StructArray({"a": [1.0, 2.0], "b": ["x", "y"]})) == [{"a": 1.0, "b": "x"}, {"a": 2.0, "b": "y"}] and back(StructArray({"a": []})) == []
+    with pytest.raises(TypeMismatchError):
+        StructArray({"a": [1], "b": []})
+    assert [elem_size(c) for c in ("double", "int16", "char", "logical", "cell")] == [8, 2, 2, 1, None]
