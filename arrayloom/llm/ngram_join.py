@@ -39,8 +39,8 @@ BUCKET, BLOCK = 256, 128
 PARTS = 64
 #: Agreement of tokens from which a pair is a candidate: five standard deviations below the threshold.
 AGREEMENT = 0.55
-#: Ids are broadcast up to so many (16 bytes each), else joined by shuffle.
-BROADCAST_IDS = 1_000_000
+#: Ids, with the few columns beside them (a hundred bytes or so), are broadcast up to so many, else joined by shuffle.
+BROADCAST_IDS = 250_000
 SALTS = 8
 #: Hashes of words that a worker remembers: a bound of its memory.
 REMEMBERED_WORDS = 150_000

@@ -15,8 +15,8 @@ word of what is shared. Texts are joined to what is known of them, by broadcast
 
 Defined results: a sentence ends after . ! or ? before a blank, or at a line's end; words are compared,
 not the blanks between them; n_removed counts sentences that lost words, all or some; the blanks before a
-word go with it; a null text stays null; rows that share an id (null too) are one document; texts without
-a repeat are left alone; other columns are kept; an empty table stays empty.
+word go with it; a null text stays null; rows that share an id, or have none and the same text, are one
+document, those without an id after all others; texts without a repeat are left alone; other columns are kept; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -182,7 +182,7 @@ def _rows(ids: list[int], found: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def _key():
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
+    return F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(1 << 62))
 
 
 def anchors(docs: DataFrame) -> DataFrame:
