@@ -32,19 +32,19 @@ def without(catalog: DataFrame, *paths: str) -> DataFrame:
 def resolve_links(catalog: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
     """path, final: where each soft link ends, null where it dangles. Raises where links go round.
 
-    Hops are doubled by joining the map of links with itself, so 64 hops take six joins.
+    Hops are doubled by joining the map of links with itself, as long as any link ends at another: 64 hops take
+    six joins, one hop none.
     """
     links = catalog.filter("kind = 'soft'").select("path", F.col("target").alias("final"))
+    soft = links.select(F.col("path").alias("again"))
+    ends = catalog.filter("kind <> 'soft'").select(F.col("path").alias("there"))
     hops = 1
-    while hops < max_hops:
+    while links.join(soft, links.final == soft.again, "left_semi").limit(1).count():
+        if hops >= max_hops:
+            raise LinkError("soft links go round or exceed the limit of hops")
         onward = links.select(F.col("path").alias("p"), F.col("final").alias("f"))
         links = links.join(onward, links.final == onward.p, "left").select("path", F.coalesce("f", "final").alias("final"))
         hops *= 2
-    ends = catalog.filter("kind <> 'soft'").select(F.col("path").alias("there"))
-    soft = catalog.filter("kind = 'soft'").select(F.col("path").alias("again"))
-    links = links.join(soft, links.final == soft.again, "left")
-    if links.filter("again IS NOT NULL").limit(1).count():
-        raise LinkError("soft links go round or exceed the limit of hops")
     return links.join(ends, links.final == ends.there, "left").select("path", F.col("there").alias("final"))
 
 

@@ -39,6 +39,9 @@ from .h5.writer import Dataset, FileBuilder, Group
 CATALOG = "path string, parent string, name string, kind string, address long, target string"
 CHUNKS = "chunk array<long>, payload binary, mask int"
 
+#: Bytes of elements that a task reads, where they are more than 64 tasks' worth.
+PARTITION_BYTES = 64 << 20
+
 
 @dataclass
 class Band(InputPartition):
@@ -132,9 +135,10 @@ class H5Reader(DataSourceReader):
             return [Band([])]
         with File(self.options["path"]) as file:
             found = file.resolve(self.options["dataset"])
-            most = int(self.options.get("partitions", 64))
             if found.shape is None:
                 return []
+            stored = found.kind.size * int(np.prod(found.shape, dtype=np.int64))
+            most = int(self.options.get("partitions", max(64, -(-stored // PARTITION_BYTES))))
             low, high = self._bounds(found.shape)
             if any(a >= b for a, b in zip(low, high, strict=True)):
                 return []
