@@ -146,7 +146,7 @@ class H5Reader(DataSourceReader):
             if self.mode == "chunks" and name != "chunked":
                 raise TypeMismatchError("not chunked")
             if name == "chunked":
-                stored = [c for c in file.chunks(found) if all(s < b and s + n > a for s, n, a, b in zip(c.start, how["chunks"], low, high, strict=True))]
+                stored = list(file.chunks(found, tuple(low), tuple(b - a for a, b in zip(low, high, strict=True))))
                 if self.mode == "elements":  # chunks that were never stored read as the fill value
                     at = {c.start: c for c in stored}
                     grid = [range(a // n, -(-b // n)) for a, b, n in zip(low, high, how["chunks"], strict=True)]

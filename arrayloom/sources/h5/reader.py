@@ -11,6 +11,7 @@ from collections import OrderedDict
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from itertools import product
 from math import prod
 
 import numpy as np
@@ -562,36 +563,50 @@ class File:
         at += {3: 1, 4: 5, 5: 6}.get(number, 0)
         return "chunked", how | {"address": self._address(data, at)}
 
-    def chunks(self, found: Object) -> Iterator[Chunk]:
-        """The chunks that are stored, in the order of their index."""
+    def chunks(self, found: Object, start: tuple[int, ...] | None = None, count: tuple[int, ...] | None = None) -> Iterator[Chunk]:
+        """The chunks that are stored, all or those that meet a region, in the order of their index."""
         name, how = self.layout(found)
         if name != "chunked":
             raise TypeMismatchError("not chunked")
         if how["address"] == UNDEFINED:
             return
-        yield from (c for c in self._indexed(found, how) if all(s < n for s, n in zip(c.start, found.shape, strict=True)))
+        low = start or (0,) * len(found.shape)
+        high = tuple(s + n for s, n in zip(low, count, strict=True)) if count else found.shape
+        if any(a >= b for a, b in zip(low, high, strict=True)):
+            return
+        for c in self._indexed(found, how, low, high):
+            if all(x < b and x + k > a for x, k, a, b in zip(c.start, how["chunks"], low, high, strict=True)):
+                yield c
 
-    def _indexed(self, found: Object, how: dict) -> Iterator[Chunk]:
-        whole, rank = prod(how["chunks"]) * found.kind.size, len(found.shape)
+    def _indexed(self, found: Object, how: dict, low: tuple[int, ...], high: tuple[int, ...]) -> Iterator[Chunk]:
+        """The chunks of an index; where they stand by their place, only the places of a region are looked at."""
+        whole, rank, chunks = prod(how["chunks"]) * found.kind.size, len(found.shape), how["chunks"]
         # Places are counted over the grid of the largest extent; a dimension without one comes first.
         most = [m if m is not None else n for m, n in zip(found.maximum or found.shape, found.shape, strict=True)]
         grows = [d for d, m in enumerate(found.maximum or ()) if m is None]
         order = [*grows, *(d for d in range(rank) if d not in grows)] if len(grows) == 1 else list(range(rank))
-        grid = np.ndindex(*[-(-most[d] // how["chunks"][d]) for d in order])
-        starts = (tuple(index[order.index(d)] * c for d, c in enumerate(how["chunks"])) for index in grid)
+        grid = [-(-most[d] // chunks[d]) for d in order]
+        spans = [range(low[d] // chunks[d], -(-high[d] // chunks[d])) for d in order]
+        strides = [prod(grid[i + 1 :]) for i in range(rank)]
+
+        def places() -> Iterator[tuple[int, tuple[int, ...]]]:
+            for index in product(*spans):
+                at = dict(zip(order, index, strict=True))
+                yield sum(i * s for i, s in zip(index, strides, strict=True)), tuple(at[d] * c for d, c in enumerate(chunks))
+
         if how["index"] == "btree1":
-            yield from self._tree(how["address"], len(found.shape))
+            yield from self._tree(how["address"], rank)
         elif how["index"] == "single":
-            yield Chunk((0,) * len(found.shape), how["address"], how.get("size", whole), how.get("mask", 0))
+            yield Chunk((0,) * rank, how["address"], how.get("size", whole), how.get("mask", 0))
         elif how["index"] == "implicit":
-            for i, start in enumerate(starts):
-                yield Chunk(start, how["address"] + i * whole, whole)
+            for place, start in places():
+                yield Chunk(start, how["address"] + place * whole, whole)
         elif how["index"] == "fixed":
-            yield from self._fixed(how["address"], starts, whole)
+            yield from self._fixed(how["address"], places(), whole)
         elif how["index"] == "extensible":
             if len(grows) != 1:
                 raise FormatError("an extensible array of a dataset that doesn't grow along one dimension")
-            yield from self._extensible(how["address"], starts, whole)
+            yield from self._extensible(how["address"], places(), whole)
         elif how["index"] == "btree2":
             yield from self._tree2(how, whole, rank)
         else:
@@ -627,7 +642,7 @@ class File:
         if lookup3(data) != int.from_bytes(stored, "little"):
             raise ChecksumError(what)
 
-    def _fixed(self, address: int, starts: Iterator, whole: int) -> Iterator[Chunk]:
+    def _fixed(self, address: int, places: Iterator, whole: int) -> Iterator[Chunk]:
         head = self.bytes_at(address, 8 + self.length_size + self.offset_size)
         client, entry, page_bits = head[5], head[6], head[7]
         count, data = int.from_bytes(head[8 : 8 + self.length_size], "little"), self._address(head, 8 + self.length_size)
@@ -639,11 +654,14 @@ class File:
         pages = -(-count // page) if count > page else 0
         bitmap = self.bytes_at(at, (pages + 7) // 8)
         at += len(bitmap) + 4 * bool(pages)
-        together, records = page if pages else count, b""
-        for i, start in zip(range(count), starts, strict=False):
-            if not i % together:  # the records of a page, or all
-                there = not pages or bitmap[i // page // 8] >> (7 - i // page % 8) & 1
-                records = self.bytes_at(at + i * entry + 4 * (i // together), min(together, count - i) * entry) if there else b""
+        together, loaded, records = page if pages else count, None, b""
+        for i, start in places:
+            if i >= count:
+                continue
+            if i // together != loaded:  # the records of a page, or all
+                loaded = i // together
+                there = not pages or bitmap[loaded // 8] >> (7 - loaded % 8) & 1
+                records = self.bytes_at(at + loaded * (together * entry + 4), min(together, count - loaded * together) * entry) if there else b""
             if not records:
                 continue
             raw = records[i % together * entry :][:entry]
@@ -661,7 +679,7 @@ class File:
             raise ChecksumError(f"{signature.decode()} at {address}")
         return data[:-4]
 
-    def _extensible(self, address: int, starts: Iterator, whole: int) -> Iterator[Chunk]:
+    def _extensible(self, address: int, places: Iterator, whole: int) -> Iterator[Chunk]:
         o, n = self.offset_size, self.length_size
         head = self._checked(address, 12 + 6 * n + o, b"EAHD")
         client, entry = head[5], head[6]
@@ -706,7 +724,7 @@ class File:
                 out.append(data[:-4] if there else b"\xff" * page)
             return b"".join(out)
 
-        for place, start in enumerate(starts):
+        for place, start in places:
             if place < g.head:
                 raw = top[6 + o + place * entry :][:entry]
             else:
@@ -811,8 +829,7 @@ class File:
             out[...] = fill
         if name == "chunked":
             steps, ends = how["chunks"], tuple(s + n for s, n in zip(start, count, strict=True))
-            wanted = [c for c in self.chunks(found) if all(x < e and x + k > s for x, k, s, e in zip(c.start, steps, start, ends, strict=True))]
-            for chunk, block in self._blocks(found, wanted):
+            for chunk, block in self._blocks(found, list(self.chunks(found, tuple(start), tuple(count)))):
                 low, high = [max(s, c) for s, c in zip(start, chunk.start, strict=True)], [min(e, c + k) for e, c, k in zip(ends, chunk.start, steps, strict=True)]
                 to = tuple(slice(a - s, b - s) for a, b, s in zip(low, high, start, strict=True))
                 out[to] = block[tuple(slice(a - c, b - c) for a, b, c in zip(low, high, chunk.start, strict=True))]

@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from arrayloom.errors import ChecksumError, FormatError, LinkError, NotFoundError, SelectionError, TypeMismatchError, UnsupportedError
+from arrayloom.options import MetadataCache
 from arrayloom.sources import codecs
 from arrayloom.sources.h5 import Compound, Enum, File, FileBuilder, Fixed, Float, Opaque, Reference, String, VarString, Vlen, is_h5, is_h5_bytes
 from arrayloom.sources.h5.checksum import lookup3
@@ -288,6 +289,7 @@ def test_trees_of_records():
         records = [i.to_bytes(12, "big") for i in range(n)]
         head = dense.put_tree(put, lookup3, 5, records, 12, node)
         file = File.__new__(File)
+        file.metadata_config = MetadataCache()
         file.stream, file.base, file.length, file.offset_size, file.length_size = io.BytesIO(bytes(out)), 0, len(out), 8, 8
         assert list(dense.tree_records(file, head, 5)) == records
         if n == 500:
@@ -336,3 +338,17 @@ def test_scale_offset_keeps_the_fill_value():
         found = f.resolve("/x")
         assert f.filters(found)[0].fill(np.dtype("<i4")) == -7 and f.read("/x").tolist() == x.tolist()
         assert max(c.size for c in f.chunks(found)) < 21 + 16
+
+
+@pytest.mark.parametrize("index, maximum", [("fixed", None), ("extensible", (None, 40)), ("extensible", (60, None)), ("btree1", (None, None)), ("btree2", (None, None))])
+def test_regions_look_at_their_places_only(index, maximum):
+    x = np.arange(60 * 33).reshape(60, 33)
+    builder = FileBuilder()
+    builder.create_dataset("x", x, chunks=(4, 5), filters=[("deflate", 1)], maximum=maximum, index=index)
+    with File(builder.finish()) as f:
+        found = f.resolve("/x")
+        assert len(list(f.chunks(found))) == 15 * 7 and (f.read("/x") == x).all()
+        for start, count in (((0, 0), (1, 1)), ((59, 32), (1, 1)), ((7, 9), (20, 12)), ((3, 0), (0, 5))):
+            met = [c.start for c in f.chunks(found, start, count)]
+            assert sorted(met) == sorted((a, b) for a in range(0, 60, 4) for b in range(0, 33, 5) if all(count) and a < start[0] + count[0] and a + 4 > start[0] and b < start[1] + count[1] and b + 5 > start[1])
+            assert (f.read("/x", start, count) == x[start[0] : start[0] + count[0], start[1] : start[1] + count[1]]).all()

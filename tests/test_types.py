@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from arrayloom.errors import FormatError, TypeMismatchError, UnsupportedError
+from arrayloom.options import MetadataCache
 from arrayloom.sources.h5 import (
     AddressRange, BitField, File, FileBuilder, FileSpaceInfo, FillTime, Fixed, Float, MessageType, PhysicalAddress, StatusFlags, StoredAddress, Superblock, Time,
     clear_status_flags, file_space_info,
@@ -162,6 +163,7 @@ def test_free_sections_by_hand():
     head = seal(b"FSHD" + bytes([0, 1]) + u8(428, 3, 3, 0) + (2).to_bytes(2, "little") + (80).to_bytes(2, "little") + (120).to_bytes(2, "little") + (32).to_bytes(2, "little") + u8(512, 256, len(listed), len(listed)))
     data = bytes(64) + head.ljust(192, b"\0") + listed
     file = File.__new__(File)
+    file.metadata_config = MetadataCache()
     file.stream, file.base, file.length, file.offset_size, file.length_size = io.BytesIO(data), 0, len(data), 8, 8
     found = space.free_sections(file, 64)
     assert [(s.address, s.length, s.end_address) for s in found.sections] == [(500, 64, 564), (1000, 64, 1064), (4000, 300, 4300)]
