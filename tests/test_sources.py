@@ -178,3 +178,30 @@ def test_named_types_are_shared_and_survive_edits(tmp_path):
     with Session(path) as s:
         s.delete("T")
     assert File(path).read("a").tolist() == [0, 1, 2]
+
+
+def test_edits_keep_all_that_a_file_says(tmp_path):
+    """More attributes and links than a header holds, settings, fill times and named types outlive a session and a repack."""
+    from arrayloom.sources.h5 import File, FileBuilder, FileSpaceInfo, FillTime, Fixed, file_space_info
+    from arrayloom.sources.session import Session, repack
+
+    builder = FileBuilder(space=FileSpaceInfo("page", page_size=8192), link_phase_change=(3, 2))
+    shared = builder.commit_datatype("shared", Fixed(2))
+    for i in range(12):
+        builder.create_dataset(f"d{i}", np.arange(i + 3), chunks=(2,), maximum=(None,), fill_time=FillTime.NEVER).set_attr("n", i)
+        builder.set_attr(f"a{i}", np.arange(i, dtype="<f4"))
+    builder.set_attr_committed("typed", np.arange(3), shared)
+    path, other = str(tmp_path / "f.h5"), str(tmp_path / "g.h5")
+    builder.write(path)
+    with Session(path) as s:
+        s.append("d3", np.arange(2))
+        s.set_attr("d4", "m", 9)
+    repack(path, other, ("d11",))
+    for name, n in ((path, 12), (other, 11)):
+        with File(name) as f:
+            root = f.resolve("/")
+            attrs = f.attributes(root)
+            assert len(attrs) == 13 and attrs["a11"].tolist() == list(range(11)) and attrs["typed"].tolist() == [0, 1, 2]
+            assert list(f.links(root)) == ["shared", *(f"d{i}" for i in range(n))] and f.link_phase_change(root) == (3, 2)
+            assert file_space_info(f).page_size == 8192 and f.fill_time(f.resolve("/d5")) is FillTime.NEVER
+            assert f.read("/d3").tolist() == [0, 1, 2, 3, 4, 5, 0, 1] and f.attributes(f.resolve("/d4")) == {"n": 4, "m": 9}
