@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .errors import ArrayError, NotFoundError, SelectionError, TypeMismatchError, UnsupportedError
 from .functions.convert import ELEMENTS, limits
-from .options import Access, Append, CacheStats, ChunkCache, LibVer, Locking
+from .options import Access, Append, CacheStats, ChunkCache, LibVer, Locking, SyncPolicy
 from .sources import datasource
 from .sources.codecs import NUMPY
 from .sources.h5 import File as Bytes
@@ -213,7 +213,7 @@ class Dataset:
 
     def append(self, values: np.ndarray, options: Append = Append()) -> None:
         """Rows after the last, where the dataset stands if its index allows, else with the file written anew."""
-        grow(self._owner_path(), self.path, np.asarray(values), options.lossy_tail)
+        grow(self._owner_path(), self.path, np.asarray(values), options.lossy_tail, getattr(self._file, "sync", False))
         self._file.reload()
         self._found = self._file.resolve(self.path)
 
@@ -342,6 +342,13 @@ class ArrayFile(Group):
             _lock(file.stream, access.locking)
         super().__init__(file, file.object(file.root), "/")
         self._source, self.access_properties = source, access
+        file.sync = access.sync is SyncPolicy.ALWAYS
+
+    @classmethod
+    def create(cls, path: str, access: Access = Access(), **properties) -> ArrayFile:
+        """A new, empty file, open; properties are those of FileBuilder."""
+        FileBuilder(**properties).write(path)
+        return cls(path, access)
 
     def refresh(self) -> None:
         """Sees what has been appended since."""

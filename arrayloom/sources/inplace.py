@@ -219,10 +219,10 @@ def _finish(file: File, out, header: tuple[int, int, int], extent: int, end: int
     out.write(sealed(whole))
 
 
-def grow(path: str, dataset: str, values: np.ndarray, lossy_tail: str = "reject") -> int:
-    """append() where it can, else by a session that writes the file anew."""
+def grow(path: str, dataset: str, values: np.ndarray, lossy_tail: str = "reject", sync: bool = False) -> int:
+    """append() where it can, else by a session that writes the file anew (which is always on the disk then)."""
     try:
-        return append(path, dataset, values, lossy_tail)
+        return append(path, dataset, values, lossy_tail, sync)
     except UnsupportedError:
         from .session import Session
 

@@ -135,3 +135,32 @@ def test_facade(tmp_path):
         fcntl.flock(held, fcntl.LOCK_EX | fcntl.LOCK_NB)
         with pytest.raises(ArrayError):
             ArrayFile(path)
+
+
+def test_new_files_and_staged_edits(tmp_path):
+    from arrayloom.api import ArrayFile
+    from arrayloom.options import Access, SyncPolicy
+
+    path = str(tmp_path / "new.h5")
+    with ArrayFile.create(path, Access(sync=SyncPolicy.CLOSE), userblock=512) as f:
+        assert f.datasets() == [] and f.userblock_size == 512
+    session = Session(path)
+    assert not session.has_staged_edits
+    session.create_dataset("x", np.arange(3), chunks=(2,), maximum=(None,))
+    assert session.has_staged_edits
+    session.rollback()
+    assert not session.has_staged_edits and "x" not in session.tree.members
+    session.create_dataset("x", np.arange(3), chunks=(2,), maximum=(None,))
+    session.commit()
+    assert not session.has_staged_edits
+    a = Appender(path, "x")
+    a.append_raw(np.arange(3, 8).tobytes())
+    assert a.unwritten.tolist() == []
+    a.append_raw(np.arange(8, 9).tobytes())
+    assert a.unwritten.tolist() == [8] and a.buffered_elements == 1
+    with pytest.raises(TypeMismatchError):
+        a.append_raw(b"123")
+    a.finish()
+    with ArrayFile(path) as f:
+        assert f.dataset("x").read().tolist() == list(range(9))
+    assert not Session.create(str(tmp_path / "other.h5")).tree.members
