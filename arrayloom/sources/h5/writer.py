@@ -65,9 +65,11 @@ def pipeline(filters: list, kind, chunks: tuple[int, ...], fill: bytes = b"") ->
 
 @dataclass
 class Attribute:
+    """data: stored bytes; of variable types the values themselves, which go to a heap."""
+
     kind: object
     shape: tuple[int, ...] | None
-    data: bytes
+    data: object
     named: object = None
 
 
@@ -77,6 +79,9 @@ def attribute(value: object, kind=None, named=None) -> Attribute:
         return replace(attribute(value, kind), named=named)
     if value is None:
         return Attribute(kind or of_element("i32"), None, b"")
+    if isinstance(kind, VarString | Vlen):
+        single = isinstance(value, str) or isinstance(kind, Vlen) and not (len(value) and isinstance(value[0], list | tuple | np.ndarray))
+        return Attribute(kind, () if single else (len(value),), [value] if single else list(value))
     if isinstance(value, str):
         kind = kind or String(max(1, len(value.encode())))
         return Attribute(kind, (), kind.pack(value))
@@ -271,7 +276,8 @@ class _Layout:
         for name, a in attrs.items():
             kind = a.kind.encoded() if a.named is None else bytes([3, 2]) + u(self.object(a.named))
             space, label = dataspace(a.shape), name.encode() + b"\0"
-            out.append((ATTRIBUTE, bytes([3, int(a.named is not None)]) + u(len(label), 2) + u(len(kind), 2) + u(len(space), 2) + b"\1" + label + kind + space + a.data))
+            data = self.variable(a.kind, a.data).tobytes() if isinstance(a.kind, VarString | Vlen) and a.shape is not None else a.data
+            out.append((ATTRIBUTE, bytes([3, int(a.named is not None)]) + u(len(label), 2) + u(len(kind), 2) + u(len(space), 2) + b"\1" + label + kind + space + data))
         if len(out) <= MAX_COMPACT and all(len(data) <= 0xFFFF for _, data in out):
             return out
         objects = [(name, data) for name, (_, data) in zip(attrs, out, strict=True)]
@@ -321,15 +327,19 @@ class _Layout:
             out["index"][first:at] = np.arange(1, at - first + 1)
         return out
 
+    def variable(self, kind, values) -> np.ndarray:
+        """What is stored of values of a variable type, which themselves go to heaps."""
+        coded = [x.encode() if isinstance(kind, VarString) else np.asarray(x, kind.base.dtype()).tobytes() for x in values]
+        out = self.heap(coded)
+        out["n"] = [len(v) // (1 if isinstance(kind, VarString) else kind.base.size) for v in coded]
+        return out
+
     def raw(self, d: Dataset) -> np.ndarray | None:
         """The stored elements of a dataset."""
         if d.data is None or d.shape is None:
             return None
         if isinstance(d.kind, VarString | Vlen):
-            values = [x.encode() if isinstance(d.kind, VarString) else np.asarray(x, d.kind.base.dtype()).tobytes() for x in d.data]
-            out = self.heap(values)
-            out["n"] = [len(v) // (1 if isinstance(d.kind, VarString) else d.kind.base.size) for v in values]
-            return out.reshape(d.shape)
+            return self.variable(d.kind, d.data).reshape(d.shape)
         if isinstance(d.kind, String):
             return np.frombuffer(b"".join(map(d.kind.pack, d.data)), d.kind.dtype()).reshape(d.shape)
         if isinstance(d.kind, Opaque):

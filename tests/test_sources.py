@@ -205,3 +205,21 @@ def test_edits_keep_all_that_a_file_says(tmp_path):
             assert list(f.links(root)) == ["shared", *(f"d{i}" for i in range(n))] and f.link_phase_change(root) == (3, 2)
             assert file_space_info(f).page_size == 8192 and f.fill_time(f.resolve("/d5")) is FillTime.NEVER
             assert f.read("/d3").tolist() == [0, 1, 2, 3, 4, 5, 0, 1] and f.attributes(f.resolve("/d4")) == {"n": 4, "m": 9}
+
+
+def test_attributes_of_variable_length(tmp_path):
+    from arrayloom.sources.h5 import File, FileBuilder, Fixed, VarString, Vlen
+    from arrayloom.sources.session import Session
+
+    builder, path = FileBuilder(), str(tmp_path / "f.h5")
+    builder.set_attr("one", "vär", VarString()).set_attr("many", ["a", "", "ccc"], VarString()).set_attr("rows", [[1, 2], [], [3]], Vlen(Fixed(2))).set_attr("row", [4, 5], Vlen(Fixed(4)))
+    builder.write(path)
+    for _ in range(2):
+        with File(path) as f:
+            attrs = f.attributes(f.resolve("/"))
+            assert attrs == {"one": "vär", "many": ["a", "", "ccc"], "rows": [[1, 2], [], [3]], "row": [4, 5]}
+        with Session(path) as s:
+            if "x" in s.tree.members:
+                s.overwrite("x", np.arange(3) * 2)
+            else:
+                s.create_dataset("x", np.arange(3))
