@@ -805,6 +805,7 @@ class File:
                     if chunk.size != n * dtype.itemsize:
                         raise FormatError(f"a chunk has {chunk.size} bytes, not {n * dtype.itemsize}")
                     self.cache_stats.misses += 1
+                    self.cache_stats.oversize += 1
                     yield chunk, np.frombuffer(whole, dtype, n, chunk.address - begin).reshape(shape)
             return
         with ThreadPoolExecutor(min(8, os.cpu_count() or 1)) as pool:
@@ -815,6 +816,8 @@ class File:
                     self.cache_stats.misses += 1
                     if keep:
                         self._keep(chunk, block)
+                    else:
+                        self.cache_stats.oversize += 1
                     yield chunk, block
 
     def stored(self, found: Object, start: tuple[int, ...], count: tuple[int, ...]) -> np.ndarray:
