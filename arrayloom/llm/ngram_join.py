@@ -35,6 +35,8 @@ WORDS, THRESHOLD = 5, 0.8
 COORDINATES, BRANCH, RECALL = 64, 1.25, 0.9995
 FIRST_DEPTH, STEP_DEPTH, LAST_DEPTH = 2, 2, 6
 BUCKET, BLOCK = 256, 128
+#: Hashes of sets that are compared at a time: a bound of a worker's memory, about a hundred bytes each.
+HASHES = 250_000
 #: A component's members are dealt into so many parts at most, which bounds how often its sets are repeated.
 PARTS = 64
 #: Agreement of tokens from which a pair is a candidate: five standard deviations below the threshold.
@@ -239,15 +241,13 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(x[:, 0], x[:, 1])), pa.array(np.maximum(x[:, 0], x[:, 1]))], names=["a", "b"])
 
 
-def overlaps(sets: list[np.ndarray], others: list[np.ndarray] | None = None) -> np.ndarray:
-    """Sizes of the intersections of sorted sets with others, or of all pairs of them."""
-    n, whole = len(sets), sets + (others or [])
+def _shared(whole: list[np.ndarray], n: int, out: np.ndarray) -> None:
+    """Adds to out the sizes of the intersections of the first n sets with the others, or of all pairs if there are no others."""
     every, place = np.unique(np.concatenate(whole), return_inverse=True)
     row = np.repeat(np.arange(len(whole)), [len(s) for s in whole])
     shared = np.bincount(place, minlength=len(every)) > 1  # what only one set has can't be common
     keep = shared[place]
     place, row = (np.cumsum(shared) - 1)[place[keep]], row[keep]
-    out = np.zeros((n, len(others) if others else n), np.float32)
     order = np.argsort(place, kind="stable")
     place, row = place[order], row[order]
     width = 8192
@@ -255,7 +255,21 @@ def overlaps(sets: list[np.ndarray], others: list[np.ndarray] | None = None) ->
         s, e = np.searchsorted(place, [at, at + width])
         dense = np.zeros((len(whole), width), np.float32)
         dense[row[s:e], place[s:e] - at] = 1
-        out += dense[:n] @ (dense[n:] if others else dense).T
+        out += dense[:n] @ (dense if n == len(whole) else dense[n:]).T
+
+
+def overlaps(sets: list[np.ndarray], others: list[np.ndarray] | None = None) -> np.ndarray:
+    """Sizes of the intersections of sorted sets with others, or of all pairs of them.
+
+    Ranges of hashes, about HASHES of them at a time, are counted one after the other: what is held doesn't grow with the sets.
+    """
+    n, whole = len(sets), sets + (others or [])
+    out = np.zeros((n, len(others) if others else n), np.float32)
+    ranges = max(1, -(-sum(len(s) for s in whole) // HASHES))
+    ends = np.array([(i << 64) // ranges for i in range(1, ranges)], np.uint64)
+    cuts = [[0, *np.searchsorted(s, ends).tolist(), len(s)] for s in whole]
+    for i in range(ranges):
+        _shared([s[c[i] : c[i + 1]] for s, c in zip(whole, cuts, strict=True)], n, out)
     return out
 
 
@@ -297,7 +311,7 @@ def exact_links(rows: DataFrame, threshold: float) -> DataFrame:
                 continue
             group = group.take(first)  # rows that repeat a document brought its set again
             side, copies = group.column("side").to_numpy(), group.column("copies").to_numpy().astype(np.int64)
-            sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("shingles")]
             by_size = np.argsort([len(s) for s in sets], kind="stable")
             p, q = group.column("p")[0].as_py(), group.column("q")[0].as_py()
             if p != q and not (np.any(side == p) and np.any(side == q)):

@@ -194,3 +194,20 @@ def test_overlaps():
     want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
     assert (j.overlaps(sets)[np.triu_indices(4, 1)] == np.array(want)[np.triu_indices(4, 1)]).all()
     assert (j.overlaps(sets[:3], sets[1:]) == np.array(want)[:3, 1:]).all()
+
+
+def test_memory_of_comparisons_does_not_grow_with_the_sets():
+    """Two blocks of the longest texts (20,000 words): what is held beside the sets stays bounded, the numbers are exact."""
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    pool = rng.integers(0, 1 << 64, 40_000, np.uint64)
+    a, b = ([np.unique(rng.choice(pool, 20_000)) for _ in range(j.BLOCK)] for _ in range(2))
+    tracemalloc.start()
+    both = j.overlaps(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50_000_000
+    for x, y in ((0, 0), (3, 5), (127, 64)):
+        assert both[x, y] == len(np.intersect1d(a[x], b[y]))
+    assert (j.overlaps(a[:9])[2, 3:] == [len(np.intersect1d(a[2], x)) for x in a[3:9]]).all()
