@@ -87,6 +87,28 @@ def test_blocks_are_skipped(documents, monkeypatch):
     assert sum(scored) < 0.5 * 1000 * len(queries) and all(i * 50 in docs for i, (docs, _) in enumerate(found))
 
 
+def test_few_documents_are_scored_in_full():
+    """Where bounds by block are loose (common words of very different weight), bounds by document leave few beside the first 4 * k."""
+    np = s.np
+    rnd = random.Random(9)
+    shard = s.Collected(0)
+    for i in range(2000):
+        shard.add(i, s.words_of(" ".join(f"c{j}" for j in range(30) for _ in range(rnd.choice((0, 0, 1, 1, 2, 9)))) + f" r{i % 40}"))
+    row = shard.row().to_pylist()[0]
+    row = {c: np.frombuffer(row[c], k) if k else row[c] for c, k in (("ids", None), ("sizes", "i8"), ("starts", "i8"), ("places", "i4"), ("counts", "i4"))}
+    df = np.bincount(row["places"]).astype(float)
+    made = s.Shard(row, np.arange(len(df)), np.log(1 + (2000 - df + 0.5) / (df + 0.5)), 70.0, np.flatnonzero(df > 2000 / s.COMMON))
+    queries = [np.sort(row["places"][row["starts"][i] : row["starts"][i + 1]]) for i in range(0, 2000, 100)]
+    scored, whole = [], made.score
+    made.score = lambda sums, rows, docs: (scored.append(len(docs)), whole(sums, rows, docs))[1]
+    found = list(made.best(queries, 5, np.zeros(len(queries))))
+    assert sum(scored) < 2 * 4 * 5 * len(queries)
+    for query, (docs, scores) in zip(queries, found, strict=True):
+        every = whole(made.added(query[made.row[query] < 0]), made.row[query][made.row[query] >= 0], np.arange(2000))
+        best = np.lexsort((np.arange(2000), -every))[:5]
+        assert sorted(docs.tolist()) == sorted(best.tolist()) and sorted(scores) == sorted(every[best])
+
+
 def test_scores_do_not_depend_on_their_company():
     """The sum over common words is in one order, whatever documents are scored together."""
     rng = s.np.random.default_rng(5)
