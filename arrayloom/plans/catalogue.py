@@ -21,6 +21,7 @@ from ..operators.frame import ArrayFrame, from_arrays, from_column
 from ..sources import codecs, datasource
 from ..sources.h5 import Compound, FileBuilder, String, of_element
 from ..sources.session import Session
+from ..sources.spool import spool_elements
 from ..streaming.follow import follow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -176,11 +177,14 @@ def dense_grid_check(spark, sf_dir):
 # ---- compound, enumeration, strings
 
 
-def _stored(spark: SparkSession, name: str, kind, values, **how) -> str:
-    """A new file with /x of a type; values are small test columns that come to the driver, which writes the file."""
-    path, builder = _file(spark, name), FileBuilder()
-    builder.create_dataset("x", values, shape=(len(values),), kind=kind, **how)
-    builder.write(path)
+def _stored(df: DataFrame, key: str, name: str, kind, values, chunk: int, filters: list | None = None) -> str:
+    """A new file with /x of a type: values in the order of a key, which don't come to the driver."""
+    path = _file(df.sparkSession, name)
+    elements = spool_elements(df, key, os.path.dirname(path), x=(kind, values))["x"]
+    try:
+        datasource.write_spool(df.sparkSession, elements, path, "/x", chunk, filters)
+    finally:
+        elements.drop()
     return path
 
 
@@ -197,9 +201,9 @@ def _elements(spark: SparkSession, path: str) -> DataFrame:
 @query("SELECT o_orderkey AS i0, o_custkey AS custkey, o_totalprice AS total, o_orderstatus AS status FROM orders")
 def compound_read(spark, sf_dir):
     kind = Compound.packed(custkey=of_element("i64"), total=of_element("f64"), status=String(1))
-    c = _column(read(spark, sf_dir, "orders"), "o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
-    rows = [{"custkey": a, "total": b, "status": s} for a, b, s in zip(c["o_custkey"], c["o_totalprice"], c["o_orderstatus"], strict=True)]
-    return _elements(spark, _stored(spark, "records", kind, rows, chunks=(1000,), filters=[("shuffle", None), ("deflate", 1)])).select("i0", "value.*")
+    fields = {"custkey": F.col("o_custkey"), "total": F.col("o_totalprice"), "status": F.col("o_orderstatus")}
+    path = _stored(read(spark, sf_dir, "orders"), "o_orderkey", "records", kind, fields, 1000, [("shuffle", None), ("deflate", 1)])
+    return _elements(spark, path).select("i0", "value.*")
 
 
 @query("SELECT o_orderkey AS i0, o_totalprice AS total FROM orders")
@@ -209,11 +213,9 @@ def compound_project(spark, sf_dir):
 
 @query("SELECT event_id AS i0, value AS real, value * user_id AS imag FROM events")
 def complex_read(spark, sf_dir):
-    c = _column(read(spark, sf_dir, "events"), "event_id", "value", "user_id")
     kind = Compound.packed(real=of_element("f64"), imag=of_element("f64"))
-    data = np.zeros(len(c["value"]), kind.dtype())
-    data["real"], data["imag"] = c["value"], np.array(c["value"]) * np.array(c["user_id"])
-    return _elements(spark, _stored(spark, "complex", kind, data, chunks=(512,))).select("i0", "value.*")
+    fields = {"real": F.col("value"), "imag": F.col("value") * F.col("user_id")}
+    return _elements(spark, _stored(read(spark, sf_dir, "events"), "event_id", "complex", kind, fields, 512)).select("i0", "value.*")
 
 
 FLAGS = {"A": 0, "N": 1, "R": 2}
@@ -230,8 +232,7 @@ def enum_decode(spark, sf_dir):
 
 
 def _fixed(spark, sf_dir, padding: str, size: int) -> DataFrame:
-    values = _column(read(spark, sf_dir, "orders"), "o_orderkey", "o_orderpriority")["o_orderpriority"]
-    return _elements(spark, _stored(spark, padding, String(size, padding), values, chunks=(700,), filters=[("deflate", 1)]))
+    return _elements(spark, _stored(read(spark, sf_dir, "orders"), "o_orderkey", padding, String(size, padding), F.col("o_orderpriority"), 700, [("deflate", 1)]))
 
 
 @query("SELECT o_orderkey AS i0, o_orderpriority AS value FROM orders")

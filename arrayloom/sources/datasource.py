@@ -31,10 +31,11 @@ from pyspark.sql.datasource import (
 
 from ..errors import NotFoundError, SelectionError, TypeMismatchError
 from ..operators.frame import ArrayFrame
-from .codecs import check_pipeline, to_chunks
+from .codecs import check_pipeline, encode, placed, to_chunks
 from .h5.reader import File, Object, element_of
-from .h5.types import of_element
+from .h5.types import of_element, parse
 from .h5.writer import Dataset, FileBuilder, Group
+from .spool import RUN_BYTES, Spool
 
 CATALOG = "path string, parent string, name string, kind string, address long, target string"
 CHUNKS = "chunk array<long>, payload binary, mask int"
@@ -160,7 +161,9 @@ class H5Reader(DataSourceReader):
             step = max(1, -(-(rows[1] - rows[0]) // most))
             return [Band([], r, min(r + step, rows[1])) for r in range(rows[0], rows[1], step)]
 
-    def read(self, partition: Band) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Band | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # there are none to read
+            return
         with File(self.options["path"]) as file:
             if self.mode == "catalog":
                 rows = list(zip(*file.walk(), strict=True)) or [()] * 6
@@ -237,7 +240,8 @@ class Part(WriterCommitMessage):
 class H5Writer(DataSourceWriter):
     """Writes encoded chunks (chunk, payload, mask) as one dataset. Tasks store payloads beside the file; the commit joins
     them and publishes the file by one rename, so readers see all of it or nothing. Options: path, dataset, shape, chunks,
-    element, filters (JSON), maximum, fill, and append=true to keep the other objects of the file."""
+    element (or kind, the bytes of a type in hexadecimal), filters (JSON), maximum, fill, and append=true to keep the other
+    objects of the file."""
 
     def __init__(self, options: dict, overwrite: bool):
         self.options, self.overwrite = options, overwrite
@@ -282,7 +286,7 @@ class H5Writer(DataSourceWriter):
                 from .session import load
 
                 builder = load(o["path"])
-            kind = of_element(o["element"])
+            kind = parse(bytes.fromhex(o["kind"]))[0] if o.get("kind") else of_element(o["element"])
             dataset = Dataset(kind, numbers("shape"), None, numbers("chunks"), numbers("maximum"), filters, json.loads(o.get("fill", "null")), encoded=payloads())
             *groups, name = [p for p in o["dataset"].split("/") if p]
             at: Group = builder
@@ -334,6 +338,34 @@ def write_frame(frame: ArrayFrame, path: str, dataset: str, filters: list | None
     to_chunks(frame, filters).write.format("h5").mode(mode).options(**options).save()
 
 
+def write_spool(spark: SparkSession, elements: Spool, path: str, dataset: str, chunk: int, filters: list | None = None, maximum: tuple | None = None, rows: int | None = None) -> None:
+    """Spooled elements, or the first rows of them, as a dataset of one dimension whose chunks are encoded in parallel."""
+    filters, kind, n = filters or [], elements.kind, len(elements) if rows is None else min(rows, len(elements))
+    check_pipeline(filters)
+    register(spark)
+    stages, dtype, many = placed(filters, (chunk,)), kind.dtype(), max(1, RUN_BYTES // (chunk * kind.size))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers = batch.column(0).to_pylist()  # one after the other
+            for i in range(0, len(numbers), many):
+                run, made = numbers[i : i + many], []
+                part = elements.read(run[0] * chunk, min(n - run[0] * chunk, len(run) * chunk))
+                for k in range(len(run)):
+                    block = np.zeros(chunk, dtype)
+                    own = part[k * chunk : (k + 1) * chunk]
+                    block[: len(own)] = own
+                    made.append(encode(block.tobytes(), stages, dtype))
+                yield pa.RecordBatch.from_arrays([pa.array([[r * chunk] for r in run], pa.list_(pa.int64())), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.int32())], names=["chunk", "payload", "mask"])
+
+    count = -(-n // chunk)
+    tasks = max(1, min(count, max(spark.sparkContext.defaultParallelism, -(-n * kind.size // PARTITION_BYTES))))
+    options = {"path": path, "dataset": dataset, "shape": str(n), "chunks": str(chunk), "kind": kind.encoded().hex(), "filters": json.dumps(filters)}
+    if maximum is not None:
+        options["maximum"] = ",".join("null" if v is None else str(v) for v in maximum)
+    spark.range(0, count, 1, tasks).mapInArrow(pack, CHUNKS).write.format("h5").mode("overwrite").options(**options).save()
+
+
 def catalog(spark: SparkSession, path: str) -> DataFrame:
     """path, parent, name, kind, address, target of each link of a file."""
     register(spark)
