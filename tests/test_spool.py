@@ -27,7 +27,7 @@ def to_driver(spark, monkeypatch):
     return seen
 
 
-@pytest.mark.parametrize("name", ["compound_project"])
+@pytest.mark.parametrize("name", ["compound_project", "compound_read"])
 def test_no_column_comes_to_the_driver(spark, to_driver, name):
     found = catalogue.QUERIES[name](spark, SF)
     assert sum(to_driver) < 100
