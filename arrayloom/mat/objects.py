@@ -14,8 +14,11 @@ from math import prod
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..errors import FormatError, TypeMismatchError
+from ..sources.h5.types import of_element
+from ..sources.spool import Spool, spool, stored
 
 #: The first word of an object's variable, the attribute's value that marks objects, the layouts' versions, the length of a missing
 #: string, the cells before the values, the words of a class, an object and a property, and the kinds of a property (fixed values).
@@ -29,6 +32,11 @@ def flat(value) -> np.ndarray:
     return np.asarray(value).reshape(-1, order="F")
 
 
+def floats(value):
+    """Numbers as an array of doubles; spooled ones stay where they are."""
+    return value if isinstance(value, Spool) else np.asarray(value, float)
+
+
 def texts(value) -> list[str]:
     """The strings of a property, which may come as one text, a list of them, or nothing."""
     if isinstance(value, Strings):
@@ -78,9 +86,44 @@ class Strings:
         return {"any": self.words()}
 
 
+class SpooledStrings(Strings):
+    """A column of strings to write: their lengths in words, MISSING for those that are, and their words, both spooled."""
+
+    def __init__(self, lengths: Spool, body: Spool):
+        super().__init__([], (len(lengths), 1))
+        self.lengths, self.body = lengths, body
+
+    def drop(self) -> None:
+        self.lengths.drop()
+        self.body.drop()
+
+    def words(self) -> Spool:
+        head = np.array([STRING_VERSION, 2, *self.dims], "<u8").tobytes()
+        return Spool(of_element("u64"), [head, *self.lengths.sources, *self.body.sources, bytes(-self.body.nbytes % 8)])
+
+
+def spooled(df: DataFrame, key: str, folder: str, texts: str, /, **columns) -> dict:
+    """Columns as spool_elements takes them, and strings, in the order of key."""
+    kinds, word = {n: kind for n, (kind, _) in columns.items()}, of_element("u8")
+
+    def pack(batch: pa.RecordBatch) -> dict[str, bytes]:
+        out = {n: stored(c, kind).tobytes() for (n, kind), c in zip(kinds.items(), batch.columns[2:], strict=True)}
+        return out | dict(zip((" lengths", " body"), coded(batch.column(1)), strict=True))
+
+    chosen = [F.col(key).alias("key"), F.col(texts).alias("text"), *[c.alias(f"v{i}") for i, (_, c) in enumerate(columns.values())]]
+    found = spool(df.select(*chosen), "key", folder, pack, kinds | {" lengths": of_element("u64"), " body": word})
+    return {n: found[n] for n in columns} | {texts: SpooledStrings(found[" lengths"], found[" body"])}
+
+
+def coded(column: pa.Array) -> tuple[bytes, bytes]:
+    """The lengths and the words of strings, as they are stored."""
+    made = [None if v is None else v.encode("utf-16-le", errors="surrogatepass") for v in column.to_pylist()]
+    return np.array([MISSING if v is None else len(v) // 2 for v in made], "<u8").tobytes(), b"".join(v or b"" for v in made)
+
+
 @dataclass
 class Datetime:
-    """Times as milliseconds since 1970 UTC and the rest below them."""
+    """Times as milliseconds since 1970 UTC and the rest below them; spooled, as records of both."""
 
     millis: np.ndarray
     sub_ms: np.ndarray | None = None
@@ -94,6 +137,8 @@ class Datetime:
         return (millis + (0 if self.sub_ms is None else np.asarray(self.sub_ms, float))) * 1e6
 
     def properties(self) -> dict:
+        if isinstance(self.millis, Spool):
+            return {"data": self.millis, "tz": self.tz, "fmt": self.fmt}
         millis = np.asarray(self.millis, float)
         return {"data": millis + 1j * (np.zeros_like(millis) if self.sub_ms is None else np.asarray(self.sub_ms, float)), "tz": self.tz, "fmt": self.fmt}
 
@@ -109,7 +154,7 @@ class Duration:
         return np.asarray(self.millis, float) / 1000
 
     def properties(self) -> dict:
-        return {"millis": np.asarray(self.millis, float), "fmt": self.fmt}
+        return {"millis": floats(self.millis), "fmt": self.fmt}
 
 
 @dataclass
@@ -133,7 +178,9 @@ class Categorical:
 
     def properties(self) -> dict:
         width = "u1" if len(self.categories) < 256 else "u4"
-        return {"codes": np.asarray(self.codes).astype(width), "categoryNames": list(self.categories), "isOrdinal": bool(self.is_ordinal), "isProtected": bool(self.is_protected)}
+        if isinstance(self.codes, Spool) and self.codes.kind.dtype() != np.dtype(width):
+            raise TypeMismatchError(f"codes of {len(self.categories)} categories are {width}")
+        return {"codes": self.codes if isinstance(self.codes, Spool) else np.asarray(self.codes).astype(width), "categoryNames": list(self.categories), "isOrdinal": bool(self.is_ordinal), "isProtected": bool(self.is_protected)}
 
 
 @dataclass
@@ -246,6 +293,8 @@ KNOWN = (Strings, Datetime, Duration, Categorical, Table, Timetable, Map, Opaque
 
 
 def _length(column) -> int:
+    if isinstance(column, Spool):
+        return len(column)
     if isinstance(column, Strings):
         return (column.dims or (len(column.values),))[0]
     if isinstance(column, Datetime | Duration):
@@ -273,16 +322,16 @@ def _arrow(column) -> pa.Array:
     return pa.array(x.tolist()) if x.ndim == 2 and x.shape[1] > 1 else pa.array(flat(x))
 
 
-def expanded(times, n: int) -> Datetime | Duration:
-    """A time for each of n rows, of a regular timetable from where it begins and its rate or step."""
+def expanded(times, n: int, first: int = 0) -> Datetime | Duration:
+    """A time for each of n rows from the first on, of a regular timetable from where it begins and its rate or step."""
     if isinstance(times, Datetime | Duration):
         return times
     if not isinstance(times, dict) or "origin" not in times:
         raise FormatError("row times of no known form")
     if times.get("specifiedAsRate"):
-        offsets = np.arange(n) * 1000 / float(flat(times["sampleRate"])[0])
+        offsets = np.arange(first, first + n) * 1000 / float(flat(times["sampleRate"])[0])
     elif isinstance(times.get("stepSize"), Duration):
-        offsets = np.arange(n) * float(flat(times["stepSize"].millis)[0])
+        offsets = np.arange(first, first + n) * float(flat(times["stepSize"].millis)[0])
     else:
         raise FormatError("a step that is no duration")
     origin = times["origin"]
@@ -382,7 +431,7 @@ class Store:
         space, own = self.classes[number][:2]
         return ".".join(x for x in (self.name(space), self.name(own)) if x)
 
-    def object(self, number: int, decode) -> object:
+    def object(self, number: int, decode, make=None) -> object:
         if not 0 < number < len(self.objects):
             raise FormatError(f"no object {number}")
         kind, _, _, saved, normal, _ = self.objects[number]
@@ -399,9 +448,9 @@ class Store:
                 values[self.name(name)] = self.name(value) if how == NAMED else bool(value) if value < 2 else value
             else:
                 raise FormatError(f"a property of kind {how}")
-        return made(self.class_name(kind), values)
+        return (make or made)(self.class_name(kind), values)
 
-    def of(self, words: np.ndarray, decode) -> object:
+    def of(self, words: np.ndarray, decode, make=None) -> object:
         """The object, or list of them, that a variable's words name."""
         words = words.reshape(-1).tolist()
         if len(words) < 3 or words[0] != MARK:
@@ -411,7 +460,7 @@ class Store:
         ids = words[2 + rank : 2 + rank + n]
         if len(words) < 3 + rank + n:
             raise FormatError("an object's words end early")
-        found = [self.object(i, decode) for i in ids]
+        found = [self.object(i, decode, make) for i in ids]
         return found[0] if n == 1 else found
 
     def enumeration(self, number: int, value_names: list[int], indices: list[int]) -> Enumeration:

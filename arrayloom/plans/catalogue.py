@@ -548,39 +548,53 @@ def _mat(spark: SparkSession, name: str, value: object) -> str:
     return path
 
 
+def _spooled_mat(df: DataFrame, key: str, name: str, make: Callable, texts: str | None = None, /, **columns) -> str:
+    """A file of what make returns for spooled columns, given by name, in the order of a key; texts names a column of strings."""
+    path = _file(df.sparkSession, "mat")
+    found = spool_elements(df, key, os.path.dirname(path), **columns) if texts is None else mo.spooled(df, key, os.path.dirname(path), texts, **columns)
+    try:
+        write_mat(path, {name: make(**found)})
+    finally:
+        for elements in found.values():
+            elements.drop()
+    return path
+
+
+I64, F64 = of_element("i64"), of_element("f64")
+
+
 @query("SELECT event_id AS row_number, CASE user_id % 4 WHEN 1 THEN 'low' WHEN 2 THEN 'mid' WHEN 3 THEN 'high' END AS label FROM events")
 def categorical_labels(spark, sf_dir):
-    users = np.array(_column(read(spark, sf_dir, "events"), "event_id", "user_id")["user_id"])
-    value = mo.Table({"label": mo.Categorical((users % 4).reshape(-1, 1), ["low", "mid", "high"])})
-    return register_table(spark, _mat(spark, "t", value), "t")
+    made = lambda codes: mo.Table({"label": mo.Categorical(codes, ["low", "mid", "high"])})
+    return register_table(spark, _spooled_mat(read(spark, sf_dir, "events"), "event_id", "t", made, codes=(of_element("u8"), F.col("user_id") % 4)), "t")
 
 
 @query("SELECT event_id AS row_number, user_id, value, event_type FROM events")
 def mat_table(spark, sf_dir):
-    c = _column(read(spark, sf_dir, "events"), "event_id", "user_id", "value", "event_type")
-    value = mo.Table({"user_id": np.array(c["user_id"]), "value": np.array(c["value"]), "event_type": mo.Strings(c["event_type"])})
-    return register_table(spark, _mat(spark, "t", value), "t")
+    path = _spooled_mat(read(spark, sf_dir, "events"), "event_id", "t", lambda **c: mo.Table(c), "event_type", user_id=(I64, F.col("user_id")), value=(F64, F.col("value")))
+    return register_table(spark, path, "t")
 
 
 @query("SELECT event_id AS row_number, value, 1000.0::DOUBLE + event_id * 250.0::DOUBLE AS row_time_ms FROM events")
 def mat_timetable_regular(spark, sf_dir):
     """Row times from where they begin and a step."""
-    c = _column(read(spark, sf_dir, "events"), "event_id", "value")
     times = {"origin": mo.Duration(np.array([1000.0])), "specifiedAsRate": False, "sampleRate": 4.0, "stepSize": mo.Duration(np.array([250.0]))}
-    return register_table(spark, _mat(spark, "t", mo.Timetable({"value": np.array(c["value"])}, row_times=times)), "t")
+    path = _spooled_mat(read(spark, sf_dir, "events"), "event_id", "t", lambda value: mo.Timetable({"value": value}, row_times=times), value=(F64, F.col("value")))
+    return register_table(spark, path, "t")
 
 
 @query("SELECT event_id AS row_number, (CAST(epoch_us(ts) // 1000 AS DOUBLE) + 0.25) * 1000000.0 AS ts FROM events")
 def mat_datetime_ns(spark, sf_dir):
-    millis = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts) DIV 1000").cast("double").alias("ms")
-    ms = np.array(_column(read(spark, sf_dir, "events").select("event_id", millis), "event_id", "ms")["ms"])
-    return register_table(spark, _mat(spark, "t", mo.Table({"ts": mo.Datetime(ms, np.full(len(ms), 0.25), "UTC")})), "t")
+    millis = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts) DIV 1000").cast("double")
+    kind = Compound.packed(real=F64, imag=F64)
+    path = _spooled_mat(read(spark, sf_dir, "events"), "event_id", "t", lambda ts: mo.Table({"ts": mo.Datetime(ts, tz="UTC")}), ts=(kind, {"real": millis, "imag": F.lit(0.25)}))
+    return register_table(spark, path, "t")
 
 
 @query("SELECT event_id AS row_number, value / 1000 AS seconds FROM events")
 def mat_duration_seconds(spark, sf_dir):
-    c = _column(read(spark, sf_dir, "events"), "event_id", "value")
-    return register_table(spark, _mat(spark, "t", mo.Table({"seconds": mo.Duration(np.array(c["value"]))})), "t")
+    path = _spooled_mat(read(spark, sf_dir, "events"), "event_id", "t", lambda value: mo.Table({"seconds": mo.Duration(value)}), value=(F64, F.col("value")))
+    return register_table(spark, path, "t")
 
 
 @query("SELECT r_name AS key, CAST(r_regionkey AS DOUBLE) AS value FROM region")
@@ -593,8 +607,7 @@ def mat_map(spark, sf_dir):
 @query("SELECT event_id AS i0, CAST(0 AS BIGINT) AS i1, value * 2 AS value FROM events")
 def mat_matrix(spark, sf_dir):
     """A column of numbers, read in parallel."""
-    c = _column(read(spark, sf_dir, "events"), "event_id", "value")
-    return variable_frame(spark, _mat(spark, "x", np.array(c["value"]).reshape(-1, 1) * 2), "x").df
+    return variable_frame(spark, _spooled_mat(read(spark, sf_dir, "events"), "event_id", "x", lambda value: value, value=(F64, F.col("value") * 2)), "x").df
 
 
 @query("SELECT event_id AS i0, value, 1000.0::DOUBLE + event_id * 250.0::DOUBLE AS row_time_ms FROM events")

@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from arrayloom.mat import objects as mo
+from arrayloom.mat import register_table, scan, write_mat
 from arrayloom.plans import catalogue
 from arrayloom.sources import datasource
 from arrayloom.sources.h5 import File, String, of_element
@@ -27,7 +29,7 @@ def to_driver(spark, monkeypatch):
     return seen
 
 
-@pytest.mark.parametrize("name", ["compound_project", "compound_read"])
+@pytest.mark.parametrize("name", ["compound_project", "compound_read", "mat_table", "mat_timetable_regular", "mat_datetime_ns", "mat_duration_seconds", "categorical_labels", "mat_matrix"])
 def test_no_column_comes_to_the_driver(spark, to_driver, name):
     found = catalogue.QUERIES[name](spark, SF)
     assert sum(to_driver) < 100
@@ -54,3 +56,45 @@ def test_no_rows_and_nulls(spark, tmp_path):
     assert datasource.read_frame(spark, str(tmp_path / "f.h5"), "/x").df.count() == 0
     with pytest.raises(Exception, match="null has no stored value"):
         spool_elements(spark.range(3), "id", str(tmp_path), x=(of_element("i64"), F.expr("nullif(id, 1)")))
+
+
+@pytest.mark.parametrize("timed", [None, "regular", "datetime"])
+def test_tables_are_read_in_runs_of_rows(spark, tmp_path, timed):
+    n, path = 17, str(tmp_path / "t.mat")
+    columns = {
+        "text": mo.Strings([None if i % 5 == 2 else "\U0001f600é" * (i % 4) + str(i) for i in range(n)]),
+        "ts": mo.Datetime(np.arange(n) * 1000.0, np.full(n, 0.25), "UTC"),
+        "gap": mo.Duration(np.arange(n) / 7),
+        "label": mo.Categorical(np.arange(n).reshape(-1, 1) % 3, ["a", "b"]),
+        "flag": np.arange(n) % 2 == 0,
+        "pair": np.arange(2 * n).reshape(n, 2) / 3,
+        "other": mo.Strings([str(i) for i in range(n)]),
+    }
+    times = {"origin": mo.Duration(np.array([5.0])), "specifiedAsRate": True, "sampleRate": 3.0} if timed == "regular" else mo.Datetime(np.arange(n) * 7.0)
+    value = mo.Table(columns) if timed is None else mo.Timetable(columns, row_times=times)
+    write_mat(path, {"t": value})
+    got = scan.table(spark, path, "t", 6, 3)
+    assert got.rdd.getNumPartitions() == 3
+    want = value.frame(spark)
+    assert got.dtypes == want.dtypes and got.collect() == want.collect() == register_table(spark, path, "t").collect()
+
+
+def test_tables_of_other_parts_are_read_whole(spark, tmp_path):
+    path = str(tmp_path / "t.mat")
+    for i, value in enumerate((mo.Table({"x": np.zeros((0, 1))}), mo.Table({"x": ["a", "b"]}), mo.Table({"x": np.arange(2.0)}, ["r", "s"]))):
+        write_mat(path, {"t": value})
+        assert scan.table(spark, path, "t") is None, i
+        assert register_table(spark, path, "t").count() == value.num_rows
+
+
+def test_missing_strings_and_rows_of_long_arrays(spark, tmp_path):
+    df = spark.createDataFrame([(2, "z"), (0, None), (1, "")], "k long, s string")
+    found = mo.spooled(df, "k", str(tmp_path), "s", k=(of_element("i64"), F.col("k")))
+    write_mat(str(tmp_path / "t.mat"), {"t": mo.Table(found)})
+    assert [tuple(r) for r in register_table(spark, str(tmp_path / "t.mat"), "t").select("k", "s").collect()] == [(0, None), (1, ""), (2, "z")]
+    write_mat(str(tmp_path / "x.mat"), {"x": np.arange(24.0).reshape(2, 3, 4)})
+    with File(str(tmp_path / "x.mat")) as file:
+        whole = file.read("/x")
+        x = file.resolve("/x")
+        for start, count in (((1, 0, 1), (1, 3, 1)), ((2, 1, 1), (1, 1, 1)), ((1, 2, 0), (2, 1, 1)), ((0, 0, 0), (4, 3, 2))):
+            assert (file.stored(x, start, count) == whole[tuple(slice(s, s + c) for s, c in zip(start, count, strict=True))]).all()
