@@ -20,7 +20,7 @@ from ..operators import chunkmath, objects, tables
 from ..operators.frame import ArrayFrame, from_arrays, from_column
 from ..sources import codecs, datasource
 from ..sources.h5 import Compound, FileBuilder, String, of_element
-from ..sources.session import Session
+from ..sources.inplace import grow
 from ..sources.spool import spool_elements
 from ..streaming.follow import follow
 
@@ -188,12 +188,6 @@ def _stored(df: DataFrame, key: str, name: str, kind, values, chunk: int, filter
     return path
 
 
-def _column(df: DataFrame, key: str, *columns) -> dict[str, list]:
-    """Columns in the order of a key."""
-    found = df.select(key, *columns).orderBy(key).toArrow()
-    return {c: found.column(c).to_pylist() for c in found.column_names}
-
-
 def _elements(spark: SparkSession, path: str) -> DataFrame:
     return datasource.read_frame(spark, path, "/x").df
 
@@ -522,10 +516,8 @@ def h5_dense_attributes(spark, sf_dir):
 @query(f"SELECT i0, i1, v AS value FROM ({EMB}) WHERE i0 BETWEEN 30 AND 99 AND i1 BETWEEN 10 AND 40")
 def h5_tree2(spark, sf_dir):
     """Chunks of a matrix that grows both ways stand in a version-2 tree."""
-    path, builder, a = _file(spark, "tree"), FileBuilder(), emb(spark, sf_dir)
-    values = np.array(a.df.orderBy("i0", "i1").toArrow().column("value").to_numpy(), "<f4").reshape(a.shape)
-    builder.create_dataset("x", values, chunks=(16, 16), maximum=(None, None), filters=[("deflate", 1)])
-    builder.write(path)
+    path = _file(spark, "tree")
+    datasource.write_frame(emb(spark, sf_dir, (16, 16)), path, "/x", [("deflate", 1)], maximum=(None, None))
     return datasource.read_frame(spark, path, "/x").region((30, 10), (70, 31)).df
 
 
@@ -617,24 +609,27 @@ def timetable_arithmetic(spark, sf_dir):
 
 # ---- following a growing dataset
 
+#: Rows appended at once, which is what the driver holds of them.
+APPENDED = 1 << 18
+
 
 @query("SELECT event_id AS i0, value FROM events")
 def swmr_prefix(spark, sf_dir):
     """A stream follows a dataset that is appended to between two of its runs: every row arrives once."""
-    values = np.array(_column(read(spark, sf_dir, "events"), "event_id", "value")["value"])
-    path, builder, half = _file(spark, "growing"), FileBuilder(), len(values) // 2
-    builder.create_dataset("x", values[:half], chunks=(256,), maximum=(None,))
-    builder.write(path)
+    path = _file(spark, "growing")
+    values = spool_elements(read(spark, sf_dir, "events"), "event_id", os.path.dirname(path), value=(F64, F.col("value")))["value"]
+    half = len(values) // 2
+    datasource.write_spool(spark, values, path, "/x", 256, maximum=(None,), rows=half)
     out, state = f"{os.path.dirname(path)}/rows", f"{os.path.dirname(path)}/state"
-    for more in (None, values[half:]):
-        if more is not None:
-            with Session(path) as session:
-                session.append("/x", more)
+    for more in (False, True):
+        for first in range(half, len(values), APPENDED) if more else ():
+            grow(path, "/x", values.read(first, APPENDED))
         stream = follow(spark, path, "/x").writeStream.format("parquet").option("checkpointLocation", state).start(out)
         try:
             stream.processAllAvailable()
         finally:
             stream.stop()
+    values.drop()
     return spark.read.parquet(out)
 
 

@@ -29,11 +29,11 @@ def to_driver(spark, monkeypatch):
     return seen
 
 
-@pytest.mark.parametrize("name", ["compound_project", "compound_read", "mat_table", "mat_timetable_regular", "mat_datetime_ns", "mat_duration_seconds", "categorical_labels", "mat_matrix"])
+@pytest.mark.parametrize("name", ["compound_project", "compound_read", "mat_table", "mat_timetable_regular", "mat_datetime_ns", "mat_duration_seconds", "categorical_labels", "mat_matrix", "h5_tree2", "swmr_prefix"])
 def test_no_column_comes_to_the_driver(spark, to_driver, name):
     found = catalogue.QUERIES[name](spark, SF)
     assert sum(to_driver) < 100
-    assert found.count() >= 1000
+    assert found.count() >= (70 * 31 if name == "h5_tree2" else 1000)
 
 
 def test_spooled_elements_are_in_order_and_read_in_parts(spark, tmp_path):
