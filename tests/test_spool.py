@@ -29,7 +29,7 @@ def to_driver(spark, monkeypatch):
     return seen
 
 
-@pytest.mark.parametrize("name", ["compound_project", "compound_read", "mat_table", "mat_timetable_regular", "mat_datetime_ns", "mat_duration_seconds", "categorical_labels", "mat_matrix", "h5_tree2", "swmr_prefix", "complex_read", "fixed_string_nullterm", "fixed_string_nullpad"])
+@pytest.mark.parametrize("name", ["compound_project", "compound_read", "mat_table", "mat_timetable_regular", "mat_datetime_ns", "mat_duration_seconds", "categorical_labels", "mat_matrix", "h5_tree2", "swmr_prefix", "complex_read", "fixed_string_nullterm", "fixed_string_nullpad", "fixed_string_spacepad"])
 def test_no_column_comes_to_the_driver(spark, to_driver, name):
     found = catalogue.QUERIES[name](spark, SF)
     assert sum(to_driver) < 100
